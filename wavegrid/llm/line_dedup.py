@@ -67,8 +67,7 @@ def line_keep_runs(docs: DataFrame, min_length: int = 20, min_docs: int = 3, hot
 
 def apply_keep_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """Adds ``n_lines, n_dropped, kept_text`` to the documents, from the runs of :func:`line_keep_runs`."""
-    runs = materialize(runs, "line-runs").withColumnsRenamed({"doc_id": "_doc", "row_key": "_row"})
-    runs = maybe_broadcast(runs, 256)
+    runs = runs.withColumnsRenamed({"doc_id": "_doc", "row_key": "_row"})
     both = docs.withColumn("row_key", _row_key()).join(runs, F.expr("doc_id <=> _doc and row_key = _row"), "left")
     lines = _lines(docs)
     gone = F.coalesce(F.aggregate("dropped", F.lit(0).cast("bigint"), lambda a, r: a + r["last"] - r["first"] + 1), F.lit(0).cast("bigint"))
