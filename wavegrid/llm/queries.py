@@ -100,3 +100,59 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def langid_model(docs: DataFrame):
+    """Fitted on the documents that are not held out: crc32(doc_id as text) mod 5 is not 0."""
+    from wavegrid.llm import langid
+    from wavegrid.llm.common import held
+
+    return langid.fit(docs.where(~held(F.col("doc_id"), 5, 0)))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavegrid.llm import langid
+    from wavegrid.llm.common import held
+
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    out = langid.predict(docs.select("doc_id", "text"), langid_model(docs))
+    return out.select("doc_id", held(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
+
+
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op3_token_shards")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavegrid.llm.sstable import tokens_table
+
+    return tokens_table(documents(spark, sf_dir).select("doc_id", "text"), word_tokenizer())
+
+
+@query("op4_matroska_media")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavegrid.llm.common import materialize
+    from wavegrid.llm.matroska import digest_media, store_texts
+
+    return digest_media(materialize(store_texts(documents(spark, sf_dir)), "media"))
+
+
+@query("op1_decontaminate")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavegrid.llm.decontaminate import find_contamination
+
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    out = find_contamination(documents(spark, sf_dir).select("doc_id", "text"), items)
+    ids = F.array_join("item_ids", ",")
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op2_jaccard_join")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavegrid.llm.jaccard import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir))
