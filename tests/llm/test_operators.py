@@ -296,3 +296,56 @@ def test_language_model_equals_counts(spark, tables):
     assert a.langs == b.langs == ["en", "fr"] and np.array_equal(a.log_prob, b.log_prob)
     with pytest.raises(ValueError):
         langid.fit(docs, max_langs=1)
+
+
+def without_repeats(docs, width):
+    raw = [(i, (t or "").encode()) for i, t in docs]
+    seen = {}
+    for _, d in raw:
+        for p in range(len(d) - width + 1):
+            w = d[p : p + width]
+            seen[w] = seen.get(w, 0) + 1
+    out = []
+    for i, d in raw:
+        gone = bytearray(len(d))
+        for p in range(len(d) - width + 1):
+            if seen[d[p : p + width]] > 1:
+                gone[p : p + width] = b"\1" * width
+        kept = bytes(c for c, g in zip(d, gone) if not g)
+        spans = len([s for s in bytes(gone).split(b"\0") if s])
+        out.append((i, len(d), sum(gone), spans, sha(kept)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("at", ["made", SF])
+def test_suffix_dedup(spark, tables, at):
+    at = tables if at == "made" else at
+    want = without_repeats(docs_of(spark, at), 200)
+    assert rows_of(spark, "op6_suffix_dedup", at) == want
+    assert any(0 < r[2] < r[1] for r in want)
+
+
+def test_suffix_dedup_of_random_short_alphabets(spark, monkeypatch):
+    from wavegrid.llm import suffix_dedup as s
+
+    r = random.Random(9)
+    docs = [(i, "".join(r.choice("ab") for _ in range(r.randint(0, 400)))) for i in range(60)]
+    docs += [(100 + i, "ab" * r.randint(0, 60)) for i in range(5)] + [(200, docs[3][1]), (200, docs[3][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for width in (12, 20):
+        got = s.remove_repeats(df, width).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+        assert sorted((tuple(x) for x in got), key=repr) == without_repeats(docs, width)
+
+
+def test_segments_number_through_pieces(monkeypatch):
+    from wavegrid.llm import suffix_dedup as s
+
+    text = bytes(random.Random(2).randrange(256) for _ in range(5000))
+    one = [x for u in s.segments([b"", text, b"x" * 300], 200) for x in zip(u[1], u[2], *(u[3] + u[5]), u[4])]
+    monkeypatch.setattr(s, "UNIT", 700)
+    many = [x for u in s.segments([b"", text, b"x" * 300], 200) for x in zip(u[1], u[2], *(u[3] + u[5]), u[4])]
+    for got in (one, many):
+        windows = [w for x in got if x[0] == 1 for w in range(x[2], x[3] + 1)]
+        assert windows == list(range(4801)) and [x[1] for x in got if x[0] == 1] == list(range(sum(x[0] == 1 for x in got)))
+    where = lambda got: {w: (x[4], x[5]) for x in got if x[0] == 1 for w in range(x[2], x[3] + 1)}
+    assert where(one) == where(many)

@@ -156,3 +156,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wavegrid.llm.jaccard import jaccard_components
 
     return jaccard_components(documents(spark, sf_dir))
+
+
+@query("op6_suffix_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavegrid.llm.suffix_dedup import remove_repeats
+
+    out = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
