@@ -349,3 +349,51 @@ def test_segments_number_through_pieces(monkeypatch):
         assert windows == list(range(4801)) and [x[1] for x in got if x[0] == 1] == list(range(sum(x[0] == 1 for x in got)))
     where = lambda got: {w: (x[4], x[5]) for x in got if x[0] == 1 for w in range(x[2], x[3] + 1)}
     assert where(one) == where(many)
+
+
+@pytest.mark.parametrize("at", ["made", "/root/testdata/sf0.01"])
+def test_language_model_scores(spark, tables, at):
+    import math
+    from collections import Counter
+
+    at = tables if at == "made" else at
+    toks = lambda t: [*(x for x in re.split(r"[ \t\n\x0b\x0c\r]+", low(t or "")) if x), "\n"]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    docs = docs_of(spark, at)
+    c = Counter(w for i, t in docs if not held(i) for w in toks(t))
+    n, v = sum(c.values()), len(c)
+    got = q.QUERIES["op7_pitman_yor"](spark, at).collect()
+    want = sorted(((i, held(i), len(w := toks(t)), sum(x in c for x in w), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 4)) for i, t in docs), key=repr)
+    assert sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got), key=repr) == want
+    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
+    if at != tables:  # better than single words on texts it has not seen
+        model, base, size = (sum(r[k] for r in got if r["held_out"]) for k in ("score", "base_score", "n_tokens"))
+        assert model > base, (model / size, base / size)
+    again = q.QUERIES["op7_pitman_yor"](spark, at).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, again), key=repr)
+
+
+def test_probabilities_sum_to_one():
+    from wavegrid.llm import pitman_yor as m
+
+    r = random.Random(4)
+    texts = [" ".join(r.choice(WORDS) for _ in range(40)) for _ in range(30)]
+    cache = m._Tokens()
+    pairs, _ = m._pairs(texts, cache)
+    uniq, count = np.unique(pairs, return_counts=True)
+    words = np.unique(uniq >> np.uint64(8))
+    every = np.sort(np.concatenate([words << np.uint64(8) | np.uint64(k) for k in np.unique(uniq & np.uint64(0xFF))]))
+    full = np.zeros(len(every), dtype=np.int64)
+    full[np.searchsorted(every, uniq)] = count
+    d = m.Dishes([m._ask(every, full)])
+    rng = np.random.default_rng(1)
+    s = m.Sampler(d, len(words), d.totals(), np.ones(m.N_CLASSES), (1.0, 1.0), rng)
+    for _ in range(5):  # totals from the sampler itself
+        s.sweep()
+        s.tables = np.bincount(d.cls, weights=s.t, minlength=m.N_CLASSES)
+        s.p_customers, s.p_tables = float(s.parent_count.sum()), float(s.s.sum())
+    p = s.probability()
+    unknown = (m.STRENGTH + m.DISCOUNT * s.tables) / (m.STRENGTH + s.customers) * (m.PARENT_STRENGTH + m.PARENT_DISCOUNT * s.p_tables) / (m.PARENT_STRENGTH + s.p_customers) * s.base
+    for k in np.unique(d.cls):
+        assert abs(p[d.cls == k].sum() + unknown[k] - 1) < 1e-9
+    assert (s.t <= d.count).all() and (s.t[d.count > 0] >= 1).all()

@@ -164,3 +164,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_pitman_yor")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavegrid.llm.common import held
+    from wavegrid.llm.pitman_yor import score_texts
+
+    docs = documents(spark, sf_dir).select("doc_id", "text", held(F.col("doc_id"), 7, 2).alias("held_out"))
+    return score_texts(docs, "held_out").drop("text")
