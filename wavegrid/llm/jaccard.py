@@ -1,26 +1,27 @@
 """N-gram Jaccard join: classes of documents that are linked by similar sets of word shingles.
 
 Comparing all documents of like size would grow with the square of their number, so the size-banded tiles are
-keyed by content as well, in a way that loses no link:
-
-* Sizes fall into bands whose bounds grow by 1 / threshold; linked documents are in the same or neighbouring
-  bands, so a document takes part in its own band's tile and the one below.
-* In a tile two linked sets differ in at most d members. Hashes are dealt into d + 1 + slack parts by range; at
-  least 1 + slack parts are then equal in both sets. Unless more than ``slack`` parts of a document are
-  empty, one of the equal parts is not, and both documents send the same key for it. The few documents with
-  more empty parts send the members of their prefix instead, as does any partner they can have.
-
-Documents that share a key are candidates. Each task and each range of keys sends only the edges from its
-smallest document to the others, which keeps candidates connected without pairs within a group. The components
-of these edges are the tiles in which signatures and sets are compared.
+made of candidates only, in a way that loses no link:
+
+* A linked document shares at least the threshold's part of its shingles with another. The shingles are counted
+  by hash; documents with fewer repeated ones drop out.
+* Of the others, every document sends its rarest shingles, as many as a partner can't lack all of (a prefix
+  of the set in one order for all: by number of candidates that hold the shingle, then by hash). Shingles
+  of boilerplate come last in that order and bring nothing together.
+
+Documents that share such a shingle are candidates. Each task and each range of keys sends only the edges from
+its smallest document to the others, which keeps candidates connected without pairs within a group. The
+components of these edges are the tiles in which sizes, signatures and sets are compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,58 +53,6 @@ def shingles(text: str | None, n: int, cache: WordHash) -> np.ndarray:
     return np.unique(_mix(h))
 
 
-class Bands:
-    """Size bands for a threshold in percent: bounds, and difference and number of parts of each tile."""
-
-    def __init__(self, percent: int):
-        self.percent, self.first = percent, [100 // (100 - percent) - 1 if percent < 100 else 1]
-        self.first = [max(1, self.first[0])]
-
-    def _bound(self, i: int) -> int:
-        while len(self.first) <= i:
-            self.first.append(max(self.first[-1] + 1, self.first[-1] * 100 // self.percent))
-        return self.first[i]
-
-    def of(self, n: int) -> int:
-        """-1 for sets so small that only equal ones are linked."""
-        i = 0
-        while self._bound(i + 1) <= n:
-            i += 1
-        return i if n >= self.first[0] else -1
-
-    def tile(self, i: int) -> tuple[int, int]:
-        """Largest difference of two linked sets of the tile, and slack."""
-        x = self._bound(i + 1) - 1
-        d = (100 - self.percent) * (x + x * 100 // self.percent) // (100 + self.percent)
-        return d, 2 + d // 16
-
-
-def content_keys(h: np.ndarray, bands: Bands, tiles: dict[int, tuple[int, int]]) -> np.ndarray:
-    """The keys under which a set meets every set it can be linked to."""
-    n = len(h)
-    band = tiles.get(-n - 2)
-    if band is None:
-        band = tiles[-n - 2] = bands.of(n)
-    m = _mix(h + U(1))
-    if band < 0:
-        return _mix(m.sum(dtype=U, keepdims=True) + U(n))
-    out, lean = [], False
-    for t in (band, band - 1):
-        if t < 0:
-            continue
-        if t not in tiles:
-            tiles[t] = bands.tile(t)
-        d, slack = tiles[t]
-        k = d + 1 + slack
-        part = (h >> U(32)) * U(k) >> U(32)
-        start = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
-        lean |= k - len(start) > slack
-        out.append(_mix(np.add.reduceat(m, start) + part[start] * U(0x9E3779B97F4A7C15) + U(t + 1)))
-    if lean:
-        out.append(_mix(h[: n - -(-bands.percent * n // 100) + 1] ^ U(0x5851F42D4C957F2D)))
-    return np.concatenate(out)
-
-
 def _star(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in order, the smallest document of each, and the distinct edges (document, smallest)."""
     order = np.argsort(keys, kind="stable")
@@ -124,91 +73,275 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([a[new], b[new]], axis=1)
 
 
-_PACKED = "bucket int, kind int, a binary, b binary"
-_FACTS = "kind int, a long, b long"
+def _low40(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _from40(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
+def _bucket(h: np.ndarray, n_buckets: int) -> np.ndarray:
+    return ((h >> U(32)) * U(n_buckets) >> U(32)).astype(np.int64)
+
+
+def _cuts(sorted_: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal values."""
+    if not len(sorted_):
+        return []
+    c = np.concatenate([[0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1, [len(sorted_)]]).tolist()
+    return list(zip(c[:-1], c[1:]))
+
+
+def _table(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
 
 
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    bucket, kind, a, b = zip(*rows)
-    return pa.record_batch({"bucket": pa.array(bucket, pa.int32()), "kind": pa.array(kind, pa.int32()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+def _needed(n: np.ndarray, percent: int) -> np.ndarray:
+    """Members a set of size n shares at least with a set it is linked to."""
+    return -(-percent * n // 100)
 
 
-def _facts(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch({"kind": pa.array(np.full(len(a), kind), pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+_SENT = "bucket int, kind int, chunk long, data binary"
+_COUNTED = "chunk long, kind int, data binary"
+_SIZES = "doc_id long, n long, repeated long"
 
 
-def _sizes_and_candidates(docs: DataFrame, ngram: int, percent: int, n_buckets: int) -> DataFrame:
-    """``kind, a, b``: 0 document and size; 1 candidate edge; 2 a row without id and its size."""
+def repeated_shingles(docs: DataFrame, ngram: int) -> DataFrame:
+    """``doc_id, n, repeated``: for each row the size of its set, and how many members other rows hold too.
 
-    def keys_of(batches):
-        cache, bands, tiles = WordHash(), Bands(percent), {}
-        keys, owners, total, ids, sizes, nameless, turn = [], [], 0, [], [], [], 0
+    Counts are by bucket and 40 more bits of the hash; equal ones of different shingles only raise ``repeated``. What
+    repeats within a task's chunk of rows is sent once for all.
+    """
+    n_parts = partitions(docs.sparkSession)
+    n_buckets = 4 * n_parts
+
+    def send(batches):
+        cache, sets, ids, total, turn = WordHash(), [], [], 0, 0
+        part = TaskContext.get().partitionId()
 
         def flush():
-            nonlocal keys, owners, total, ids, sizes, nameless, turn
-            out = []
-            if ids:
-                out.append((turn % n_buckets, 0, np.array(ids, dtype=np.int64).tobytes(), np.array(sizes, dtype=np.int64).tobytes()))
-            if nameless:
-                out.append((turn % n_buckets, 2, np.zeros(len(nameless), dtype=np.int64).tobytes(), np.array(nameless, dtype=np.int64).tobytes()))
-            if keys:
-                all_keys = np.concatenate(keys)
-                all_keys, least, edges = _star(all_keys, np.repeat(np.array([o for o, _ in owners], dtype=np.int64), [n for _, n in owners]))
-                if len(edges):
-                    out.append((turn % n_buckets, 1, edges[:, 0].tobytes(), edges[:, 1].tobytes()))
-                bucket = (all_keys >> U(32)) * U(n_buckets) >> U(32)
-                cut = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
-                for i, j in zip(cut[:-1], cut[1:]):
-                    out.append((int(bucket[i]), 3, all_keys[i:j].tobytes(), least[i:j].tobytes()))
-            keys, owners, total, ids, sizes, nameless, turn = [], [], 0, [], [], [], turn + 1
-            return out
+            nonlocal sets, ids, total, turn
+            chunk = part << 32 | turn
+            sizes = np.array([len(h) for h in sets], dtype=np.int64)
+            h, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(h, kind="stable")
+            s = h[order]
+            same = s[1:] == s[:-1]
+            many = np.zeros(len(h), dtype=bool)
+            many[order[1:][same]] = many[order[:-1][same]] = True
+            known = np.bincount(owner[many], minlength=len(sets))
+            rows = [(turn % n_buckets, 0, chunk, _ids(ids) + sizes.tobytes() + known.astype(np.int64).tobytes())]
+            shared = np.unique(h[many])
+            at = _bucket(shared, n_buckets)
+            parts = {int(at[i]): shared[i:j] for i, j in _cuts(at)}
+            h, owner = h[~many], owner[~many]
+            at = _bucket(h, n_buckets)
+            order = np.argsort(at, kind="stable")
+            h, owner, at = h[order], owner[order], at[order]
+            none = np.zeros(0, dtype=U)
+            single = {int(at[i]): (i, j) for i, j in _cuts(at)}
+            for b in sorted({*parts, *single}):
+                i, j = single.get(b, (0, 0))
+                m = parts.get(b, none)
+                rows.append((b, 1, chunk, struct.pack("<II", len(m), j - i) + _low40(m) + _low40(h[i:j]) + owner[i:j].astype("<u2").tobytes()))
+            sets, ids, total, turn = [], [], 0, turn + 1
+            return _table(_SENT, rows)
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                 h = shingles(text.as_py(), ngram, cache)
-                if doc_id is None:
-                    nameless.append(len(h))
-                    continue
+                sets.append(h)
                 ids.append(doc_id)
-                sizes.append(len(h))
-                if len(h):
-                    k = content_keys(h, bands, tiles)
-                    keys.append(k)
-                    owners.append((doc_id, len(k)))
-                    total += len(k)
-                    if total >= FLUSH_KEYS and (rows := flush()):
-                        yield _packed(rows)
-        if rows := flush():
-            yield _packed(rows)
+                total += len(h)
+                if total >= FLUSH_KEYS or len(ids) >= 60_000:
+                    yield flush()
+        if ids:
+            yield flush()
+
+    def count(batches):
+        for _, refs in groups(batches, ["bucket"]):
+            parts = []
+            for b, i in refs:
+                data = b.column(3)[i].as_py()
+                if b.column(1)[i].as_py() == 0:
+                    yield _table(_COUNTED, [(b.column(2)[i].as_py(), 0, data)])
+                    continue
+                m, n = struct.unpack_from("<II", data)
+                p = 8 + 5 * m
+                parts.append((b.column(2)[i].as_py(), _from40(data[8:p]), _from40(data[p : p + 5 * n]), np.frombuffer(data, "<u2", n, p + 5 * n)))
+            if not parts:
+                continue
+            h = np.concatenate([x for _, many, single, _ in parts for x in (many, many, single)])
+            h.sort()
+            twice = h[1:][h[1:] == h[:-1]]
+            twice = twice[np.concatenate([[True], twice[1:] != twice[:-1]])] if len(twice) else twice
+            for chunk, _, single, owner in parts:
+                at = np.searchsorted(twice, single)
+                hit = twice[np.minimum(at, len(twice) - 1)] == single if len(twice) else np.zeros(len(single), dtype=bool)
+                if hit.any():
+                    yield _table(_COUNTED, [(chunk, 1, np.bincount(owner[hit]).astype("<u2").tobytes())])
+
+    def total(batches):
+        for _, refs in groups(batches, ["chunk"]):
+            (b, i), *rest = refs
+            data = b.column(2)[i].as_py()
+            n = len(data) // 25
+            ids = _read_ids(data, n)
+            sizes, known = np.frombuffer(data, np.int64, 2 * n, 9 * n).reshape(2, n)
+            known = known.copy()
+            for b, i in rest:
+                more = np.frombuffer(b.column(2)[i].as_py(), "<u2")
+                known[: len(more)] += more
+            yield pa.record_batch({"doc_id": ids, "n": pa.array(sizes, pa.int64()), "repeated": pa.array(known, pa.int64())})
+
+    sent = docs.select("doc_id", "text").mapInArrow(send, _SENT).repartition(n_parts, "bucket").sortWithinPartitions("bucket")
+    counted = sent.mapInArrow(count, _COUNTED).repartition(n_parts, "chunk").sortWithinPartitions("chunk", "kind")
+    return counted.mapInArrow(total, _SIZES)
+
+
+def _ids(ids: list[int | None]) -> bytes:
+    return np.array([i is not None for i in ids], dtype=np.uint8).tobytes() + np.array([i or 0 for i in ids], dtype=np.int64).tobytes()
+
+
+def _read_ids(data: bytes, n: int) -> pa.Array:
+    return pa.array(np.frombuffer(data, np.int64, n, n), pa.int64(), mask=np.frombuffer(data, np.uint8, n) == 0)
+
+
+_DEALT = "bucket int, kind int, data binary"
+_RARE = np.dtype([("d", "<i8"), ("h", "<u8"), ("f", "<u4"), ("n", "<u4")])
+_KEY = np.dtype([("h", "<u8"), ("d", "<i8")])
+
+
+def _dealt(kind: int, records: np.ndarray, at: np.ndarray) -> list[tuple]:
+    order = np.argsort(at, kind="stable")
+    records, at = records[order], at[order]
+    return [(int(at[i]), kind, records[i:j].tobytes()) for i, j in _cuts(at)]
+
+
+def candidate_edges(docs: DataFrame, some: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """``a, b``: edges that connect all documents of ``some`` (a column ``node``) that may be linked."""
+    n_parts = partitions(docs.sparkSession)
+    n_buckets = 4 * n_parts
+    texts = docs.select("doc_id", "text").join(maybe_broadcast(some, 64), F.expr("doc_id = node")).select("doc_id", "text")
+
+    def send(batches):
+        cache, sets, ids, edges, seen, total, turn = WordHash(), [], [], [], {}, 0, 0
+
+        def flush():
+            nonlocal sets, ids, edges, seen, total, turn
+            rows = []
+            if edges:
+                rows.append((turn % n_buckets, 1, np.array(edges, dtype=np.int64).tobytes()))
+            if sets:
+                sizes = [len(h) for h in sets]
+                r = np.zeros(sum(sizes), dtype=_RARE)
+                r["d"], r["h"], r["n"] = np.repeat(np.array(ids, dtype=np.int64), sizes), np.concatenate(sets), np.repeat(sizes, sizes)
+                rows += _dealt(0, r, _bucket(r["h"], n_buckets))
+            sets, ids, edges, seen, total, turn = [], [], [], {}, 0, turn + 1
+            return _table(_DEALT, rows)
+
+        for b in batches:
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+                h = shingles(text.as_py(), ngram, cache)
+                mark = xxhash.xxh3_128_digest(h.tobytes())
+                first = seen.setdefault(mark, doc_id)  # of equal sets one goes on
+                if first != doc_id:
+                    edges.append((doc_id, first))
+                else:
+                    sets.append(h)
+                    ids.append(doc_id)
+                    total += len(h)
+                if total >= FLUSH_KEYS or len(edges) >= 100_000:
+                    yield flush()
+        if sets or edges:
+            yield flush()
+
+    def weigh(batches):
+        """The number of holders goes back with each shingle, to where all of a document's meet."""
+        for _, refs in groups(batches, ["bucket"]):
+            parts = []
+            for b, i in refs:
+                if b.column(1)[i].as_py():
+                    yield _table(_DEALT, [(b.column(0)[i].as_py(), 1, b.column(2)[i].as_py())])
+                else:
+                    parts.append(np.frombuffer(b.column(2)[i].as_buffer(), _RARE))
+            if parts:
+                r = np.concatenate(parts)
+                r = r[np.argsort(r["h"], kind="stable")]
+                size = np.diff([0, *(j for _, j in _cuts(r["h"]))])
+                r["f"] = np.repeat(size, size)
+                r = r[r["f"] > 1]
+                if len(r):
+                    yield _table(_DEALT, _dealt(0, r, _bucket(_mix(r["d"].view(U)), n_buckets)))
+
+    def choose(batches):
+        """Keys of each document: of its prefix, the shingles that others hold."""
+
+        def give(keys):
+            h, least, edges = _star(keys["h"], keys["d"])
+            k = np.empty(len(h), dtype=_KEY)
+            k["h"], k["d"] = h, least
+            rows = _dealt(0, k, _bucket(h, n_buckets))
+            if len(edges):
+                rows.append((int(h[0] % U(n_buckets)), 1, edges.tobytes()))
+            return _table(_DEALT, rows)
+
+        held, total = [], 0
+        for _, refs in groups(batches, ["bucket"]):
+            parts = []
+            for b, i in refs:
+                if b.column(1)[i].as_py():
+                    yield _table(_DEALT, [(b.column(0)[i].as_py(), 1, b.column(2)[i].as_py())])
+                else:
+                    parts.append(np.frombuffer(b.column(2)[i].as_buffer(), _RARE))
+            if not parts:
+                continue
+            r = np.concatenate(parts)
+            r = r[np.lexsort((r["h"], r["f"], r["d"]))]
+            cuts = _cuts(r["d"])
+            start = np.array([i for i, _ in cuts])
+            size = np.array([j - i for i, j in cuts])
+            n = r["n"][start].astype(np.int64)
+            # n - size members are held by no other and come first in the order
+            take = n - _needed(n, percent) + 1 - (n - size)
+            nth = np.arange(len(r)) - np.repeat(start, size)
+            r = r[nth < np.repeat(take, size)]
+            k = np.empty(len(r), dtype=_KEY)
+            k["h"], k["d"] = r["h"], r["d"]
+            held.append(k)
+            total += len(k)
+            if total >= FLUSH_KEYS:
+                yield give(np.concatenate(held))
+                held, total = [], 0
+        if total:
+            yield give(np.concatenate(held))
 
     def meet(batches):
         for _, refs in groups(batches, ["bucket"]):
-            keys, least = [], []
+            keys = []
             for b, i in refs:
-                kind, x, y = b.column(1)[i].as_py(), np.frombuffer(b.column(2)[i].as_buffer(), np.int64), np.frombuffer(b.column(3)[i].as_buffer(), np.int64)
-                if kind < 3:
-                    yield _facts(kind, x, y)
+                raw = b.column(2)[i].as_buffer()
+                if b.column(1)[i].as_py():
+                    e = np.frombuffer(raw, np.int64).reshape(-1, 2)
+                    yield pa.record_batch({"a": pa.array(e[:, 0]), "b": pa.array(e[:, 1])})
                 else:
-                    keys.append(x.view(U))
-                    least.append(y)
+                    keys.append(np.frombuffer(raw, _KEY))
             if keys:
-                _, _, edges = _star(np.concatenate(keys), np.concatenate(least))
-                if len(edges):
-                    yield _facts(1, edges[:, 0], edges[:, 1])
-
-    packed = docs.select("doc_id", "text").mapInArrow(keys_of, _PACKED)
-    packed = packed.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return packed.mapInArrow(meet, _FACTS)
-
+                k = np.concatenate(keys)
+                _, _, e = _star(k["h"], k["d"])
+                if len(e):
+                    yield pa.record_batch({"a": pa.array(e[:, 0]), "b": pa.array(e[:, 1])})
 
-class _Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
+    def by_bucket(df, f, schema):
+        return df.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(f, schema)
 
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
+    weighed = by_bucket(texts.mapInArrow(send, _DEALT), weigh, _DEALT)
+    return by_bucket(by_bucket(weighed, choose, _DEALT), meet, "a long, b long")
 
 
 def link_tile(ids: list[int], sets: list[np.ndarray], percent: int, blocks: list[int] | None = None, known: list[int] | None = None) -> list[tuple[int, int]]:
@@ -273,7 +406,7 @@ def _compare(docs: DataFrame, placed: DataFrame, ngram: int, percent: int, cross
             cols = [b.column(i).to_pylist() for i in range(5)]
             for doc_id, text, cluster, known, tiles in zip(*cols):
                 h = shingles(text, ngram, cache)
-                mark = (cluster, hash(h.tobytes()), len(h))
+                mark = (cluster, xxhash.xxh3_128_digest(h.tobytes()))
                 if not cross:  # equal sets of a task: one is enough, the others hang on to it
                     first = seen.setdefault(mark, doc_id)
                     n += 1
@@ -335,9 +468,10 @@ def jaccard_components(docs: DataFrame, ngram: int = 5, percent: int = 80, tile_
     share a component. Equal texts are linked if they have words. Empty tables give no rows.
     """
     docs = docs.select("doc_id", "text")
-    spark = docs.sparkSession
-    facts = materialize(_sizes_and_candidates(docs, ngram, percent, 4 * partitions(spark)), "jaccard-facts")
-    clusters = materialize(connected_components(facts.where("kind = 1").select("a", "b")), "jaccard-clusters")
+    facts = materialize(repeated_shingles(docs, ngram), "jaccard-sizes")
+    may_link = facts.where(f"doc_id is not null and n > 0 and 100 * repeated >= {percent} * n").select(F.col("doc_id").alias("node")).distinct()
+    edges = candidate_edges(docs, materialize(may_link, "jaccard-candidates"), ngram, percent)
+    clusters = materialize(connected_components(edges), "jaccard-clusters")
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
     placed = clusters.join(sizes, "component").select(
         "node", F.col("component").alias("cluster"), F.lit(None).cast("long").alias("known"), F.ceil(F.col("n") / tile_docs).cast("int").alias("n_blocks")
@@ -363,6 +497,6 @@ def jaccard_components(docs: DataFrame, ngram: int = 5, percent: int = 80, tile_
         more = materialize(_compare(docs, rest, ngram, percent, True), "jaccard-links")
         found = materialize(connected_components(links.unionByName(more)), "jaccard-components")
 
-    rows = facts.where("kind <> 1").select(F.when(F.col("kind") == 0, F.col("a")).alias("doc_id"), F.col("b").alias("n_shingles"))
+    rows = facts.select("doc_id", F.col("n").alias("n_shingles"))
     out = rows.join(found, F.expr("doc_id = node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
