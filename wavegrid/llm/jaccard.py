@@ -445,7 +445,7 @@ def _compare(docs: DataFrame, placed: DataFrame, ngram: int, percent: int, cross
         if edges:
             yield give(edges)
 
-    limit = maybe_broadcast(placed, 64)
+    limit = placed if cross else maybe_broadcast(placed, 64)
     texts = docs.select("doc_id", "text").join(limit, F.expr("doc_id = node")).select("doc_id", "text", "cluster", "known", "tiles")
     sets = texts.mapInArrow(sets_of, _SETS)
     sets = sets.repartition(partitions(docs.sparkSession), "cluster", "tile", F.expr("case when tile is null then doc_id end")).sortWithinPartitions("cluster", "tile")
