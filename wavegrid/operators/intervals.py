@@ -27,3 +27,130 @@ def merge_nearby(df: DataFrame, keys: list[str], gap: float, start: str = "start
         .groupBy(*keys, "run")
         .agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_merged"))
     )
+
+
+def overlapping(a: DataFrame, b: DataFrame, key: str, bucket: float) -> DataFrame:
+    """Pairs of rows of ``a`` and ``b`` with one key whose intervals overlap; columns of both, all but the key named apart.
+
+    Both sides have ``start`` and ``end`` (``b``'s are ``b_start``, ``b_end``). Intervals are cut along a time grid of
+    ``bucket`` seconds and joined by key and cell, so a key with many rows is spread over its cells; a pair counts in
+    the cell where the later of the two begins, and so only once. Empty intervals and nulls overlap nothing.
+    """
+
+    def cells(df: DataFrame, s: str, e: str) -> DataFrame:
+        grid = F.sequence(F.floor(F.col(s) / bucket), F.floor(F.col(e) / bucket))
+        return df.where(F.col(s) < F.col(e)).withColumn("_cell", F.explode(grid))
+
+    both = cells(a, "start", "end").join(cells(b, "b_start", "b_end"), [key, "_cell"])
+    first = F.floor(F.greatest("start", "b_start") / bucket)
+    return both.where((F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end")) & (F.col("_cell") == first)).drop("_cell")
+
+
+def union_share(tracks: DataFrame, signals: DataFrame, key: str, bucket: float, min_low: float = 1000.0) -> DataFrame:
+    """``track_id, signal_percent``: the part of each track covered by signals with ``f_lo`` of at least ``min_low``.
+
+    Signals are clipped to the track; where they overlap each other they count once, by the running maximum of
+    their ends. A track of no length, or without signals, has share 0.
+    """
+    pairs = overlapping(tracks, signals.where(F.col("f_lo") >= min_low), key, bucket)
+    lo, hi = F.greatest("start", "b_start"), F.least("end", "b_end")
+    clipped = pairs.select("track_id", lo.alias("lo"), hi.alias("hi"))
+    before = Window.partitionBy("track_id").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.col("hi") - F.greatest("lo", F.coalesce(F.max("hi").over(before), F.col("lo")))
+    covered = clipped.withColumn("part", F.greatest(F.lit(0.0), new)).groupBy("track_id").agg(F.sum("part").alias("covered"))
+    length = F.col("end") - F.col("start")
+    share = F.when(length > 0, F.coalesce("covered", F.lit(0.0)) / length).otherwise(F.lit(0.0))
+    return tracks.select("track_id", "start", "end").join(covered, "track_id", "left").select("track_id", share.alias("signal_percent"))
+
+
+def low_signal(shares: DataFrame, limit: float = 0.1) -> DataFrame:
+    """Flags tracks whose signal share is under ``limit``."""
+    return shares.withColumn("is_low", F.col("signal_percent") < limit)
+
+
+def trim_to_signal(tracks: DataFrame, signals: DataFrame, key: str, bucket: float) -> DataFrame:
+    """Tracks cut down to their first and last overlapping signal; tracks without signals go."""
+    pairs = overlapping(tracks, signals, key, bucket)
+    return pairs.groupBy(key, "track_id").agg(
+        F.max(F.col("start")).alias("og_start"),
+        F.max(F.col("end")).alias("og_end"),
+        F.greatest(F.max("start"), F.min("b_start")).alias("start"),
+        F.least(F.max("end"), F.max("b_end")).alias("end"),
+    )
+
+
+def overlap_labels(samples: DataFrame, tracks: DataFrame, key: str, bucket: float, part: float = 0.9) -> DataFrame:
+    """Labels of other tracks that a sample overlaps by at least ``part`` of the shorter of the two.
+
+    ``sample_id, track_id, start, end`` and ``b_track_id, b_label, b_start, b_end, b_min_freq, b_max_freq``. The band is that of all
+    tracks taken, and null if any bound is null.
+    """
+    pairs = overlapping(samples, tracks, key, bucket).where("track_id <> b_track_id")
+    shared = overlap(F.col("start"), F.col("end"), F.col("b_start"), F.col("b_end"))
+    enough = shared >= part * F.least(F.col("end") - F.col("start"), F.col("b_end") - F.col("b_start"))
+    return (
+        pairs.where(enough)
+        .groupBy("sample_id")
+        .agg(
+            F.sort_array(F.collect_set("b_label")).alias("labels"),
+            F.sort_array(F.collect_set("b_track_id")).alias("track_ids"),
+            F.when(~F.bool_or(F.isnull("b_min_freq")), F.min("b_min_freq")).alias("min_freq"),
+            F.when(~F.bool_or(F.isnull("b_max_freq")), F.max("b_max_freq")).alias("max_freq"),
+        )
+    )
+
+
+def best_window(df: DataFrame, id_col: str, values: str, width: int) -> DataFrame:
+    """``id, offset, total``: where ``width`` consecutive values have the largest sum, the first such place on ties.
+
+    A list shorter than ``width`` has offset 0 and the sum of all; a null or empty list has none. Sums are rounded to
+    9 places, so that equal windows tie.
+    """
+    long_ = df.select(id_col, F.size(values).alias("n"), F.posexplode(values).alias("offset", "v"))
+    w = Window.partitionBy(id_col).orderBy("offset").rowsBetween(0, width - 1)
+    sums = long_.withColumn("total", F.round(F.sum(F.col("v").cast("double")).over(w), 9))
+    whole = sums.where((F.col("offset") + width <= F.col("n")) | (F.col("offset") == 0))
+    best = whole.groupBy(id_col).agg(F.max_by(F.struct("offset", "total"), F.struct("total", -F.col("offset"))).alias("b"))
+    return best.select(id_col, "b.offset", "b.total")
+
+
+def tighten(df: DataFrame, id_col: str, values: str, width: int, hop: float, min_spread: float = 0.01) -> DataFrame:
+    """The best window as new bounds in seconds; ``rejected`` where the values' deviation is under ``min_spread`` of their mean, or there are none."""
+    best = best_window(df, id_col, values, width)
+    stats = df.select(id_col, F.explode(values).alias("v")).groupBy(id_col).agg(F.stddev_pop("v").alias("sd"), F.avg("v").alias("mean"))
+    out = df.select(id_col).join(best, id_col, "left").join(stats, id_col, "left")
+    flat = F.coalesce(F.abs(F.col("sd") / F.nullif(F.col("mean"), F.lit(0.0))) < min_spread, F.lit(True))
+    return out.select(id_col, (F.col("offset") * hop).alias("start"), ((F.col("offset") + width) * hop).alias("end"), flat.alias("rejected"))
+
+
+def best_segment(tracks: DataFrame, signals: DataFrame, key: str, bucket: float, seg: float = 3.0, step: float = 0.5) -> DataFrame:
+    """For each track the segment of ``seg`` seconds with most signal in and around it.
+
+    Segments begin every ``step`` while they fit in the track, and there is at least one. A segment's own length is
+    the signal inside, each signal clipped; its score adds half of either neighbour, for the first the whole next one.
+    The last is not scored unless it is the only one. Ties go to the earliest.
+    """
+    n = F.greatest(F.floor((F.col("end") - F.col("start") - seg) / step), F.lit(0))
+    steps = tracks.withColumn("k", F.explode(F.sequence(F.lit(0), n.cast("int")))).withColumn("n", n)
+    steps = steps.withColumn("seg_start", F.col("start") + F.col("k") * step)
+    spans = steps.select(key, "track_id", "k", F.col("seg_start").alias("start"), (F.col("seg_start") + seg).alias("end"))
+    inside = overlapping(spans, signals, key, bucket)
+    own = inside.groupBy("track_id", "k").agg(F.sum(overlap(F.col("start"), F.col("end"), F.col("b_start"), F.col("b_end"))).alias("own"))
+    s = steps.join(own, ["track_id", "k"], "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
+    w = Window.partitionBy("track_id").orderBy("k")
+    before, after = F.coalesce(F.lag("own").over(w), F.lit(0.0)), F.coalesce(F.lead("own").over(w), F.lit(0.0))
+    s = s.withColumn("score", F.round(F.when(F.col("k") == 0, F.col("own") + after).otherwise(F.col("own") + (before + after) / 2), 6))
+    s = s.where((F.col("k") < F.col("n")) | (F.col("n") == 0))
+    return s.groupBy("track_id").agg(F.max_by(F.struct("k", "seg_start", "own", "score"), F.struct("score", -F.col("k"))).alias("b")).select("track_id", "b.*")
+
+
+def consecutive_agreement(windows: DataFrame, key: str, order: list[str], label: str, prob: str, threshold: float) -> DataFrame:
+    """Windows that have the same label as the one before them, both above the threshold."""
+    w = Window.partitionBy(key).orderBy(*order)
+    both = (F.lag(label).over(w) == F.col(label)) & (F.lag(prob).over(w) > threshold) & (F.col(prob) > threshold)
+    return windows.withColumn("_agrees", both).where("_agrees").drop("_agrees")
+
+
+def silent_end(frames: DataFrame, key: str, chunk: str, low: str, high: str) -> DataFrame:
+    """The first chunk of each recording that is constant, where the usable part ends; null if there is none."""
+    return frames.groupBy(key).agg(F.min(F.when(F.col(low) == F.col(high), F.col(chunk))).alias("end_chunk"))

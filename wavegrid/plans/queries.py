@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavegrid.operators import intervals
-from wavegrid.sources.tables import event_intervals
+from wavegrid.operators import intervals, segmenting
+from wavegrid.sources.tables import event_intervals, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,181 @@ def query(name: str, sql: str | None = None):
 def merge_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = intervals.merge_nearby(event_intervals(spark, sf_dir), ["rec_id"], 60.0)
     return out.select("rec_id", "run", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "n_merged")
+
+
+#: Clicks as tracks, views as signals whose low frequency is 40 * value Hz.
+TRACKS_SQL = f"""{EVENTS},
+  tr AS (SELECT track_id, rec_id, label, "start", "end" FROM iv WHERE label = 'click'),
+  sg AS (SELECT track_id AS b_id, rec_id, "start" AS b_start, "end" AS b_end, 40.0 * value AS f_lo FROM iv WHERE label = 'view'),
+  ov AS (SELECT tr.*, b_id, b_start, b_end, f_lo FROM tr JOIN sg ON tr.rec_id = sg.rec_id AND "start" < b_end AND b_start < "end" AND "start" < "end" AND b_start < b_end)"""
+CELL = 6 * 3600.0
+
+
+def _tracks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    iv = event_intervals(spark, sf_dir)
+    tracks = iv.where("label = 'click'").select("track_id", "rec_id", "label", "start", "end")
+    signals = iv.where("label = 'view'").select(
+        F.col("track_id").alias("b_id"), "rec_id", F.col("start").alias("b_start"), F.col("end").alias("b_end"), (F.lit(40.0) * F.col("value")).alias("f_lo")
+    )
+    return tracks, signals
+
+
+@query("interval_overlap", f"""WITH {TRACKS_SQL} SELECT track_id, b_id, round(least("end", b_end) - greatest("start", b_start), 3) AS shared FROM ov""")
+def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tracks, signals = _tracks(spark, sf_dir)
+    shared = intervals.overlap(F.col("start"), F.col("end"), F.col("b_start"), F.col("b_end"))
+    return intervals.overlapping(tracks, signals, "rec_id", CELL).select("track_id", "b_id", F.round(shared, 3).alias("shared"))
+
+
+@query(
+    "union_share",
+    f"""WITH {TRACKS_SQL},
+    c AS (SELECT track_id, greatest("start", b_start) AS lo, least("end", b_end) AS hi FROM ov WHERE f_lo >= 1000),
+    m AS (SELECT *, max(hi) OVER (PARTITION BY track_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c),
+    s AS (SELECT track_id, sum(greatest(0, hi - greatest(lo, coalesce(before, lo)))) AS covered FROM m GROUP BY track_id)
+    SELECT tr.track_id, round(CASE WHEN "end" > "start" THEN coalesce(covered, 0) / ("end" - "start") ELSE 0 END, 6) AS signal_percent,
+      CASE WHEN "end" > "start" THEN coalesce(covered, 0) / ("end" - "start") ELSE 0 END < 0.1 AS is_low
+    FROM tr LEFT JOIN s USING (track_id)""",
+)
+def union_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tracks, signals = _tracks(spark, sf_dir)
+    out = intervals.low_signal(intervals.union_share(tracks, signals, "rec_id", CELL))
+    return out.withColumn("signal_percent", F.round("signal_percent", 6))
+
+
+@query(
+    "trim_to_signal",
+    f"""WITH {TRACKS_SQL} SELECT rec_id, track_id, round("start", 3) AS og_start, round("end", 3) AS og_end,
+    round(greatest("start", min(b_start)), 3) AS "start", round(least("end", max(b_end)), 3) AS "end"
+    FROM ov GROUP BY rec_id, track_id, "start", "end" """,
+)
+def trim_to_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tracks, signals = _tracks(spark, sf_dir)
+    out = intervals.trim_to_signal(tracks, signals, "rec_id", CELL)
+    return out.select("rec_id", "track_id", *[F.round(c, 3).alias(c) for c in ("og_start", "og_end", "start", "end")])
+
+
+@query(
+    "overlap_labels",
+    f"""WITH {EVENTS}, p AS (SELECT a.track_id AS sample_id, b.track_id AS tid, b.label, CASE WHEN b.value > 60 THEN NULL ELSE 40 * b.value END AS lo, 80 * b.value AS hi
+      FROM iv a JOIN iv b ON a.rec_id = b.rec_id AND a.track_id <> b.track_id AND a."start" < b."end" AND b."start" < a."end" AND a."start" < a."end" AND b."start" < b."end"
+      WHERE a.label = 'click' AND least(a."end", b."end") - greatest(a."start", b."start") >= 0.9 * least(a."end" - a."start", b."end" - b."start"))
+    SELECT sample_id, list_sort(list(DISTINCT label)) AS labels, list_sort(list(DISTINCT tid)) AS track_ids,
+      CASE WHEN bool_or(lo IS NULL) THEN NULL ELSE min(lo) END AS min_freq, CASE WHEN bool_or(hi IS NULL) THEN NULL ELSE max(hi) END AS max_freq
+    FROM p GROUP BY sample_id""",
+)
+def overlap_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    iv = event_intervals(spark, sf_dir)
+    samples = iv.where("label = 'click'").select(F.col("track_id").alias("sample_id"), "track_id", "rec_id", "start", "end")
+    tracks = iv.select(
+        "rec_id",
+        F.col("track_id").alias("b_track_id"),
+        F.col("label").alias("b_label"),
+        F.col("start").alias("b_start"),
+        F.col("end").alias("b_end"),
+        F.when(F.col("value") <= 60, F.lit(40) * F.col("value")).alias("b_min_freq"),
+        (F.lit(80) * F.col("value")).alias("b_max_freq"),
+    )
+    return intervals.overlap_labels(samples, tracks, "rec_id", CELL)
+
+
+@query(
+    "best_window",
+    """WITH l AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS "offset", len(embedding) AS n FROM embeddings),
+    s AS (SELECT *, round(sum(v) OVER (PARTITION BY vec_id ORDER BY "offset" ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING), 9) AS total FROM l),
+    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY total DESC, "offset") AS k FROM s WHERE "offset" + 12 <= n OR "offset" = 0)
+    SELECT vec_id, CAST("offset" AS INTEGER) AS "offset", round(total, 6) AS total FROM r WHERE k = 1""",
+)
+def best_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = intervals.best_window(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 12)
+    return out.withColumn("total", F.round("total", 6))
+
+
+@query(
+    "best_segment",
+    f"""WITH {EVENTS},
+    tr AS (SELECT track_id, rec_id, "start", "start" + value AS "end", greatest(floor((value - 3) / 0.5), 0) AS n FROM iv WHERE label = 'click'),
+    sg AS (SELECT rec_id, "start" AS b_start, "start" + value AS b_end FROM iv WHERE label <> 'click'),
+    st AS (SELECT track_id, rec_id, n, unnest(range(0, n::INT + 1)) AS k, "start" FROM tr),
+    sp AS (SELECT *, "start" + k * 0.5 AS a, "start" + k * 0.5 + 3 AS b FROM st),
+    ow AS (SELECT track_id, k, n, a, coalesce((SELECT sum(least(b, b_end) - greatest(a, b_start)) FROM sg WHERE sg.rec_id = sp.rec_id AND a < b_end AND b_start < b AND b_start < b_end), 0) AS own FROM sp),
+    sc AS (SELECT *, round(CASE WHEN k = 0 THEN own + coalesce(lead(own) OVER w, 0) ELSE own + (coalesce(lag(own) OVER w, 0) + coalesce(lead(own) OVER w, 0)) / 2 END, 6) AS score
+           FROM ow WINDOW w AS (PARTITION BY track_id ORDER BY k)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, k) AS x FROM sc WHERE k < n OR n = 0)
+    SELECT track_id, CAST(k AS INTEGER) AS k, round(a, 3) AS seg_start, round(own, 3) AS own, round(score, 3) AS score FROM r WHERE x = 1""",
+)
+def best_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    iv = event_intervals(spark, sf_dir).withColumn("end", F.col("start") + F.col("value"))
+    tracks = iv.where("label = 'click'").select("track_id", "rec_id", "start", "end")
+    signals = iv.where("label <> 'click'").select("rec_id", F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    out = intervals.best_segment(tracks, signals, "rec_id", 600.0)
+    return out.select("track_id", "k", *[F.round(c, 3).alias(c) for c in ("seg_start", "own", "score")])
+
+
+@query(
+    "consecutive_agreement",
+    """SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER w AS l, lag(value) OVER w AS v FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    WHERE l = event_type AND v > 5 AND value > 5""",
+)
+def consecutive_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return intervals.consecutive_agreement(e, "user_id", ["ts", "event_id"], "event_type", "value", 5.0).select("event_id", "user_id", "event_type")
+
+
+_U = "(CAST('0x' || substr(md5({}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+@query(
+    "segment_tracks",
+    f"""WITH t AS (SELECT event_id AS track_id, 0.0::DOUBLE AS s, value AS e, CAST(greatest(round_even(value - 3, 0), 0) AS INT) + 1 AS n FROM events WHERE value > 0),
+    m AS (SELECT *, unnest(range(0, CAST(ceil(e) AS INT))) AS i, 'main' AS list FROM t),
+    q AS (SELECT *, unnest(range(0, n)) AS i, 'small' AS list FROM t),
+    a AS (SELECT *, CASE WHEN n <= 4 OR row_number() OVER (PARTITION BY track_id ORDER BY md5('3|pick|' || track_id || '|' || i)) <= 4 THEN 'used' ELSE 'unused' END AS kind, 0.0 AS shift FROM m
+          UNION ALL SELECT *, 'small_stride', 0.5 FROM q),
+    b AS (SELECT *, greatest(0, s + i + shift + CASE WHEN n > 1 THEN {_U.format("'3|' || list || '|' || track_id || '|' || i")} / 2 - 0.25 ELSE 0 END) AS x FROM a),
+    c AS (SELECT *, least(x + 3, e) AS y FROM b)
+    SELECT track_id, kind, CAST(i AS INT) AS i, round(x, 6) AS sample_start, round(y, 6) AS sample_end FROM c
+    WHERE (list = 'main' AND i = 0) OR (x <= e AND y - x >= CASE WHEN list = 'small' AND i = 0 THEN 1.5 ELSE 2.5 END)""",
+)
+def segment_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "events").select(F.col("event_id").alias("track_id"), F.lit(0.0).alias("start"), F.col("value").alias("end"))
+    return segmenting.segment_tracks(t).select("track_id", "kind", "i", F.round("sample_start", 6).alias("sample_start"), F.round("sample_end", 6).alias("sample_end"))
+
+
+@query(
+    "predict_windows",
+    f"""WITH {EVENTS}, t AS (SELECT track_id, value * 2 AS s, value * 3 AS e FROM iv),
+    w AS (SELECT *, unnest(range(0, CAST(greatest(floor(e - s - 3), 0) AS INT) + 1)) AS i FROM t),
+    x AS (SELECT track_id, i, CASE WHEN e - s < 3 THEN greatest(0, (s + e - 3) / 2) ELSE s END + i AS a FROM w)
+    SELECT track_id, CAST(i AS INT) AS i, round(a, 6) AS win_start, round(a + 3, 6) AS win_end FROM x""",
+)
+def predict_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = event_intervals(spark, sf_dir).select("track_id", (F.col("value") * 2).alias("start"), (F.col("value") * 3).alias("end"))
+    return segmenting.predict_windows(t).select("track_id", "i", F.round("win_start", 6).alias("win_start"), F.round("win_end", 6).alias("win_end"))
+
+
+@query(
+    "fixed_chunks",
+    """WITH d AS (SELECT event_id AS rec_id, value * 10 AS duration, CAST(ceil(value * 10 / 60) AS INT) AS whole FROM events),
+    n AS (SELECT *, CASE WHEN duration - (whole - 1) * 60 < 20 THEN whole - 1 ELSE whole END AS n FROM d),
+    m AS (SELECT rec_id, duration, n, unnest(range(0, n)) AS i FROM n WHERE n > 1),
+    w AS (SELECT rec_id, duration, unnest(range(0, CAST(greatest(ceil(duration / 3), 1) AS INT))) AS i FROM d WHERE duration > 0)
+    SELECT rec_id, 'minute' AS kind, CAST(i AS INT) AS i, round(i * 60, 6) AS a, round(CASE WHEN i = n - 1 THEN duration ELSE (i + 1) * 60 END, 6) AS b FROM m
+    UNION ALL SELECT rec_id, 'flush', CAST(i AS INT), round(greatest(0, least(i * 3, duration - 3)), 6), round(least(greatest(0, least(i * 3, duration - 3)) + 3, duration), 6) FROM w""",
+)
+def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "events").select(F.col("event_id").alias("rec_id"), (F.col("value") * 10).alias("duration"))
+    m = segmenting.minute_chunks(r).select("rec_id", F.lit("minute").alias("kind"), "i", F.round("chunk_start", 6).alias("a"), F.round("chunk_end", 6).alias("b"))
+    w = segmenting.fixed_windows(r).select("rec_id", F.lit("flush").alias("kind"), "i", F.round("win_start", 6).alias("a"), F.round("win_end", 6).alias("b"))
+    return m.unionByName(w)
+
+
+@query(
+    "even_split",
+    f"""WITH {EVENTS}, t AS (SELECT track_id, value AS e, CAST(greatest(ceil(value / 6), 1) AS INT) AS n FROM iv),
+    p AS (SELECT *, unnest(range(0, n)) AS part FROM t)
+    SELECT track_id, CAST(part AS INT) AS part, round(part * (e / n), 6) AS "start", round((part + 1) * (e / n), 6) AS "end" FROM p""",
+)
+def even_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = event_intervals(spark, sf_dir).select("track_id", F.lit(0.0).alias("start"), F.col("value").alias("end"))
+    return segmenting.even_split(t).select("track_id", "part", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
