@@ -214,7 +214,7 @@ def test_encoder_equals_whole_text_encoding():
     from wavegrid.llm.sstable import Encoder
 
     tok, enc = Tokenizer.from_file(q.word_tokenizer()), Encoder(q.word_tokenizer())
-    piece = st.one_of(st.text(max_size=12), st.sampled_from(["<|endoftext|>", "don't", " ", "\n", "́", " ", "É", "ΣΑΣ", "x" * 70, "'s", "12"]))
+    piece = st.one_of(st.text(max_size=12), st.sampled_from(["<|endoftext|>", "don't", " ", "\n", "́", " ", "É", "ÀÉß", "don’t", "'S", "'ll1a2!?", "×÷", "ªº", "µ", "<|", "Naïve,", "ΣΑΣ", "x" * 70, "'s", "12"]))
 
     @settings(max_examples=300, deadline=None)
     @given(st.lists(piece, max_size=12).map("".join))
