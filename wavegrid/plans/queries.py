@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavegrid.operators import intervals, segmenting
+from wavegrid.functions import arrays
+from wavegrid.operators import evaluate, grid, intervals, labels, segmenting, splitting
 from wavegrid.sources.tables import event_intervals, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,3 +220,298 @@ def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def even_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = event_intervals(spark, sf_dir).select("track_id", F.lit(0.0).alias("start"), F.col("value").alias("end"))
     return segmenting.even_split(t).select("track_id", "part", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+# ---- labels
+
+
+def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nation names as aliases of their keys; a region's name overrides a nation's of the same name."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("alias"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("code"))
+    r = table(spark, sf_dir, "region").select(F.col("r_name").alias("alias"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("code"))
+    return labels.alias_map((n, 1), (r, 2))
+
+
+_ALIAS_SQL = """raw AS (SELECT replace(lower(n_name), ' ', '-') AS alias, 'n' || n_nationkey AS code, 1 AS priority FROM nation
+  UNION ALL SELECT replace(lower(r_name), ' ', '-'), 'r' || r_regionkey, 2 FROM region),
+  am AS (SELECT alias, code FROM (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY priority DESC, code DESC) AS k FROM raw) WHERE k = 1)"""
+
+
+@query("alias_to_code", f"""WITH {_ALIAS_SQL}, t AS (SELECT p_partkey, p_type, n_name FROM part JOIN nation ON n_nationkey = p_partkey % 30)
+  SELECT p_partkey, coalesce(code, n_name) AS code FROM t LEFT JOIN am ON replace(lower(n_name), ' ', '-') = alias
+  UNION ALL SELECT p_partkey, coalesce(code, p_type) FROM part LEFT JOIN am ON replace(lower(p_type), ' ', '-') = alias""")
+def alias_to_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    am, part, nation = _aliases(spark, sf_dir), table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
+    a = part.join(nation, F.col("n_nationkey") == F.col("p_partkey") % 30)
+    one = labels.to_code(a, "n_name", am).select("p_partkey", "code")
+    return one.unionByName(labels.to_code(part, "p_type", am).select("p_partkey", "code"))
+
+
+@query("code_aliases", f"""WITH {_ALIAS_SQL} SELECT code, list_sort(list(alias)) AS aliases, min(alias) AS display_name FROM am GROUP BY code""")
+def code_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.code_aliases(_aliases(spark, sf_dir))
+
+
+#: Merges of part types for these queries: by the first word of the type.
+_MERGE_SQL = "SELECT DISTINCT p_type AS label, split_part(p_type, ' ', 1) AS target FROM part WHERE p_size % 3 = 0"
+
+
+def _merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").where("p_size % 3 = 0").select(F.col("p_type").alias("label"), F.split("p_type", " ")[0].alias("target")).distinct()
+
+
+@query("relabel_counts", f"""WITH m AS ({_MERGE_SQL}) SELECT coalesce(target, p_type) AS label, count(DISTINCT p_partkey) AS n_tracks, count(DISTINCT p_brand) AS n_recs
+  FROM part LEFT JOIN m ON p_type = label GROUP BY 1""")
+def relabel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").withColumn("label", F.col("p_type"))
+    return labels.label_report(labels.relabel(parts, "label", _merges(spark, sf_dir)), "label", "p_partkey", "p_brand")
+
+
+_COUNTS_SQL = "SELECT p_type AS label, count(*) AS n_samples, count(DISTINCT p_brand) AS n_recs, count(*) FILTER (p_partkey % 7 = 0) AS n_val FROM part GROUP BY p_type"
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("label")).agg(
+        F.count("*").alias("n_samples"), F.countDistinct("p_brand").alias("n_recs"), F.count_if(F.col("p_partkey") % 7 == 0).alias("n_val")
+    )
+
+
+@query("label_select", f"""WITH m AS ({_MERGE_SQL}), c AS ({_COUNTS_SQL}) SELECT coalesce(target, c.label) AS label, CAST(sum(n_samples) AS BIGINT) AS n_samples, CAST(sum(n_recs) AS BIGINT) AS n_recs, CAST(sum(n_val) AS BIGINT) AS n_val
+  FROM c LEFT JOIN m USING (label) GROUP BY 1 HAVING sum(n_samples) > 20 AND sum(n_recs) > 10 AND sum(n_val) > 2""")
+def label_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.select_training(_counts(spark, sf_dir), _merges(spark, sf_dir), 20, 10, 2)
+
+
+def _event_labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Event types and a few more as labels; purchases merge into clicks, errors are left out, views are trained."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("label")).distinct()
+    more = e.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ["bird", "noise", "wind", "rain", "human", "sheep"]))).alias("label"))
+    merges = e.where("label = 'purchase'").select("label", F.lit("click").alias("target"))
+    return e.unionByName(more), e.where("label = 'error'"), merges, e.where("label = 'view'")
+
+
+@query(
+    "label_remap",
+    """WITH l AS (SELECT DISTINCT event_type AS label FROM events UNION SELECT unnest(['bird', 'noise', 'wind', 'rain', 'human', 'sheep'])),
+    g AS (SELECT label, CASE WHEN label = 'purchase' THEN 'click' ELSE label END AS goal FROM l WHERE label <> 'error'),
+    n AS (SELECT goal, row_number() OVER (ORDER BY goal) - 1 AS i FROM (SELECT DISTINCT goal FROM g)),
+    x AS (SELECT l.label, g.goal, n.i, CASE WHEN g.goal IS NULL OR l.label = 'bird' THEN NULL WHEN l.label IN ('wind','vehicle','dog','rain','static','noise','insect') THEN 'noise' WHEN l.label IN ('human','sheep') THEN 'human' ELSE 'bird' END AS grp
+          FROM l LEFT JOIN g USING (label) LEFT JOIN n USING (goal))
+    SELECT label, x.goal AS target, CAST(CASE WHEN x.goal IS NULL THEN -1 WHEN label = 'view' OR q.i IS NULL OR grp = label THEN x.i ELSE q.i END AS INT) AS target_i,
+      CAST(CASE WHEN label = 'view' AND grp = 'bird' THEN q.i END AS INT) AS extra_i FROM x LEFT JOIN n q ON x.grp = q.goal""",
+)
+def label_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    all_, excluded, merges, trained = _event_labels(spark, sf_dir)
+    return labels.remap(all_, excluded, merges, trained)
+
+
+@query("excluded_labels", """SELECT DISTINCT event_type AS label FROM events WHERE event_type NOT IN ('view', 'purchase')""")
+def excluded_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    all_, _, merges, trained = _event_labels(spark, sf_dir)
+    return labels.excluded_labels(all_, trained, merges.withColumn("target", F.lit("view")))
+
+
+@query("label_difference", """SELECT p_type AS label, 'removed' AS change FROM (SELECT p_type FROM part WHERE p_size < 25 EXCEPT SELECT p_type FROM part WHERE p_size >= 20)
+  UNION ALL SELECT p_type, 'added' FROM (SELECT p_type FROM part WHERE p_size >= 20 EXCEPT SELECT p_type FROM part WHERE p_size < 25)
+  UNION ALL SELECT p_brand, 'removed' FROM (SELECT p_brand FROM part WHERE p_size < 4 EXCEPT SELECT p_brand FROM part WHERE p_size >= 49)""")
+def label_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    t = p.select(F.col("p_type").alias("label"), "p_size")
+    b = p.select(F.col("p_brand").alias("label"), "p_size")
+    one = labels.label_difference(t.where("p_size < 25"), t.where("p_size >= 20"))
+    return one.unionByName(labels.label_difference(b.where("p_size < 4"), b.where("p_size >= 49")).where("change = 'removed'"))
+
+
+# ---- splits and balance
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as samples of their customers, tagged by priority."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), F.col("o_custkey").alias("bin_id"), F.col("o_orderpriority").alias("tag"))
+
+
+_SPLIT_SQL = """sm AS (SELECT o_orderkey AS sample_id, o_custkey AS bin_id, o_orderpriority AS tag FROM orders),
+  bn AS (SELECT bin_id, min(tag) AS owner, count(DISTINCT sample_id) AS n FROM sm {where} GROUP BY bin_id),
+  li AS (SELECT owner, count(DISTINCT sample_id) AS os, count(DISTINCT sm.bin_id) AS ob FROM sm JOIN bn ON sm.bin_id = bn.bin_id AND tag = owner GROUP BY owner),
+  s1 AS (SELECT bn.*, os, ob, coalesce(sum(n) OVER b, 0) AS s, row_number() OVER w - 1 AS b FROM bn JOIN li USING (owner)
+         WINDOW w AS (PARTITION BY owner ORDER BY md5('1|' || bin_id), bin_id), b AS (PARTITION BY owner ORDER BY md5('1|' || bin_id), bin_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  s2 AS (SELECT *, s < greatest(1, os * 0.15::DOUBLE) OR b < greatest(1, ob * 0.15::DOUBLE) AS v FROM s1),
+  s3 AS (SELECT *, sum(CASE WHEN v THEN n ELSE 0 END) OVER w AS vs, sum(v::INT) OVER w AS vb FROM s2 WINDOW w AS (PARTITION BY owner ORDER BY md5('1|' || bin_id), bin_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  sp AS (SELECT bin_id, owner, CASE WHEN v THEN 'validation' WHEN s - vs < greatest(1, os * 0.05::DOUBLE) OR b - vb < greatest(1, ob * 0.05::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM s3)"""
+
+
+@query("split_leakfree", f"WITH {_SPLIT_SQL.format(where='')} SELECT * FROM sp")
+def split_leakfree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_leakfree(_samples(spark, sf_dir))
+
+
+@query("split_leaks", """WITH s AS (SELECT user_id, CASE WHEN event_id % 40 = 0 THEN 'test' ELSE 'train' END AS split FROM events)
+  SELECT user_id, list_sort(list(DISTINCT split)) AS splits FROM s GROUP BY user_id HAVING count(DISTINCT split) > 1""")
+def split_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", F.when(F.col("event_id") % 40 == 0, F.lit("test")).otherwise(F.lit("train")).alias("split"))
+    return splitting.split_leaks(e, "user_id")
+
+
+@query(
+    "split_from_list",
+    f"WITH {_SPLIT_SQL.format(where='WHERE bin_id % 5 <> 0')} SELECT bin_id, split FROM sp UNION ALL SELECT DISTINCT bin_id, 'listed' FROM sm WHERE bin_id % 5 = 0",
+)
+def split_from_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _samples(spark, sf_dir)
+    listed = table(spark, sf_dir, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("bin_id"), F.lit("listed").alias("split"))
+    return splitting.split_from_list(s.select("bin_id").distinct(), listed, s)
+
+
+_DOC_TAGS_SQL = "SELECT doc_id AS sample_id, source AS tag FROM documents"
+
+
+@query(
+    "undersample",
+    f"""WITH s AS ({_DOC_TAGS_SQL} UNION ALL SELECT doc_id, lang FROM documents), c AS (SELECT tag, count(*) AS n FROM s GROUP BY tag),
+    t AS (SELECT min(n) * 0.75::DOUBLE AS goal FROM (SELECT n FROM c ORDER BY n DESC LIMIT 9)),
+    r AS (SELECT sample_id, {_U.format("'1|' || tag || '|' || sample_id")} >= CASE WHEN n > goal THEN (n - goal) / n ELSE 0 END AS lives FROM s JOIN c USING (tag), t)
+    SELECT sample_id FROM r GROUP BY sample_id HAVING bool_and(lives)""",
+)
+def undersample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    s = d.select(F.col("doc_id").alias("sample_id"), F.col("source").alias("tag")).unionByName(d.select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("tag")))
+    return splitting.undersample(s)
+
+
+@query(
+    "oversample",
+    """WITH s AS (SELECT event_id AS sample_id, event_type AS tag, event_id % 3 AS priority FROM events), u AS (SELECT * FROM s WHERE priority = 0 AND tag <> 'click' OR sample_id % 9 = 0),
+    c AS (SELECT tag, count(*) AS n FROM u GROUP BY tag), t AS (SELECT 2 * min(n) AS target FROM (SELECT n FROM c ORDER BY n DESC LIMIT 9)),
+    t2 AS (SELECT min(n) AS target FROM (SELECT n FROM c ORDER BY n DESC LIMIT 1)),
+    r AS (SELECT p.*, row_number() OVER (PARTITION BY p.tag ORDER BY priority, md5('1|' || p.tag || '|' || sample_id), sample_id) AS k, target - n AS deficit
+          FROM s p JOIN c ON p.tag = c.tag, (SELECT min(n) AS target FROM (SELECT n FROM c ORDER BY n DESC LIMIT 9)) WHERE priority > 0)
+    SELECT sample_id, tag, CAST(priority AS BIGINT) AS priority FROM r WHERE k <= deficit
+    UNION ALL SELECT count(*), 'used', count(DISTINCT tag) FROM u""",
+)
+def oversample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "events").select(F.col("event_id").alias("sample_id"), F.col("event_type").alias("tag"), (F.col("event_id") % 3).alias("priority"))
+    used = s.where("priority = 0 and tag <> 'click' or sample_id % 9 = 0")
+    out = splitting.oversample(used.select("sample_id", "tag"), s.where("priority > 0"))
+    return out.unionByName(used.agg(F.count("*").alias("sample_id"), F.lit("used").alias("tag"), F.countDistinct("tag").alias("priority")).select("sample_id", "tag", "priority"))
+
+
+@query("folds", f"""SELECT user_id, CAST(CASE WHEN {_U.format("'1|hold|' || user_id")} < 0.2 THEN -1 ELSE floor({_U.format("'1|fold|' || user_id")} * 5) END AS INT) AS fold FROM (SELECT DISTINCT user_id FROM events)""")
+def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.folds(table(spark, sf_dir, "events"), "user_id")
+
+
+@query("interleave", """WITH t AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('1|' || doc_id), doc_id) AS turn FROM documents)
+  SELECT * FROM t WHERE turn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM documents GROUP BY source))""")
+def interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.interleave(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", ["doc_id"], stop_on_empty=True)
+
+
+@query("uniform_classes", f"""WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang) SELECT doc_id, d.lang FROM documents d JOIN c ON d.lang = c.lang
+  WHERE {_U.format("'1|' || doc_id")} < (SELECT min(n) FROM c) / n::DOUBLE""")
+def uniform_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.uniform_classes(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", ["doc_id"]).select("doc_id", "lang")
+
+
+@query(
+    "mixup_pairs",
+    f"""WITH e AS (SELECT vec_id, embedding, label, CAST(floor({_U.format("'1|run|' || vec_id")} * 64) AS INT) AS run FROM embeddings),
+    a AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY md5('1|' || vec_id), vec_id) AS k FROM e), b AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY md5('2|' || vec_id), vec_id) AS k FROM e),
+    p AS (SELECT a.vec_id, b.vec_id AS partner, 0.2 + 0.6 * {_U.format("'1|mix|' || a.vec_id")} AS share, a.label AS l1, b.label AS l2, a.embedding AS x, b.embedding AS y FROM a JOIN b USING (run, k))
+    SELECT vec_id, partner, round(share, 6) AS share, CASE WHEN share >= 0.5 THEN l1 ELSE l2 END AS label, round(share * x[1]::DOUBLE + (1 - share) * y[1]::DOUBLE, 6) AS v0, round(share * x[64]::DOUBLE + (1 - share) * y[64]::DOUBLE, 6) AS v63 FROM p""",
+)
+def mixup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = splitting.mixup_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    return m.select("vec_id", "partner", F.round("share", 6).alias("share"), "label", F.round(F.get("embedding", F.lit(0)), 6).alias("v0"), F.round(F.get("embedding", F.lit(63)), 6).alias("v63"))
+
+
+# ---- grid
+
+#: Customers as points in a box of 4 by 3 degrees, squares of 0.1 by 0.09 degrees under its lower left part.
+_POINTS_SQL = """pt AS (SELECT c_custkey AS point_id, 172.0::DOUBLE + (c_custkey * 7919 % 40000) / 10000.0::DOUBLE AS lng, -43.0::DOUBLE + (c_custkey * 104729 % 30000) / 10000.0::DOUBLE AS lat FROM customer),
+  sq AS (SELECT p_partkey AS square_id, 172.0::DOUBLE + ((p_partkey - 1) % 25) * 0.1::DOUBLE AS x0, -43.0::DOUBLE + floor((p_partkey - 1) / 25) * 0.09::DOUBLE AS y0 FROM part WHERE p_partkey <= 500),
+  sb AS (SELECT *, x0 + 0.1::DOUBLE AS x1, y0 + 0.09::DOUBLE AS y1 FROM sq),
+  hit AS (SELECT point_id, arg_min(square_id, (x0, y0, square_id)) AS square_id FROM pt JOIN sb ON lng BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1 GROUP BY point_id),
+  mc AS (SELECT square_id, c.c_mktsegment AS code, month(o_orderdate) AS month, count(*) AS n FROM hit JOIN customer c ON point_id = c_custkey JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+  mz AS (SELECT k.square_id, k.code, CAST(m.month AS INT) AS month, coalesce(n, 0) AS n FROM (SELECT DISTINCT square_id, code FROM mc) k CROSS JOIN (SELECT unnest(range(1, 13)) AS month) m LEFT JOIN mc ON mc.square_id = k.square_id AND mc.code = k.code AND mc.month = m.month),
+  nb AS (SELECT a.square_id, b.square_id AS nb_id FROM sb a JOIN sb b ON a.square_id <> b.square_id AND abs((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2) < 0.16 AND abs((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2) < 0.11),
+  mg AS (SELECT square_id, code, month, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM mz UNION ALL SELECT nb.square_id, code, month, n FROM nb JOIN mz ON mz.square_id = nb_id) GROUP BY ALL)"""
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c, p = table(spark, sf_dir, "customer"), table(spark, sf_dir, "part")
+    points = c.select(
+        F.col("c_custkey").alias("point_id"),
+        (F.lit(172.0) + F.col("c_custkey") * 7919 % 40000 / F.lit(10000.0)).alias("lng"),
+        (F.lit(-43.0) + F.col("c_custkey") * 104729 % 30000 / F.lit(10000.0)).alias("lat"),
+    )
+    i = F.col("p_partkey") - 1
+    squares = p.where("p_partkey <= 500").select(F.col("p_partkey").alias("square_id"), (F.lit(172.0) + i % 25 * F.lit(0.1)).alias("x0"), (F.lit(-43.0) + F.floor(i / 25) * F.lit(0.09)).alias("y0"))
+    return points, squares.withColumn("x1", F.col("x0") + 0.1).withColumn("y1", F.col("y0") + 0.09)
+
+
+def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, squares = _grid(spark, sf_dir)
+    hit = grid.points_in_squares(points, squares)
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point_id"), F.col("c_mktsegment").alias("code"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("point_id"), F.month("o_orderdate").alias("month"))
+    return grid.monthly_counts(hit.join(c, "point_id").join(o, "point_id").select("square_id", "code", "month"))
+
+
+@query("point_in_square", f"WITH {_POINTS_SQL} SELECT * FROM hit")
+def point_in_square(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.points_in_squares(*_grid(spark, sf_dir))
+
+
+@query("occurrence_by_month", f"WITH {_POINTS_SQL} SELECT * FROM mz")
+def occurrence_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _monthly(spark, sf_dir)
+
+
+@query("neighbours", f"WITH {_POINTS_SQL} SELECT * FROM nb")
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.neighbours(_grid(spark, sf_dir)[1])
+
+
+@query("neighbour_sum", f"WITH {_POINTS_SQL} SELECT * FROM mg")
+def neighbour_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.merge_neighbours(_monthly(spark, sf_dir), grid.neighbours(_grid(spark, sf_dir)[1]))
+
+
+@query("rare_species", f"WITH {_POINTS_SQL} SELECT square_id, code, CAST(sum(n) AS BIGINT) AS total FROM mg GROUP BY ALL HAVING sum(n) <= 12")
+def rare_species(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.rare_species(neighbour_sum(spark, sf_dir), 12)
+
+
+@query("species_present", f"WITH {_POINTS_SQL}, t AS (SELECT square_id, code FROM mg GROUP BY ALL HAVING sum(n) > 0) SELECT square_id, list_sort(list(code)) AS codes FROM t GROUP BY square_id")
+def species_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.species_present(neighbour_sum(spark, sf_dir))
+
+
+@query("mark_present", f"""WITH {_POINTS_SQL}, mk AS (SELECT square_id, 'MARKED' AS code FROM sb WHERE square_id % 50 = 1), al AS (SELECT * FROM mk UNION SELECT nb_id, code FROM nb JOIN mk USING (square_id))
+  SELECT square_id, code, month, n FROM mz UNION ALL SELECT square_id, code, CAST(month AS INT), 1 FROM al CROSS JOIN (SELECT unnest(range(1, 13)) AS month)""")
+def mark_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    squares = _grid(spark, sf_dir)[1]
+    marks = squares.where("square_id % 50 = 1").select("square_id", F.lit("MARKED").alias("code"))
+    return grid.mark_present(_monthly(spark, sf_dir), marks, grid.neighbours(squares))
+
+
+@query("square_regions", f"""WITH {_POINTS_SQL}, rg AS (SELECT r_name AS code, 172.0::DOUBLE + r_regionkey * 0.5 AS rx0, 172.7::DOUBLE + r_regionkey * 0.5 AS rx1 FROM region)
+  SELECT square_id, min(code) AS region FROM sb LEFT JOIN rg ON (x0 + x1) / 2 BETWEEN rx0 AND rx1 AND (y0 + y1) / 2 BETWEEN -42.6 AND -41.5 GROUP BY square_id""")
+def square_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "region").select(
+        F.col("r_name").alias("code"), (F.lit(172.0) + F.col("r_regionkey") * F.lit(0.5)).alias("x0"), (F.lit(172.7) + F.col("r_regionkey") * F.lit(0.5)).alias("x1"), F.lit(-42.6).alias("y0"), F.lit(-41.5).alias("y1")
+    )
+    return grid.square_regions(_grid(spark, sf_dir)[1], r)
+
+
+@query("new_squares")
+def new_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, squares = _grid(spark, sf_dir)
+    rest = points.join(grid.points_in_squares(points, squares), "point_id", "left_anti").withColumnRenamed("point_id", "row_no")
+    return grid.new_squares(rest, 0.1, 0.09)
+
+
+@query("nested_grid", f"""WITH {_POINTS_SQL} SELECT square_id, CAST(count(DISTINCT code) AS INT) AS n_species, CAST(sum(n) FILTER (code = 'BUILDING' AND month = 5) AS BIGINT) AS building_may FROM mz GROUP BY square_id""")
+def nested_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("species_per_month")
+    return grid.nested_counts(_monthly(spark, sf_dir)).select("square_id", F.size(m).alias("n_species"), F.element_at(F.element_at(m, "BUILDING"), 5).alias("building_may"))
