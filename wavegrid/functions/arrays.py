@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,20 +102,19 @@ def generic_shared(y: Column, generic: int, weight: float = 0.5) -> Column:
     return F.transform(y, lambda v, i: F.when((i == generic) & other, v * weight).otherwise(v.cast("double")))
 
 
+def _scaled(a: Column, w: float) -> Column:
+    return F.transform(a, lambda x: x * w)
+
+
 def weighted_average(arrays: list[Column], weights: list[float]) -> Column:
     """Ensemble of probability arrays of one length."""
-    total, out = sum(weights), None
-    for a, w in zip(arrays, weights):
-        out = F.transform(a, lambda x, w=w: x * (w / total)) if out is None else F.zip_with(out, a, lambda x, y, w=w: x + y * (w / total))
-    return out
+    parts = [_scaled(a, w / sum(weights)) for a, w in zip(arrays, weights)]
+    return reduce(lambda p, q: F.zip_with(p, q, lambda x, y: x + y), parts)
 
 
 def weighted_max(arrays: list[Column], weights: list[float]) -> Column:
-    out = None
-    for a, w in zip(arrays, weights):
-        one = F.transform(a, lambda x, w=w: x * w)
-        out = one if out is None else F.zip_with(out, one, lambda x, y: F.greatest(x, y))
-    return out
+    parts = [_scaled(a, w) for a, w in zip(arrays, weights)]
+    return reduce(lambda p, q: F.zip_with(p, q, lambda x, y: F.greatest(x, y)), parts)
 
 
 def elementwise_stats(df: DataFrame, col: str, by: list[str]) -> DataFrame:

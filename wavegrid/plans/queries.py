@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavegrid.functions import arrays
-from wavegrid.operators import evaluate, grid, intervals, labels, segmenting, splitting
+from wavegrid.operators import evaluate, features, grid, intervals, labels, models, segmenting, splitting
+from wavegrid.operators import folds as folds_
+from wavegrid.sources import writers
 from wavegrid.sources.tables import event_intervals, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -515,3 +517,390 @@ def new_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nested_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("species_per_month")
     return grid.nested_counts(_monthly(spark, sf_dir)).select("square_id", F.size(m).alias("n_species"), F.element_at(F.element_at(m, "BUILDING"), 5).alias("building_may"))
+
+
+# ---- arrays
+
+
+def _emb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").withColumn("x", arrays.doubles("embedding"))
+
+
+_X = "list_transform(embedding, lambda v: v::DOUBLE)"
+
+
+@query(
+    "array_minmax",
+    f"""WITH e AS (SELECT vec_id, {_X} AS x, list_min({_X}) AS lo, list_max({_X}) AS hi FROM embeddings)
+    SELECT vec_id, round(2 * ((x[1] - lo) / (hi - lo + 1e-6)) - 1, 6) AS first, round(list_min(list_transform(x, lambda v: 2 * ((v - lo) / (hi - lo + 1e-6)) - 1)), 6) AS low,
+    round(list_max(list_transform(x, lambda v: (v - lo) / (hi - lo))), 6) AS unit_high, round((x[2] - list_avg(x)) / list_stddev_pop(x), 6) AS z FROM e""",
+)
+def array_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("x")
+    return _emb(spark, sf_dir).select(
+        "vec_id",
+        F.round(F.get(arrays.minmax(x), F.lit(0)), 6).alias("first"),
+        F.round(F.array_min(arrays.minmax(x)), 6).alias("low"),
+        F.round(F.array_max(arrays.unit_minmax(x)), 6).alias("unit_high"),
+        F.round(F.get(arrays.standardize(x), F.lit(1)), 6).alias("z"),
+    )
+
+
+@query(
+    "power_to_db",
+    f"""WITH e AS (SELECT vec_id, list_transform({_X}, lambda v: 10 * log10(greatest(v, 1e-10))) AS d FROM embeddings)
+    SELECT vec_id, round(d[1], 6) AS raw_or_floor, round(list_min(list_transform(d, lambda v: greatest(v, list_max(d) - 80))), 6) AS low FROM
+    (SELECT vec_id, [greatest(d[1], list_max(d) - 80)] || d[2:] AS d FROM e)""",
+)
+def power_to_db(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = arrays.power_to_db(F.col("x"))
+    return _emb(spark, sf_dir).select("vec_id", F.round(F.get(d, F.lit(0)), 6).alias("raw_or_floor"), F.round(F.array_min(d), 6).alias("low"))
+
+
+@query("array_stats", """WITH l AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
+  SELECT label, CAST(i AS INT) AS i, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd FROM l GROUP BY label, i""")
+def array_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = arrays.elementwise_stats(table(spark, sf_dir, "embeddings"), "embedding", ["label"])
+    return s.select("label", "i", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+@query("ema", """WITH RECURSIVE e AS (SELECT vec_id, embedding AS x, 1 AS i, abs(embedding[1]::DOUBLE) AS m FROM embeddings
+    UNION ALL SELECT vec_id, x, i + 1, 0.96 * m + 0.04 * abs(x[i + 1]::DOUBLE) FROM e WHERE i < len(x))
+  SELECT vec_id, round(m, 6) AS last_ema, round(pow(abs(x[64]::DOUBLE) / pow(1e-6 + m, 0.98) + 2, 0.5) - sqrt(2), 6) AS last_pcen FROM e WHERE i = len(x)""")
+def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _emb(spark, sf_dir).withColumn("a", F.transform("x", lambda v: F.abs(v)))
+    return e.select("vec_id", F.round(F.element_at(arrays.ema(F.col("a")), -1), 6).alias("last_ema"), F.round(F.element_at(arrays.pcen(F.col("a")), -1), 6).alias("last_pcen"))
+
+
+@query(
+    "nan_filter",
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: CASE WHEN vec_id % 5 = 0 THEN 'nan'::DOUBLE WHEN vec_id % 7 = 0 THEN 'inf'::DOUBLE WHEN vec_id % 11 = 0 THEN 0.5::DOUBLE ELSE v::DOUBLE * 4 END) AS x FROM embeddings)
+    SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN true ELSE len(list_filter(x, lambda v: abs(v) > 1.00002)) > 0 END AS out_of_range,
+    vec_id % 5 = 0 OR vec_id % 7 = 0 AS not_finite, vec_id % 5 = 0 OR vec_id % 7 = 0 OR vec_id % 11 = 0 AS constant FROM e""",
+)
+def nan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("vec_id")
+    x = F.transform("x", lambda v: F.when(k % 5 == 0, F.lit(float("nan"))).when(k % 7 == 0, F.lit(float("inf"))).when(k % 11 == 0, F.lit(0.5)).otherwise(v * 4))
+    return arrays.quality_flags(_emb(spark, sf_dir).select("vec_id", x.alias("x")), "x").drop("x")
+
+
+@query(
+    "multi_hot",
+    """SELECT doc_id, list_transform(range(0, 24), lambda i: CASE WHEN i = CAST(substr(source, 4) AS INT) OR (lang <> 'en' AND i = CASE lang WHEN 'fr' THEN 20 WHEN 'de' THEN 21 WHEN 'es' THEN 22 END) THEN 1 ELSE 0 END) AS y,
+    CAST(least(CAST(substr(source, 4) AS INT), 99) AS INT) AS first_index, source AS first_tag FROM documents WHERE source IS NOT NULL AND lang IN ('en', 'fr', 'de', 'es')""",
+)
+def multi_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").where("source is not null and lang in ('en', 'fr', 'de', 'es')")
+    names = {**{f"src{i}": i for i in range(20)}, "fr": 20, "de": 21, "es": 22, "en": -1}
+    m = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    idx = arrays.label_indices(F.concat_ws("\n", F.lit("unknown"), "lang", "source"), m)
+    tags = F.array(F.lit("noise"), F.col("source"))
+    return d.select("doc_id", arrays.multi_hot(idx, 24).alias("y"), F.array_min(idx).alias("first_index"), arrays.first_tag(tags).alias("first_tag"))
+
+
+# ---- evaluation: ten pseudo-probabilities per embedding, from its first ten values of each block
+
+
+def _preds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``row_id, track_id, k, y_true, y, probs, pre``: absolute values of the first and second ten places, over their sums; tracks of four rows."""
+    e = _emb(spark, sf_dir)
+
+    def block(a: int) -> F.Column:
+        raw = F.transform(F.slice("x", a, 10), lambda v: F.abs(v))
+        return F.transform(raw, lambda v: F.round(v / F.aggregate(raw, F.lit(0.0), lambda s, w: s + w), 6))
+
+    y = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when((i == F.col("label")) | ((F.col("vec_id") % 4 == 0) & (i == (F.col("label") + 3) % 10)), 1).otherwise(0))
+    return e.select(
+        F.col("vec_id").alias("row_id"), F.floor(F.col("vec_id") / 4).alias("track_id"), (F.col("vec_id") % 4).alias("k"), F.col("label").alias("y_true"), y.alias("y"), block(1).alias("probs"), block(11).alias("pre")
+    )
+
+
+_RAW = "list_transform(embedding[{a}:{b}], lambda v: abs(v::DOUBLE))"
+_BLOCK = "list_transform({r}, lambda v: round(v / list_sum({r}), 6))"
+_PREDS_SQL = f"""pr AS (SELECT vec_id AS row_id, vec_id // 4 AS track_id, vec_id % 4 AS k, label AS y_true,
+  list_transform(range(0, 10), lambda i: CASE WHEN i = label OR (vec_id % 4 = 0 AND i = (label + 3) % 10) THEN 1 ELSE 0 END) AS y,
+  {_BLOCK.format(r=_RAW.format(a=1, b=10))} AS probs, {_BLOCK.format(r=_RAW.format(a=11, b=20))} AS pre FROM embeddings),
+  dc AS (SELECT *, CASE WHEN list_max(probs) > 0.2 THEN list_position(probs, list_max(probs)) - 1 ELSE -1 END AS pred_i,
+         CASE WHEN list_max(pre) > 0.2 THEN list_position(pre, list_max(pre)) - 1 ELSE -1 END AS pre_i FROM pr),
+  cl AS (SELECT CAST(a AS INT) AS true_i, CAST(b AS INT) AS pred_i FROM (SELECT unnest(range(0, 10)) AS a), (SELECT unnest(range(-1, 10)) AS b)),
+  cm AS (SELECT cl.*, coalesce(n, 0) AS n FROM cl LEFT JOIN (SELECT y_true AS true_i, pred_i, count(*) AS n FROM dc GROUP BY ALL) USING (true_i, pred_i)),
+  cp AS (SELECT cl.*, coalesce(n, 0) AS n FROM cl LEFT JOIN (SELECT y_true AS true_i, pre_i AS pred_i, count(*) AS n FROM dc GROUP BY ALL) USING (true_i, pred_i))"""
+
+
+@query("confusion", f"WITH {_PREDS_SQL} SELECT * FROM cm")
+def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.confusion(_preds(spark, sf_dir), 10, 0.2)
+
+
+@query("confusion_pct", f"WITH {_PREDS_SQL} SELECT *, round(CASE WHEN sum(n) OVER w > 0 THEN n * 100.0 / sum(n) OVER w ELSE 0 END, 6) AS percent FROM cm WINDOW w AS (PARTITION BY true_i)")
+def confusion_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.row_percent(confusion(spark, sf_dir)).withColumn("percent", F.round("percent", 6))
+
+
+@query(
+    "label_rates",
+    f"""WITH {_PREDS_SQL}, r AS (SELECT l.true_i AS label_i, CAST((SELECT n FROM cm WHERE true_i = l.true_i AND pred_i = l.true_i) AS BIGINT) AS tp,
+      CAST((SELECT sum(n) FROM cm WHERE true_i = l.true_i) AS BIGINT) AS actual, CAST((SELECT sum(n) FROM cm WHERE pred_i = l.true_i) AS BIGINT) AS predicted, CAST((SELECT sum(n) FROM cm) AS BIGINT) AS total
+      FROM (SELECT DISTINCT true_i FROM cl) l)
+    SELECT label_i, tp, predicted - tp AS fp, actual - tp AS fn, total - predicted - actual + tp AS tn, round(CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END, 6) AS precision,
+      round(CASE WHEN actual > 0 THEN tp / actual ELSE 0 END, 6) AS recall, round(CASE WHEN predicted + actual > 0 THEN 2 * tp / (predicted + actual) ELSE 0 END, 6) AS f1 FROM r""",
+)
+def label_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = evaluate.label_rates(confusion(spark, sf_dir))
+    return r.select("label_i", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(
+    "multi_confusion",
+    f"""WITH {_PREDS_SQL}, l AS (SELECT row_id, y, probs, unnest(range(0, 10)) AS i FROM pr), z AS (SELECT *, y[i + 1] AS yi, probs[i + 1] AS p FROM l),
+    tr AS (SELECT row_id, i AS true_i FROM z WHERE yi = 1),
+    m AS (SELECT true_i, i AS pred_i FROM z JOIN tr USING (row_id) WHERE yi = 0 AND p >= 0.2 UNION ALL SELECT i, CASE WHEN p >= 0.2 THEN i ELSE -1 END FROM z WHERE yi = 1),
+    rk AS (SELECT row_id, i, p, row_number() OVER (PARTITION BY row_id ORDER BY p DESC, i) AS k FROM z),
+    b AS (SELECT row_id, CASE WHEN a.i = 0 AND s.p <> 0 THEN s.i ELSE a.i END AS i, CASE WHEN a.i = 0 AND s.p <> 0 THEN s.p ELSE a.p END AS p, a.p AS top FROM rk a JOIN rk s USING (row_id) WHERE a.k = 1 AND s.k = 2),
+    n AS (SELECT tr.true_i, b.i AS pred_i FROM b JOIN tr USING (row_id) WHERE top < 0.2 AND b.p >= 0.15 AND NOT EXISTS (SELECT 1 FROM tr t WHERE t.row_id = b.row_id AND t.true_i = b.i))
+    SELECT 'main' AS kind, CAST(true_i AS INT) AS true_i, CAST(pred_i AS INT) AS pred_i, count(*) AS n FROM m GROUP BY ALL UNION ALL SELECT 'none', CAST(true_i AS INT), CAST(pred_i AS INT), count(*) FROM n GROUP BY ALL""",
+)
+def multi_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    main, none = evaluate.multi_confusion(_preds(spark, sf_dir), 0.2, 0, 0.15)
+    both = main.withColumn("kind", F.lit("main")).unionByName(none.withColumn("kind", F.lit("none")))
+    return both.groupBy("kind", "true_i", "pred_i").agg(F.count("*").alias("n"))
+
+
+@query(
+    "track_vote",
+    f"""WITH {_PREDS_SQL}, l AS (SELECT track_id, unnest(range(0, 10)) AS i, unnest(probs) AS p FROM pr), a AS (SELECT track_id, i, round(avg(p), 9) AS mean, max(p) AS mx FROM l GROUP BY ALL),
+    v AS (SELECT track_id, pred_i AS i, count(*) AS votes FROM dc WHERE pred_i >= 0 GROUP BY ALL), j AS (SELECT a.*, coalesce(votes, 0) AS votes FROM a LEFT JOIN v USING (track_id, i)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY mean DESC, i) AS km, row_number() OVER (PARTITION BY track_id ORDER BY mx DESC, i) AS kx, row_number() OVER (PARTITION BY track_id ORDER BY votes DESC, mean DESC, i) AS kv FROM j)
+    SELECT track_id, 'mean' AS how, CAST(CASE WHEN mean > 0.2 THEN i ELSE -1 END AS INT) AS pred_i, round(mean, 6) AS p FROM r WHERE km = 1
+    UNION ALL SELECT track_id, 'max', CAST(CASE WHEN mx > 0.2 THEN i ELSE -1 END AS INT), round(mx, 6) FROM r WHERE kx = 1
+    UNION ALL SELECT track_id, 'vote', CAST(CASE WHEN votes > 0 OR mean > 0.2 THEN i ELSE -1 END AS INT), round(mean, 6) FROM r WHERE kv = 1""",
+)
+def track_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, out = _preds(spark, sf_dir), None
+    for how in ("mean", "max", "vote"):
+        one = evaluate.track_decision(w, how, 0.2).select("track_id", F.lit(how).alias("how"), "pred_i", F.round("p", 6).alias("p"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    "macro_f1",
+    f"""WITH {_PREDS_SQL}, l AS (SELECT unnest(range(0, 10)) AS i, unnest(y)::DOUBLE AS y, unnest(probs) AS p FROM pr), h AS (SELECT *, CASE WHEN p > 0.15 THEN 1.0::DOUBLE ELSE 0 END AS hp FROM l),
+    s AS (SELECT i, sum(hp * y) AS tp, sum(hp * (1 - y)) AS fp, sum((1 - hp) * y) AS fn, sum(p * y) AS stp, sum(p * (1 - y)) AS sfp, sum((1 - p) * y) AS sfn, sum((1 - p) * (1 - y)) AS stn FROM h GROUP BY i)
+    SELECT round(avg(2 * tp / (2 * tp + fp + fn + 1e-16)), 6) AS macro_f1, round(avg(1 - 2 * stp / (2 * stp + sfp + sfn + 1e-16)), 6) AS soft_f1_cost,
+      round(avg((1 - 2 * stp / (2 * stp + sfp + sfn + 1e-16) + 1 - 2 * stn / (2 * stn + sfp + sfn + 1e-16)) / 2), 6) AS double_soft_f1_cost FROM s""",
+)
+def macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = evaluate.f1_scores(_preds(spark, sf_dir), 0.15)
+    return s.select(*[F.round(c, 6).alias(c) for c in s.columns])
+
+
+@query(
+    "prec_at_k",
+    f"""WITH {_PREDS_SQL}, l AS (SELECT row_id, unnest(range(0, 10)) AS i, unnest(y) AS y, unnest(probs) AS p FROM pr), f AS (SELECT * FROM l WHERE i <> 0),
+    t AS (SELECT row_id, i FROM f WHERE y > 0 QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY i) <= 3), q AS (SELECT row_id, i FROM f WHERE p > 0 QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY p DESC, i) <= 3)
+    SELECT round((SELECT count(*) FROM t JOIN q USING (row_id, i)) / greatest((SELECT count(*) FROM t), 1), 6) AS precision_at_k""",
+)
+def prec_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.precision_at_k(_preds(spark, sf_dir), 3, 0).select(F.round("precision_at_k", 6).alias("precision_at_k"))
+
+
+@query(
+    "pr_threshold",
+    f"""WITH {_PREDS_SQL}, l AS (SELECT y_true, unnest(range(0, 10)) AS label_i, unnest(probs) AS p FROM pr), b AS (SELECT label_i, p, count(*) FILTER (y_true = label_i) AS pos, count(*) AS n FROM l GROUP BY ALL),
+    c AS (SELECT label_i, p, sum(pos) OVER w AS tp, sum(n) OVER w AS pred, sum(pos) OVER (PARTITION BY label_i) AS total FROM b WINDOW w AS (PARTITION BY label_i ORDER BY p DESC)),
+    f AS (SELECT *, round(2 * tp / (pred + total), 9) AS f1 FROM c WHERE total > 0), r AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY label_i ORDER BY f1 DESC, p) = 1)
+    SELECT CAST(i AS INT) AS label_i, round(coalesce(p, 0), 6) AS threshold, round(coalesce(f1, 0), 6) AS f1 FROM (SELECT unnest(range(0, 12)) AS i) LEFT JOIN r ON i = label_i""",
+)
+def pr_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.best_thresholds(_preds(spark, sf_dir), 12).select("label_i", F.round("threshold", 6).alias("threshold"), F.round("f1", 6).alias("f1"))
+
+
+@query(
+    "ensemble",
+    f"""WITH {_PREDS_SQL} SELECT row_id, round(probs[1] * 0.75 + pre[1] * 0.25, 8) AS mean0, round(list_max(list_transform(range(1, 11), lambda i: greatest(probs[i] * 3, pre[i]))), 7) AS top FROM pr""",
+)
+def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both, w = [F.col("probs"), F.col("pre")], [3.0, 1.0]
+    return _preds(spark, sf_dir).select("row_id", F.round(F.get(arrays.weighted_average(both, w), F.lit(0)), 8).alias("mean0"), F.round(F.array_max(arrays.weighted_max(both, w)), 7).alias("top"))
+
+
+@query(
+    "two_stage",
+    f"""WITH {_PREDS_SQL}, l AS (SELECT track_id, unnest(range(0, 10)) AS i, unnest(probs) AS p, unnest(pre) AS q FROM pr), a AS (SELECT track_id, i, round(avg(p), 9) AS p, round(avg(q), 9) AS q FROM l GROUP BY ALL),
+    x AS (SELECT track_id, i, p FROM a WHERE track_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY p DESC, i) = 1), y AS (SELECT track_id, i, q FROM a WHERE track_id % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY q DESC, i) = 1)
+    SELECT coalesce(x.track_id, y.track_id) AS track_id, CAST(CASE WHEN p > 0.18 THEN x.i WHEN q > 0.18 THEN y.i ELSE -1 END AS INT) AS pred_i FROM x FULL JOIN y ON x.track_id = y.track_id""",
+)
+def two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _preds(spark, sf_dir)
+    main = evaluate.track_decision(p.where("track_id % 3 <> 0"), "mean", 0.18)
+    pre = evaluate.track_decision(p.where("track_id % 5 <> 0").withColumn("probs", F.col("pre")), "mean", 0.18)
+    return evaluate.two_stage(main, pre, 0.18)
+
+
+@query(
+    "compare_models",
+    f"""WITH {_PREDS_SQL}, w1 AS (SELECT true_i, pred_i FROM cm WHERE n > 0 AND pred_i NOT IN (-1, 0) AND pred_i <> true_i QUALIFY row_number() OVER (PARTITION BY true_i ORDER BY n DESC, pred_i) = 1),
+    w2 AS (SELECT true_i, pred_i FROM cp WHERE n > 0 AND pred_i NOT IN (-1, 0) AND pred_i <> true_i QUALIFY row_number() OVER (PARTITION BY true_i ORDER BY n DESC, pred_i) = 1),
+    a AS (SELECT true_i, CAST(sum(n) AS BIGINT) AS t, CAST(sum(n) FILTER (pred_i = true_i) AS BIGINT) AS h, CAST(sum(n) FILTER (pred_i = -1) AS BIGINT) AS z FROM cm GROUP BY 1), b AS (SELECT true_i, CAST(sum(n) AS BIGINT) AS t, CAST(sum(n) FILTER (pred_i = true_i) AS BIGINT) AS h, CAST(sum(n) FILTER (pred_i = -1) AS BIGINT) AS z FROM cp GROUP BY 1)
+    SELECT true_i, a.t AS total_1, a.h AS hits_1, CASE WHEN a.t > 0 THEN round_even(100.0::DOUBLE * a.h / a.t, 0) ELSE 0 END AS accuracy_1, CASE WHEN a.t > 0 THEN round_even(100.0::DOUBLE * a.z / a.t, 0) ELSE 0 END AS none_share_1, w1.pred_i AS worst_1,
+      b.t AS total_2, b.h AS hits_2, CASE WHEN b.t > 0 THEN round_even(100.0::DOUBLE * b.h / b.t, 0) ELSE 0 END AS accuracy_2, CASE WHEN b.t > 0 THEN round_even(100.0::DOUBLE * b.z / b.t, 0) ELSE 0 END AS none_share_2, w2.pred_i AS worst_2, a.h - b.h AS diff
+    FROM a JOIN b USING (true_i) LEFT JOIN w1 USING (true_i) LEFT JOIN w2 USING (true_i)""",
+)
+def compare_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _preds(spark, sf_dir)
+    return evaluate.compare_models(evaluate.confusion(p, 10, 0.2), evaluate.confusion(p.withColumn("probs", F.col("pre")), 10, 0.2), 0)
+
+
+@query(
+    "losses",
+    f"""WITH {_PREDS_SQL}, c AS (SELECT row_id, unnest(y)::DOUBLE AS y, least(greatest(unnest(probs), 1e-7), 1 - 1e-7) AS p FROM pr),
+    r AS (SELECT row_id, avg(-((y * 0.9 + 0.05) * ln(p) + (1 - (y * 0.9 + 0.05)) * ln(1 - p))) AS bce, sum(-(y * 0.9 + 0.01) * ln(p)) AS ce FROM c GROUP BY row_id) SELECT round(avg(bce), 6) AS bce, round(avg(ce), 6) AS ce FROM r""",
+)
+def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.losses(_preds(spark, sf_dir), 0.1).select(F.round("bce", 6).alias("bce"), F.round("ce", 6).alias("ce"))
+
+
+@query("label_distribution", "SELECT CAST(i AS INT) AS label_i, count(label) AS n FROM (SELECT unnest(range(0, 12)) AS i) LEFT JOIN embeddings ON label = i GROUP BY i")
+def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.label_distribution(table(spark, sf_dir, "embeddings").select(F.col("label").alias("label_i")), 12)
+
+
+@query(
+    "class_weights",
+    """WITH d AS (SELECT CAST(i AS INT) AS label_i, count(doc_id) AS n FROM (SELECT unnest(range(0, 24)) AS i) LEFT JOIN documents ON source = 'src' || i GROUP BY i)
+    SELECT label_i, n, round(CASE WHEN n > 0 THEN least(greatest((SELECT sum(n) FROM d) / (SELECT count(*) FROM d WHERE n > 0) / n, 0.25), 4) ELSE 0 END, 6) AS weight FROM d""",
+)
+def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.substring("source", 4, 3).cast("int").alias("label_i"))
+    return evaluate.class_weights(evaluate.label_distribution(d, 24)).withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    "share_histogram",
+    """WITH s AS (SELECT event_type, CAST(round_even(least(value / 60, 1) * 10, 0) AS INT) AS bucket FROM events)
+    SELECT k.event_type, CAST(b AS INT) AS bucket, count(s.bucket) AS n FROM (SELECT DISTINCT event_type FROM events) k CROSS JOIN (SELECT unnest(range(0, 11)) AS b) LEFT JOIN s ON s.event_type = k.event_type AND s.bucket = b GROUP BY ALL""",
+)
+def share_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_type", F.least(F.col("value") / 60, F.lit(1.0)).alias("share"))
+    return evaluate.share_histogram(e, "event_type", "share")
+
+
+# ---- export, models, folds, features
+
+
+@query(
+    "anonymised_export",
+    """WITH r AS (SELECT c_custkey AS rec_id, c_mktsegment AS device_id, round((c_custkey * 7919 % 400)::DOUBLE / 100, 1) AS lat, round((c_custkey * 104729 % 300)::DOUBLE / 100, 1) AS lng FROM customer),
+    s AS (SELECT *, row_number() OVER (ORDER BY device_id, lat, lng) AS site_id FROM (SELECT DISTINCT device_id, lat, lng FROM r)),
+    t AS (SELECT o_custkey AS rec_id, count(*) AS n, min(CASE WHEN o_totalprice > 100000 THEN -1 ELSE o_totalprice END) AS lowest FROM orders GROUP BY 1)
+    SELECT rec_id, CAST(site_id AS INT) AS site_id, lat, lng, CAST(coalesce(n, 0) AS INT) AS n_tracks, round(lowest, 2) AS lowest FROM r JOIN s USING (device_id, lat, lng) LEFT JOIN t USING (rec_id)""",
+)
+def anonymised_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    r = table(spark, sf_dir, "customer").select(k.alias("rec_id"), F.col("c_mktsegment").alias("device_id"), (k * 7919 % 400 / F.lit(100.0)).alias("lat"), (k * 104729 % 300 / F.lit(100.0)).alias("lng"))
+    o = table(spark, sf_dir, "orders")
+    low = F.when(F.col("o_totalprice") <= 100000, F.col("o_totalprice"))
+    t = o.select(F.col("o_custkey").alias("rec_id"), F.col("o_orderkey").alias("start"), F.col("o_orderkey").alias("end"), low.alias("min_freq"), low.alias("max_freq"), F.col("o_orderpriority").alias("label"))
+    out = writers.anonymised(r, t)
+    return out.select("rec_id", "site_id", "lat", "lng", F.coalesce(F.size("tracks"), F.lit(0)).alias("n_tracks"), F.round(F.array_min("tracks.min_freq"), 2).alias("lowest"))
+
+
+@query("training_summary", """SELECT lang AS split, source AS label, count(*) AS n_samples, count(DISTINCT n_chars) AS n_recs, list_sort(list(DISTINCT n_chars)) AS recs FROM documents GROUP BY ALL""")
+def training_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return writers.training_summary(d.select(F.col("lang").alias("split"), F.col("source").alias("label"), F.col("n_chars").alias("rec_id")))
+
+
+@query("linear_scores")
+def linear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = models.with_class_weight(models.with_vector(table(spark, sf_dir, "embeddings"), "embedding"), "label", 10)
+    return models.score(models.fit_linear(e.where("vec_id % 5 <> 0"), weight="weight"), e, ["vec_id", "label"])
+
+
+@query("forest_scores")
+def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = models.with_vector(table(spark, sf_dir, "embeddings"), "embedding")
+    return models.score(models.fit_forest(e.where("vec_id % 5 <> 0")), e, ["vec_id", "label"])
+
+
+@query("cross_fold")
+def cross_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.cross_fold(models.with_vector(table(spark, sf_dir, "embeddings"), "embedding"), "vec_id", "label")
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as signals of a recording per user and day, their seconds those of the day over 100."""
+    iv = event_intervals(spark, sf_dir)
+    day = F.floor(F.col("start") / 86400)
+    start = (F.col("start") - day * 86400) / 100
+    return iv.select(
+        (F.col("rec_id") * 100000 + day % 100000).alias("rec_id"),
+        F.col("track_id").alias("signal_id"),
+        "track_id",
+        start.alias("start"),
+        (start + F.col("value") / 8).alias("end"),
+        (F.lit(200.0) + F.col("track_id") % 40 * 100).alias("f_lo"),
+        (F.lit(900.0) + F.col("track_id") % 37 * 150).alias("f_hi"),
+        F.col("value").alias("mass"),
+        F.lit(900.0).alias("duration"),
+        (F.col("label") == "view").alias("is_bird"),
+    )
+
+
+@query("merge_tracks")
+def merge_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds_.merge_tracks(_boxes(spark, sf_dir))
+
+
+@query("absorb_tracks")
+def absorb_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds_.absorb_tracks(_boxes(spark, sf_dir))
+
+
+@query("trim_others")
+def trim_others(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds_.trim_others(_boxes(spark, sf_dir))
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding as a short signal of 64 samples, repeated 32 times."""
+    e = table(spark, sf_dir, "embeddings")
+    x = F.flatten(F.array_repeat(F.col("embedding"), 32))
+    return e.select("vec_id", F.lit(8000).alias("rate"), x.alias("samples"), F.when(F.col("label") == 1, F.lit("bittern")).otherwise(F.lit("")).alias("tag"))
+
+
+@query("mel_features")
+def mel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.mel_features(_segments(spark, sf_dir), "vec_id", n_fft=512, hop=128, bands=20, seconds=0.25, hi=4000.0, breaks=(1000.0, 700.0))
+
+
+@query("band_energy")
+def band_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.band_energy(_segments(spark, sf_dir), "vec_id", n_fft=512, hop=128)
+
+
+@query("detect_signals")
+def detect_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.detect_signals(_segments(spark, sf_dir), "vec_id", n_fft=256, hop=64, frame_times=1.5, bin_times=0.9, min_seconds=0.01, min_hz=30.0)
+
+
+@query("remove_shared_peaks")
+def remove_shared_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = features.band_energy(_segments(spark, sf_dir), "vec_id", n_fft=256, hop=32).withColumnRenamed("vec_id", "track_id")
+    return folds_.remove_shared_peaks(e, 32 / 8000)
+
+
+@query(
+    "mix_noise",
+    """WITH a AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS s FROM embeddings),
+    j AS (SELECT a.vec_id, a.s, b.s AS n, 3.0 + a.vec_id % 28 AS snr FROM a JOIN a b ON b.vec_id = a.vec_id // 2 * 2 + 1 - a.vec_id % 2),
+    p AS (SELECT *, sqrt((list_sum(list_transform(s, lambda v: v * v)) / len(s)) / (list_sum(list_transform(n, lambda v: v * v)) / len(n) * pow(10, snr / 10))) AS scale FROM j)
+    SELECT vec_id, round(s[1] + n[1] * scale * CASE WHEN vec_id % 3 = 0 THEN -1 ELSE 1 END, 6) AS first, round(s[64] + n[64] * scale * CASE WHEN vec_id % 3 = 0 THEN -1 ELSE 1 END, 6) AS last FROM p""",
+)
+def mix_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    i = F.col("vec_id")
+    pair = e.withColumn("other", F.floor(i / 2) * 2 + 1 - i % 2).join(e.select(i.alias("other"), F.col("embedding").alias("noise")), "other")
+    mixed = features.mix_noise(F.col("embedding"), F.col("noise"), F.lit(3.0) + i % 28, i % 3 == 0)
+    return pair.select("vec_id", F.round(F.get(mixed, F.lit(0)), 6).alias("first"), F.round(F.element_at(mixed, -1), 6).alias("last"))
