@@ -397,3 +397,25 @@ def test_probabilities_sum_to_one():
     for k in np.unique(d.cls):
         assert abs(p[d.cls == k].sum() + unknown[k] - 1) < 1e-9
     assert (s.t <= d.count).all() and (s.t[d.count > 0] >= 1).all()
+
+
+def test_components_of_random_graphs(spark):
+    from wavegrid.llm.components import connected_components
+
+    r = random.Random(6)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + k) for k in range(200)] + [(r.randrange(2000, 3000), r.randrange(2000, 3000)) for _ in range(500)] + [(7, 7)]
+    up = {x: x for e in edges for x in e}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        u, v = sorted((find(a), find(b)))
+        up[v] = u
+    df = spark.createDataFrame([e if r.random() < 0.5 else e[::-1] for e in edges], "a long, b long").repartition(7)
+    got = {x["node"]: x["component"] for x in connected_components(df).collect()}
+    touched = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: find(x) for x in touched}
+    assert connected_components(df.where("a < 0")).count() == 0

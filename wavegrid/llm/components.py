@@ -2,10 +2,73 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import materialize
+from wavegrid.llm.common import materialize, partitions
+
+
+def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each node to the smallest one that these edges connect it to; smallest nodes have none."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        lo, hi = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        open_ = lo != hi
+        if not open_.any():
+            break
+        np.minimum.at(label, hi[open_], lo[open_])
+        while not np.array_equal(nxt := label[label], label):
+            label = nxt
+    moved = label != np.arange(len(ids))
+    return ids[moved], ids[label[moved]]
+
+
+def _columns(batches) -> tuple[np.ndarray, np.ndarray]:
+    got = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+    if not got:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got])
+
+
+def _edges(a: np.ndarray, b: np.ndarray):
+    a, b = contract(a, b)
+    if len(a):
+        yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _smallest(u: np.ndarray, v: np.ndarray, with_self: bool) -> np.ndarray:
+    """For each edge the smallest neighbour of its first node, or that node itself if it is smaller still."""
+    order = np.argsort(u, kind="stable")
+    s = u[order]
+    start = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1])
+    least = np.minimum.reduceat(v[order], start)
+    out = np.empty(len(u), dtype=np.int64)
+    out[order] = np.repeat(least, np.diff(np.append(start, len(u))))
+    return np.minimum(out, u) if with_self else out
+
+
+def _local(batches):
+    yield from _edges(*_columns(batches))
+
+
+def _large(batches):
+    """Larger neighbours of a node go to its smallest one."""
+    u, v = _columns(batches)
+    if len(u):
+        m = _smallest(u, v, True)
+        yield from _edges(v[v > u], m[v > u])
+
+
+def _small(batches):
+    """A node and its smaller neighbours go to the smallest."""
+    u, v = _columns(batches)
+    if len(u):
+        m = _smallest(u, v, False)
+        yield from _edges(np.concatenate([u, v]), np.concatenate([m, m]))
 
 
 def _stamp(edges: DataFrame) -> tuple:
@@ -16,26 +79,23 @@ def _stamp(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``a, b`` (long) to ``node, component``: the smallest node each can reach. Nodes without edges are not listed.
 
-    A round joins every node's larger neighbours to its smallest one, then its smaller ones; all sums are
-    partial before the shuffle and Spark splits skewed joins. Rounds grow with the logarithm of the
-    number of nodes; each ends in a written table.
+    Every task first contracts what it holds to edges to smallest nodes, so a hub reaches the shuffle once per task. A
+    round then joins every node's larger neighbours to its smallest one, and its smaller ones: a shuffle each.
+    Rounds grow with the logarithm of the number of nodes; each ends in a written table.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = materialize(e, "cc-edges")
-    stamp = _stamp(e)
+    n = partitions(edges.sparkSession)
+    kind = "a long, b long"
+    e = materialize(edges.select("a", "b").where("a <> b").mapInArrow(_local, kind), "cc-edges")
+    stamp = None
     for _ in range(max_rounds):
-        if not stamp[0]:
-            break
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "cc-edges")
+        both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("s")).select("s.a", "s.b")
+        large = both.repartition(n, "a").mapInArrow(_large, kind)
+        e = materialize(large.repartition(n, "a").mapInArrow(_small, kind), "cc-edges")
         now = _stamp(e)
-        if now == stamp:
+        if now == stamp or not now[0]:
             break
         stamp = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    rooted = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("component")), F.struct(F.col("b").alias("node"), F.col("b").alias("component"))))
+    return e.select(rooted.alias("s")).select("s.node", "s.component").distinct()
