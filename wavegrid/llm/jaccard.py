@@ -226,7 +226,7 @@ def _dealt(kind: int, records: np.ndarray, at: np.ndarray) -> list[tuple]:
 def candidate_edges(docs: DataFrame, some: DataFrame, ngram: int, percent: int) -> DataFrame:
     """``a, b``: edges that connect all documents of ``some`` (a column ``node``) that may be linked."""
     n_parts = partitions(docs.sparkSession)
-    n_buckets = 4 * n_parts
+    n_buckets, n_deal = 4 * n_parts, 2 * n_parts  # a task deals out once or a few times, so rows stay few
     texts = docs.select("doc_id", "text").join(maybe_broadcast(some, 64), F.expr("doc_id = node")).select("doc_id", "text")
 
     def send(batches):
@@ -263,21 +263,32 @@ def candidate_edges(docs: DataFrame, some: DataFrame, ngram: int, percent: int)
 
     def weigh(batches):
         """The number of holders goes back with each shingle, to where all of a document's meet."""
+
+        def give(records):
+            return _table(_DEALT, _dealt(0, records, _bucket(_mix(records["d"].view(U)), n_deal)))
+
+        held, total = [], 0
         for _, refs in groups(batches, ["bucket"]):
             parts = []
             for b, i in refs:
                 if b.column(1)[i].as_py():
-                    yield _table(_DEALT, [(b.column(0)[i].as_py(), 1, b.column(2)[i].as_py())])
+                    yield _table(_DEALT, [(b.column(0)[i].as_py() % n_deal, 1, b.column(2)[i].as_py())])
                 else:
                     parts.append(np.frombuffer(b.column(2)[i].as_buffer(), _RARE))
-            if parts:
-                r = np.concatenate(parts)
-                r = r[np.argsort(r["h"], kind="stable")]
-                size = np.diff([0, *(j for _, j in _cuts(r["h"]))])
-                r["f"] = np.repeat(size, size)
-                r = r[r["f"] > 1]
-                if len(r):
-                    yield _table(_DEALT, _dealt(0, r, _bucket(_mix(r["d"].view(U)), n_buckets)))
+            if not parts:
+                continue
+            r = np.concatenate(parts)
+            r = r[np.argsort(r["h"], kind="stable")]
+            size = np.diff([0, *(j for _, j in _cuts(r["h"]))])
+            r["f"] = np.repeat(size, size)
+            r = r[r["f"] > 1]
+            held.append(r)
+            total += len(r)
+            if total >= FLUSH_KEYS:
+                yield give(np.concatenate(held))
+                held, total = [], 0
+        if total:
+            yield give(np.concatenate(held))
 
     def choose(batches):
         """Keys of each document: of its prefix, the shingles that others hold."""
@@ -286,9 +297,9 @@ def candidate_edges(docs: DataFrame, some: DataFrame, ngram: int, percent: int)
             h, least, edges = _star(keys["h"], keys["d"])
             k = np.empty(len(h), dtype=_KEY)
             k["h"], k["d"] = h, least
-            rows = _dealt(0, k, _bucket(h, n_buckets))
+            rows = _dealt(0, k, _bucket(h, n_deal))
             if len(edges):
-                rows.append((int(h[0] % U(n_buckets)), 1, edges.tobytes()))
+                rows.append((int(h[0] % U(n_deal)), 1, edges.tobytes()))
             return _table(_DEALT, rows)
 
         held, total = [], 0
