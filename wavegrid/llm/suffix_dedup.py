@@ -244,6 +244,10 @@ def mark_segments(docs: DataFrame, width: int) -> DataFrame:
             yield flush()
 
     def judge(batches):
+        def give(marks):
+            return _rows([(k, 1, r.tobytes()) for k, r in _dealt(marks, "k", 2 * n_parts)])
+
+        held, total = [], 0
         for _, refs in groups(batches, ["bucket"]):
             seen, marks = [], []
             for b, i in refs:
@@ -251,9 +255,13 @@ def mark_segments(docs: DataFrame, width: int) -> DataFrame:
                 (marks if b.column(1)[i].as_py() else seen).append(np.frombuffer(raw, _MARK if b.column(1)[i].as_py() else _SEGMENT))
             if seen:
                 marks.append(_judge(np.concatenate(seen)))
-            marks = np.concatenate(marks)
-            if len(marks):
-                yield _rows([(k, 1, r.tobytes()) for k, r in _dealt(marks, "k", n_buckets)])
+            held += marks
+            total += sum(map(len, marks))
+            if total >= 2 * FLUSH:  # dealt out once or a few times in a task, so rows stay few
+                yield give(np.concatenate(held))
+                held, total = [], 0
+        if total:
+            yield give(np.concatenate(held))
 
     def gather(batches):
         for _, refs in groups(batches, ["bucket"]):
