@@ -184,3 +184,40 @@ def share_histogram(shares: DataFrame, label: str, share: str, scale: int = 10)
     n = shares.select(label, F.bround(F.col(share) * scale).cast("int").alias("bucket")).groupBy(label, "bucket").agg(F.count("*").alias("n"))
     every = shares.select(label).distinct().withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(scale))))
     return every.join(n, [label, "bucket"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def most_confused(matrix: DataFrame) -> DataFrame:
+    """Per label the wrong label with most rows, the smallest on ties; labels without errors are left out."""
+    wrong = matrix.where((F.col("true_i") != F.col("pred_i")) & (F.col("pred_i") != NONE) & (F.col("n") > 0))
+    return wrong.groupBy("true_i").agg(F.max_by(F.struct("pred_i", "n"), F.struct("n", -F.col("pred_i"))).alias("b")).select("true_i", "b.*")
+
+
+def accuracy_by_share(matrix: DataFrame, counts: DataFrame) -> DataFrame:
+    """``label_i, share, accuracy``: each label's part of the training rows (``label_i, n``) beside its accuracy, the largest share first."""
+    total = counts.agg(F.sum("n").alias("_total"))
+    acc = label_rates(matrix).select("label_i", F.col("recall").alias("accuracy"))
+    s = counts.crossJoin(F.broadcast(total)).select("label_i", (F.col("n") / F.col("_total")).alias("share"))
+    return s.join(acc, "label_i", "left").orderBy(F.desc("share"), "label_i")
+
+
+def folder_accuracy(decisions: DataFrame, bird_labels: list[int]) -> DataFrame:
+    """One row from ``label_i, pred_i``: hits on the folder's label, and agreement on bird or not."""
+    bird = lambda c: F.coalesce(F.col(c).isin(bird_labels), F.lit(False))
+    return decisions.agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("label_i") == F.col("pred_i")).alias("hits"),
+        F.count_if(bird("label_i") == bird("pred_i")).alias("bird_hits"),
+    )
+
+
+def species_result(probs: Column, names: Column, threshold: float) -> Column:
+    """Structs (name, percent) of labels over the threshold, else of the best label alone."""
+    all_ = F.transform(ranked(probs), lambda s: F.struct(F.get(names, s["i"]).alias("name"), F.bround(s["p"] * 100).cast("int").alias("percent"), s["p"].alias("p")))
+    over = F.filter(all_, lambda s: s["p"] > threshold)
+    return F.transform(F.when(F.size(over) > 0, over).otherwise(F.slice(all_, 1, 1)), lambda s: F.struct(s["name"].alias("name"), s["percent"].alias("percent")))
+
+
+def bad_tracks(rows: DataFrame, birds: list[int], others: list[int]) -> DataFrame:
+    """Rows labelled as birds (``label_idx``) whose predictions (``pred_idx``) are noise or human and no bird."""
+    b, o = (F.array(*map(F.lit, x)) for x in (birds, others))
+    return rows.where(F.arrays_overlap("label_idx", b) & F.arrays_overlap("pred_idx", o) & ~F.arrays_overlap("pred_idx", b))

@@ -101,3 +101,49 @@ def label_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 def label_members(remapped: DataFrame) -> DataFrame:
     """The labels that landed on each target."""
     return remapped.where("target_i >= 0").groupBy("target_i").agg(F.array_sort(F.collect_set("label")).alias("members"))
+
+
+def label_set(tracks: DataFrame, aliases: DataFrame, mode: str = "all", generic: bool = True, only: str | None = None) -> DataFrame:
+    """The sorted labels of a run (``label``) from the labels of all data sets' tracks.
+
+    ``coarse`` maps every label to bird, animal (the generic human group) or noise; ``single`` keeps ``only`` and calls
+    the rest generic; otherwise labels become codes, and the generic one is added if wanted.
+    """
+    codes = to_code(tracks.select("label").where("label is not null").distinct(), "label", aliases).select(F.col("code").alias("label"))
+    c = F.col("label")
+    if mode == "coarse":
+        codes = codes.select(F.when(c.isin(NOISE), F.lit("noise")).when(c.isin(HUMAN), F.lit("animal")).otherwise(F.lit(GENERIC)).alias("label"))
+    elif mode == "single":
+        codes = codes.select(F.when(c == only, c).when(c.isin(NOISE), F.lit("noise")).otherwise(F.lit(GENERIC)).alias("label"))
+    if generic:
+        codes = codes.unionByName(codes.sparkSession.range(1).select(F.lit(GENERIC).alias("label")))
+    return codes.distinct()
+
+
+def evaluation_label(label: Column, modelled: list[str], noise: list[str] = NOISE, human: list[str] = HUMAN, birds: Column | None = None) -> Column:
+    """The label a true label counts as: the noise and human groups, itself if the model has it, else the generic one for birds."""
+    group = F.when(label.isin(noise), F.lit("noise")).when(label.isin(human), F.lit("human")).when(label.isin(modelled), label)
+    return group.otherwise(F.when(birds, F.lit(GENERIC)).otherwise(label)) if birds is not None else group.otherwise(F.lit(GENERIC))
+
+
+def track_flags(tags: Column, birds: Column) -> tuple[Column, Column, Column]:
+    """Whether a track has a bird, an animal or, if its tags are no animals, a noise; ``birds`` is an array of bird labels."""
+    bird = F.arrays_overlap(tags, birds) | F.array_contains(tags, GENERIC)
+    animal = bird | F.exists(tags, lambda t: t.isin(HUMAN))
+    noise = F.exists(tags, lambda t: t.isin(NOISE) & ~F.array_contains(birds, t) & ~t.isin(HUMAN))
+    return bird, animal, noise
+
+
+def possible_labels(label_idx: Column, generic: int, n: int, lat: Column, lng: Column, box: tuple[float, float, float, float], inside: list[int], birds: list[int]) -> Column:
+    """Mask of labels a row may have: for rows that are only generic, the list for the box (x0, y0, x1, y1) or unknown places inside it, all birds outside; ones for others."""
+    only = (F.size(label_idx) == 1) & F.array_contains(label_idx, F.lit(generic))
+    unknown = lat.isNull() | lng.isNull() | ((lat == 0) & (lng == 0))
+    here = unknown | (lng.between(box[0], box[2]) & lat.between(box[1], box[3]))
+    mask = lambda on: F.array(*[F.lit(int(i in on)) for i in range(n)])
+    return F.when(~only, F.array_repeat(F.lit(1), n)).when(here, mask(set(inside))).otherwise(mask(set(birds)))
+
+
+def label_audit(rows: DataFrame, text: str, target: str) -> DataFrame:
+    """Texts that landed on each target, those with several labels apart."""
+    many = F.col(text).contains("\n")
+    return rows.groupBy(target).agg(F.array_sort(F.collect_set(F.when(~many, F.col(text)))).alias("texts"), F.count_if(many).alias("n_multi"))
