@@ -419,3 +419,68 @@ def test_components_of_random_graphs(spark):
     touched = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in touched}
     assert connected_components(df.where("a < 0")).count() == 0
+
+
+def test_cascade_is_exact_over_its_universe(spark):
+    from wavegrid.llm import url_filter as u
+
+    universe = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    listed = universe.where(F.crc32(F.col("key").cast("binary")) % 13 == 0)
+    levels = u.build_cascade(listed, universe, fpr=0.2)
+    assert len(levels) >= 3
+    got = universe.where(u.contains(F.col("key"), levels))
+    assert got.exceptAll(listed).count() == 0 and listed.exceptAll(got).count() == 0
+    assert u.listed_by_join(universe, listed).exceptAll(listed).count() == 0
+    assert u.build_cascade(listed.where("false"), universe) == [] and universe.where(u.contains(F.col("key"), [])).count() == 0
+    with pytest.raises(ValueError):
+        u.build_cascade(listed, universe, max_bits=64)
+
+
+def test_url_filter_of_odd_urls(spark):
+    from wavegrid.llm.url_filter import filter_urls
+
+    urls = [None, "", "no scheme", "http://", "HTTP://COM/en/", "http://a.example.com/en/70", "http://a.example.com/EN/7", "http://xcom/en/1", "a://b://example.net/de/8", "http://é.net/de/81?x#y", "http://www.example.net/de/8/..", "http://org?/es/", "http://org/es/"]
+    df = spark.createDataFrame([(i, u, "kept") for i, u in enumerate(urls + urls[:1])], "page_id int, url string, host string")
+    got = [(r["host"], r["path"], r["rule"], r["verdict"]) for r in filter_urls(df, q.RULES).orderBy("page_id").collect()]
+    none = ("", "", None, "allow")
+    assert got[:4] == [none] * 4 and got[-1] == none
+    assert got[4] == ("com", "/en/", "com/en/", "block") and got[5] == ("a.example.com", "/en/70", "example.com/en/7", "allow")
+    assert got[6] == ("a.example.com", "/EN/7", None, "allow") and got[7][2] is None
+    assert got[8] == ("b:", "//example.net/de/8", None, "allow") and got[9][2:] == ("net/de/", "allow") and got[10][2:] == ("example.net/de/8", "block")
+    assert got[11] == ("org", "", None, "allow") and got[12][3] == "block"
+    assert filter_urls(df, []).where("verdict = 'allow'").count() == len(got)
+
+
+def test_line_dedup_of_odd_lines(spark):
+    from wavegrid.llm.line_dedup import apply_keep_runs, line_keep_runs
+
+    long_ = "A line of Many words\x0b"
+    docs = [(1, f"{long_}\nshort\n {long_.lower()}"), (2, long_.upper()), (3, f"x\n\t{long_}"), (4, None), (5, ""), (None, f"{long_}\ny"), (3, f"x\n\t{long_}"), (6, "only two docs have this line"), (7, "only two docs have this line\n\n")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {1: (3, 2, "short"), 2: (1, 1, ""), 3: (2, 0, docs[2][1]), 4: (1, 0, ""), 5: (1, 0, ""), None: (2, 1, "y"), 6: (1, 0, docs[7][1]), 7: (3, 0, docs[8][1])}
+    for hot in (2000, 1):  # with and without keys that count as hot
+        rows = apply_keep_runs(df, line_keep_runs(df, hot_docs=hot)).collect()
+        assert len(rows) == len(docs)
+        for r in rows:
+            assert (r["n_lines"], r["n_dropped"], r["kept_text"]) == want[r["doc_id"]], (hot, r)
+
+
+def test_mixing_meets_targets(spark):
+    from wavegrid.llm.mixing import emit_copies, mix_sources
+
+    r = random.Random(8)
+    docs = [(i, " ".join("w" for _ in range(r.randint(0, 60))), r.choice(["a", "b", "b", "b", "c", "d", "é", None])) for i in range(4000)]
+    docs += [(None, "x y", "a"), (5, docs[5][1], docs[5][2]), (9999, None, "empty")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = mix_sources(df).collect()
+    assert len(rows) == len(docs) and sorted(map(repr, rows)) == sorted(map(repr, mix_sources(df.repartition(9)).collect()))
+    by = {}
+    for x in rows:
+        assert 0 <= x["copies"] <= 2 and x["taken"] == x["copies"] * x["size"]
+        s = by.setdefault(x["source"], [0, 0, x["target"], x["source_size"]])
+        s[0] += x["size"]
+        s[1] += x["taken"]
+    total = sum(s[0] for s in by.values())
+    assert abs(sum(s[2] for s in by.values()) - 1.5 * total) < 1e-6 and all(s[0] == s[3] and s[2] <= 2 * s[0] + 1e-9 for s in by.values())
+    assert all(abs(s[1] - s[2]) <= 130 for s in by.values())
+    assert emit_copies(mix_sources(df), ["doc_id"]).count() == sum(x["copies"] for x in rows)

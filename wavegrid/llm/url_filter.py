@@ -130,7 +130,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str =
     cascades = {}
     for action in ("block", "allow"):
         keys = sorted({h + p for a, h, p in rules if a == action})
-        cascades[action] = build_cascade(spark.createDataFrame([(k,) for k in keys], "key string"), universe, fpr, max_bits)
+        listed = spark.range(1).select(F.explode(F.array(*map(F.lit, keys)).cast("array<string>")).alias("key"))
+        cascades[action] = build_cascade(listed, universe, fpr, max_bits)
     hits = F.filter(_candidates(rules), lambda c: contains(c["k"], cascades["block"]) | contains(c["k"], cascades["allow"]))
     out = pages.withColumn("_hit", F.when(F.size(hits) > 0, F.element_at(hits, 1)["k"]))
     blocked = F.when(F.col("_hit").isNotNull() & contains(F.col("_hit"), cascades["block"]), F.lit("block")).otherwise(F.lit("allow"))
