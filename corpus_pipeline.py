@@ -32,8 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without an id can't be named as duplicates of others and stay.
     """
     classes = jaccard_components(docs).where("doc_id is not null")
-    gone = materialize(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "pipeline-duplicates")
-    kept = docs.join(gone, F.expr("doc_id = _gone"), "left_anti")
+    gone = materialize(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__wg_gone")).distinct(), "pipeline-duplicates")
+    kept = docs.join(gone, F.expr("doc_id = __wg_gone"), "left_anti")
     named = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
     return named.unionByName(kept.where("doc_id is null")).select(*COLUMNS)
 

@@ -66,12 +66,13 @@ def line_keep_runs(docs: DataFrame, min_length: int = 20, min_docs: int = 3, hot
 
 
 def apply_keep_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """Adds ``n_lines, n_dropped, kept_text`` to the documents, from the runs of :func:`line_keep_runs`."""
-    runs = runs.withColumnsRenamed({"doc_id": "_doc", "row_key": "_row"})
-    both = docs.withColumn("row_key", _row_key()).join(runs, F.expr("doc_id <=> _doc and row_key = _row"), "left")
+    """Adds ``n_lines, n_dropped, kept_text`` to the documents, from the runs of :func:`line_keep_runs`; columns of these names are replaced."""
+    docs = docs.drop("n_lines", "n_dropped", "kept_text")
+    runs = runs.withColumnsRenamed({"doc_id": "__wg_doc", "row_key": "__wg_row", "dropped": "__wg_dropped"})
+    both = docs.withColumn("__wg_key", _row_key()).join(runs, F.expr("doc_id <=> __wg_doc and __wg_key = __wg_row"), "left")
     lines = _lines(docs)
-    gone = F.coalesce(F.aggregate("dropped", F.lit(0).cast("bigint"), lambda a, r: a + r["last"] - r["first"] + 1), F.lit(0).cast("bigint"))
-    kept = F.when(F.col("dropped").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(
-        F.array_join(F.filter(lines, lambda x, i: ~F.exists("dropped", lambda r: (i >= r["first"]) & (i <= r["last"]))), "\n")
+    gone = F.coalesce(F.aggregate("__wg_dropped", F.lit(0).cast("bigint"), lambda a, r: a + r["last"] - r["first"] + 1), F.lit(0).cast("bigint"))
+    kept = F.when(F.col("__wg_dropped").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(
+        F.array_join(F.filter(lines, lambda x, i: ~F.exists("__wg_dropped", lambda r: (i >= r["first"]) & (i <= r["last"]))), "\n")
     )
-    return both.withColumns({"n_lines": F.size(lines).cast("bigint"), "n_dropped": gone, "kept_text": kept}).drop("_doc", "_row", "row_key", "dropped")
+    return both.withColumns({"n_lines": F.size(lines).cast("bigint"), "n_dropped": gone, "kept_text": kept}).drop("__wg_doc", "__wg_row", "__wg_key", "__wg_dropped")

@@ -60,25 +60,25 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), b
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("bigint")
     bits = F.length(F.bin("size"))
     rows = docs.withColumn("size", size)
-    rows = rows.withColumn("_class", (bits * 8 + F.expr("shiftright(size, greatest(length(bin(size)) - 3, 0))")).cast("int"))
+    rows = rows.withColumn("__wg_class", (bits * 8 + F.expr("shiftright(size, greatest(length(bin(size)) - 3, 0))")).cast("int"))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).cast("binary"))
-    rows = rows.withColumn("_key", key).withColumn("_run", (F.conv(F.substring("_key", 1, 4), 16, 10).cast("int") % SALTS))
-    runs = materialize(rows.groupBy("source", "_class", "_run").agg(F.count("*").alias("_n"), F.sum("size").alias("_words")), "mix-runs")
-    targets = source_targets(runs.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, budget, cap)
-    before = Window.partitionBy("source").orderBy("_class", "_run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("source", "_class", "_run", "_before")
+    rows = rows.withColumn("__wg_key", key).withColumn("__wg_run", (F.conv(F.substring("__wg_key", 1, 4), 16, 10).cast("int") % SALTS))
+    runs = materialize(rows.groupBy("source", "__wg_class", "__wg_run").agg(F.count("*").alias("__wg_n"), F.sum("size").alias("__wg_words")), "mix-runs")
+    targets = source_targets(runs.groupBy("source").agg(F.sum("__wg_words").alias("source_size")), weights, budget, cap)
+    before = Window.partitionBy("source").orderBy("__wg_class", "__wg_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("__wg_before", F.coalesce(F.sum("__wg_n").over(before), F.lit(0))).select("source", "__wg_class", "__wg_run", "__wg_before")
     offset = _md5_share(F.lit(str(seed)), F.lit("offset"), F.coalesce(F.col("r.source"), F.lit("(none)")))
-    facts = runs.alias("r").join(targets.alias("t"), F.expr("r.source <=> t.source")).select("r.*", "t.source_size", "t.target", offset.alias("_u"))
-    facts = facts.withColumnsRenamed({"source": "_source", "_class": "_fclass", "_run": "_frun"})
-    rank = F.row_number().over(Window.partitionBy("source", "_class", "_run").orderBy("size", "_key", F.col("doc_id").asc_nulls_last()))
-    ranked = rows.withColumn("_rank", rank)
-    joined = ranked.join(facts, F.expr("source <=> _source and _class = _fclass and _run = _frun"))
+    facts = runs.alias("r").join(targets.alias("t"), F.expr("r.source <=> t.source")).select("r.*", "t.source_size", "t.target", offset.alias("__wg_u"))
+    facts = facts.withColumnsRenamed({"source": "__wg_source", "__wg_class": "__wg_fclass", "__wg_run": "__wg_frun"})
+    rank = F.row_number().over(Window.partitionBy("source", "__wg_class", "__wg_run").orderBy("size", "__wg_key", F.col("doc_id").asc_nulls_last()))
+    ranked = rows.withColumn("__wg_rank", rank)
+    joined = ranked.join(facts, F.expr("source <=> __wg_source and __wg_class = __wg_fclass and __wg_run = __wg_frun"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    upto = F.col("_before") + F.col("_rank")
-    copies = F.floor(F.col("_u") + upto * rate) - F.floor(F.col("_u") + (upto - 1) * rate)
+    upto = F.col("__wg_before") + F.col("__wg_rank")
+    copies = F.floor(F.col("__wg_u") + upto * rate) - F.floor(F.col("__wg_u") + (upto - 1) * rate)
     return joined.withColumn("copies", copies.cast("int")).withColumn("taken", F.col("copies") * F.col("size")).select(*names, "size", "source_size", "target", "copies", "taken")
 
 
 def emit_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """One row per copy, with the given columns."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    return mixed.where("copies > 0").withColumn("__wg_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)

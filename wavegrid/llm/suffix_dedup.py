@@ -330,8 +330,8 @@ def compare_segments(docs: DataFrame, marks: DataFrame, width: int) -> DataFrame
         if held and (r := solve(held)) is not None:
             yield r
 
-    some = maybe_broadcast(marks.where("partly").select(F.col("row_key").alias("_key"), "codes"), 128)
-    texts = docs.select("text", _row_key().alias("row_key")).join(some, F.expr("row_key = _key")).select("text", "row_key", "codes")
+    some = maybe_broadcast(marks.where("partly").select(F.col("row_key").alias("__wg_key"), "codes"), 128)
+    texts = docs.select("text", _row_key().alias("row_key")).join(some, F.expr("row_key = __wg_key")).select("text", "row_key", "codes")
     strings = texts.mapInArrow(cut, "h long, row_key long, no int, ask boolean, left int, string binary")
     strings = strings.repartition(partitions(docs.sparkSession), "h").sortWithinPartitions("h")
     found = strings.mapInArrow(sort, "row_key long, no int, bits binary")
@@ -352,10 +352,10 @@ def remove_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
     marks = materialize(mark_segments(docs, width), "repeat-marks")
     found = materialize(compare_segments(docs, marks, width), "repeat-found")
     names = docs.columns
-    rows = docs.withColumn("_row_key", _row_key())
-    rows = rows.join(marks.select(F.col("row_key").alias("_row_key"), F.col("codes").alias("_codes")), "_row_key", "left")
-    rows = rows.join(found.select(F.col("row_key").alias("_row_key"), F.col("found").alias("_found")), "_row_key", "left")
-    rows = rows.select(*names, "_codes", "_found")
+    rows = docs.withColumn("__wg_key", _row_key())
+    rows = rows.join(marks.select(F.col("row_key").alias("__wg_key"), F.col("codes").alias("__wg_codes")), "__wg_key", "left")
+    rows = rows.join(found.select(F.col("row_key").alias("__wg_key"), F.col("found").alias("__wg_found")), "__wg_key", "left")
+    rows = rows.select(*names, "__wg_codes", "__wg_found")
     at = names.index("text")
     schema = StructType([*docs.schema.fields, *StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept binary").fields])
 

@@ -133,6 +133,6 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str =
         listed = spark.range(1).select(F.explode(F.array(*map(F.lit, keys)).cast("array<string>")).alias("key"))
         cascades[action] = build_cascade(listed, universe, fpr, max_bits)
     hits = F.filter(_candidates(rules), lambda c: contains(c["k"], cascades["block"]) | contains(c["k"], cascades["allow"]))
-    out = pages.withColumn("_hit", F.when(F.size(hits) > 0, F.element_at(hits, 1)["k"]))
-    blocked = F.when(F.col("_hit").isNotNull() & contains(F.col("_hit"), cascades["block"]), F.lit("block")).otherwise(F.lit("allow"))
-    return out.withColumn("rule", F.col("_hit")).withColumn("verdict", blocked).drop("_hit")
+    out = pages.withColumn("__wg_hit", F.when(F.size(hits) > 0, F.element_at(hits, 1)["k"]))
+    blocked = F.when(F.col("__wg_hit").isNotNull() & contains(F.col("__wg_hit"), cascades["block"]), F.lit("block")).otherwise(F.lit("allow"))
+    return out.withColumn("rule", F.col("__wg_hit")).withColumn("verdict", blocked).drop("__wg_hit")
