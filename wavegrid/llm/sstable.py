@@ -161,22 +161,46 @@ class ShardReader:
         return out
 
 
+class Remembered(dict):
+    """A dict that forgets what was not asked for in the last ``limit`` new entries, half at a time."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.older = limit, {}
+
+    def absent(self, keys: set) -> list:
+        """Keys that are not known; older ones are taken over."""
+        out = []
+        for k in keys.difference(self):
+            v = self.older.get(k)
+            if v is None:
+                out.append(k)
+            else:
+                self[k] = v
+        return out
+
+    def age(self) -> None:
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+
+
 class Encoder:
-    """Token ids of texts, by the stretches between blanks.
+    """Token ids of texts, run by run.
 
-    The tokenizer drops white space and no token or normalisation reaches across it, so a text's ids are its
-    stretches' ids on end. Stretches of printable ASCII and Latin-1 letters fall further into runs by the
-    tokenizer's own pattern, each encoded by itself; many new runs are encoded in one text and told apart by
-    the tokens that end a run. All others are encoded as they are. What has up to 64 characters is remembered,
-    up to ``limit`` stretches and runs.
+    The tokenizer cuts a text into runs by a pattern, drops white space and encodes each run by itself, so a text's
+    ids are its runs' ids on end. Where a text has only printable ASCII, Latin-1 letters and blanks, the pattern
+    is applied here, to the text in lower case; many new runs are encoded in one text and told apart by the tokens
+    that end a run. Other texts go by their stretches between blanks, as no normalisation reaches across those; odd
+    stretches are encoded as they are. Runs and stretches of up to 64 characters are remembered for a while.
     """
 
-    limit = 200_000
-    plain = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+    plain = re.compile(r"[\x20-\x7e\t-\rÀ-ÖØ-öø-ÿ]*")
     #: Fixed value: the tokenizer's pattern, for these characters in lower case.
-    runs = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+    runs = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-z0-9ß-öø-ÿ]+")
+    blanks = re.compile("[" + BLANKS + "]+")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -185,28 +209,47 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.width = 2 if len(self.ends) <= 1 << 16 else 4
-        self.kept: dict[str, bytes] = {}
-        self.kept_runs: dict[str, bytes] = {}
-        self.table = str.maketrans({c: " " for c in BLANKS})
+        self.kept, self.odd = Remembered(limit), Remembered(limit // 10)
+
+    def _is_plain(self, text: str) -> bool:
+        return self.plain.fullmatch(text) is not None and "<|" not in text
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.translate(self.table).split(" ") for t in texts]
-        if len(self.kept) > self.limit:
-            self.kept.clear()
-        if len(self.kept_runs) > self.limit:
-            self.kept_runs.clear()
-        new = {w for ws in split for w in ws if w not in self.kept}
-        long = [w for w in new if len(w) > 64]
-        now = dict(zip(long, self._each(long)))
-        parts = {w: self.runs.findall(w.lower()) for w in new if len(w) <= 64 and self.plain.fullmatch(w) and "<|" not in w}
-        unseen = list({r for p in parts.values() for r in p if r not in self.kept_runs})
-        self.kept_runs.update(zip(unseen, self._together(unseen)))
-        other = [w for w in new if len(w) <= 64 and w not in parts]
-        self.kept.update(zip(other, self._each(other)))
-        for w, p in parts.items():
-            self.kept[w] = self.kept_runs[p[0]] if len(p) == 1 else b"".join(map(self.kept_runs.__getitem__, p))
-        get = (lambda w: self.kept.get(w) if len(w) <= 64 else now[w]) if now else self.kept.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), dtype="<u4") for ws in split]
+        easy = [i for i, t in enumerate(texts) if self._is_plain(t)]
+        split = [self.runs.findall(texts[i].lower()) for i in easy]
+        out: list = [None] * len(texts)
+        for i, ids in zip(easy, self._plain(split)):
+            out[i] = ids
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self._by_stretches([texts[i] for i in rest])):
+            out[i] = ids
+        return out
+
+    def _plain(self, split: list[list[str]]) -> list[np.ndarray]:
+        new = self.kept.absent(set().union(*split))
+        self.kept.update(zip(new, self._together(new)))
+        get = self.kept.__getitem__
+        out = [np.frombuffer(b"".join(map(get, rs)), dtype="<u4") for rs in split]
+        for r in new:
+            if len(r) > 64:
+                del self.kept[r]
+        self.kept.age()
+        return out
+
+    def _by_stretches(self, texts: list[str]) -> list[np.ndarray]:
+        split = [self.blanks.split(t) for t in texts]
+        new = self.odd.absent(set().union(*split))
+        easy = [w for w in new if self._is_plain(w)]
+        other = [w for w in new if not self._is_plain(w)]
+        self.odd.update(zip(easy, (x.tobytes() for x in self._plain([self.runs.findall(w.lower()) for w in easy]))))
+        self.odd.update(zip(other, self._each(other)))
+        get = self.odd.__getitem__
+        out = [np.frombuffer(b"".join(map(get, ws)), dtype="<u4") for ws in split]
+        for w in new:
+            if len(w) > 64:
+                del self.odd[w]
+        self.odd.age()
+        return out
 
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.of.encode_batch_fast(words, add_special_tokens=False)] if words else []
@@ -225,7 +268,7 @@ class Encoder:
         return out
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, texts_at_once: int = 256) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, texts_at_once: int = 512) -> DataFrame:
     """Encodes ``doc_id, text`` and writes shards into ``folder``, in ascending order of ids; returns their list.
 
     Rows are dealt out by ranges of (id, hash of the text), so that even one id in many rows is spread. A task
