@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavegrid.functions import arrays
-from wavegrid.operators import evaluate, features, grid, intervals, labels, models, segmenting, splitting
+from wavegrid.operators import evaluate, features, filters, grid, intervals, labels, models, segmenting, splitting
 from wavegrid.operators import folds as folds_
 from wavegrid.sources import writers
 from wavegrid.sources.tables import event_intervals, table
+from wavegrid.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -402,7 +403,7 @@ def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.folds(table(spark, sf_dir, "events"), "user_id")
 
 
-@query("interleave", """WITH t AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('1|' || doc_id), doc_id) AS turn FROM documents)
+@query("interleave", """WITH t AS (SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY source ORDER BY md5('1|' || doc_id), doc_id) AS INT) AS turn FROM documents)
   SELECT * FROM t WHERE turn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM documents GROUP BY source))""")
 def interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.interleave(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", ["doc_id"], stop_on_empty=True)
@@ -904,3 +905,85 @@ def mix_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = e.withColumn("other", F.floor(i / 2) * 2 + 1 - i % 2).join(e.select(i.alias("other"), F.col("embedding").alias("noise")), "other")
     mixed = features.mix_noise(F.col("embedding"), F.col("noise"), F.lit(3.0) + i % 28, i % 3 == 0)
     return pair.select("vec_id", F.round(F.get(mixed, F.lit(0)), 6).alias("first"), F.round(F.element_at(mixed, -1), 6).alias("last"))
+
+
+# ---- filters and reports
+
+
+@query(
+    "sample_filters",
+    """WITH e AS (SELECT event_id, value, [CAST(event_id % 5 AS INT), CAST(event_id % 3 AS INT)] AS raw FROM events),
+    x AS (SELECT event_id, value, list_sort(list_distinct(raw)) AS idx, 40 * value AS lo, 60 * value AS hi FROM e)
+    SELECT event_id, list_filter(idx, lambda i: i <> 4) AS idx FROM x WHERE idx <> [0] AND value > 1.5 AND value < 60 AND hi >= 100 AND lo <= 2000 AND list_contains(idx, 1)""",
+)
+def sample_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    idx = F.array_sort(F.array_distinct(F.array((i % 5).cast("int"), (i % 3).cast("int"))))
+    e = table(spark, sf_dir, "events").select(i, "value", F.lit(0.0).alias("start"), F.col("value").alias("end"), idx.alias("label_idx"), (F.lit(40) * F.col("value")).alias("min_freq"), (F.lit(60) * F.col("value")).alias("max_freq"))
+    e = filters.longer_than(filters.generic_only(filters.labelled(e), 0), 1.5)
+    e = filters.in_band(filters.signal_share(e, 0.0, 60.0, "value"), 100.0, 2000.0)
+    return filters.with_label(e, 1).select("event_id", filters.without_labels(F.col("label_idx"), 4).alias("idx"))
+
+
+@query("batches", f"""WITH r AS (SELECT doc_id, CAST(floor({_U.format("'1|run|' || doc_id")} * 64) AS INT) AS run FROM documents)
+  SELECT doc_id, run, CAST(floor((row_number() OVER (PARTITION BY run ORDER BY md5('1|' || doc_id), doc_id) - 1) / 4) AS INT) AS batch FROM r""")
+def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.batches(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], 4)
+
+
+@query("random_track", f"""WITH t AS (SELECT event_id AS rec_id, value AS duration, greatest(0, {_U.format("'1|track|' || event_id")} * (value - 3)) AS s FROM events)
+  SELECT rec_id, round(s, 6) AS "start", round(least(s + 3, duration), 6) AS "end" FROM t""")
+def random_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "events").select(F.col("event_id").alias("rec_id"), F.col("value").alias("duration"))
+    return filters.random_track(r).select("rec_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+@query(
+    "tighten",
+    """WITH l AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS o, len(embedding) AS n FROM embeddings),
+    s AS (SELECT *, round(sum(v) OVER (PARTITION BY vec_id ORDER BY o ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING), 9) AS total FROM l),
+    b AS (SELECT vec_id, o FROM s WHERE o + 8 <= n OR o = 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY total DESC, o) = 1)
+    SELECT vec_id, round(o * 0.1::DOUBLE, 6) AS "start", round((o + 8) * 0.1::DOUBLE, 6) AS "end" FROM b""",
+)
+def tighten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = intervals.tighten(_emb(spark, sf_dir), "vec_id", "x", 8, 0.1)
+    return t.select("vec_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+@query("label_audit", """SELECT lang, list_sort(list(DISTINCT source)) AS texts, count(*) FILTER (source IS NULL AND false) AS n_multi FROM documents GROUP BY lang""")
+def label_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.label_audit(table(spark, sf_dir, "documents"), "source", "lang")
+
+
+@query("most_confused", f"WITH {_PREDS_SQL} SELECT true_i, pred_i, n FROM cm WHERE n > 0 AND pred_i NOT IN (-1, true_i) QUALIFY row_number() OVER (PARTITION BY true_i ORDER BY n DESC, pred_i) = 1")
+def most_confused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.most_confused(confusion(spark, sf_dir))
+
+
+@query("folder_accuracy", f"""WITH {_PREDS_SQL} SELECT count(*) AS n, count(*) FILTER (y_true = pred_i) AS hits, count(*) FILTER ((y_true IN (1, 2, 3)) = (pred_i IN (1, 2, 3))) AS bird_hits FROM dc""")
+def folder_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _preds(spark, sf_dir).select(F.col("y_true").alias("label_i"), evaluate.decide(F.col("probs"), 0.2).alias("pred_i"))
+    return evaluate.folder_accuracy(d, [1, 2, 3])
+
+
+@query(
+    "species_result",
+    f"""WITH {_PREDS_SQL}, l AS (SELECT row_id, unnest(range(0, 10)) AS i, unnest(probs) AS p FROM pr), r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY p DESC, i) AS k FROM l)
+    SELECT row_id, string_agg('s' || i || '=' || CAST(round_even(p * 100, 0) AS INT), ',' ORDER BY k) AS result FROM r WHERE p > 0.2 OR k = 1 GROUP BY row_id""",
+)
+def species_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(f"s{i}") for i in range(10)])
+    r = evaluate.species_result(F.col("probs"), names, 0.2)
+    return _preds(spark, sf_dir).select("row_id", F.array_join(F.transform(r, lambda s: F.concat(s["name"], F.lit("="), s["percent"].cast("string"))), ",").alias("result"))
+
+
+@query("signal_layout")
+def signal_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _boxes(spark, sf_dir)
+    return folds_.file_layout(b.select(F.concat(F.lit("u"), (F.col("rec_id") % 97).cast("string")).alias("tags"), "rec_id", "start", "end"))
+
+
+@query("new_events", """SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 3)""")
+def new_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = table(spark, sf_dir, "lineitem").where("l_linenumber = 3").select(F.col("l_orderkey").alias("o_orderkey"))
+    return incremental.unprocessed(table(spark, sf_dir, "orders").select("o_orderkey"), done, "o_orderkey")
