@@ -16,6 +16,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -268,6 +269,12 @@ class Encoder:
         return out
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, which runs many tasks: what it remembers is bounded and worth keeping."""
+    return Encoder(path)
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, texts_at_once: int = 512) -> DataFrame:
     """Encodes ``doc_id, text`` and writes shards into ``folder``, in ascending order of ids; returns their list.
 
@@ -283,7 +290,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
 
     def write(batches):
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         part, made, shard = TaskContext.get().partitionId(), [], ShardWriter(encode.width)
 
         def flush():
