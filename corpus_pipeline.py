@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavegrid.llm import langid
-from wavegrid.llm.common import materialize
+from wavegrid.llm.common import materialize, maybe_broadcast
 from wavegrid.llm.decontaminate import find_contamination
 from wavegrid.llm.jaccard import jaccard_components
 from wavegrid.llm.mixing import emit_copies, mix_sources
@@ -31,11 +31,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows without an id can't be named as duplicates of others and stay.
     """
-    classes = jaccard_components(docs).where("doc_id is not null")
-    gone = materialize(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__wg_gone")).distinct(), "pipeline-duplicates")
-    kept = docs.join(gone, F.expr("doc_id = __wg_gone"), "left_anti")
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(kept.where("doc_id is null")).select(*COLUMNS)
+    classes = jaccard_components(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("__wg_id"))
+    facts = classes.agg(F.min("component_id").alias("__wg_class"), F.count("*").alias("__wg_n"))
+    facts = materialize(facts.where("__wg_id <> __wg_class or __wg_n > 1"), "pipeline-duplicates")
+    kept = docs.join(maybe_broadcast(facts, 64), F.expr("doc_id = __wg_id"), "left").where("__wg_id is null or __wg_id = __wg_class")
+    once = kept.where("__wg_id is null").select(*COLUMNS)
+    if not facts.where("__wg_n > 1").limit(1).count():
+        return once
+    return once.unionByName(kept.where("__wg_n > 1").dropDuplicates(["doc_id", "text"]).select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

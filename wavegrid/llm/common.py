@@ -89,15 +89,17 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple
         yield at, got
 
 
-def cell(ref: tuple[pa.RecordBatch, int], name: str):
-    b, i = ref
-    return b.column(b.schema.get_field_index(name))[i].as_py()
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts are Python objects at a time."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
 
 
 class WordHash(dict):
     """Word (bytes) to a 64-bit hash, remembered for up to ``limit`` words."""
 
-    limit = 400_000
+    limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

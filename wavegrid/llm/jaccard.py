@@ -25,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import WordHash, groups, materialize, maybe_broadcast, partitions
+from wavegrid.llm.common import WordHash, groups, materialize, maybe_broadcast, partitions, slices
 from wavegrid.llm.components import connected_components
 
 SIGNATURE_BITS = 1024
-FLUSH_KEYS = 1_500_000
+FLUSH_KEYS = 750_000
 U = np.uint64
 
 
@@ -152,7 +152,7 @@ def repeated_shingles(docs: DataFrame, ngram: int) -> DataFrame:
             sets, ids, total, turn = [], [], 0, turn + 1
             return _table(_SENT, rows)
 
-        for b in batches:
+        for b in slices(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                 h = shingles(text.as_py(), ngram, cache)
                 sets.append(h)
@@ -245,7 +245,7 @@ def candidate_edges(docs: DataFrame, some: DataFrame, ngram: int, percent: int)
             sets, ids, edges, seen, total, turn = [], [], [], {}, 0, turn + 1
             return _table(_DEALT, rows)
 
-        for b in batches:
+        for b in slices(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                 h = shingles(text.as_py(), ngram, cache)
                 mark = xxhash.xxh3_128_digest(h.tobytes())
@@ -412,7 +412,7 @@ def _compare(docs: DataFrame, placed: DataFrame, ngram: int, percent: int, cross
 
     def sets_of(batches):
         cache, seen, n = WordHash(), {}, 0
-        for b in batches:
+        for b in slices(batches):
             rows = []
             cols = [b.column(i).to_pylist() for i in range(5)]
             for doc_id, text, cluster, known, tiles in zip(*cols):

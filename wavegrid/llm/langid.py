@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wavegrid.llm.common import map_arrow
+from wavegrid.llm.common import map_arrow, slices
 
 ORDERS = (1, 2, 3)
 _LETTER = re.compile(r"[^\W\d_]")
 #: Characters scored at once for four languages; fewer with more languages, to bound memory.
-STEP = 1 << 20
+STEP = 1 << 19
 
 
 def _buckets(texts: list[str], n_buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -68,7 +68,7 @@ def fit(docs: DataFrame, n_buckets: int = 1 << 16, max_langs: int = 1000) -> Mod
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in slices(batches, 1024):
             texts, langs = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lang in dict.fromkeys(langs):
                 own = [t for t, x in zip(texts, langs) if x == lang]
@@ -114,7 +114,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         n_buckets, n_langs = m.log_prob.shape
         step = max(1 << 14, STEP * 4 // max(n_langs, 4))
-        for b in batches:
+        for b in slices(batches, 1024):
             texts = b.column(at).to_pylist()
             pred, prob = ["und"] * len(texts), np.zeros(len(texts))
             for i, j in _steps(texts, step) if n_langs else ():
