@@ -250,9 +250,11 @@ def alias_to_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(labels.to_code(part, "p_type", am).select("p_partkey", "code"))
 
 
-@query("code_aliases", f"""WITH {_ALIAS_SQL} SELECT code, list_sort(list(alias)) AS aliases, min(alias) AS display_name FROM am GROUP BY code""")
+@query("code_aliases", """WITH am AS (SELECT replace(lower(p_name), ' ', '-') AS alias, max(p_brand) AS code FROM part GROUP BY 1)
+  SELECT code, list_sort(list(alias)) AS aliases, min(alias) AS display_name FROM am GROUP BY code""")
 def code_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.code_aliases(_aliases(spark, sf_dir))
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("alias"), F.col("p_brand").alias("code"))
+    return labels.code_aliases(labels.alias_map((names, 1)))
 
 
 #: Merges of part types for these queries: by the first word of the type.
@@ -431,7 +433,7 @@ def mixup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Customers as points in a box of 4 by 3 degrees, squares of 0.1 by 0.09 degrees under its lower left part.
 _POINTS_SQL = """pt AS (SELECT c_custkey AS point_id, 172.0::DOUBLE + (c_custkey * 7919 % 40000) / 10000.0::DOUBLE AS lng, -43.0::DOUBLE + (c_custkey * 104729 % 30000) / 10000.0::DOUBLE AS lat FROM customer),
-  sq AS (SELECT p_partkey AS square_id, 172.0::DOUBLE + ((p_partkey - 1) % 25) * 0.1::DOUBLE AS x0, -43.0::DOUBLE + floor((p_partkey - 1) / 25) * 0.09::DOUBLE AS y0 FROM part WHERE p_partkey <= 500),
+  sq AS (SELECT p_partkey AS square_id, 172.0::DOUBLE + ((p_partkey - 1) % 25) * 0.1::DOUBLE AS x0, -43.0::DOUBLE + floor((p_partkey - 1) / 25) * 0.09::DOUBLE AS y0 FROM part),
   sb AS (SELECT *, x0 + 0.1::DOUBLE AS x1, y0 + 0.09::DOUBLE AS y1 FROM sq),
   hit AS (SELECT point_id, arg_min(square_id, (x0, y0, square_id)) AS square_id FROM pt JOIN sb ON lng BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1 GROUP BY point_id),
   mc AS (SELECT square_id, c.c_mktsegment AS code, month(o_orderdate) AS month, count(*) AS n FROM hit JOIN customer c ON point_id = c_custkey JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
@@ -448,7 +450,7 @@ def _grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         (F.lit(-43.0) + F.col("c_custkey") * 104729 % 30000 / F.lit(10000.0)).alias("lat"),
     )
     i = F.col("p_partkey") - 1
-    squares = p.where("p_partkey <= 500").select(F.col("p_partkey").alias("square_id"), (F.lit(172.0) + i % 25 * F.lit(0.1)).alias("x0"), (F.lit(-43.0) + F.floor(i / 25) * F.lit(0.09)).alias("y0"))
+    squares = p.select(F.col("p_partkey").alias("square_id"), (F.lit(172.0) + i % 25 * F.lit(0.1)).alias("x0"), (F.lit(-43.0) + F.floor(i / 25) * F.lit(0.09)).alias("y0"))
     return points, squares.withColumn("x1", F.col("x0") + 0.1).withColumn("y1", F.col("y0") + 0.09)
 
 
