@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from wavegrid.llm.common import map_arrow, slices
 
 ORDERS = (1, 2, 3)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: Characters scored at once for four languages; fewer with more languages, to bound memory.
 STEP = 1 << 19
 
