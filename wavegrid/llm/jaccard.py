@@ -184,7 +184,7 @@ def repeated_shingles(docs: DataFrame, ngram: int) -> DataFrame:
                 at = np.searchsorted(twice, single)
                 hit = twice[np.minimum(at, len(twice) - 1)] == single if len(twice) else np.zeros(len(single), dtype=bool)
                 if hit.any():
-                    yield _table(_COUNTED, [(chunk, 1, np.bincount(owner[hit]).astype("<u2").tobytes())])
+                    yield _table(_COUNTED, [(chunk, 1, np.bincount(owner[hit]).astype("<u4").tobytes())])
 
     def total(batches):
         for _, refs in groups(batches, ["chunk"]):
@@ -195,7 +195,7 @@ def repeated_shingles(docs: DataFrame, ngram: int) -> DataFrame:
             sizes, known = np.frombuffer(data, np.int64, 2 * n, 9 * n).reshape(2, n)
             known = known.copy()
             for b, i in rest:
-                more = np.frombuffer(b.column(2)[i].as_py(), "<u2")
+                more = np.frombuffer(b.column(2)[i].as_py(), "<u4")
                 known[: len(more)] += more
             yield pa.record_batch({"doc_id": ids, "n": pa.array(sizes, pa.int64()), "repeated": pa.array(known, pa.int64())})
 
