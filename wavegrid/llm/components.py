@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import materialize, partitions
+from wavegrid.llm.common import materialize, partitions, tidy
 
 
 def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,6 +36,7 @@ def _columns(batches) -> tuple[np.ndarray, np.ndarray]:
 
 def _edges(a: np.ndarray, b: np.ndarray):
     a, b = contract(a, b)
+    tidy()
     if len(a):
         yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -51,10 +52,6 @@ def _smallest(u: np.ndarray, v: np.ndarray, with_self: bool) -> np.ndarray:
     return np.minimum(out, u) if with_self else out
 
 
-def _local(batches):
-    yield from _edges(*_columns(batches))
-
-
 def _large(batches):
     """Larger neighbours of a node go to its smallest one."""
     u, v = _columns(batches)
@@ -79,13 +76,12 @@ def _stamp(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``a, b`` (long) to ``node, component``: the smallest node each can reach. Nodes without edges are not listed.
 
-    Every task first contracts what it holds to edges to smallest nodes, so a hub reaches the shuffle once per task. A
-    round then joins every node's larger neighbours to its smallest one, and its smaller ones: a shuffle each.
-    Rounds grow with the logarithm of the number of nodes; each ends in a written table.
+    A round joins every node's larger neighbours to its smallest one, then its smaller ones: a shuffle each. What a task
+    makes it contracts to edges to smallest nodes first. Rounds grow with the logarithm of the number of nodes; each ends in a written table.
     """
     n = partitions(edges.sparkSession)
     kind = "a long, b long"
-    e = materialize(edges.select("a", "b").where("a <> b").mapInArrow(_local, kind), "cc-edges")
+    e = materialize(edges.select("a", "b").where("a <> b"), "cc-edges")
     stamp = None
     for _ in range(max_rounds):
         both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("s")).select("s.a", "s.b")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from wavegrid.llm.common import slices, tidy
+
 
 #: Bytes to bytes: A-Z lower-cased, what is no part of a word to a blank. A word is `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing.
 _FOLD = bytes(
@@ -294,7 +296,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, max_w
 
     def search(batches):
         kept, size = [], 0
-        for b in batches:
+        for b in slices(batches, 2048):
             lengths = [len(t) if t else 0 for t in b.column(at).to_pylist()]
             begin = 0
             for i, n in enumerate(lengths):
@@ -307,5 +309,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, max_w
                 kept.append(b.slice(begin))
         if kept:
             yield shard(pa.Table.from_batches(kept).combine_chunks().to_batches()[0])
+            kept = []
+        tidy()
 
     return docs.mapInArrow(search, schema)

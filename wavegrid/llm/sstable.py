@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import BLANKS, materialize, maybe_broadcast, partitions, put_file, scratch
+from wavegrid.llm.common import BLANKS, materialize, maybe_broadcast, partitions, put_file, scratch, slices
 
 MAGIC = b"WGSST\x01\x00\x00"
 FOOTER = struct.Struct("<QQQQQQI8s")
@@ -302,13 +302,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
                 made.append((name, docs_, tokens))
                 shard = ShardWriter(encode.width)
 
-        for b in batches:
-            for k in range(0, b.num_rows, texts_at_once):
-                some = b.slice(k, texts_at_once)
-                for i, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
-                    shard.add(encode_key(i), np.append(ids, np.uint32(end_id)))
-                    if shard.raw >= SHARD_BYTES:
-                        flush()
+        for some in slices(batches, texts_at_once):
+            for i, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
+                shard.add(encode_key(i), np.append(ids, np.uint32(end_id)))
+                if shard.raw >= SHARD_BYTES:
+                    flush()
         flush()
         if made:
             names, n_docs, n_tokens = zip(*made)
