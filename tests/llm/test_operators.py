@@ -484,3 +484,21 @@ def test_mixing_meets_targets(spark):
     assert abs(sum(s[2] for s in by.values()) - 1.5 * total) < 1e-6 and all(s[0] == s[3] and s[2] <= 2 * s[0] + 1e-9 for s in by.values())
     assert all(abs(s[1] - s[2]) <= 130 for s in by.values())
     assert emit_copies(mix_sources(df), ["doc_id"]).count() == sum(x["copies"] for x in rows)
+
+
+def scores_of(spark, tmp_path, train, held, partitions=4):
+    from wavegrid.llm.pitman_yor import score_texts
+
+    at = str(tmp_path / f"docs-{partitions}")
+    spark.createDataFrame([(t, False) for t in train] + [(t, True) for t in held], "text string, held_out boolean").coalesce(1).write.parquet(at)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        return {r["text"]: r["score"] for r in score_texts(spark.read.parquet(at), "held_out").where("held_out").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_language_model_tells_whole_contexts_apart(spark, tmp_path):
+    got = scores_of(spark, tmp_path, ["hand left"] * 40 + ["land right"] * 40, ["hand left", "hand right", "land left", "land right"])
+    assert got["hand left"] > got["hand right"] + 1 and got["land right"] > got["land left"] + 1, got
