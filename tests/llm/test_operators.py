@@ -502,3 +502,16 @@ def scores_of(spark, tmp_path, train, held, partitions=4):
 def test_language_model_tells_whole_contexts_apart(spark, tmp_path):
     got = scores_of(spark, tmp_path, ["hand left"] * 40 + ["land right"] * 40, ["hand left", "hand right", "land left", "land right"])
     assert got["hand left"] > got["hand right"] + 1 and got["land right"] > got["land left"] + 1, got
+
+
+def test_language_model_sums_to_one(spark, tmp_path):
+    """The probabilities of all documents, which are paths from end to end, sum to one; zz stands for any word not learned."""
+    r = random.Random(9)
+    words = ["the", "of", "red", "tree", "42", "zz"]
+    train = [" ".join(r.choice(words[:-1]) for _ in range(r.randint(0, 12))) for _ in range(60)]
+    held = ["", *words, *(f"{a} {b}" for a in words for b in words)]
+    got = scores_of(spark, tmp_path, train, held)
+    one = np.array([10 ** got[a] for a in words])
+    step = np.array([[10 ** got[f"{a} {b}"] for b in words] for a in words]) / one
+    assert abs(10 ** got[""] + np.linalg.solve(np.eye(len(words)) - step, one).sum() - 1) < 1e-4
+    assert got == scores_of(spark, tmp_path, train, held, 7)
