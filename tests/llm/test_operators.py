@@ -515,3 +515,20 @@ def test_language_model_sums_to_one(spark, tmp_path):
     step = np.array([[10 ** got[f"{a} {b}"] for b in words] for a in words]) / one
     assert abs(10 ** got[""] + np.linalg.solve(np.eye(len(words)) - step, one).sum() - 1) < 1e-4
     assert got == scores_of(spark, tmp_path, train, held, 7)
+
+
+def test_jaccard_join_of_ids_with_several_texts(spark):
+    """Under one id a long row that shares 300 of its 1,000 words and a short one that is a near copy of another document."""
+    from wavegrid.llm.jaccard import candidate_edges, jaccard_components
+
+    r, docs = random.Random(3), []
+    made = lambda n: [f"w{r.getrandbits(60)}" for _ in range(n)]
+    for k in range(8):
+        part, short = made(300), made(100)
+        docs += [(10 * k, " ".join(part + made(700))), (10 * k, " ".join(short)), (10 * k + 1, " ".join(short + made(1))), (10 * k + 2, " ".join(part + made(700)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    some = df.selectExpr("doc_id as node").distinct()
+    edges = {tuple(sorted(e)) for e in candidate_edges(df, some, 1, 80).collect()}
+    assert edges >= {(10 * k, 10 * k + 1) for k in range(8)}
+    got = sorted((tuple(x) for x in jaccard_components(df).collect()), key=repr)
+    assert got == jaccard_by_pairs(docs)

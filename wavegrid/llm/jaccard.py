@@ -213,7 +213,7 @@ def _read_ids(data: bytes, n: int) -> pa.Array:
 
 
 _DEALT = "bucket int, kind int, data binary"
-_RARE = np.dtype([("d", "<i8"), ("h", "<u8"), ("f", "<u4"), ("n", "<u4")])
+_RARE = np.dtype([("d", "<i8"), ("row", "<u8"), ("h", "<u8"), ("f", "<u4"), ("n", "<u4")])
 _KEY = np.dtype([("h", "<u8"), ("d", "<i8")])
 
 
@@ -230,10 +230,10 @@ def candidate_edges(docs: DataFrame, some: DataFrame, ngram: int, percent: int)
     texts = docs.select("doc_id", "text").join(maybe_broadcast(some, 64), F.expr("doc_id = node")).select("doc_id", "text")
 
     def send(batches):
-        cache, sets, ids, edges, seen, total, turn = WordHash(), [], [], [], {}, 0, 0
+        cache, sets, ids, row_keys, edges, seen, total, turn = WordHash(), [], [], [], [], {}, 0, 0
 
         def flush():
-            nonlocal sets, ids, edges, seen, total, turn
+            nonlocal sets, ids, row_keys, edges, seen, total, turn
             rows = []
             if edges:
                 rows.append((turn % n_buckets, 1, np.array(edges, dtype=np.int64).tobytes()))
@@ -241,8 +241,9 @@ def candidate_edges(docs: DataFrame, some: DataFrame, ngram: int, percent: int)
                 sizes = [len(h) for h in sets]
                 r = np.zeros(sum(sizes), dtype=_RARE)
                 r["d"], r["h"], r["n"] = np.repeat(np.array(ids, dtype=np.int64), sizes), np.concatenate(sets), np.repeat(sizes, sizes)
+                r["row"] = np.repeat(np.array(row_keys, dtype=U), sizes)
                 rows += _dealt(0, r, _bucket(r["h"], n_buckets))
-            sets, ids, edges, seen, total, turn = [], [], [], {}, 0, turn + 1
+            sets, ids, row_keys, edges, seen, total, turn = [], [], [], [], {}, 0, turn + 1
             return _table(_DEALT, rows)
 
         for b in slices(batches):
@@ -255,6 +256,7 @@ def candidate_edges(docs: DataFrame, some: DataFrame, ngram: int, percent: int)
                 else:
                     sets.append(h)
                     ids.append(doc_id)
+                    row_keys.append(xxhash.xxh3_64_intdigest(doc_id.to_bytes(8, "little", signed=True) + mark))
                     total += len(h)
                 if total >= FLUSH_KEYS or len(edges) >= 100_000:
                     yield flush()
@@ -262,10 +264,10 @@ def candidate_edges(docs: DataFrame, some: DataFrame, ngram: int, percent: int)
             yield flush()
 
     def weigh(batches):
-        """The number of holders goes back with each shingle, to where all of a document's meet."""
+        """The number of holders goes back with each shingle, to where all of a row's meet."""
 
         def give(records):
-            return _table(_DEALT, _dealt(0, records, _bucket(_mix(records["d"].view(U)), n_deal)))
+            return _table(_DEALT, _dealt(0, records, _bucket(records["row"], n_deal)))
 
         held, total = [], 0
         for _, refs in groups(batches, ["bucket"]):
@@ -291,7 +293,7 @@ def candidate_edges(docs: DataFrame, some: DataFrame, ngram: int, percent: int)
             yield give(np.concatenate(held))
 
     def choose(batches):
-        """Keys of each document: of its prefix, the shingles that others hold."""
+        """Keys of each row (an id and a set): of its prefix, the shingles that others hold."""
 
         def give(keys):
             h, least, edges = _star(keys["h"], keys["d"])
@@ -313,8 +315,8 @@ def candidate_edges(docs: DataFrame, some: DataFrame, ngram: int, percent: int)
             if not parts:
                 continue
             r = np.concatenate(parts)
-            r = r[np.lexsort((r["h"], r["f"], r["d"]))]
-            cuts = _cuts(r["d"])
+            r = r[np.lexsort((r["h"], r["f"], r["row"]))]
+            cuts = _cuts(r["row"])
             start = np.array([i for i, _ in cuts])
             size = np.array([j - i for i, j in cuts])
             n = r["n"][start].astype(np.int64)
