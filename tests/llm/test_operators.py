@@ -532,3 +532,14 @@ def test_jaccard_join_of_ids_with_several_texts(spark):
     assert edges >= {(10 * k, 10 * k + 1) for k in range(8)}
     got = sorted((tuple(x) for x in jaccard_components(df).collect()), key=repr)
     assert got == jaccard_by_pairs(docs)
+
+
+def test_url_filter_beyond_the_cascade(spark):
+    from wavegrid.llm.url_filter import filter_urls
+
+    urls = [None, "", "http://", *(f"http://{h}{p}?q" for h in ("COM", "a.example.com", "www.example.net", "org", "xcom") for p in ("/en/", "/en/70", "/de/81", "/es/", ""))]
+    df = spark.createDataFrame([(i, u, "kept") for i, u in enumerate(urls + urls[:9])], "page_id int, url string, path string")
+    rules = [*q.RULES, *(("allow", f"h{i}.com", "/x") for i in range(30))]
+    want, got = filter_urls(df, rules), filter_urls(df, rules, max_bits=128)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert {"block", "allow"} == {x["verdict"] for x in got.where("rule is not null").collect()}

@@ -27,16 +27,26 @@ class Level:
     seed: int
 
 
+class TooLarge(ValueError):
+    """A level would exceed ``max_bits``."""
+
+
 def _positions(key: Column, n_bits: int, n_hashes: int, seed: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(seed), F.lit(i)), F.lit(n_bits)) for i in range(n_hashes)]
 
 
-def _level(keys: DataFrame, n: int, fpr: float, seed: int, max_bits: int) -> Level:
-    """A filter over ``key``; its size follows from the count of keys and is checked."""
+def _size(n: int, fpr: float, max_bits: int) -> tuple[int, int]:
+    """Bits and hashes of a filter over ``n`` keys."""
     n_hashes = max(1, round(-math.log2(fpr)))
     n_bits = -(-max(64, math.ceil(n * n_hashes / math.log(2))) // 8) * 8
     if n_bits > max_bits:
-        raise ValueError(f"{n} keys need {n_bits} bits, over max_bits={max_bits}: use listed_by_join() for such lists")
+        raise TooLarge(f"{n} keys need {n_bits} bits, over max_bits={max_bits}: use listed_by_join() for such lists")
+    return n_bits, n_hashes
+
+
+def _level(keys: DataFrame, n: int, fpr: float, seed: int, max_bits: int) -> Level:
+    """A filter over ``key``; its size follows from the count of keys and is checked."""
+    n_bits, n_hashes = _size(n, fpr, max_bits)
     at = keys.select(F.explode(F.array(*_positions(F.col("key"), n_bits, n_hashes, seed))).alias("p"))
     words = (
         at.groupBy(F.shiftright("p", 3).alias("byte"))
@@ -113,6 +123,18 @@ def _candidates(rules: list[tuple[str, str, str]]) -> Column:
     return F.reverse(F.array_sort(F.transform(known, lambda k: F.struct(F.length(k).alias("n"), k.alias("k")))))
 
 
+def _filter_by_join(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """``rule`` and ``verdict`` for rows with ``host`` and ``path``: the longest listed candidate of each distinct pair is joined back."""
+    listed = pages.sparkSession.createDataFrame([(h + p, a == "block") for a, h, p in rules], "key string, blocked boolean")
+    blocked = listed.groupBy("key").agg(F.max("blocked").alias("blocked"))
+    asked = pages.select("host", "path").distinct().select("host", "path", F.explode(_candidates(rules)).alias("c")).select("host", "path", "c.n", F.col("c.k").alias("key"))
+    hits = listed_by_join(asked, listed).groupBy("host", "path").agg(F.max(F.struct("n", "key"))["key"].alias("key")).join(blocked, "key")
+    hits = hits.select(F.col("host").alias("__wg_host"), F.col("path").alias("__wg_path"), F.col("key").alias("__wg_hit"), F.col("blocked").alias("__wg_blocked"))
+    out = pages.join(hits, F.expr("host = __wg_host and path = __wg_path"), "left")
+    verdict = F.when(F.col("__wg_blocked"), F.lit("block")).otherwise(F.lit("allow"))
+    return out.withColumn("rule", F.col("__wg_hit")).withColumn("verdict", verdict).drop("__wg_host", "__wg_path", "__wg_hit", "__wg_blocked")
+
+
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", fpr: float = 0.01, max_bits: int = 1 << 23) -> DataFrame:
     """Adds ``host``, ``path``, ``rule`` and ``verdict`` to every row of ``pages``.
 
@@ -120,7 +142,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str =
     fits its host and all subdomains if the path starts with the rule's; the longest host and path wins. Without
     a fitting rule no listed key covers the url: ``rule`` is null and the verdict ``allow``. Null urls, urls
     without ``://`` and empty tables are allowed; repeated rows stay; other columns are kept, but columns
-    of the four names are replaced.
+    of the four names are replaced. Where a level of the cascade would exceed ``max_bits``, candidate keys are
+    looked up by shuffled joins instead.
     """
     spark: SparkSession = pages.sparkSession
     pages = with_host_path(pages.drop("host", "path", "rule", "verdict"), url)
@@ -128,10 +151,14 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str =
         return pages.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit("allow"))
     universe = pages.select("host", "path").distinct().select(F.explode(_candidates(rules)["k"]).alias("key"))
     cascades = {}
-    for action in ("block", "allow"):
-        keys = sorted({h + p for a, h, p in rules if a == action})
-        listed = spark.range(1).select(F.explode(F.array(*map(F.lit, keys)).cast("array<string>")).alias("key"))
-        cascades[action] = build_cascade(listed, universe, fpr, max_bits)
+    try:
+        for action in ("block", "allow"):
+            keys = sorted({h + p for a, h, p in rules if a == action})
+            _size(len(keys), fpr, max_bits)
+            listed = spark.range(1).select(F.explode(F.array(*map(F.lit, keys)).cast("array<string>")).alias("key"))
+            cascades[action] = build_cascade(listed, universe, fpr, max_bits)
+    except TooLarge:
+        return _filter_by_join(pages, rules)
     hits = F.filter(_candidates(rules), lambda c: contains(c["k"], cascades["block"]) | contains(c["k"], cascades["allow"]))
     out = pages.withColumn("__wg_hit", F.when(F.size(hits) > 0, F.element_at(hits, 1)["k"]))
     blocked = F.when(F.col("__wg_hit").isNotNull() & contains(F.col("__wg_hit"), cascades["block"]), F.lit("block")).otherwise(F.lit("allow"))
