@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import materialize, partitions, tidy
+from wavegrid.llm.common import materialize, maybe_broadcast, partitions, tidy
 
 
 def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -27,11 +27,9 @@ def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[moved], ids[label[moved]]
 
 
-def _columns(batches) -> tuple[np.ndarray, np.ndarray]:
-    got = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
-    if not got:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got])
+def _columns(batches, n: int) -> list[np.ndarray]:
+    got = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(n)] for b in batches]
+    return [np.concatenate(c) for c in zip(*got)] if got else [np.zeros(0, dtype=np.int64)] * n
 
 
 def _edges(a: np.ndarray, b: np.ndarray):
@@ -53,18 +51,18 @@ def _smallest(u: np.ndarray, v: np.ndarray, with_self: bool) -> np.ndarray:
 
 
 def _large(batches):
-    """Larger neighbours of a node go to its smallest one."""
-    u, v = _columns(batches)
+    """Larger neighbours of a node go to its smallest one; of a node in several parts that one comes along."""
+    u, v, w = _columns(batches, 3)
     if len(u):
-        m = _smallest(u, v, True)
+        m = np.minimum(_smallest(u, v, True), w)
         yield from _edges(v[v > u], m[v > u])
 
 
 def _small(batches):
     """A node and its smaller neighbours go to the smallest."""
-    u, v = _columns(batches)
+    u, v, w = _columns(batches, 3)
     if len(u):
-        m = _smallest(u, v, False)
+        m = np.minimum(_smallest(u, v, False), w)
         yield from _edges(np.concatenate([u, v]), np.concatenate([m, m]))
 
 
@@ -73,25 +71,34 @@ def _stamp(edges: DataFrame) -> tuple:
     return r[0], r[1]
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _by_node(edges: DataFrame, hub_edges: int) -> DataFrame:
+    """``a, b, w`` dealt out by ``a``. Edges of a node that has more than ``hub_edges`` go to several tasks, with its smallest neighbour as ``w``."""
+    degree = edges.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("w"))  # summed in each task first
+    hubs = materialize(degree.where(F.col("n") > hub_edges), "cc-hubs")
+    some = edges.join(maybe_broadcast(hubs, 32), "a", "left")
+    part = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / hub_edges))).otherwise(F.lit(0).cast("long"))
+    none = F.lit(2**63 - 1)
+    return some.select("a", "b", F.coalesce("w", none).alias("w"), part.alias("part")).repartition(partitions(edges.sparkSession), "a", "part")
+
+
+def connected_components(edges: DataFrame, hub_edges: int = 1_000_000) -> DataFrame:
     """``a, b`` (long) to ``node, component``: the smallest node each can reach. Nodes without edges are not listed.
 
     A round joins every node's larger neighbours to its smallest one, then its smaller ones: a shuffle each. What a task
-    makes it contracts to edges to smallest nodes first. Rounds grow with the logarithm of the number of nodes; each ends in a written table.
+    makes it contracts to edges to smallest nodes first. Rounds go on until nothing changes; their number grows with the
+    logarithm of the number of nodes, and each ends in a written table.
     """
-    n = partitions(edges.sparkSession)
     kind = "a long, b long"
     e = materialize(edges.select("a", "b").where("a <> b"), "cc-edges")
-    stamp = None
-    for _ in range(max_rounds):
+    stamp, now = None, _stamp(e)
+    while now[0] and now != stamp:
+        stamp = now
         both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("s")).select("s.a", "s.b")
-        large = both.repartition(n, "a").mapInArrow(_large, kind)
-        e = materialize(large.repartition(n, "a").mapInArrow(_small, kind), "cc-edges")
+        deal = _by_node if now[0] > hub_edges else lambda x, _: x.withColumn("w", F.lit(2**63 - 1)).repartition(partitions(e.sparkSession), "a")
+        large = deal(both, hub_edges).select("a", "b", "w").mapInArrow(_large, kind)
+        large = materialize(large, "cc-large") if now[0] > hub_edges else large
+        small = deal(large, hub_edges).select("a", "b", "w").mapInArrow(_small, kind)
+        e = materialize(small, "cc-edges")
         now = _stamp(e)
-        if now == stamp or not now[0]:
-            break
-        stamp = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     rooted = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("component")), F.struct(F.col("b").alias("node"), F.col("b").alias("component"))))
     return e.select(rooted.alias("s")).select("s.node", "s.component").distinct()

@@ -1,32 +1,39 @@
 """N-gram Jaccard join: classes of documents that are linked by similar sets of word shingles.
 
-Comparing all documents of like size would grow with the square of their number, so the size-banded tiles are
-made of candidates only, in a way that loses no link:
-
-* A linked document shares at least the threshold's part of its shingles with another. The shingles are counted
-  by hash; documents with fewer repeated ones drop out.
-* Of the others, every document sends its rarest shingles, as many as a partner can't lack all of (a prefix
-  of the set in one order for all: by number of candidates that hold the shingle, then by hash). Shingles
-  of boilerplate come last in that order and bring nothing together.
-
-Documents that share such a shingle are candidates. Each task and each range of keys sends only the edges from
-its smallest document to the others, which keeps candidates connected without pairs within a group. The
-components of these edges are the tiles in which sizes, signatures and sets are compared.
+Comparing all documents of like size would grow with the square of their number, so size-banded tiles are made
+per shingle, of rows that may be linked, in a way that loses no link:
+
+* A linked document shares at least the threshold's part of its shingles with another. Shingles are counted by
+  hash; documents with fewer repeated ones drop out, and of rows with equal sets one goes on for all.
+* Of the others, every row names its rarest shingles, as many as a partner can't lack all of (a prefix of the
+  set in one order for all: by number of candidates that hold the shingle, then by hash). Shingles of
+  boilerplate come last in that order and bring nothing together.
+* A tile is a shingle and a size band. Bands grow by the threshold's ratio, so a link's two sizes lie in one
+  band or in neighbours, and a tile has the rows of its band and those of the band below. Beyond ``tile_docs``
+  rows it is cut into blocks.
+
+In a tile, bitmap signatures bound the overlap of two sets from above, and only pairs that pass are intersected
+exactly. The first round compares rows with one leader after another and keeps two pairs for each row, which
+joins most of what belongs together. Components of the links found so far then say which pairs still matter: the
+second round takes from each tile all pairs of different components that pass the bound. Components only ever run
+over links that were verified.
 """
 
 from __future__ import annotations
 
+import math
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import WordHash, groups, materialize, maybe_broadcast, partitions, slices
-from wavegrid.llm.components import connected_components
+from wavegrid.llm.common import WordHash, groups, materialize, maybe_broadcast, partitions, slices, tidy
+from wavegrid.llm.components import connected_components, contract
 
 SIGNATURE_BITS = 1024
 FLUSH_KEYS = 750_000
@@ -53,26 +60,6 @@ def shingles(text: str | None, n: int, cache: WordHash) -> np.ndarray:
     return np.unique(_mix(h))
 
 
-def _star(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, the smallest document of each, and the distinct edges (document, smallest)."""
-    order = np.argsort(keys, kind="stable")
-    keys, docs = keys[order], docs[order]
-    start = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
-    least = np.minimum.reduceat(docs, start)
-    mine = np.repeat(least, np.diff(np.append(start, len(keys))))
-    other = docs != mine
-    return keys[start], least, _distinct(docs[other], mine[other])
-
-
-def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    if not len(a):
-        return np.zeros((0, 2), dtype=np.int64)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    return np.stack([a[new], b[new]], axis=1)
-
-
 def _low40(h: np.ndarray) -> bytes:
     return np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
@@ -108,11 +95,11 @@ def _needed(n: np.ndarray, percent: int) -> np.ndarray:
 
 _SENT = "bucket int, kind int, chunk long, data binary"
 _COUNTED = "chunk long, kind int, data binary"
-_SIZES = "doc_id long, n long, repeated long"
+_SIZES = "doc_id long, n long, repeated long, set_a long, set_b long"
 
 
 def repeated_shingles(docs: DataFrame, ngram: int) -> DataFrame:
-    """``doc_id, n, repeated``: for each row the size of its set, and how many members other rows hold too.
+    """``doc_id, n, repeated, set_a, set_b``: for each row the size of its set, how many members other rows hold too, and a hash of the set.
 
     Counts are by bucket and 40 more bits of the hash; equal ones of different shingles only raise ``repeated``. What
     repeats within a task's chunk of rows is sent once for all.
@@ -135,7 +122,8 @@ def repeated_shingles(docs: DataFrame, ngram: int) -> DataFrame:
             many = np.zeros(len(h), dtype=bool)
             many[order[1:][same]] = many[order[:-1][same]] = True
             known = np.bincount(owner[many], minlength=len(sets))
-            rows = [(turn % n_buckets, 0, chunk, _ids(ids) + sizes.tobytes() + known.astype(np.int64).tobytes())]
+            marks = b"".join(xxhash.xxh3_128_digest(h.tobytes()) for h in sets)
+            rows = [(turn % n_buckets, 0, chunk, _ids(ids) + sizes.tobytes() + known.astype(np.int64).tobytes() + marks)]
             shared = np.unique(h[many])
             at = _bucket(shared, n_buckets)
             parts = {int(at[i]): shared[i:j] for i, j in _cuts(at)}
@@ -190,14 +178,16 @@ def repeated_shingles(docs: DataFrame, ngram: int) -> DataFrame:
         for _, refs in groups(batches, ["chunk"]):
             (b, i), *rest = refs
             data = b.column(2)[i].as_py()
-            n = len(data) // 25
+            n = len(data) // 41
             ids = _read_ids(data, n)
             sizes, known = np.frombuffer(data, np.int64, 2 * n, 9 * n).reshape(2, n)
             known = known.copy()
             for b, i in rest:
                 more = np.frombuffer(b.column(2)[i].as_py(), "<u4")
                 known[: len(more)] += more
-            yield pa.record_batch({"doc_id": ids, "n": pa.array(sizes, pa.int64()), "repeated": pa.array(known, pa.int64())})
+            mark = np.frombuffer(data, "<i8", 2 * n, 25 * n).reshape(n, 2)
+            cols = {"n": sizes, "repeated": known, "set_a": mark[:, 0], "set_b": mark[:, 1]}
+            yield pa.record_batch({"doc_id": ids, **{k: pa.array(v, pa.int64()) for k, v in cols.items()}})
 
     sent = docs.select("doc_id", "text").mapInArrow(send, _SENT).repartition(n_parts, "bucket").sortWithinPartitions("bucket")
     counted = sent.mapInArrow(count, _COUNTED).repartition(n_parts, "chunk").sortWithinPartitions("chunk", "kind")
@@ -213,8 +203,10 @@ def _read_ids(data: bytes, n: int) -> pa.Array:
 
 
 _DEALT = "bucket int, kind int, data binary"
-_RARE = np.dtype([("d", "<i8"), ("row", "<u8"), ("h", "<u8"), ("f", "<u4"), ("n", "<u4")])
-_KEY = np.dtype([("h", "<u8"), ("d", "<i8")])
+_MEMBER = np.dtype([("row", "<u8"), ("h", "<u8")])
+_WEIGHED = np.dtype([("row", "<u8"), ("h", "<u8"), ("f", "<u4")])
+_ROW = np.dtype([("row", "<u8"), ("node", "<i8"), ("n", "<u4")])
+_PREFIX = "h long, row long, node long, n int, m int, signature binary, members binary"
 
 
 def _dealt(kind: int, records: np.ndarray, at: np.ndarray) -> list[tuple]:
@@ -223,69 +215,62 @@ def _dealt(kind: int, records: np.ndarray, at: np.ndarray) -> list[tuple]:
     return [(int(at[i]), kind, records[i:j].tobytes()) for i, j in _cuts(at)]
 
 
-def candidate_edges(docs: DataFrame, some: DataFrame, ngram: int, percent: int) -> DataFrame:
-    """``a, b``: edges that connect all documents of ``some`` (a column ``node``) that may be linked."""
+def _signatures(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A bitmap of each set; ``h`` has the members of all sets on end."""
+    bits = np.zeros((len(size), SIGNATURE_BITS), dtype=np.uint8)
+    bits[np.repeat(np.arange(len(size)), size), (h & U(SIGNATURE_BITS - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, axis=1)
+
+
+def prefixes(docs: DataFrame, some: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """Sets and prefixes of the rows to be compared; ``some`` has ``node, row``: an id and the set (its hash) to take under it.
+
+    For each set a row with its ``members`` that other sets have, too (the others can't be in an intersection), and for each
+    shingle ``h`` of its prefix one with the ``signature`` of those ``m`` members. ``n`` is the size of the whole set.
+    """
     n_parts = partitions(docs.sparkSession)
     n_buckets, n_deal = 4 * n_parts, 2 * n_parts  # a task deals out once or a few times, so rows stay few
-    texts = docs.select("doc_id", "text").join(maybe_broadcast(some, 64), F.expr("doc_id = node")).select("doc_id", "text")
+    texts = docs.select("doc_id", "text").join(maybe_broadcast(some, 64), F.expr("doc_id = node")).select("doc_id", "text", "row")
 
     def send(batches):
-        cache, sets, ids, row_keys, edges, seen, total, turn = WordHash(), [], [], [], [], {}, 0, 0
+        cache, sets, rows, total = WordHash(), [], [], 0
 
         def flush():
-            nonlocal sets, ids, row_keys, edges, seen, total, turn
-            rows = []
-            if edges:
-                rows.append((turn % n_buckets, 1, np.array(edges, dtype=np.int64).tobytes()))
-            if sets:
-                sizes = [len(h) for h in sets]
-                r = np.zeros(sum(sizes), dtype=_RARE)
-                r["d"], r["h"], r["n"] = np.repeat(np.array(ids, dtype=np.int64), sizes), np.concatenate(sets), np.repeat(sizes, sizes)
-                r["row"] = np.repeat(np.array(row_keys, dtype=U), sizes)
-                rows += _dealt(0, r, _bucket(r["h"], n_buckets))
-            sets, ids, row_keys, edges, seen, total, turn = [], [], [], [], {}, 0, turn + 1
-            return _table(_DEALT, rows)
+            nonlocal sets, rows, total
+            r = np.array(rows, dtype=_ROW)
+            members = np.zeros(total, dtype=_MEMBER)
+            members["h"], members["row"] = np.concatenate(sets), np.repeat(r["row"], [len(h) for h in sets])
+            out = _dealt(0, members, _bucket(members["h"], n_buckets)) + _dealt(1, r, _bucket(r["row"], n_deal))
+            sets, rows, total = [], [], 0
+            return _table(_DEALT, out)
 
         for b in slices(batches):
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+            for doc_id, text, row in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 h = shingles(text.as_py(), ngram, cache)
-                mark = xxhash.xxh3_128_digest(h.tobytes())
-                first = seen.setdefault(mark, doc_id)  # of equal sets one goes on
-                if first != doc_id:
-                    edges.append((doc_id, first))
-                else:
+                if xxhash.xxh3_128_digest(h.tobytes())[:8] == row.to_bytes(8, "little", signed=True):
                     sets.append(h)
-                    ids.append(doc_id)
-                    row_keys.append(xxhash.xxh3_64_intdigest(doc_id.to_bytes(8, "little", signed=True) + mark))
+                    rows.append((row & 0xFFFFFFFFFFFFFFFF, doc_id, len(h)))
                     total += len(h)
-                if total >= FLUSH_KEYS or len(edges) >= 100_000:
+                if total >= FLUSH_KEYS:
                     yield flush()
-        if sets or edges:
+        if rows:
             yield flush()
 
     def weigh(batches):
-        """The number of holders goes back with each shingle, to where all of a row's meet."""
+        """The number of holders goes back with each shingle that has several, to where all of a row's meet."""
 
         def give(records):
             return _table(_DEALT, _dealt(0, records, _bucket(records["row"], n_deal)))
 
         held, total = [], 0
         for _, refs in groups(batches, ["bucket"]):
-            parts = []
-            for b, i in refs:
-                if b.column(1)[i].as_py():
-                    yield _table(_DEALT, [(b.column(0)[i].as_py() % n_deal, 1, b.column(2)[i].as_py())])
-                else:
-                    parts.append(np.frombuffer(b.column(2)[i].as_buffer(), _RARE))
-            if not parts:
-                continue
-            r = np.concatenate(parts)
-            r = r[np.argsort(r["h"], kind="stable")]
-            size = np.diff([0, *(j for _, j in _cuts(r["h"]))])
-            r["f"] = np.repeat(size, size)
-            r = r[r["f"] > 1]
-            held.append(r)
-            total += len(r)
+            m = np.concatenate([np.frombuffer(b.column(2)[i].as_buffer(), _MEMBER) for b, i in refs])
+            m = m[np.argsort(m["h"], kind="stable")]
+            size = np.diff([0, *(j for _, j in _cuts(m["h"]))])
+            r = np.empty(len(m), dtype=_WEIGHED)
+            r["row"], r["h"], r["f"] = m["row"], m["h"], np.repeat(size, size)
+            held.append(r[r["f"] > 1])
+            total += len(held[-1])
             if total >= FLUSH_KEYS:
                 yield give(np.concatenate(held))
                 held, total = [], 0
@@ -293,223 +278,302 @@ def candidate_edges(docs: DataFrame, some: DataFrame, ngram: int, percent: int)
             yield give(np.concatenate(held))
 
     def choose(batches):
-        """Keys of each row (an id and a set): of its prefix, the shingles that others hold."""
-
-        def give(keys):
-            h, least, edges = _star(keys["h"], keys["d"])
-            k = np.empty(len(h), dtype=_KEY)
-            k["h"], k["d"] = h, least
-            rows = _dealt(0, k, _bucket(h, n_deal))
-            if len(edges):
-                rows.append((int(h[0] % U(n_deal)), 1, edges.tobytes()))
-            return _table(_DEALT, rows)
-
-        held, total = [], 0
-        for _, refs in groups(batches, ["bucket"]):
-            parts = []
-            for b, i in refs:
-                if b.column(1)[i].as_py():
-                    yield _table(_DEALT, [(b.column(0)[i].as_py(), 1, b.column(2)[i].as_py())])
-                else:
-                    parts.append(np.frombuffer(b.column(2)[i].as_buffer(), _RARE))
-            if not parts:
-                continue
-            r = np.concatenate(parts)
+        def give(seen, known):
+            r, facts = np.concatenate(seen), np.unique(np.concatenate(known))
             r = r[np.lexsort((r["h"], r["f"], r["row"]))]
+            # a repeated row of the table sends its set again
+            r = r[np.concatenate([[True], (r["row"][1:] != r["row"][:-1]) | (r["h"][1:] != r["h"][:-1])])]
             cuts = _cuts(r["row"])
-            start = np.array([i for i, _ in cuts])
-            size = np.array([j - i for i, j in cuts])
-            n = r["n"][start].astype(np.int64)
+            start, size = np.array([i for i, _ in cuts]), np.array([j - i for i, j in cuts])
+            at = np.searchsorted(facts["row"], r["row"][start])
+            n, node = facts["n"][at].astype(np.int64), facts["node"][at]
             # n - size members are held by no other and come first in the order
             take = n - _needed(n, percent) + 1 - (n - size)
+            for lo in range(0, len(cuts), 2000):
+                yield from rows(r, start[lo : lo + 2000], size[lo : lo + 2000], take[lo : lo + 2000], n[lo : lo + 2000], node[lo : lo + 2000])
+
+        def rows(r, start, size, take, n, node):
+            r = r[start[0] : start[-1] + size[-1]]
+            start = start - start[0]
             nth = np.arange(len(r)) - np.repeat(start, size)
-            r = r[nth < np.repeat(take, size)]
-            k = np.empty(len(r), dtype=_KEY)
-            k["h"], k["d"] = r["h"], r["d"]
-            held.append(k)
-            total += len(k)
-            if total >= FLUSH_KEYS:
-                yield give(np.concatenate(held))
-                held, total = [], 0
-        if total:
-            yield give(np.concatenate(held))
+            owner = np.repeat(np.arange(len(start)), size)
+            signature = _signatures(r["h"], size)
+            sets = np.flatnonzero(take > 0)
+            if not len(sets):
+                return
+            members = [np.sort(r["h"][start[i] : start[i] + size[i]]).tobytes() for i in sets.tolist()]
+            yield table(r["row"][start[sets]], None, node[sets], n[sets], size[sets], None, members)
+            for lo in range(0, len(r), 20_000):
+                k = np.flatnonzero(nth[lo : lo + 20_000] < take[owner[lo : lo + 20_000]]) + lo
+                if len(k):
+                    o = owner[k]
+                    yield table(r["row"][k], r["h"][k], node[o], n[o], size[o], [signature[i].tobytes() for i in o.tolist()], None)
+
+        def table(row, h, node, n, m, signature, members):
+            none = [None] * len(row)
+            cols = [none if h is None else h.view(np.int64), row.view(np.int64), node, n, m, signature or none, members or none]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in _PREFIX.split(", ")])
 
-    def meet(batches):
         for _, refs in groups(batches, ["bucket"]):
-            keys = []
+            seen, known = [], []
             for b, i in refs:
-                raw = b.column(2)[i].as_buffer()
-                if b.column(1)[i].as_py():
-                    e = np.frombuffer(raw, np.int64).reshape(-1, 2)
-                    yield pa.record_batch({"a": pa.array(e[:, 0]), "b": pa.array(e[:, 1])})
-                else:
-                    keys.append(np.frombuffer(raw, _KEY))
-            if keys:
-                k = np.concatenate(keys)
-                _, _, e = _star(k["h"], k["d"])
-                if len(e):
-                    yield pa.record_batch({"a": pa.array(e[:, 0]), "b": pa.array(e[:, 1])})
+                is_row = b.column(1)[i].as_py()
+                (known if is_row else seen).append(np.frombuffer(b.column(2)[i].as_buffer(), _ROW if is_row else _WEIGHED))
+            if seen:
+                yield from give(seen, known)
 
     def by_bucket(df, f, schema):
         return df.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(f, schema)
 
-    weighed = by_bucket(texts.mapInArrow(send, _DEALT), weigh, _DEALT)
-    return by_bucket(by_bucket(weighed, choose, _DEALT), meet, "a long, b long")
+    sent = materialize(texts.mapInArrow(send, _DEALT), "jaccard-sent")
+    weighed = by_bucket(sent.where("kind = 0"), weigh, _DEALT)
+    return by_bucket(weighed.unionByName(sent.where("kind = 1")), choose, _PREFIX)
 
 
-def link_tile(ids: list[int], sets: list[np.ndarray], percent: int, blocks: list[int] | None = None, known: list[int] | None = None) -> list[tuple[int, int]]:
-    """Edges that connect all documents of the tile which are connected by links within it.
+def size_band(n: Column, percent: int) -> Column:
+    """Sizes of a link lie in one band or in neighbours: bands grow by 100 / percent. The small addend keeps rounding from parting a power."""
+    return F.floor(F.log(n.cast("double")) / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else n.cast("int")
 
-    Pairs already connected are skipped. For the others, sizes must fit, then the bitmap signatures bound the
-    overlap from above: every bit set in one signature only stands for a member the other set lacks. What
-    passes is intersected exactly. With ``blocks`` only pairs of different blocks are compared; ``known`` gives
-    components found before.
-    """
-    order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
-    n = len(order)
-    size = np.array([len(sets[i]) for i in order], dtype=np.int64)
-    block = np.array([blocks[i] for i in order]) if blocks else None
-    sig = np.zeros((n, SIGNATURE_BITS // 8), dtype=np.uint8)
-    for r, i in enumerate(order):
-        bits = np.zeros(SIGNATURE_BITS, dtype=np.uint8)
-        bits[(sets[i] & U(SIGNATURE_BITS - 1)).astype(np.int64)] = 1
-        sig[r] = np.packbits(bits)
-    sig = sig.view(U)
-    comp = np.arange(n)
-    if known:
-        first: dict[int, int] = {}
-        comp = np.array([first.setdefault(known[i], r) for r, i in enumerate(order)])
-    out = []
-    for r in range(1, n):
-        low = np.searchsorted(size, -(-percent * int(size[r]) // 100), side="left")
-        if low >= r:
-            continue
-        at = np.flatnonzero(comp[low:r] != comp[r]) + low
-        if block is not None:
-            at = at[block[at] != block[r]]
-        if not len(at):
-            continue
-        only_a = np.bitwise_count(sig[at] & ~sig[r]).sum(axis=1, dtype=np.int64)
-        only_b = np.bitwise_count(sig[r] & ~sig[at]).sum(axis=1, dtype=np.int64)
-        bound = np.minimum(size[at] - only_a, size[r] - only_b)
-        fits = bound * (100 + percent) >= percent * (size[at] + size[r])
-        at = at[fits][np.argsort(-bound[fits], kind="stable")]
-        mine = sets[order[r]]
-        for j in at.tolist():
-            if comp[j] == comp[r]:
-                continue
-            other = sets[order[j]]
-            both = len(np.intersect1d(mine, other, assume_unique=True))
-            if both * 100 >= percent * (len(mine) + len(other) - both):
-                out.append((ids[order[r]], ids[order[j]]))
-                comp[comp == comp[j]] = comp[r]
-    return out
 
+def tiles_of(keys: DataFrame, percent: int) -> DataFrame:
+    """Every key in the tile of its own band (``home``) and in the next one's."""
+    band = size_band(F.col("n"), percent)
+    each = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home"))))
+    return keys.select("*", each.alias("__wg_at")).select(*keys.columns, "__wg_at.band", "__wg_at.home")
 
-_SETS = "cluster long, tile long, doc_id long, block int, known long, members binary"
 
+def large_tiles(keys: DataFrame, percent: int, tile_docs: int) -> DataFrame:
+    """``h, band, hub, n_blocks`` of tiles of more than ``tile_docs`` rows; at most two for each ``tile_docs`` keys."""
+    counted = tiles_of(keys.select("h", "row", "n"), percent).groupBy("h", "band").agg(F.count("*").alias("n_rows"), F.min("row").alias("hub"))
+    return counted.where(F.col("n_rows") > tile_docs).select("h", "band", "hub", F.ceil(F.col("n_rows") / tile_docs).cast("int").alias("n_blocks"))
 
-def _compare(docs: DataFrame, placed: DataFrame, ngram: int, percent: int, cross: bool) -> DataFrame:
-    """Edges ``a, b`` found in the tiles; ``placed`` has ``node, cluster, known, tiles array<struct<tile,block>>``."""
 
-    def sets_of(batches):
-        cache, seen, n = WordHash(), {}, 0
-        for b in slices(batches):
-            rows = []
-            cols = [b.column(i).to_pylist() for i in range(5)]
-            for doc_id, text, cluster, known, tiles in zip(*cols):
-                h = shingles(text, ngram, cache)
-                mark = (cluster, xxhash.xxh3_128_digest(h.tobytes()))
-                if not cross:  # equal sets of a task: one is enough, the others hang on to it
-                    first = seen.setdefault(mark, doc_id)
-                    n += 1
-                    if n % 200_000 == 0:
-                        seen.clear()
-                    if first != doc_id:
-                        rows.append((cluster, None, doc_id, None, first, None))
-                        continue
-                rows += [(cluster, t["tile"], doc_id, t["block"], known, h.tobytes()) for t in tiles]
-            if rows:
-                c = list(zip(*rows))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], names=[f.split()[0] for f in _SETS.split(", ")])
-
-    def tiles_of(batches):
-        def give(edges):
-            a, b = zip(*edges)
-            return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-        edges = []
-        for (_, tile), refs in groups(batches, ["cluster", "tile"]):
-            if tile is None:
-                edges += [(b.column(2)[i].as_py(), b.column(4)[i].as_py()) for b, i in refs]
-            else:
-                by_set: dict[bytes, tuple] = {}
-                for b, i in refs:
-                    doc_id, raw = b.column(2)[i].as_py(), b.column(5)[i].as_py()
-                    first = by_set.setdefault(raw, (doc_id, b.column(3)[i].as_py(), b.column(4)[i].as_py()))
-                    if first[0] != doc_id:
-                        edges.append((doc_id, first[0]))
-                ids, blocks, known = map(list, zip(*by_set.values()))
-                edges += link_tile(ids, [np.frombuffer(r, U) for r in by_set], percent, blocks if cross else None, known if cross else None)
-            if len(edges) > 50_000:
-                yield give(edges)
-                edges = []
-        if edges:
-            yield give(edges)
-
-    limit = placed if cross else maybe_broadcast(placed, 64)
-    texts = docs.select("doc_id", "text").join(limit, F.expr("doc_id = node")).select("doc_id", "text", "cluster", "known", "tiles")
-    sets = texts.mapInArrow(sets_of, _SETS)
-    sets = sets.repartition(partitions(docs.sparkSession), "cluster", "tile", F.expr("case when tile is null then doc_id end")).sortWithinPartitions("cluster", "tile")
-    return sets.mapInArrow(tiles_of, "a long, b long")
-
-
-def jaccard_components(docs: DataFrame, ngram: int = 5, percent: int = 80, tile_docs: int = 512) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``doc_id, text``.
+_TILE = ["h", "band", "block"]
+
+
+def _whole_tiles(batches: Iterator[pa.RecordBatch], rows: int = 60_000) -> Iterator[dict[str, np.ndarray]]:
+    """Sorted rows as arrays, some whole tiles at a time; ``start`` marks where tiles begin."""
+
+    def give(t):
+        t = t.combine_chunks()
+        out = {c: t[c].to_numpy(zero_copy_only=False) for c in t.column_names if c != "signature"}
+        out["signature"] = np.frombuffer(b"".join(t["signature"].to_pylist()), U).reshape(t.num_rows, -1)
+        return out
+
+    held, total = [], 0
+    for b in batches:
+        held.append(b)
+        total += b.num_rows
+        if total < rows:
+            continue
+        t = pa.Table.from_batches(held)
+        key = [t[c].to_numpy() for c in _TILE]
+        new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key])) + 1
+        if len(new):
+            at = int(new[-1])
+            yield give(t.slice(0, at))
+            t = t.slice(at)
+        held, total = t.to_batches(), t.num_rows
+    if total:
+        yield give(pa.Table.from_batches(held))
+    tidy()
+
+
+def _compare(c: dict[str, np.ndarray], percent: int, label: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of places (first, other) within tiles that pass sizes and signatures, and the bound of their overlap.
+
+    The first row of every tile is held against the rest of it, in all tiles at once, and leaves; so on until
+    tiles are empty. Without labels, rows that passed leave with it (they found a leader). With labels, only rows of
+    different labels are compared, and a tile ends when one label is left: the rarest label's rows come first.
+    """
+    tile = np.cumsum(np.concatenate([[True], np.logical_or.reduce([c[k][1:] != c[k][:-1] for k in _TILE])]))
+    n, m, sig, home, own = c["n"].astype(np.int64), c["m"].astype(np.int64), c["signature"], c["home"], c["own"]
+    at = np.arange(len(n))
+    if label is not None:
+        order = np.lexsort((label, tile))
+        new = np.concatenate([[True], (tile[order][1:] != tile[order][:-1]) | (label[order][1:] != label[order][:-1])])
+        size = np.diff(np.append(np.flatnonzero(new), len(order)))
+        weight = np.empty(len(order), dtype=np.int64)
+        weight[order] = np.repeat(size, size)
+        at = np.lexsort((label, weight, tile))
+    while len(at):
+        t = tile[at]
+        start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        size = np.diff(np.append(start, len(at)))
+        if label is not None:  # rows are ordered by label, so a tile's last row differs if any does
+            size_of = np.repeat(label[at[start]] != label[at[start + size - 1]], size)
+            at = at[size_of]
+            if not len(at):
+                return
+            t = tile[at]
+            start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            size = np.diff(np.append(start, len(at)))
+        first = np.zeros(len(at), dtype=bool)
+        first[start] = True
+        x, y = np.repeat(at[start], size)[~first], at[~first]
+        at = y
+        ask = (home[x] | home[y]) & (own[x] | own[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        if label is not None:
+            ask &= label[x] != label[y]
+        ask = np.flatnonzero(ask)
+        gone = []
+        for lo in range(0, len(ask), 20_000):
+            k = ask[lo : lo + 20_000]
+            a, b = x[k], y[k]
+            only_a = np.bitwise_count(sig[a] & ~sig[b]).sum(axis=1, dtype=np.int64)
+            only_b = np.bitwise_count(sig[b] & ~sig[a]).sum(axis=1, dtype=np.int64)
+            bound = np.minimum(m[a] - only_a, m[b] - only_b)
+            fits = bound * (100 + percent) >= percent * (n[a] + n[b])
+            if fits.any():
+                yield a[fits], b[fits], bound[fits]
+                gone.append(k[fits])
+        if label is None and gone:
+            keep = np.ones(len(at), dtype=bool)
+            keep[np.concatenate(gone)] = False
+            at = at[keep]
+
+
+_PAIRS = "a long, b long, bound int"
+
+
+def _pairs(c: dict[str, np.ndarray], found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """The pairs as rows, each once in these tiles, the smaller row first."""
+    held, total = [], 0
+
+    def give():
+        a, b, bound = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((b, a))
+        a, b, bound = a[order], b[order], bound[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        return pa.record_batch({"a": pa.array(a[new]), "b": pa.array(b[new]), "bound": pa.array(bound[new].astype(np.int32))})
+
+    for x, y, bound in found:
+        a, b = c["row"][x], c["row"][y]
+        held.append((np.minimum(a, b), np.maximum(a, b), bound))
+        total += len(a)
+        if total > 500_000:
+            yield give()
+            held, total = [], 0
+    if held:
+        yield give()
+
+
+def _in_tiles(rows: DataFrame, f, more: list[str]) -> DataFrame:
+    rows = rows.select(*_TILE, "row", "n", "m", "signature", "home", "own", *more)
+    n = partitions(rows.sparkSession)
+    return rows.repartition(n, *_TILE).sortWithinPartitions(*_TILE, "row").mapInArrow(f, _PAIRS)
+
+
+def leader_pairs(keys: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: for each row its pair with the smallest leader, and its pair with the highest bound. Blocks of a large tile share one row."""
+    rows = tiles_of(keys, percent)
+    own = F.pmod("row", F.coalesce("n_blocks", F.lit(1)).cast("long")).cast("int")
+    blocks = F.when(F.col("row") == F.col("hub"), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array(own))
+    rows = rows.join(maybe_broadcast(large, 48), ["h", "band"], "left").withColumn("home_block", own).withColumn("block", F.explode(blocks))
+    rows = rows.withColumn("own", F.col("block") == F.col("home_block"))
+
+    def lead(batches):
+        for c in _whole_tiles(batches):
+            yield from _pairs(c, _compare(c, percent, None))
+
+    pairs = _in_tiles(rows, lead, [])
+    both = F.array(F.min(F.struct("a", "b")), F.max_by(F.struct("a", "b"), F.struct("bound", "a")))
+    return pairs.groupBy("b").agg(F.array_distinct(both).alias("p")).select(F.explode("p").alias("p")).select("p.a", "p.b")
+
+
+def other_pairs(keys: DataFrame, labels: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: all pairs of a tile whose rows have different components and pass the bound.
+
+    In a tile of several blocks, the rows outside of its most frequent component visit every block.
+    """
+    named = keys.join(maybe_broadcast(labels, 48), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    rows = tiles_of(named, percent)
+    hot = rows.join(maybe_broadcast(large, 48), ["h", "band"]).groupBy("h", "band", "label").agg(F.count("*").alias("n_rows"), F.first("n_blocks").alias("n_blocks"))
+    top = materialize(hot.groupBy("h", "band").agg(F.first("n_blocks").alias("n_blocks"), F.max_by("label", F.struct("n_rows", "label")).alias("top")), "jaccard-large-tiles")
+    own = F.pmod("row", F.coalesce("n_blocks", F.lit(1)).cast("long")).cast("int")
+    blocks = F.when(F.col("label") != F.col("top"), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array(own))
+    rows = rows.join(maybe_broadcast(top, 48), ["h", "band"], "left").withColumn("home_block", own).withColumn("block", F.explode(blocks))
+    rows = rows.withColumn("own", F.col("block") == F.col("home_block"))
+
+    def rest(batches):
+        for c in _whole_tiles(batches):
+            yield from _pairs(c, _compare(c, percent, c["label"]))
+
+    return _in_tiles(rows, rest, ["label"]).select("a", "b").distinct()
+
+
+def links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` (ids): the pairs whose sets, intersected exactly, are similar enough; a task sends its links contracted."""
+
+    def verify(batches):
+        got = []
+        for b in batches:
+            node = [b.column(i).to_pylist() for i in (0, 1)]
+            size = [b.column(i).to_pylist() for i in (2, 3)]
+            for x, y, n, k, p, r in zip(*node, *size, b.column(4), b.column(5)):
+                p, r = np.frombuffer(p.as_buffer(), U), np.frombuffer(r.as_buffer(), U)
+                if len(p) > len(r):
+                    p, r = r, p
+                at = np.searchsorted(r, p)
+                both = int((r[np.minimum(at, len(r) - 1)] == p).sum())
+                if both * 100 >= percent * (n + k - both):
+                    got.append((x, y))
+            if len(got) > 1_000_000:
+                got = list(zip(*(c.tolist() for c in contract(*np.array(got, dtype=np.int64).T))))
+        if got:
+            x, y = contract(*np.array(got, dtype=np.int64).T)
+            if len(x):
+                yield pa.record_batch({"a": pa.array(x), "b": pa.array(y)})
+
+    side = lambda s: sets.select(F.col("row").alias(s), F.col("node").alias(f"node_{s}"), F.col("n").alias(f"n_{s}"), F.col("members").alias(f"members_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("node_a", "node_b", "n_a", "n_b", "members_a", "members_b").mapInArrow(verify, "a long, b long")
+
+
+def jaccard_components(docs: DataFrame, ngram: int = 5, percent: int = 80, tile_docs: int = 4096) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``doc_id, text``; other columns don't come along.
 
     Words are stretches without blanks, A-Z lower-cased; a document's set has its distinct shingles of ``ngram``
     words, or its whole sequence if that is shorter. Two documents link when 100 * intersection >= percent *
     union; ``component_id`` is the smallest id that links lead to. Documents without words link with nothing.
 
-    Clusters of candidates of up to ``tile_docs`` documents are one tile. Larger ones are cut by a hash into
-    blocks that all hold the cluster's smallest document; mostly that already connects what is linked. Where more
-    than one component is left, every two blocks meet in a tile of their own, and only pairs not yet connected
-    are compared there. So no tile holds more than two blocks, and no link is lost.
+    A tile of more than ``tile_docs`` rows is cut into blocks; that changes the work, not the result.
 
     A row with a null id has its size and a null component. Rows with equal ids count as one document: they
-    share a component. Equal texts are linked if they have words. Empty tables give no rows.
+    share a component. Equal texts are linked if they have words. Empty tables give no rows. Shingles are told
+    apart by 64-bit hashes, sets by 128 bits, of which 64 name a set while it is compared.
     """
     docs = docs.select("doc_id", "text")
     facts = materialize(repeated_shingles(docs, ngram), "jaccard-sizes")
-    may_link = facts.where(f"doc_id is not null and n > 0 and 100 * repeated >= {percent} * n").select(F.col("doc_id").alias("node")).distinct()
-    edges = candidate_edges(docs, materialize(may_link, "jaccard-candidates"), ngram, percent)
-    clusters = materialize(connected_components(edges), "jaccard-clusters")
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
-    placed = clusters.join(sizes, "component").select(
-        "node", F.col("component").alias("cluster"), F.lit(None).cast("long").alias("known"), F.ceil(F.col("n") / tile_docs).cast("int").alias("n_blocks")
-    )
-    own = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
-    every = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda t: F.struct(t.cast("long").alias("tile"), t.alias("block")))
-    placed = placed.withColumn("tiles", F.when(F.col("node") == F.col("cluster"), every).otherwise(F.array(F.struct(own.cast("long").alias("tile"), own.alias("block")))))
-    placed = materialize(placed, "jaccard-tiles")
-    links = materialize(_compare(docs, placed.drop("n_blocks"), ngram, percent, False), "jaccard-links")
-    found = materialize(connected_components(links), "jaccard-components")
-
-    # clusters in several blocks that are not one component yet: all pairs of blocks
-    cut = placed.where("n_blocks > 1").select("node", "cluster", "n_blocks")
-    cut = cut.join(found, "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component")
-    open_ = cut.groupBy("cluster").agg(F.countDistinct("known").alias("n")).where("n > 1").select("cluster")
-    rest = cut.join(open_, "cluster", "left_semi").withColumn("block", own)
-    pair = F.transform(
-        F.filter(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda x: x != F.col("block")),
-        lambda x: F.struct((F.least(x, F.col("block")).cast("long") * F.col("n_blocks") + F.greatest(x, F.col("block"))).alias("tile"), F.col("block").alias("block")),
-    )
-    rest = materialize(rest.select("node", "cluster", "known", pair.alias("tiles")), "jaccard-rest")
-    if rest.limit(1).count():
-        more = materialize(_compare(docs, rest, ngram, percent, True), "jaccard-links")
-        found = materialize(connected_components(links.unionByName(more)), "jaccard-components")
-
-    rows = facts.select("doc_id", F.col("n").alias("n_shingles"))
-    out = rows.join(found, F.expr("doc_id = node"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    may_link = facts.where(f"doc_id is not null and n > 0 and 100 * repeated >= {percent} * n")
+    some = materialize(may_link.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node")), "jaccard-sets")
+
+    found = materialize(prefixes(docs, some.select("node", F.col("set_a").alias("row")), ngram, percent), "jaccard-prefixes")
+    keys, sets = found.where("members is null").drop("members"), found.where("members is not null").select("row", "node", "n", "members")
+    large = materialize(large_tiles(keys, percent, tile_docs), "jaccard-large-tiles")
+    first = materialize(leader_pairs(keys, large, percent), "jaccard-pairs")
+    links = materialize(links_of(first, sets, percent), "jaccard-links")
+    labels = materialize(connected_components(links), "jaccard-components")
+    second = other_pairs(keys, labels, large, percent).join(first, ["a", "b"], "left_anti")
+    more = materialize(links_of(second, sets, percent), "jaccard-links")
+    links = links.unionByName(more)
+
+    # ids that stand on several rows join what these rows belong to
+    again = facts.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n_rows")).where("n_rows > 1").select("doc_id")
+    again = materialize(again, "jaccard-ids")
+    repeated = again.limit(1).count() > 0
+    if repeated:
+        tied = facts.join(maybe_broadcast(again, 24), "doc_id", "left_semi").join(some, ["set_a", "set_b"])
+        links = links.unionByName(tied.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct())
+    classes = materialize(connected_components(links), "jaccard-components")
+
+    sets_at = some.join(classes, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
+    sets_at = materialize(sets_at, "jaccard-classes")
+    out = facts.join(maybe_broadcast(sets_at, 48), ["set_a", "set_b"], "left")
+    mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    if repeated:
+        out = out.drop("component").join(classes, F.expr("doc_id = node"), "left").drop("node").withColumnRenamed("component", "by_id")
+        out = out.join(maybe_broadcast(sets_at, 48), ["set_a", "set_b"], "left")
+        mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("by_id", "component", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), mine.alias("component_id"))
