@@ -81,23 +81,27 @@ def _by_node(edges: DataFrame, hub_edges: int) -> DataFrame:
     return some.select("a", "b", F.coalesce("w", none).alias("w"), part.alias("part")).repartition(partitions(edges.sparkSession), "a", "part")
 
 
-def connected_components(edges: DataFrame, hub_edges: int = 1_000_000) -> DataFrame:
+def connected_components(edges: DataFrame, hub_edges: int = 5_000) -> DataFrame:
     """``a, b`` (long) to ``node, component``: the smallest node each can reach. Nodes without edges are not listed.
 
     A round joins every node's larger neighbours to its smallest one, then its smaller ones: a shuffle each. What a task
     makes it contracts to edges to smallest nodes first. Rounds go on until nothing changes; their number grows with the
-    logarithm of the number of nodes, and each ends in a written table.
+    logarithm of the number of nodes, and each ends in a written table. A node with more than ``hub_edges`` edges, and more
+    than four tasks' even share of them, is dealt to several tasks.
     """
-    kind = "a long, b long"
+    kind, n = "a long, b long", partitions(edges.sparkSession)
     e = materialize(edges.select("a", "b").where("a <> b"), "cc-edges")
     stamp, now = None, _stamp(e)
     while now[0] and now != stamp:
         stamp = now
         both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("s")).select("s.a", "s.b")
-        deal = _by_node if now[0] > hub_edges else lambda x, _: x.withColumn("w", F.lit(2**63 - 1)).repartition(partitions(e.sparkSession), "a")
-        large = deal(both, hub_edges).select("a", "b", "w").mapInArrow(_large, kind)
-        large = materialize(large, "cc-large") if now[0] > hub_edges else large
-        small = deal(large, hub_edges).select("a", "b", "w").mapInArrow(_small, kind)
+        if now[0] > hub_edges:
+            many = max(hub_edges, 4 * now[0] // n)
+            large = materialize(_by_node(both, many).select("a", "b", "w").mapInArrow(_large, kind), "cc-large")
+            small = _by_node(large, many).select("a", "b", "w").mapInArrow(_small, kind)
+        else:
+            alone = lambda x: x.withColumn("w", F.lit(2**63 - 1)).repartition(n, "a")
+            small = alone(alone(both).mapInArrow(_large, kind)).mapInArrow(_small, kind)
         e = materialize(small, "cc-edges")
         now = _stamp(e)
     rooted = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("component")), F.struct(F.col("b").alias("node"), F.col("b").alias("component"))))

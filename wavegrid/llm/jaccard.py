@@ -13,7 +13,7 @@ per shingle, of rows that may be linked, in a way that loses no link:
   rows it is cut into blocks.
 
 In a tile, bitmap signatures bound the overlap of two sets from above, and only pairs that pass are intersected
-exactly. The first round compares rows with one leader after another and keeps two pairs for each row, which
+exactly. The first round compares rows with one leader after another and keeps three pairs for each row, which
 joins most of what belongs together. Components of the links found so far then say which pairs still matter: the
 second round takes from each tile all pairs of different components that pass the bound. Components only ever run
 over links that were verified.
@@ -437,8 +437,8 @@ def _compare(c: dict[str, np.ndarray], percent: int, label: np.ndarray | None) -
 _PAIRS = "a long, b long, bound int"
 
 
-def _pairs(c: dict[str, np.ndarray], found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """The pairs as rows, each once in these tiles, the smaller row first."""
+def _pairs(c: dict[str, np.ndarray], found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], ordered: bool) -> Iterator[pa.RecordBatch]:
+    """The pairs as rows, each once in these tiles; ``ordered``: the smaller row first."""
     held, total = [], 0
 
     def give():
@@ -450,7 +450,7 @@ def _pairs(c: dict[str, np.ndarray], found: Iterator[tuple[np.ndarray, np.ndarra
 
     for x, y, bound in found:
         a, b = c["row"][x], c["row"][y]
-        held.append((np.minimum(a, b), np.maximum(a, b), bound))
+        held.append((np.minimum(a, b), np.maximum(a, b), bound) if ordered else (a, b, bound))
         total += len(a)
         if total > 500_000:
             yield give()
@@ -462,11 +462,12 @@ def _pairs(c: dict[str, np.ndarray], found: Iterator[tuple[np.ndarray, np.ndarra
 def _in_tiles(rows: DataFrame, f, more: list[str]) -> DataFrame:
     rows = rows.select(*_TILE, "row", "n", "m", "signature", "home", "own", *more)
     n = partitions(rows.sparkSession)
-    return rows.repartition(n, *_TILE).sortWithinPartitions(*_TILE, "row").mapInArrow(f, _PAIRS)
+    # every shingle has an order of its own, so that a row meets other leaders in other tiles
+    return rows.repartition(n, *_TILE).sortWithinPartitions(*_TILE, F.xxhash64("row", "h")).mapInArrow(f, _PAIRS)
 
 
 def leader_pairs(keys: DataFrame, large: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: for each row its pair with the smallest leader, and its pair with the highest bound. Blocks of a large tile share one row."""
+    """``a, b``: for each row its pairs with the three leaders of the highest bounds, for each leader its best follower. Blocks of a large tile share one row."""
     rows = tiles_of(keys, percent)
     own = F.pmod("row", F.coalesce("n_blocks", F.lit(1)).cast("long")).cast("int")
     blocks = F.when(F.col("row") == F.col("hub"), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array(own))
@@ -475,11 +476,13 @@ def leader_pairs(keys: DataFrame, large: DataFrame, percent: int) -> DataFrame:
 
     def lead(batches):
         for c in _whole_tiles(batches):
-            yield from _pairs(c, _compare(c, percent, None))
+            yield from _pairs(c, _compare(c, percent, None), False)
 
-    pairs = _in_tiles(rows, lead, [])
-    both = F.array(F.min(F.struct("a", "b")), F.max_by(F.struct("a", "b"), F.struct("bound", "a")))
-    return pairs.groupBy("b").agg(F.array_distinct(both).alias("p")).select(F.explode("p").alias("p")).select("p.a", "p.b")
+    pairs = materialize(_in_tiles(rows, lead, []), "jaccard-leaders")
+    best = F.slice(F.sort_array(F.collect_set(F.struct("bound", "a")), asc=False), 1, 3)  # as many as the row has tiles at most
+    taken = pairs.groupBy("b").agg(best.alias("p")).select("b", F.explode("p.a").alias("a"))
+    taken = taken.unionByName(pairs.groupBy("a").agg(F.max_by("b", F.struct("bound", "b")).alias("b")))
+    return taken.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def other_pairs(keys: DataFrame, labels: DataFrame, large: DataFrame, percent: int) -> DataFrame:
@@ -498,7 +501,7 @@ def other_pairs(keys: DataFrame, labels: DataFrame, large: DataFrame, percent: i
 
     def rest(batches):
         for c in _whole_tiles(batches):
-            yield from _pairs(c, _compare(c, percent, c["label"]))
+            yield from _pairs(c, _compare(c, percent, c["label"]), True)
 
     return _in_tiles(rows, rest, ["label"]).select("a", "b").distinct()
 
