@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,36 +17,57 @@ def array_sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once; an expression used in a lambda would be computed again for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _range(v: Column) -> Column:
+    return F.struct(F.array_min(v).alias("lo"), F.array_max(v).alias("hi"))
+
+
 def minmax(a: Column, eps: float = 1e-6) -> Column:
     """To [-1, 1]: 2 * (x - min) / (max - min + eps) - 1."""
-    lo, hi = F.array_min(a), F.array_max(a)
-    return F.transform(a, lambda x: 2 * ((x - lo) / (hi - lo + eps)) - 1)
+    return let(a, lambda v: let(_range(v), lambda r: F.transform(v, lambda x: 2 * ((x - r["lo"]) / (r["hi"] - r["lo"] + eps)) - 1)))
 
 
 def unit_minmax(a: Column) -> Column:
     """To [0, 1]; zeros where all are equal."""
-    lo, hi = F.array_min(a), F.array_max(a)
-    return F.transform(a, lambda x: F.when(hi > lo, (x - lo) / (hi - lo)).otherwise(F.lit(0.0)))
+    to_unit = lambda x, r: F.when(r["hi"] > r["lo"], (x - r["lo"]) / (r["hi"] - r["lo"])).otherwise(F.lit(0.0))
+    return let(a, lambda v: let(_range(v), lambda r: F.transform(v, lambda x: to_unit(x, r))))
 
 
 def standardize(a: Column) -> Column:
     """Less the mean, over the population deviation; zeros where there is none."""
-    n = F.size(a)
-    mean = array_sum(a) / n
-    sd = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n)
-    return F.transform(a, lambda x: F.when(sd > 0, (x - mean) / sd).otherwise(F.lit(0.0)))
+    spread = lambda v, m: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(v))
+    facts = lambda v: let(array_sum(v) / F.size(v), lambda m: F.struct(m.alias("mean"), spread(v, m).alias("sd")))
+    return let(a, lambda v: let(facts(v), lambda f: F.transform(v, lambda x: F.when(f["sd"] > 0, (x - f["mean"]) / f["sd"]).otherwise(F.lit(0.0)))))
 
 
 def power_to_db(a: Column, floor: float = 1e-10, top: float = 80.0) -> Column:
     """10 log10 of the values, at least ``floor``, and nothing more than ``top`` below the largest."""
     db = F.transform(a, lambda x: 10 * F.log10(F.greatest(x, F.lit(floor))))
-    return F.transform(db, lambda x: F.greatest(x, F.array_max(db) - top))
+    return let(db, lambda v: let(F.array_max(v) - top, lambda low: F.transform(v, lambda x: F.greatest(x, low))))
+
+
+def ema(a: Column, s: float = 0.04, block: int = 256) -> Column:
+    """Exponential moving average that begins with the first value. Places are appended in blocks, as appending copies what is there."""
+    blend = lambda last, x: F.coalesce((1 - s) * last + s * x, x)
+    none = F.lit(None).cast("double")
+
+    def one_block(last: Column, values: Column) -> Column:
+        step = lambda acc, x: F.array_append(acc, blend(F.when(F.size(acc) == 0, last).otherwise(F.try_element_at(acc, F.lit(-1))), x))
+        return F.aggregate(values, F.array().cast("array<double>"), step)
+
+    def add(state: Column, values: Column) -> Column:
+        return let(one_block(state["last"], values), lambda r: F.struct(F.try_element_at(r, F.lit(-1)).alias("last"), F.array_append(state["out"], r).alias("out")))
 
+    def whole(v: Column) -> Column:
+        places = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), F.lit(block))).otherwise(F.array().cast("array<int>"))
+        start = F.struct(none.alias("last"), F.array().cast("array<array<double>>").alias("out"))
+        return F.aggregate(F.transform(places, lambda p: F.slice(v, p, block)), start, add, lambda state: F.flatten(state["out"]))
 
-def ema(a: Column, s: float = 0.04) -> Column:
-    """Exponential moving average that begins with the first value."""
-    step = lambda acc, x: F.array_append(acc, F.when(F.size(acc) == 0, x).otherwise((1 - s) * F.element_at(acc, -1) + s * x))
-    return F.aggregate(a, F.array().cast("array<double>"), step)
+    return let(a, whole)
 
 
 def pcen(a: Column, s: float = 0.04, gain: float = 0.98, bias: float = 2.0, root: float = 2.0, eps: float = 1e-6) -> Column:
@@ -98,8 +120,8 @@ def first_tag(tags: Column, last: tuple[str, ...] = ("noise", "bird")) -> Column
 
 def generic_shared(y: Column, generic: int, weight: float = 0.5) -> Column:
     """Label array with the generic label's weight lowered where a specific one is set."""
-    other = F.exists(F.transform(y, lambda v, i: (v > 0) & (i != generic)), lambda b: b)
-    return F.transform(y, lambda v, i: F.when((i == generic) & other, v * weight).otherwise(v.cast("double")))
+    other = lambda w: F.exists(F.transform(w, lambda v, i: (v > 0) & (i != generic)), lambda b: b)
+    return let(y, lambda w: let(other(w), lambda o: F.transform(w, lambda v, i: F.when((i == generic) & o, v * weight).otherwise(v.cast("double")))))
 
 
 def _scaled(a: Column, w: float) -> Column:

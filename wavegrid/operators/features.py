@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavegrid.functions.arrays import let
+
 N_FFT, HOP = 4096, 281
 MEL_BANDS, F_MIN, F_MAX, BREAK = 160, 100.0, 11000.0, 1000.0
 
@@ -190,4 +192,4 @@ def mix_noise(signal: Column, noise: Column, snr_db: Column, flip: Column) -> Co
     """signal + noise scaled to the ratio in dB (arrays of one length), the noise's polarity turned where ``flip``."""
     power = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x) / F.size(a)
     scale = F.when(power(noise) > 0, F.sqrt(power(signal) / (power(noise) * F.pow(F.lit(10.0), snr_db / 10)))).otherwise(F.lit(0.0))
-    return F.zip_with(signal, noise, lambda s, n: s.cast("double") + n * scale * F.when(flip, -1).otherwise(1))
+    return let(scale * F.when(flip, -1).otherwise(1), lambda k: F.zip_with(signal, noise, lambda s, n: s.cast("double") + n * k))

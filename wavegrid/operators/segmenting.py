@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_TRACK_SAMPLES = 4
@@ -33,18 +33,20 @@ def segment_tracks(tracks: DataFrame, seg: float = 3.0, stride: float = 1.0, see
     n = F.greatest(F.bround((length - seg) / stride), F.lit(0)).cast("int") + 1
     t = tracks.where(length > 0).withColumn("_n", n)
 
-    def begins(kind: str, count: Column, shift: float) -> DataFrame:
+    def begins(t: DataFrame, kind: str, count: Column, shift: float) -> DataFrame:
         s = t.withColumn("i", F.explode(F.sequence(F.lit(0), count.cast("int") - 1))).withColumn("_list", F.lit(kind))
         jitter = F.when(F.col("_n") > 1, keyed_uniform(seed, F.col("_list"), F.col("track_id"), F.col("i")) / 2 - 0.25).otherwise(F.lit(0.0))
         return s.withColumn("sample_start", F.greatest(F.lit(0.0), F.col("start") + F.col("i") * stride + shift + jitter))
 
-    main = begins("main", F.ceil(length / stride), 0.0)
-    by = Window.partitionBy("track_id").orderBy(keyed_order(seed, F.lit("pick"), F.col("track_id"), F.col("i")))
-    chosen = (F.col("_n") <= MAX_TRACK_SAMPLES) | (F.row_number().over(by) <= MAX_TRACK_SAMPLES)
-    main = main.withColumn("kind", F.when(chosen, F.lit("used")).otherwise(F.lit("unused")))
+    # four of a long track's samples, chosen within its row
+    places = F.transform(F.sequence(F.lit(0), F.ceil(length / stride).cast("int") - 1), lambda i: F.struct(keyed_order(seed, F.lit("pick"), F.col("track_id"), i), i.alias("i")))
+    picked = F.when(F.col("_n") > MAX_TRACK_SAMPLES, F.slice(F.array_sort(places), 1, MAX_TRACK_SAMPLES)["i"])
+    main = begins(t.withColumn("_picked", picked), "main", F.ceil(length / stride), 0.0)
+    kind = F.when((F.col("_n") <= MAX_TRACK_SAMPLES) | F.array_contains("_picked", F.col("i")), F.lit("used")).otherwise(F.lit("unused"))
+    main = main.withColumn("kind", kind).drop("_picked")
     all_ = main
     if small_strides:
-        all_ = main.unionByName(begins("small", F.ceil(F.col("_n") / stride), stride / 2).withColumn("kind", F.lit("small_stride")))
+        all_ = main.unionByName(begins(t, "small", F.ceil(F.col("_n") / stride), stride / 2).withColumn("kind", F.lit("small_stride")))
     all_ = all_.withColumn("sample_end", F.least(F.col("sample_start") + seg, F.col("end")))
     size = F.col("sample_end") - F.col("sample_start")
     least = F.when((F.col("_list") == "small") & (F.col("i") == 0), F.lit(MIN_SAMPLE_LENGTH)).otherwise(F.lit(seg - LEEWAY))
