@@ -119,3 +119,56 @@ def test_stream_counts(spark, tmp_path):
     q.awaitTermination()
     got = {(r["square_id"], r["code"], r["month"], r["n"]) for r in spark.table("seen_counts").collect()}
     assert (1, "tui", 1, 2) in got and (2, "kea", 2, 1) in got
+
+
+def test_rows_are_numbered_in_their_file_whatever_the_splits(spark, tmp_path):
+    at = tmp_path / "s"
+    at.mkdir()
+    for name, n in (("a.tsv", 700), ("b.tsv", 90)):
+        lines = ["COMMON NAME\tLATITUDE\tLONGITUDE\tOBSERVATION DATE"] + [f"bird {i}\t-41.{i}\t172.5\t2020-01-02" for i in range(n)]
+        (at / name).write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("2000", "10000000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = readers.sightings(spark, str(at)).collect()
+            assert len(rows) == 790 and all(r["common_name"] == f"bird {r['row_no']}" for r in rows), size
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_squares_taxonomy_and_coded_labels(spark, tmp_path):
+    mark = "<Placemark><name>{}</name><Polygon><outerBoundaryIs><coordinates>\n {} </coordinates></outerBoundaryIs></Polygon></Placemark>"
+    body = mark.format("A", "172.0,-43.0,0 172.1,-43.0,0 172.1,-42.9,0 172.0,-43.0,0") + mark.format("none", "") + mark.format("B", "10,20 11,22")
+    (tmp_path / "g.kml").write_text(f"<kml><Document>{body}</Document></kml>")
+    got = sorted(tuple(r) for r in readers.squares_kml(spark, str(tmp_path / "g.kml")).collect())
+    assert got == [("g.kml#0", 172.0, -43.0, 172.1, -42.9), ("g.kml#2", 10.0, 20.0, 11.0, 22.0)]
+    (tmp_path / "t.csv").write_text("a,b,code,c,name,d,e,f,sci\n1,2,kea1,3,Kea,4,5,6,Nestor notabilis\n1,2,tui1,3,Tui,4,5,6,\n")
+    rows = sorted(tuple(r) for r in readers.taxonomy(spark, str(tmp_path / "t.csv")).collect())
+    assert rows == [("Kea", "kea1", 0), ("Nestor notabilis", "kea1", 1), ("Tui", "tui1", 0)]
+    df = spark.createDataFrame([("cmv",), ("Sx",), (None,)], "code string")
+    assert [r[0] for r in df.select(readers.coded_labels(df["code"])).collect()] == [["human", "video-game"], ["silence"], None]
+
+
+def test_predictions_and_a_reader_with_a_step_of_its_own(spark, tmp_path):
+    df = spark.createDataFrame([(1, "m1", 0.5), (2, "m2", 0.25)], "row_id long, model string, p double")
+    writers.write_predictions(df, str(tmp_path / "p"))
+    assert {tuple(r) for r in readers.predictions(spark, str(tmp_path / "p")).select("row_id", "model", "p").collect()} == {(1, "m1", 0.5), (2, "m2", 0.25)}
+    assert readers.predictions(spark, str(tmp_path / "p"), "m2").count() == 1
+    df.withColumn("embedding", df["p"]).write.parquet(str(tmp_path / "s"))
+    assert readers.shards(spark, str(tmp_path / "s"), preprocess=lambda d: d.where("p > 0.3")).count() == 1
+
+
+def test_mixup_with_beta_shares(spark):
+    from wavegrid.operators import splitting
+
+    df = spark.createDataFrame([(i, [float(i), 1.0], [1, 0] if i % 2 else [0, 1]) for i in range(400)], "k long, x array<double>, y array<int>")
+    rows = splitting.mixup(df, "k", "x", "y", run_rows=100).collect()
+    assert sorted(r["k"] for r in rows) == sorted(r["partner"] for r in rows) == list(range(400))
+    for r in rows:
+        assert abs(r["x"][0] - (r["share"] * r["k"] + (1 - r["share"]) * r["partner"])) < 1e-9 and abs(sum(r["y"]) - 1) < 1e-9
+    shares = [r["share"] for r in rows if r["share"] > 0]
+    # about a quarter is mixed; Beta(0.2, 0.2) lies near 0 and 1: half of it beyond 0.03 and 0.97
+    assert 60 < len(shares) < 140 and 0.35 < sum(s < 0.03 or s > 0.97 for s in shares) / len(shares) < 0.85
+    hard = splitting.mixup(df, "k", "x", "y", soft=False).collect()
+    assert all(set(r["y"]) <= {0.0, 1.0} for r in hard)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavegrid.functions.arrays import argmax, ranked
+from wavegrid.operators.sizes import small
 
 #: The column for rows without a prediction.
 NONE = -1
@@ -20,7 +21,7 @@ def full_matrix(pairs: DataFrame, n_labels: int) -> DataFrame:
     i = F.sequence(F.lit(0), F.lit(n_labels - 1))
     cells = pairs.sparkSession.range(1).select(F.explode(i).alias("true_i")).withColumn("pred_i", F.explode(F.concat(i, F.array(F.lit(NONE)))))
     n = pairs.groupBy("true_i", "pred_i").agg(F.count("*").alias("n"))
-    return cells.join(F.broadcast(n), ["true_i", "pred_i"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return cells.join(small(n, 32), ["true_i", "pred_i"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def confusion(preds: DataFrame, n_labels: int, threshold: float = 0.7) -> DataFrame:
@@ -100,12 +101,20 @@ def f1_scores(preds: DataFrame, threshold: float = 0.5) -> DataFrame:
     return s.agg(F.avg(f1("tp", "fn", "fp")).alias("macro_f1"), F.avg(soft).alias("soft_f1_cost"), F.avg((soft + zero) / 2).alias("double_soft_f1_cost"))
 
 
-def precision_at_k(preds: DataFrame, k: int = 3, generic: int | None = None) -> DataFrame:
-    """One row: of the first k true labels of all rows, the share among the k best predictions; zeros are no labels, the generic label may be left out."""
+def precision_at_k(preds: DataFrame, k: int = 3, generic: int | None = None, weights: list[float] | None = None) -> DataFrame:
+    """One row: of the first k true labels of all rows, the share among the k best predictions; zeros are no labels, the generic label may be left out.
+
+    With ``weights``, one for each label, hits and labels count by them.
+    """
     keep = (lambda i: i != generic) if generic is not None else (lambda i: F.lit(True))
     top = lambda c: F.transform(F.slice(F.filter(ranked(F.col(c).cast("array<double>")), lambda s: (s["p"] > 0) & keep(s["i"])), 1, k), lambda s: s["i"])
-    r = preds.select(F.size(F.array_intersect(top("y"), top("probs"))).alias("hit"), F.size(top("y")).alias("n"))
-    return r.agg((F.sum("hit") / F.greatest(F.sum("n"), F.lit(1))).alias("precision_at_k"))
+    if weights is None:
+        r = preds.select(F.size(F.array_intersect(top("y"), top("probs"))).alias("hit"), F.size(top("y")).alias("n"))
+        return r.agg((F.sum("hit") / F.greatest(F.sum("n"), F.lit(1))).alias("precision_at_k"))
+    w = F.array(*map(F.lit, weights))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, i: s + F.get(w, i))
+    r = preds.select(total(F.array_intersect(top("y"), top("probs"))).alias("hit"), total(top("y")).alias("n"))
+    return r.agg((F.sum("hit") / F.when(F.sum("n") > 0, F.sum("n")).otherwise(F.lit(1.0))).alias("precision_at_k"))
 
 
 def best_thresholds(preds: DataFrame, n_labels: int) -> DataFrame:
@@ -221,3 +230,58 @@ def bad_tracks(rows: DataFrame, birds: list[int], others: list[int]) -> DataFram
     """Rows labelled as birds (``label_idx``) whose predictions (``pred_idx``) are noise or human and no bird."""
     b, o = (F.array(*map(F.lit, x)) for x in (birds, others))
     return rows.where(F.arrays_overlap("label_idx", b) & F.arrays_overlap("pred_idx", o) & ~F.arrays_overlap("pred_idx", b))
+
+
+def _mean_of(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+
+
+def _clipped(p: Column) -> Column:
+    return F.least(F.greatest(p.cast("double"), F.lit(1e-7)), F.lit(1 - 1e-7))
+
+
+def weighted_bce(y: Column, probs: Column) -> Column:
+    """Binary cross entropy of a row whose labels are weights: any above 0 is a positive, its term weighed by it."""
+    term = lambda v, p: F.when(v > 0, v.cast("double") * F.log(_clipped(p) + 1e-7)).otherwise(F.log(1 - _clipped(p) + 1e-7))
+    return -_mean_of(F.zip_with(y, probs, term))
+
+
+def sigmoid_bce(y: Column, logits: Column) -> Column:
+    """Binary cross entropy of a row's logits; log1p of the exponential of the negative absolute value keeps it finite."""
+    soft = lambda x: F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+    return _mean_of(F.zip_with(y, logits, lambda v, x: v.cast("double") * soft(-x.cast("double")) + (1 - v.cast("double")) * soft(x.cast("double"))))
+
+
+def masked_ce(y: Column, possible: Column, probs: Column) -> Column:
+    """Cross entropy of a row in which only labels that are ``possible`` (0/1) are held against it where they are not set."""
+    z = F.arrays_zip(y.alias("y"), possible.alias("m"), probs.alias("p"))
+    term = lambda s: (1 - s["y"].cast("double")) * F.log(1 - _clipped(s["p"]) + 1e-7) * s["m"] + s["y"].cast("double") * F.log(_clipped(s["p"]) + 1e-7)
+    return -_mean_of(F.transform(z, term))
+
+
+def threshold_summary(thresholds: DataFrame) -> DataFrame:
+    """One row: mean and median of the labels' best thresholds."""
+    return thresholds.agg(F.avg("threshold").alias("mean"), F.percentile("threshold", 0.5).alias("median"))
+
+
+def compare_totals(first: DataFrame, second: DataFrame, generic: int | None = None, skip: tuple[int, ...] = ()) -> DataFrame:
+    """One row on two matrices of the same rows: hits, errors (neither right nor None nor generic), their differences over all rows, and the better model.
+
+    ``score`` is the share of hits the first has more, less the share of errors it has more, both as amounts. Labels in ``skip``
+    count for nothing. The first model is better only if it has more hits.
+    """
+
+    def one(m: DataFrame, s: str) -> DataFrame:
+        if skip:
+            m = m.where(~F.col("true_i").isin(*skip))
+        hit = F.col("true_i") == F.col("pred_i")
+        error = ~hit & (F.col("pred_i") != NONE)
+        if generic is not None:
+            error &= F.col("pred_i") != generic
+        part = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+        return m.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(f"total_{s}"), part(hit).alias(f"hits_{s}"), part(error).alias(f"errors_{s}"))
+
+    both = one(first, "1").crossJoin(F.broadcast(one(second, "2")))  # one row each
+    rate = lambda c: F.when(F.col("total_1") > 0, F.abs((F.col(f"{c}_1") - F.col(f"{c}_2")) / F.col("total_1"))).otherwise(F.lit(0.0))
+    better = F.when(F.col("hits_1") > F.col("hits_2"), F.lit("first")).otherwise(F.lit("second"))
+    return both.withColumns({"score": rate("hits") - rate("errors"), "better": better})

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavegrid.operators.sizes import small
+
 
 def points_in_squares(points: DataFrame, squares: DataFrame, cell: float = 0.25) -> DataFrame:
     """``point_id, square_id`` of the square each point lies in, edges included; of several the smallest (x0, y0, square_id).
@@ -25,7 +27,7 @@ def square_regions(squares: DataFrame, regions: DataFrame) -> DataFrame:
     """The region (``code`` and bounds; a small table) that holds each square's middle; of several the smallest code, null for none."""
     mx, my = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     r = regions.select("code", F.col("x0").alias("rx0"), F.col("y0").alias("ry0"), F.col("x1").alias("rx1"), F.col("y1").alias("ry1"))
-    return squares.join(F.broadcast(r), mx.between(F.col("rx0"), F.col("rx1")) & my.between(F.col("ry0"), F.col("ry1")), "left").groupBy("square_id").agg(F.min("code").alias("region"))
+    return squares.join(small(r, 48), mx.between(F.col("rx0"), F.col("rx1")) & my.between(F.col("ry0"), F.col("ry1")), "left").groupBy("square_id").agg(F.min("code").alias("region"))
 
 
 def neighbours(squares: DataFrame, dx: float = 0.16, dy: float = 0.11) -> DataFrame:
@@ -96,3 +98,13 @@ def nested_counts(counts: DataFrame) -> DataFrame:
     """``square_id, species_per_month``: code to month to count, for export."""
     months = counts.groupBy("square_id", "code").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("month", "n")))).alias("m"))
     return months.groupBy("square_id").agg(F.map_from_entries(F.collect_list(F.struct("code", "m"))).alias("species_per_month"))
+
+
+def latest_observation(seen: DataFrame, date: str = "obs_date") -> DataFrame:
+    """One row: the latest date among sightings that have a square and a code."""
+    return seen.where("square_id is not null and code is not null").agg(F.max(date).alias("latest_obs_date"))
+
+
+def grid_export(counts: DataFrame, seen: DataFrame, source: str, date: str = "obs_date") -> DataFrame:
+    """:func:`nested_counts` with the latest date and the name of the source on every row, for JSON."""
+    return nested_counts(counts).crossJoin(F.broadcast(latest_observation(seen, date))).withColumn("source", F.lit(source))  # one row

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labels counted as noise, as human and as other animals.
-NOISE = ["wind", "vehicle", "dog", "rain", "static", "noise", "insect"]
+from wavegrid.operators.sizes import small
+
+#: Labels counted as noise. Data sets with other names pass their own lists.
+NOISE = ["wind", "vehicle", "dog", "rain", "static", "noise", "cat"]
+#: Labels of people and livestock, unless a caller passes others.
 HUMAN = ["human", "sheep"]
 GENERIC = "bird"
 
@@ -84,7 +87,7 @@ def remap(labels: DataFrame, excluded: DataFrame, merges: DataFrame, trained: Da
     t = trained.select(F.col("label").alias("_t"))
     out = labels.join(goal, "label", "left").join(new.select(F.col("label").alias("goal"), "i"), "goal", "left")
     out = out.withColumn("_group", F.when(F.col("goal").isNotNull() & (F.col("label") != GENERIC), group))
-    out = out.join(F.broadcast(groups), F.col("_group") == F.col("_g"), "left").join(t, F.col("label") == F.col("_t"), "left")
+    out = out.join(small(groups, 64), F.col("_group") == F.col("_g"), "left").join(t, F.col("label") == F.col("_t"), "left")
     own = F.col("_t").isNotNull() | F.col("_gi").isNull()
     is_generic = F.col("_group") == GENERIC
     target = F.when(F.col("goal").isNull(), F.lit(-1)).when(own | (F.col("_group") == F.col("label")), F.col("i")).otherwise(F.col("_gi"))
@@ -147,3 +150,53 @@ def label_audit(rows: DataFrame, text: str, target: str) -> DataFrame:
     """Texts that landed on each target, those with several labels apart."""
     many = F.col(text).contains("\n")
     return rows.groupBy(target).agg(F.array_sort(F.collect_set(F.when(~many, F.col(text)))).alias("texts"), F.count_if(many).alias("n_multi"))
+
+
+def tags_key(tags: Column) -> Column:
+    """The tags in order, joined by "-"."""
+    return F.array_join(F.array_sort(tags), "-")
+
+
+def bin_id(rec_id: Column, tags: Column) -> Column:
+    """Recording and first tag, joined by "-"; without tags the recording alone."""
+    return F.concat_ws("-", rec_id.cast("string"), F.get(tags, F.lit(0)))
+
+
+def choose_label(label_idx: Column, extra_idx: Column) -> Column:
+    """The smallest index of a row, or of its extra labels where it has none."""
+    return F.coalesce(F.array_min(label_idx), F.array_min(extra_idx))
+
+
+def initial_sidecars(manifest: DataFrame, codes: DataFrame) -> DataFrame:
+    """Sidecars for a manifest (``rec_id, filename, code, other_labels``): ``id, file, tag, state, tracks, other_tags``.
+
+    ``codes`` has ``code, label``, a label per code. Rows whose own code has no label are left out; other codes
+    without one have a null label. Order and repeats of the other codes are kept.
+    """
+    own = manifest.join(codes.select("code", "label"), "code")
+    others = manifest.select("rec_id", "filename", F.posexplode("other_labels").alias("_i", "_code"))
+    named = others.join(codes.select(F.col("code").alias("_code"), F.col("label").alias("_label")), "_code", "left")
+    tag = lambda what, code: F.struct(F.lit(False).alias("automatic"), F.col(what).alias("what"), F.col(code).alias("ebird_id"))
+    lists = named.groupBy("rec_id", "filename").agg(F.array_sort(F.collect_list(F.struct("_i", tag("_label", "_code").alias("tag"))))["tag"].alias("other_tags"))
+    out = own.join(lists, ["rec_id", "filename"], "left").withColumn("tag", tag("label", "code"))
+    track = F.struct(F.concat(F.col("rec_id").cast("string"), F.lit("_1")).alias("id"), F.lit(0.0).alias("start"), F.array("tag").alias("tags"))
+    none = F.array().cast(named.select(F.array(tag("_label", "_code"))).schema[0].dataType)
+    return out.select(F.col("rec_id").alias("id"), F.col("filename").alias("file"), "tag", F.lit("initial").alias("state"), F.array(track).alias("tracks"), F.coalesce("other_tags", none).alias("other_tags"))
+
+
+def bounds_from_manifest(recordings: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Recordings (``rec_id, file``) whose folder and stem the manifest (``filename, start, end``) lists, with its bounds; of repeated names the last start."""
+    key = lambda c: F.regexp_extract(c, r"([^/]+/[^/]+?)(\.[^./]*)?$", 1)
+    listed = manifest.groupBy(key(F.col("filename")).alias("_key")).agg(F.max(F.struct("start", "end")).alias("_b"))
+    return recordings.withColumn("_key", key(F.col("file"))).join(listed, "_key").select(*recordings.columns, F.col("_b.start").alias("start"), F.col("_b.end").alias("end"))
+
+
+def export_names(labels: DataFrame, codes: DataFrame, names: DataFrame) -> DataFrame:
+    """``label_i, label, code, name`` of a label set (``label_i, label``): the name under which it is exported, else the label itself.
+
+    ``codes`` has ``label, code``, ``names`` has ``code, name``; of several names the smallest.
+    """
+    one = names.groupBy("code").agg(F.min("name").alias("name"))
+    c = codes.groupBy("label").agg(F.min("code").alias("code"))
+    out = labels.join(c, "label", "left").join(one, "code", "left")
+    return out.select("label_i", "label", "code", F.coalesce("name", "label").alias("name"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavegrid.operators.evaluate import class_weights, label_distribution
+from wavegrid.operators.sizes import small
 from wavegrid.operators.segmenting import keyed_uniform
 
 
@@ -18,7 +19,7 @@ def with_vector(df: DataFrame, array_col: str) -> DataFrame:
 def with_class_weight(df: DataFrame, label: str, n_labels: int) -> DataFrame:
     """Adds ``weight`` by the bounded inverse class counts."""
     w = class_weights(label_distribution(df.select(F.col(label).cast("int").alias("label_i")), n_labels))
-    return df.join(F.broadcast(w.select(F.col("label_i").alias(label), "weight")), label)
+    return df.join(small(w.select(F.col("label_i").alias(label), "weight"), 32), label)
 
 
 def fit_linear(df: DataFrame, label: str = "label", weight: str | None = None):

@@ -98,3 +98,14 @@ def even_split(tracks: DataFrame, max_length: float = 6.0) -> DataFrame:
     s = tracks.withColumn("_n", n).withColumn("part", F.explode(F.sequence(F.lit(0), n - 1)))
     unit = length / F.col("_n")
     return s.withColumn("_a", F.col("start") + F.col("part") * unit).withColumn("_b", F.col("start") + (F.col("part") + 1) * unit).drop("start", "end", "_n").withColumnsRenamed({"_a": "start", "_b": "end"})
+
+
+def signal_windows(signals: DataFrame, seg: float = 3.0, stride: float = 1.0) -> DataFrame:
+    """Windows inside signals (``start, end``): the first begins with the signal, others every ``stride`` while they end before it does; ends stop at the signal's.
+
+    A signal of no length has its first window, empty.
+    """
+    # the largest i with start + i * stride + seg < end
+    n = F.greatest(F.ceil((F.col("end") - F.col("start") - seg) / stride) - 1, F.lit(0)).cast("int")
+    w = signals.withColumn("i", F.explode(F.sequence(F.lit(0), n))).withColumn("win_start", F.col("start") + F.col("i") * stride)
+    return w.withColumn("win_end", F.least(F.col("win_start") + seg, F.col("end")))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavegrid.functions.arrays import let
 from wavegrid.operators.segmenting import keyed_order, keyed_uniform
+from wavegrid.operators.sizes import small
 
 
 def split_leakfree(samples: DataFrame, seed: int = 1, val: float = 0.15, test: float = 0.05, min_samples: dict[str, int] | None = None, no_test: bool = False) -> DataFrame:
@@ -39,8 +41,9 @@ def split_leakfree(samples: DataFrame, seed: int = 1, val: float = 0.15, test: f
     return b.select("bin_id", "owner", split.alias("split"))
 
 
-def split_leaks(rows: DataFrame, key: str) -> DataFrame:
-    """Keys found in more than one split."""
+def split_leaks(rows: DataFrame, key: str, low_sample: str | None = None) -> DataFrame:
+    """Keys found in more than one split; rows flagged in ``low_sample`` (oversampled ones) don't count."""
+    rows = rows if low_sample is None else rows.where(~F.coalesce(F.col(low_sample), F.lit(False)))
     return rows.groupBy(key).agg(F.array_sort(F.collect_set("split")).alias("splits")).where("size(splits) > 1")
 
 
@@ -117,7 +120,7 @@ def uniform_classes(df: DataFrame, label: str, keys: list[str], seed: int = 1) -
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
     least = counts.agg(F.min("_n").alias("_least"))
     facts = counts.crossJoin(F.broadcast(least))
-    kept = df.join(F.broadcast(facts), label)
+    kept = df.join(small(facts, 64), label)
     return kept.where(keyed_uniform(seed, *[F.col(k) for k in keys]) < F.col("_least") / F.col("_n")).drop("_n", "_least")
 
 
@@ -142,3 +145,72 @@ def mixup_pairs(df: DataFrame, key: str, values: str, label: str, seed: int = 1,
     mixed = F.zip_with(f"{values}_1", f"{values}_2", lambda a, b: F.col("share") * a.cast("double") + (1 - F.col("share")) * b.cast("double"))
     label_ = F.when(F.col("share") >= 0.5, F.col(f"{label}_1")).otherwise(F.col(f"{label}_2"))
     return both.select(F.col(f"{key}_1").alias(key), F.col(f"{key}_2").alias("partner"), "share", label_.alias(label), mixed.alias(values))
+
+
+def without_oversampled(samples: DataFrame, flag: str = "low_sample") -> DataFrame:
+    """Rows that aren't flagged; a null counts as not flagged."""
+    return samples.where(~F.coalesce(F.col(flag), F.lit(False)))
+
+
+def keyed_share(df: DataFrame, keys: list[str], share: float, seed: int = 1) -> DataFrame:
+    """About ``share`` of the rows, by a number made from their keys: the same rows in every run."""
+    return df.where(keyed_uniform(seed, F.lit("share"), *[F.col(k) for k in keys]) < share)
+
+
+def oversample_rounds(used: DataFrame, pools: DataFrame, repeats: DataFrame, max_repeats: int = 1, seed: int = 1, skip: tuple[str, ...] = ("bird", "noise")) -> DataFrame:
+    """``sample_id, tag, round``: spare samples as in :func:`oversample` (round 0), then samples made anew.
+
+    A tag that still lacks more than half of the target takes from its sets in ``repeats`` (``sample_id, tag, set_no`` 0 to
+    2, a set a round, in turn), until it lacks nothing or every set was used ``max_repeats`` times. Rounds are known from
+    running sums of set sizes, so no round waits for another.
+    """
+    counts = used.where(~F.col("tag").isin(*skip)).groupBy("tag").agg(F.count("*").alias("n"))
+    facts = counts.crossJoin(F.broadcast(nth_largest_count(counts))).withColumn("lack", F.greatest(F.lit(0), F.col("target") - F.col("n")))  # a row per tag, one row
+    spare = oversample(used, pools, seed, skip).select("sample_id", "tag")
+    filled = spare.groupBy("tag").agg(F.count("*").alias("_got"))
+    still = facts.join(filled, "tag", "left").withColumn("lack", F.col("lack") - F.coalesce("_got", F.lit(0))).where("lack > target / 2")
+    # a tag without any sample of set 0 has no rounds
+    sizes = repeats.groupBy("tag", "set_no").agg(F.count("*").alias("_n"))
+    some = sizes.where("set_no = 0").select("tag")
+    rounds = sizes.join(some, "tag", "left_semi").withColumn("round", F.explode(F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda i: i * 3 + F.col("set_no").cast("int"))))
+    before = Window.partitionBy("tag").orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
+    rounds = rounds.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(still.select("tag", "lack"), "tag")
+    rounds = rounds.withColumn("_take", F.least(F.col("_n"), F.col("lack") - F.col("_before"))).where("_take > 0")
+    by = Window.partitionBy("tag", "round").orderBy(keyed_order(seed, F.col("round"), F.col("tag"), F.col("sample_id")), "sample_id")
+    again = repeats.join(rounds.select("tag", "set_no", "round", "_take"), ["tag", "set_no"]).withColumn("_r", F.row_number().over(by)).where("_r <= _take")
+    return spare.withColumn("round", F.lit(0)).unionByName(again.select("sample_id", "tag", (F.col("round") + 1).alias("round")))
+
+
+def keyed_beta(seed: int, alpha: float, *keys: Column, tries: int = 8) -> Column:
+    """A number with the Beta(alpha, alpha) distribution made from keys: the first of ``tries`` pairs of powers of uniforms whose sum is at most 1.
+
+    With alpha 0.2 a pair fails with a chance of 5 %; if all fail, the last pair's ratio is taken.
+    """
+    x, y = ([F.pow(keyed_uniform(seed, F.lit(name), *keys, F.lit(i)), F.lit(1 / alpha)) for i in range(tries)] for name in ("x", "y"))
+    ratio = [a / F.nullif(a + b, F.lit(0.0)) for a, b in zip(x, y)]
+    return F.coalesce(*[F.when(a + b <= 1, q) for a, b, q in zip(x, y, ratio)], ratio[-1], F.lit(0.5))
+
+
+def mix_rows(values_1: Column, values_2: Column, y_1: Column, y_2: Column, share: Column, soft: bool = True) -> tuple[Column, Column]:
+    """Arrays and label arrays mixed by a share; with ``soft`` false the labels are those of the larger share (the second on a tie)."""
+    weight = share if soft else F.when(share > 0.5, F.lit(1.0)).otherwise(F.lit(0.0))
+    blend = lambda a, b, w: let(w, lambda k: F.zip_with(a, b, lambda u, v: k * u.cast("double") + (1 - k) * v.cast("double")))
+    return blend(values_1, values_2, share), blend(y_1, y_2, weight)
+
+
+def mixup(df: DataFrame, key: str, values: str, y: str, seed: int = 1, alpha: float = 0.2, chance: float = 0.25, soft: bool = True, run_rows: int = 10_000) -> DataFrame:
+    """Each row mixed with a partner: ``key, partner, share, values, y``; the share is Beta(alpha, alpha), or 0 except with ``chance``.
+
+    A share of 0 leaves the partner's row. Partners are neighbours in a keyed order, the last with the first, within
+    hashed runs of about ``run_rows``, whose number comes from a count.
+    """
+    runs = max(1, df.count() // run_rows)
+    d = df.select(key, values, y).withColumn("_run", F.pmod(F.xxhash64(F.col(key)), F.lit(runs)))
+    order = Window.partitionBy("_run").orderBy(keyed_order(seed, F.col(key)), key)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    other = F.struct(F.col(key).alias("k"), F.col(values).alias("v"), F.col(y).alias("y"))
+    d = d.withColumn("_o", F.coalesce(F.lead(other).over(order), F.first(other).over(whole)))
+    hit = keyed_uniform(seed, F.lit("chance"), F.col(key)) < chance
+    d = d.withColumn("share", F.when(hit, keyed_beta(seed, alpha, F.col(key))).otherwise(F.lit(0.0)))
+    v, w = mix_rows(F.col(values), F.col("_o.v"), F.col(y), F.col("_o.y"), F.col("share"), soft)
+    return d.select(key, F.col("_o.k").alias("partner"), "share", v.alias(values), w.alias(y))

@@ -422,11 +422,12 @@ def uniform_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH e AS (SELECT vec_id, embedding, label, CAST(floor({_U.format("'1|run|' || vec_id")} * 64) AS INT) AS run FROM embeddings),
     a AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY md5('1|' || vec_id), vec_id) AS k FROM e), b AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY md5('2|' || vec_id), vec_id) AS k FROM e),
     p AS (SELECT a.vec_id, b.vec_id AS partner, 0.2 + 0.6 * {_U.format("'1|mix|' || a.vec_id")} AS share, a.label AS l1, b.label AS l2, a.embedding AS x, b.embedding AS y FROM a JOIN b USING (run, k))
-    SELECT vec_id, partner, round(share, 6) AS share, CASE WHEN share >= 0.5 THEN l1 ELSE l2 END AS label, round(share * x[1]::DOUBLE + (1 - share) * y[1]::DOUBLE, 6) AS v0, round(share * x[64]::DOUBLE + (1 - share) * y[64]::DOUBLE, 6) AS v63 FROM p""",
+    SELECT vec_id, partner, round(share, 6) AS share, CASE WHEN share >= 0.5 THEN l1 ELSE l2 END AS label, CAST(i - 1 AS INT) AS i, round(share * x[i]::DOUBLE + (1 - share) * y[i]::DOUBLE, 6) AS v FROM (SELECT *, unnest(range(1, 65)) AS i FROM p)""",
 )
 def mixup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = splitting.mixup_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
-    return m.select("vec_id", "partner", F.round("share", 6).alias("share"), "label", F.round(F.get("embedding", F.lit(0)), 6).alias("v0"), F.round(F.get("embedding", F.lit(63)), 6).alias("v63"))
+    long_ = m.select("vec_id", "partner", F.round("share", 6).alias("share"), "label", F.posexplode("embedding").alias("i", "v"))
+    return long_.withColumn("v", F.round("v", 6))
 
 
 # ---- grid
@@ -516,10 +517,11 @@ def new_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.new_squares(rest, 0.1, 0.09)
 
 
-@query("nested_grid", f"""WITH {_POINTS_SQL} SELECT square_id, CAST(count(DISTINCT code) AS INT) AS n_species, CAST(sum(n) FILTER (code = 'BUILDING' AND month = 5) AS BIGINT) AS building_may FROM mz GROUP BY square_id""")
+@query("nested_grid", f"""WITH {_POINTS_SQL} SELECT * FROM mz""")
 def nested_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.col("species_per_month")
-    return grid.nested_counts(_monthly(spark, sf_dir)).select("square_id", F.size(m).alias("n_species"), F.element_at(F.element_at(m, "BUILDING"), 5).alias("building_may"))
+    """The nested counts, unfolded again."""
+    codes = grid.nested_counts(_monthly(spark, sf_dir)).select("square_id", F.explode("species_per_month").alias("code", "m"))
+    return codes.select("square_id", "code", F.explode("m").alias("month", "n"))
 
 
 # ---- arrays
@@ -532,32 +534,31 @@ def _emb(spark: SparkSession, sf_dir: str) -> DataFrame:
 _X = "list_transform(embedding, lambda v: v::DOUBLE)"
 
 
+def _places(df: DataFrame, key: str, **arrays_: F.Column) -> DataFrame:
+    """A row for every place of arrays of one length, so that all of them are compared."""
+    zipped = F.arrays_zip(*[c.alias(n) for n, c in arrays_.items()])
+    return df.select(key, F.posexplode(zipped).alias("i", "z")).select(key, "i", *[F.round(F.col("z")[n], 6).alias(n) for n in arrays_])
+
+
+_LONG_SQL = "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings"
+
+
 @query(
     "array_minmax",
-    f"""WITH e AS (SELECT vec_id, {_X} AS x, list_min({_X}) AS lo, list_max({_X}) AS hi FROM embeddings)
-    SELECT vec_id, round(2 * ((x[1] - lo) / (hi - lo + 1e-6)) - 1, 6) AS first, round(list_min(list_transform(x, lambda v: 2 * ((v - lo) / (hi - lo + 1e-6)) - 1)), 6) AS low,
-    round(list_max(list_transform(x, lambda v: (v - lo) / (hi - lo))), 6) AS unit_high, round((x[2] - list_avg(x)) / list_stddev_pop(x), 6) AS z FROM e""",
+    f"""WITH l AS ({_LONG_SQL}), f AS (SELECT *, min(v) OVER w AS lo, max(v) OVER w AS hi, avg(v) OVER w AS m, stddev_pop(v) OVER w AS sd FROM l WINDOW w AS (PARTITION BY vec_id))
+    SELECT vec_id, i, round(2 * ((v - lo) / (hi - lo + 1e-6)) - 1, 6) AS scaled, round((v - lo) / (hi - lo), 6) AS unit, round((v - m) / sd, 6) AS z FROM f""",
 )
 def array_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("x")
-    return _emb(spark, sf_dir).select(
-        "vec_id",
-        F.round(F.get(arrays.minmax(x), F.lit(0)), 6).alias("first"),
-        F.round(F.array_min(arrays.minmax(x)), 6).alias("low"),
-        F.round(F.array_max(arrays.unit_minmax(x)), 6).alias("unit_high"),
-        F.round(F.get(arrays.standardize(x), F.lit(1)), 6).alias("z"),
-    )
+    return _places(_emb(spark, sf_dir), "vec_id", scaled=arrays.minmax(x), unit=arrays.unit_minmax(x), z=arrays.standardize(x))
 
 
 @query(
     "power_to_db",
-    f"""WITH e AS (SELECT vec_id, list_transform({_X}, lambda v: 10 * log10(greatest(v, 1e-10))) AS d FROM embeddings)
-    SELECT vec_id, round(d[1], 6) AS raw_or_floor, round(list_min(list_transform(d, lambda v: greatest(v, list_max(d) - 80))), 6) AS low FROM
-    (SELECT vec_id, [greatest(d[1], list_max(d) - 80)] || d[2:] AS d FROM e)""",
+    f"""WITH l AS (SELECT vec_id, i, 10 * log10(greatest(v, 1e-10)) AS d FROM ({_LONG_SQL})) SELECT vec_id, i, round(greatest(d, max(d) OVER (PARTITION BY vec_id) - 80), 6) AS db FROM l""",
 )
 def power_to_db(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = arrays.power_to_db(F.col("x"))
-    return _emb(spark, sf_dir).select("vec_id", F.round(F.get(d, F.lit(0)), 6).alias("raw_or_floor"), F.round(F.array_min(d), 6).alias("low"))
+    return _places(_emb(spark, sf_dir), "vec_id", db=arrays.power_to_db(F.col("x")))
 
 
 @query("array_stats", """WITH l AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
@@ -569,10 +570,10 @@ def array_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ema", """WITH RECURSIVE e AS (SELECT vec_id, embedding AS x, 1 AS i, abs(embedding[1]::DOUBLE) AS m FROM embeddings
     UNION ALL SELECT vec_id, x, i + 1, 0.96 * m + 0.04 * abs(x[i + 1]::DOUBLE) FROM e WHERE i < len(x))
-  SELECT vec_id, round(m, 6) AS last_ema, round(pow(abs(x[64]::DOUBLE) / pow(1e-6 + m, 0.98) + 2, 0.5) - sqrt(2), 6) AS last_pcen FROM e WHERE i = len(x)""")
+  SELECT vec_id, CAST(i - 1 AS INT) AS i, round(m, 6) AS ema, round(pow(abs(x[i]::DOUBLE) / pow(1e-6 + m, 0.98) + 2, 0.5) - sqrt(2), 6) AS pcen FROM e""")
 def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _emb(spark, sf_dir).withColumn("a", F.transform("x", lambda v: F.abs(v)))
-    return e.select("vec_id", F.round(F.element_at(arrays.ema(F.col("a")), -1), 6).alias("last_ema"), F.round(F.element_at(arrays.pcen(F.col("a")), -1), 6).alias("last_pcen"))
+    return _places(e, "vec_id", ema=arrays.ema(F.col("a"), block=24), pcen=arrays.pcen(F.col("a")))
 
 
 @query(
@@ -589,11 +590,11 @@ def nan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "multi_hot",
-    """SELECT doc_id, list_transform(range(0, 24), lambda i: CASE WHEN i = CAST(substr(source, 4) AS INT) OR (lang <> 'en' AND i = CASE lang WHEN 'fr' THEN 20 WHEN 'de' THEN 21 WHEN 'es' THEN 22 END) THEN 1 ELSE 0 END) AS y,
-    CAST(least(CAST(substr(source, 4) AS INT), 99) AS INT) AS first_index, source AS first_tag FROM documents WHERE source IS NOT NULL AND lang IN ('en', 'fr', 'de', 'es')""",
+    """WITH d AS (SELECT doc_id, source, TRY_CAST(substr(source, 4) AS INT) AS si, CASE lang WHEN 'fr' THEN 20 WHEN 'de' THEN 21 WHEN 'es' THEN 22 END AS li FROM documents)
+    SELECT doc_id, list_transform(range(0, 24), lambda i: CASE WHEN i = si THEN 1 WHEN i = li THEN 1 ELSE 0 END) AS y, coalesce(si, li) AS first_index, coalesce(source, 'noise') AS first_tag FROM d""",
 )
 def multi_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("source is not null and lang in ('en', 'fr', 'de', 'es')")
+    d = table(spark, sf_dir, "documents")
     names = {**{f"src{i}": i for i in range(20)}, "fr": 20, "de": 21, "es": 22, "en": -1}
     m = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
     idx = arrays.label_indices(F.concat_ws("\n", F.lit("unknown"), "lang", "source"), m)
@@ -899,14 +900,14 @@ def remove_shared_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH a AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS s FROM embeddings),
     j AS (SELECT a.vec_id, a.s, b.s AS n, 3.0 + a.vec_id % 28 AS snr FROM a JOIN a b ON b.vec_id = a.vec_id // 2 * 2 + 1 - a.vec_id % 2),
     p AS (SELECT *, sqrt((list_sum(list_transform(s, lambda v: v * v)) / len(s)) / (list_sum(list_transform(n, lambda v: v * v)) / len(n) * pow(10, snr / 10))) AS scale FROM j)
-    SELECT vec_id, round(s[1] + n[1] * scale * CASE WHEN vec_id % 3 = 0 THEN -1 ELSE 1 END, 6) AS first, round(s[64] + n[64] * scale * CASE WHEN vec_id % 3 = 0 THEN -1 ELSE 1 END, 6) AS last FROM p""",
+    SELECT vec_id, CAST(i - 1 AS INT) AS i, round(s[i] + n[i] * scale * CASE WHEN vec_id % 3 = 0 THEN -1 ELSE 1 END, 6) AS v FROM (SELECT *, unnest(range(1, 65)) AS i FROM p)""",
 )
 def mix_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     i = F.col("vec_id")
     pair = e.withColumn("other", F.floor(i / 2) * 2 + 1 - i % 2).join(e.select(i.alias("other"), F.col("embedding").alias("noise")), "other")
     mixed = features.mix_noise(F.col("embedding"), F.col("noise"), F.lit(3.0) + i % 28, i % 3 == 0)
-    return pair.select("vec_id", F.round(F.get(mixed, F.lit(0)), 6).alias("first"), F.round(F.element_at(mixed, -1), 6).alias("last"))
+    return _places(pair, "vec_id", v=mixed)
 
 
 # ---- filters and reports
@@ -944,17 +945,21 @@ def random_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     "tighten",
     """WITH l AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS o, len(embedding) AS n FROM embeddings),
     s AS (SELECT *, round(sum(v) OVER (PARTITION BY vec_id ORDER BY o ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING), 9) AS total FROM l),
-    b AS (SELECT vec_id, o FROM s WHERE o + 8 <= n OR o = 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY total DESC, o) = 1)
-    SELECT vec_id, round(o * 0.1::DOUBLE, 6) AS "start", round((o + 8) * 0.1::DOUBLE, 6) AS "end" FROM b""",
+    b AS (SELECT vec_id, o FROM s WHERE o + 8 <= n OR o = 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY total DESC, o) = 1),
+    f AS (SELECT vec_id, coalesce(abs(stddev_pop(v) / nullif(avg(v), 0)) < 1, true) AS rejected FROM l GROUP BY vec_id)
+    SELECT vec_id, round(o * 0.1::DOUBLE, 6) AS "start", round((o + 8) * 0.1::DOUBLE, 6) AS "end", rejected FROM b JOIN f USING (vec_id)""",
 )
 def tighten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = intervals.tighten(_emb(spark, sf_dir), "vec_id", "x", 8, 0.1)
-    return t.select("vec_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+    t = intervals.tighten(_emb(spark, sf_dir), "vec_id", "x", 8, 0.1, 1.0)
+    return t.select("vec_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "rejected")
 
 
-@query("label_audit", """SELECT lang, list_sort(list(DISTINCT source)) AS texts, count(*) FILTER (source IS NULL AND false) AS n_multi FROM documents GROUP BY lang""")
+@query("label_audit", """WITH d AS (SELECT lang, CASE WHEN doc_id % 5 = 0 THEN source || chr(10) || lang ELSE source END AS t FROM documents)
+  SELECT lang, list_sort(list(DISTINCT t) FILTER (NOT contains(t, chr(10)))) AS texts, count(*) FILTER (contains(t, chr(10))) AS n_multi FROM d GROUP BY lang""")
 def label_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.label_audit(table(spark, sf_dir, "documents"), "source", "lang")
+    d = table(spark, sf_dir, "documents")
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat("source", F.lit("\n"), "lang")).otherwise(F.col("source"))
+    return labels.label_audit(d.select("lang", text.alias("source")), "source", "lang")
 
 
 @query("most_confused", f"WITH {_PREDS_SQL} SELECT true_i, pred_i, n FROM cm WHERE n > 0 AND pred_i NOT IN (-1, true_i) QUALIFY row_number() OVER (PARTITION BY true_i ORDER BY n DESC, pred_i) = 1")

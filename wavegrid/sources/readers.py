@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Media suffixes, the first found of a recording is taken.
 MEDIA = ["m4a", "wav", "mp3", "flac"]
+#: What the letters of a coded label mean.
+CODED = {"c": "human", "m": "human", "f": "human", "v": "video-game", "p": "noise", "b": "noise", "o": "other", "S": "silence", "U": "unknown"}
+
 
 def _fields(names: str) -> T.StructType:
     return T.StructType.fromDDL(names)
@@ -105,11 +110,42 @@ def species_list(spark: SparkSession, path: str) -> DataFrame:
     return c.select(F.col("eBird").alias("code"), F.explode(names).alias("a")).where("a.alias is not null").select("a.alias", "code", "a.priority")
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Rows as read from files, with ``file`` and the row's number in it from 0, whatever splits the file is read in.
+
+    A split is read in order, so a row's place is its place in the split after the rows of the file's earlier splits.
+    """
+    at = rows.withColumns({"file": F.input_file_name(), "_off": F.input_file_block_start(), "_at": F.monotonically_increasing_id()})
+    splits = at.groupBy("file", "_off").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy("file").orderBy("_off").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    return at.join(splits, ["file", "_off"]).select(*rows.columns, "file", (F.col("_at") - F.col("_first") + F.col("_before")).alias(name))
+
+
+def squares_kml(spark: SparkSession, path: str) -> DataFrame:
+    """``square_id, x0, y0, x1, y1``: bounds of the first outline of each placemark of KML files, numbered in order; those without numbers are left out."""
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_file"), F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<Placemark.*?</Placemark>"), F.lit(0))).alias("_i", "v"))
+    outline = F.regexp_extract("v", r"(?s)<coordinates>\s*(.*?)\s*</coordinates>", 1)
+    points = F.transform(F.split(outline, r"\s+"), lambda p: F.transform(F.slice(F.split(p, ","), 1, 2), lambda x: x.try_cast("double")))
+    x, y = F.transform(points, lambda p: F.get(p, F.lit(0))), F.transform(points, lambda p: F.get(p, F.lit(1)))
+    b = text.select("_file", "_i", F.array_min(x).alias("x0"), F.array_min(y).alias("y0"), F.array_max(x).alias("x1"), F.array_max(y).alias("y1"))
+    return b.where("x0 is not null and y0 is not null").select(F.concat_ws("#", F.element_at(F.split("_file", "/"), -1), F.col("_i").cast("string")).alias("square_id"), "x0", "y0", "x1", "y1")
+
+
+def taxonomy(spark: SparkSession, path: str, alias: int = 4, code: int = 2, other: int | None = 8) -> DataFrame:
+    """``alias, code, priority`` from a taxonomy CSV whose columns are known by place (from 0): common name first, then the other name."""
+    c = spark.read.option("header", True).csv(path)
+    at = lambda i: F.trim(F.col(f"`{c.columns[i]}`"))
+    names = [F.struct(at(alias).alias("alias"), F.lit(0).alias("priority"))] + ([F.struct(at(other).alias("alias"), F.lit(1).alias("priority"))] if other is not None else [])
+    return c.select(at(code).alias("code"), F.explode(F.array(*names)).alias("a")).where("a.alias <> ''").select("a.alias", "code", "a.priority")
+
+
 def sightings(spark: SparkSession, path: str) -> DataFrame:
-    """``row_no, common_name, lat, lng, obs_date`` of a tab-separated export quoted by ``|``, columns found by their names."""
-    c = spark.read.option("sep", "\t").option("quote", "|").option("header", True).csv(path)
+    """``file, row_no, common_name, lat, lng, obs_date`` of a tab-separated export quoted by ``|``, columns found by their names."""
+    c = numbered(spark.read.option("sep", "\t").option("quote", "|").option("header", True).csv(path), "row_no")
     return c.select(
-        F.monotonically_increasing_id().alias("row_no"),
+        "file",
+        "row_no",
         F.col("COMMON NAME").alias("common_name"),
         F.col("LATITUDE").cast("double").alias("lat"),
         F.col("LONGITUDE").cast("double").alias("lng"),
@@ -127,7 +163,7 @@ def regions(spark: SparkSession, path: str) -> DataFrame:
 
 def tier_manifest(spark: SparkSession, path: str) -> DataFrame:
     """``rec_id, filename, code, other_labels, start, end`` of lines with five or six fields; the first is the id if there are six, else folder and line number make one."""
-    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id()).withColumn("folder", F.element_at(F.split(F.input_file_name(), "/"), -2))
+    lines = numbered(spark.read.text(path), "n").withColumn("folder", F.element_at(F.split("file", "/"), -2))
     f = F.from_csv("value", F.lit("a string, b string, c string, d string, e string, f string"), {"quote": '"', "escape": '"'})
     r = lines.where("trim(value) <> ''").select("n", "folder", f.alias("f")).withColumn("six", F.col("f.f").isNotNull())
     pick = lambda x, y: F.when(F.col("six"), F.col(f"f.{x}")).otherwise(F.col(f"f.{y}"))
@@ -162,6 +198,12 @@ def clip_folder(spark: SparkSession, folder: str, label: str = "parent", fixed:
     return f.select("path", how.alias("label"))
 
 
+def coded_labels(code: Column) -> Column:
+    """The meanings of a coded label's letters, each once, in order of the letters; unknown letters count for nothing."""
+    known = F.create_map(*[F.lit(x) for kv in CODED.items() for x in kv])
+    return F.array_distinct(F.filter(F.transform(F.split(code, ""), lambda c: F.element_at(known, c)), lambda x: x.isNotNull()))
+
+
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
     """``rec_id, url, file, rec_ts, rec_date, lat, lng, duration`` of a catalogue's answers (JSON lines).
 
@@ -188,10 +230,25 @@ def catalogue(spark: SparkSession, path: str) -> DataFrame:
 MODES = {"raw": ["raw"], "spectrogram": ["spectrogram"], "embedding": ["embedding"], "features": ["short_f", "mid_f"]}
 
 
-def shards(spark: SparkSession, path: str, mode: str = "embedding", split: str | None = None) -> DataFrame:
-    """Written samples with the payload of one mode only; unreadable files are skipped, a split is read by its folder."""
+def shards(spark: SparkSession, path: str, mode: str = "embedding", split: str | None = None, preprocess: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Written samples with the payload of one mode only; unreadable files are skipped, a split is read by its folder.
+
+    ``preprocess`` is applied to what was read.
+    """
     df = spark.read.option("ignoreCorruptFiles", True).parquet(path)
     if split is not None:
         df = df.where(F.col("split") == split)
     payload = {c for cs in MODES.values() for c in cs}
-    return df.select(*[c for c in df.columns if c not in payload or c in MODES[mode]])
+    out = df.select(*[c for c in df.columns if c not in payload or c in MODES[mode]])
+    return preprocess(out) if preprocess else out
+
+
+def predictions(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
+    """Predictions as written by :func:`wavegrid.sources.writers.write_predictions`, of all models or one."""
+    df = spark.read.parquet(path)
+    return df if model is None else df.where(F.col("model") == model)
+
+
+def to_bool(text: Column) -> Column:
+    """True for yes, true, t, y and 1 in any case, false for anything else, null for null."""
+    return F.lower(F.trim(text)).isin("yes", "true", "t", "y", "1")
