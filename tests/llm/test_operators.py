@@ -117,8 +117,9 @@ def test_decontamination_in_many_blocks_and_cut_text(spark, tables):
         for s in reversed(r["spans"]):
             cut = cut[: s["start"]] + " " + cut[s["end"] :]
         assert cut == r["clean_text"]
-    with pytest.raises(ValueError):
-        find_contamination(docs, items, max_bytes=10)
+    # a benchmark in several passes over the documents
+    passes = find_contamination(docs, items, max_bytes=100).orderBy("doc_id", "text").collect()
+    assert passes == one
 
 
 def shingle_set(t, n=5):
@@ -298,6 +299,100 @@ def test_language_model_equals_counts(spark, tables):
         langid.fit(docs, max_langs=1)
 
 
+def test_language_id_by_plain_counting(spark):
+    """Against naive Bayes written out, with the n-grams counted one by one."""
+    import math
+
+    from wavegrid.llm import langid
+
+    mask, n_buckets = (1 << 64) - 1, 1 << 10
+    r = random.Random(12)
+    docs = [(i, " ".join(r.choice(WORDS[:9] if i % 3 else WORDS[9:]) for _ in range(r.randint(1, 12))), "en" if i % 3 else "fr") for i in range(60)]
+    docs += [(100, None, "en"), (101, "42 ?!", "fr"), (102, "été", None), (103, "", "en"), (104, "a", "fr")]
+
+    def buckets(t):
+        c = [ord(x) for x in t.lower()]
+        for n in (1, 2, 3):
+            for k in range(len(c) - n + 1):
+                h = 0
+                for j in range(n):
+                    h = (h * 0x100000001B3 + c[k + j] + j + 1) & mask
+                yield (((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 & mask) >> 40) % n_buckets
+
+    counts, rows = {"en": [0] * n_buckets, "fr": [0] * n_buckets}, {"en": 0, "fr": 0}
+    for _, t, lang in docs:
+        if t is not None and lang is not None:
+            rows[lang] += 1
+            for b in buckets(t):
+                counts[lang][b] += 1
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in langid.predict(df, langid.fit(df, n_buckets)).collect()}
+    for i, t, _ in docs:
+        if not t or not re.search(r"[^\W\d_]", t):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0)
+            continue
+        total = {x: math.log(rows[x] / sum(rows.values())) + sum(math.log((counts[x][b] + 0.5) / (sum(counts[x]) + 0.5 * n_buckets)) for b in buckets(t)) for x in counts}
+        best = max(sorted(total), key=total.get)
+        p = 1 / sum(math.exp(v - total[best]) for v in total.values())
+        assert got[i]["lang_pred"] == best and abs(got[i]["score"] - p) < 1e-4
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import os
+
+    from tokenizers import Tokenizer
+
+    from wavegrid.llm.sstable import Encoder, encodes_by_runs
+
+    other = os.path.join(os.path.dirname(q.word_tokenizer()), "byte_bpe_50k.json")
+    assert encodes_by_runs(q.word_tokenizer()) and not encodes_by_runs(other)
+    texts = ["", "Hello  World\n\tit's 42 É", "x" * 500, "a b"]
+    assert [x.tolist() for x in Encoder(other)(texts)] == [Tokenizer.from_file(other).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_media_that_are_null(spark):
+    from wavegrid.llm.matroska import digest_media
+
+    row = digest_media(spark.createDataFrame([(1, None, None)], "doc_id long, n_bytes long, media binary")).collect()[0]
+    assert row["doc_id"] == 1 and all(v is None for k, v in row.asDict().items() if k != "doc_id")
+
+
+def test_reserved_names_are_refused_and_clashing_ones_replaced(spark):
+    from wavegrid.llm.decontaminate import find_contamination
+    from wavegrid.llm.langid import fit, predict
+    from wavegrid.llm.line_dedup import apply_keep_runs, line_keep_runs
+    from wavegrid.llm.mixing import mix_sources
+    from wavegrid.llm.pitman_yor import score_texts
+    from wavegrid.llm.suffix_dedup import remove_repeats
+    from wavegrid.llm.url_filter import filter_urls
+
+    docs = spark.createDataFrame([(1, "a b c", "en", "s", False), (2, "a b", "en", "s", True)], "doc_id long, text string, lang string, source string, held boolean")
+    items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    for run in (
+        lambda d: find_contamination(d, items), lambda d: apply_keep_runs(d, line_keep_runs(docs)), mix_sources, remove_repeats, lambda d: score_texts(d, "held"),
+        lambda d: filter_urls(d, [("block", "com", "/")], "text"),
+    ):
+        with pytest.raises(ValueError):
+            run(docs.withColumn("__wg_key", F.lit(1)))
+    clash = docs
+    for name in ("n_words", "spans", "lang_pred", "score", "n_bytes", "kept", "n_tokens", "size", "copies", "n_lines", "kept_text", "row_key", "h", "node", "codes", "label"):
+        clash = clash.withColumn(name, F.lit("x"))
+    runs = line_keep_runs(docs)
+    for run in (lambda d: find_contamination(d, items), lambda d: predict(d, fit(docs)), remove_repeats, lambda d: score_texts(d, "held"), mix_sources, lambda d: apply_keep_runs(d, runs)):
+        plain, rows = run(docs), run(clash)
+        more = [c for c in plain.columns if c not in docs.columns]
+        assert sorted(map(repr, rows.select("doc_id", *more).collect())) == sorted(map(repr, plain.select("doc_id", *more).collect()))
+        assert rows.select("label", "h").distinct().collect() == [("x", "x")]
+
+
+def test_suffix_dedup_with_hot_anchors(spark, tables):
+    from wavegrid.llm.suffix_dedup import remove_repeats
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text")
+    one, two = (sorted(map(repr, remove_repeats(docs, 200, n).collect())) for n in (10**6, 1))
+    assert one == two
+
+
 def without_repeats(docs, width):
     raw = [(i, (t or "").encode()) for i, t in docs]
     seen = {}
@@ -373,32 +468,6 @@ def test_language_model_scores(spark, tables, at):
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, again), key=repr)
 
 
-def test_probabilities_sum_to_one():
-    from wavegrid.llm import pitman_yor as m
-
-    r = random.Random(4)
-    texts = [" ".join(r.choice(WORDS) for _ in range(40)) for _ in range(30)]
-    cache = m._Tokens()
-    pairs, _ = m._pairs(texts, cache)
-    uniq, count = np.unique(pairs, return_counts=True)
-    words = np.unique(uniq >> np.uint64(8))
-    every = np.sort(np.concatenate([words << np.uint64(8) | np.uint64(k) for k in np.unique(uniq & np.uint64(0xFF))]))
-    full = np.zeros(len(every), dtype=np.int64)
-    full[np.searchsorted(every, uniq)] = count
-    d = m.Dishes([m._ask(every, full)])
-    rng = np.random.default_rng(1)
-    s = m.Sampler(d, len(words), d.totals(), np.ones(m.N_CLASSES), (1.0, 1.0), rng)
-    for _ in range(5):  # totals from the sampler itself
-        s.sweep()
-        s.tables = np.bincount(d.cls, weights=s.t, minlength=m.N_CLASSES)
-        s.p_customers, s.p_tables = float(s.parent_count.sum()), float(s.s.sum())
-    p = s.probability()
-    unknown = (m.STRENGTH + m.DISCOUNT * s.tables) / (m.STRENGTH + s.customers) * (m.PARENT_STRENGTH + m.PARENT_DISCOUNT * s.p_tables) / (m.PARENT_STRENGTH + s.p_customers) * s.base
-    for k in np.unique(d.cls):
-        assert abs(p[d.cls == k].sum() + unknown[k] - 1) < 1e-9
-    assert (s.t <= d.count).all() and (s.t[d.count > 0] >= 1).all()
-
-
 def test_jaccard_join_of_a_large_group_of_near_copies(spark):
     """Near copies that all share most shingles, apart from each other in pairs, with tiles of a few rows."""
     from wavegrid.llm.jaccard import jaccard_components

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,14 +26,22 @@ BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; set here only where unset."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; set here only where unset, and only in local mode."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at if "://" in at or at.startswith("file:") else "file://" + at
 
 
+def refuse_reserved(df: DataFrame) -> None:
+    """Names beginning with ``__wg_`` are the operators' own; a caller's column of such a name is an error, not overwritten."""
+    if own := [c for c in df.columns if c.startswith("__wg_")]:
+        raise ValueError(f"column names beginning with __wg_ are reserved: {own}")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new place for one intermediate table; it belongs to the shared folder, whose owner clears it."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"

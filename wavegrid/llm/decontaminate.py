@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from wavegrid.llm.common import slices, tidy
+from wavegrid.llm.common import materialize, refuse_reserved, slices, tidy
 
 
 #: Bytes to bytes: A-Z lower-cased, what is no part of a word to a blank. A word is `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing.
@@ -162,20 +162,22 @@ class Windows:
         return self
 
 
-def benchmark_blocks(items: DataFrame, width: int, max_windows: int, max_bytes: int) -> Iterator[Windows]:
-    """Blocks of ``item_id, text``, each of about ``max_windows`` windows; a benchmark of more than ``max_bytes`` is refused."""
-    block, total = Windows(width), 0
+def benchmark_passes(items: DataFrame, width: int, max_windows: int, max_bytes: int) -> Iterator[list[Windows]]:
+    """``item_id, text`` in blocks of about ``max_windows`` windows; as many of them as have about ``max_bytes`` characters are one pass."""
+    block, blocks, total = Windows(width), [], 0
     for r in items.select("item_id", "text").toLocalIterator():
-        words = words_of(r["text"])
+        block.add("null" if r["item_id"] is None else str(r["item_id"]), words_of(r["text"]))
         total += len(r["text"] or "")
-        if total > max_bytes:
-            raise ValueError(f"the benchmark has more than {max_bytes} characters: decontaminate in several calls, each against a part of it")
-        block.add("null" if r["item_id"] is None else str(r["item_id"]), words)
-        if len(block.of) >= max_windows:
-            yield block.close()
+        if len(block.of) >= max_windows or total >= max_bytes:
+            blocks += [block.close()] if block.of else []
             block = Windows(width)
-    if block.of:
-        yield block.close()
+        if total >= max_bytes:
+            if blocks:
+                yield blocks
+            blocks, total = [], 0
+    blocks += [block.close()] if block.of else []
+    if blocks:
+        yield blocks
 
 
 def _search_shard(folded: list[bytes], block: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -231,7 +233,7 @@ def _search_shard(folded: list[bytes], block: Windows) -> tuple[np.ndarray, np.n
     return counts, np.cumsum(cover[:-1]) > 0, pair // len(block.items), pair % len(block.items)
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, max_windows: int = 200_000, max_bytes: int = 256 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, max_windows: int = 200_000, max_bytes: int = 32 << 20) -> DataFrame:
     """Adds to every document ``n_words, n_hit``, ``item_ids`` (sorted as strings), ``contaminated``, ``spans`` and ``clean_text``.
 
     A window is ``width`` consecutive words of an item, or all words of a shorter one. ``spans`` are the merged
@@ -240,35 +242,61 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, max_w
 
     Each task takes documents up to 12 MB of text as a shard, indexes it, searches all windows and locates
     the hits; nothing is shuffled. The benchmark comes in blocks of a bounded number of windows, each searched
-    in every shard, and is refused beyond ``max_bytes``.
+    in every shard. Blocks of up to ``max_bytes`` of text are broadcast together; a larger benchmark takes further
+    passes over the documents, which carry what was hit so far (a bit for each word).
 
     A null or empty text has no words; items without words have no windows; an item with a null id is listed
     as ``null``. Repeated rows are judged alike, each by itself; ids aren't looked at. Columns of the added
     names are replaced, others kept. An empty benchmark leaves every document clean.
     """
-    added = ["n_words", "n_hit", "item_ids", "contaminated", "spans", "clean_text"]
-    docs = docs.drop(*added)
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in benchmark_blocks(items, width, max_windows, max_bytes)]
-    at = docs.columns.index("text")
-    more_fields = StructType.fromDDL("n_words long, n_hit long, item_ids array<string>, contaminated boolean, spans array<struct<start:int,end:int>>, clean_text string")
-    schema = StructType([*docs.schema.fields, *more_fields.fields])
+    refuse_reserved(docs)
+    docs = docs.drop("n_words", "n_hit", "item_ids", "contaminated", "spans", "clean_text")
+    sc, names = docs.sparkSession.sparkContext, docs.columns
+    passes = benchmark_passes(items, width, max_windows, max_bytes)
+    now, blocks = docs, next(passes, [])
+    while True:
+        following = next(passes, None)
+        shared = [sc.broadcast(b) for b in blocks]
+        now = _search(now, names, shared, following is None)
+        if following is None:
+            return now
+        now, blocks = materialize(now, "contamination-so-far"), following
+        for b in shared:
+            b.destroy()
+
+
+def _search(docs: DataFrame, names: list[str], blocks: list, is_last: bool) -> DataFrame:
+    """One pass over documents, which may have what earlier passes hit; the last one gives the columns of :func:`find_contamination`."""
+    prior, at = len(docs.columns) > len(names), names.index("text")
+    carried = StructType.fromDDL("__wg_cover binary, __wg_items array<string>")
+    result = StructType.fromDDL("n_words long, n_hit long, item_ids array<string>, contaminated boolean, spans array<struct<start:int,end:int>>, clean_text string")
+    more_fields = (result if is_last else carried).fields
+    added = [f.name for f in more_fields]
+    schema = StructType([*docs.select(*names).schema.fields, *more_fields])
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def shard(rows: pa.RecordBatch) -> pa.RecordBatch:
         texts = rows.column(at).to_pylist()
         folded = [(t or "").encode("utf-8", "surrogatepass").translate(_FOLD) for t in texts]
-        names: list[set[str]] = [set() for _ in texts]
+        hit_items: list[set[str]] = [set() for _ in texts]
         counts, cover = None, None
         for bc in blocks:
             counts, more, doc, item = _search_shard(folded, bc.value)
             cover = more if cover is None else cover | more
             for d, k in zip(doc.tolist(), item.tolist()):
-                names[d].add(bc.value.items[k])
+                hit_items[d].add(bc.value.items[k])
         if counts is None:
             counts = np.array([len(f.split()) for f in folded], dtype=np.int64)
             cover = np.zeros(counts.sum(), dtype=bool)
         first = np.cumsum(counts) - counts
+        if prior:
+            for d, (bits, ids) in enumerate(zip(rows.column(len(names)).to_pylist(), rows.column(len(names) + 1).to_pylist())):
+                hit_items[d].update(ids)
+                cover[first[d] : first[d] + counts[d]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=int(counts[d])).astype(bool)
+        found = pa.array([sorted(x) for x in hit_items], pa.list_(pa.string()))
+        if not is_last:
+            bits = [np.packbits(cover[a : a + n]).tobytes() for a, n in zip(first.tolist(), counts.tolist())]
+            return pa.RecordBatch.from_arrays([*rows.columns[: len(names)], pa.array(bits, pa.binary()), found], names=[*names, *added])
         sums = np.concatenate([[0], np.cumsum(cover)])
         hits = sums[first + counts] - sums[first]
         spans: list[list[dict]] = [[] for _ in texts]
@@ -287,12 +315,12 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, max_w
         more = [
             pa.array(counts, pa.int64()),
             pa.array(hits, pa.int64()),
-            pa.array([sorted(x) for x in names], pa.list_(pa.string())),
+            found,
             pa.array(hits > 0, pa.bool_()),
             pa.array(spans, span),
             pa.array(clean, pa.string()),
         ]
-        return pa.RecordBatch.from_arrays([*rows.columns, *more], names=[*rows.schema.names, *added])
+        return pa.RecordBatch.from_arrays([*rows.columns[: len(names)], *more], names=[*names, *added])
 
     def search(batches):
         kept, size = [], 0

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wavegrid.llm.common import map_arrow, slices
+from wavegrid.llm.common import map_arrow, materialize, slices
 
 ORDERS = (1, 2, 3)
 _LETTER = regex.compile(r"\p{L}")
@@ -59,11 +59,12 @@ class Model:
     log_prob: np.ndarray  # (buckets, languages)
 
 
-def fit(docs: DataFrame, n_buckets: int = 1 << 16, max_langs: int = 1000) -> Model:
+def fit(docs: DataFrame, n_buckets: int = 1 << 16, max_langs: int = 200) -> Model:
     """Counts over all rows with a text and a ``lang``, summed by language and bucket with partial sums.
 
-    What comes to the driver has at most ``max_langs * n_buckets`` rows, whatever the input; more languages
-    are refused. Rows whose text or lang is null are left out.
+    What comes to the driver has at most ``max_langs * (n_buckets + 1)`` rows of 16 bytes, as Arrow columns, whatever the
+    input, and the matrix ``4 * max_langs * n_buckets`` bytes (52 MB); more languages are refused, unless a caller
+    allows them. Rows whose text or lang is null are left out. Repeated rows count each.
     """
 
     def count(batches):
@@ -83,19 +84,18 @@ def fit(docs: DataFrame, n_buckets: int = 1 << 16, max_langs: int = 1000) -> Mod
 
     rows = docs.where("text is not null and lang is not null").select("text", "lang")
     sums = map_arrow(rows, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    # written by no one else: at most max_langs * n_buckets rows
-    got = sums.groupBy("lang").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n")).limit(max_langs + 1).collect()
-    if len(got) > max_langs:
+    sums = materialize(sums, "langid-counts")
+    langs = sorted(x[0] for x in sums.select("lang").distinct().limit(max_langs + 1).collect())
+    if len(langs) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
-    got.sort(key=lambda r: r["lang"])
-    counts = np.zeros((n_buckets, len(got)))
-    prior = np.zeros(len(got))
-    for k, r in enumerate(got):
-        b, n = np.array(r["b"]), np.array(r["n"], dtype=float)
+    counts, prior = np.zeros((n_buckets, len(langs))), np.zeros(len(langs))
+    for k, lang in enumerate(langs):  # a column of the matrix at a time
+        got = sums.where(F.col("lang") == lang).select("bucket", "n").toArrow()
+        b, n = got["bucket"].to_numpy(), got["n"].to_numpy()
         prior[k] = n[b == n_buckets].sum()
         counts[b[b < n_buckets], k] = n[b < n_buckets]
     log_prob = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * n_buckets))
-    return Model([r["lang"] for r in got], np.log(prior / prior.sum()) if len(got) else prior, log_prob.astype(np.float32))
+    return Model(langs, np.log(prior / prior.sum()) if langs else prior, log_prob.astype(np.float32))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

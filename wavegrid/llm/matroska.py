@@ -280,7 +280,7 @@ def _feature(data: bytes, m: Media, payload: bytes) -> str:
 def store_texts(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, media``: each text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, as samples of a file.
 
-    A null text counts as empty. Ids may be null or repeat; each row has its own file.
+    A null text counts as empty. Ids may be null or repeat; each row has its own file. Other columns don't come along.
     """
 
     def write(batches):
@@ -320,7 +320,11 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
 
 
 def digest_media(media: DataFrame) -> DataFrame:
-    """Parses each stored file, puts its samples together from the packets' byte ranges, and describes both."""
+    """Parses each stored file, puts its samples together from the packets' byte ranges, and describes both.
+
+    ``media`` has ``doc_id, n_bytes, media``. Where the file is null, what describes it is null. A file that can't be parsed stops
+    the job with its error. Rows with null or repeated ids are described each by itself; other columns don't come along.
+    """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     names = [f.split()[0] for f in schema.split(", ")]
 
@@ -329,6 +333,9 @@ def digest_media(media: DataFrame) -> DataFrame:
             rows = []
             for v in b.column(2):
                 data = v.as_py()
+                if data is None:
+                    rows.append((None,) * 6)
+                    continue
                 m = parse(data)
                 p = payload_of(data, m)
                 rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(data), hashlib.sha256(data).hexdigest(), _feature(data, m, p)))

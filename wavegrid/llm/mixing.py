@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import WORD, materialize
+from wavegrid.llm.common import WORD, materialize, refuse_reserved
 
 #: Runs of one size class that a source is split into, so that no source is ordered in one task.
 SALTS = 32
@@ -55,6 +55,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), b
     Repeated rows are drawn for each by itself. Sources without words get target 0. Empty tables give no rows.
     Columns of the added names are replaced.
     """
+    refuse_reserved(docs)
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
     names = docs.columns
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("bigint")
@@ -80,5 +81,5 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), b
 
 
 def emit_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per copy, with the given columns."""
+    """One row per copy, with the given columns; rows with no or null ``copies`` give none. Repeated rows are copied each by itself, nulls in other columns stay."""
     return mixed.where("copies > 0").withColumn("__wg_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)

@@ -15,15 +15,12 @@ Draws are keyed by hashes of the pair, so the size of the grid does not matter.
 The pairs that texts share are sent once: a task counts the pairs of a stretch of documents and asks, per cell, for
 the probabilities of its distinct pairs; the answers come back in the order of the questions, as one file per
 stretch, and the second pass over the same stretch looks them up.
-
-``_Tokens`` to ``Sampler`` are an earlier form, in memory and over 256 classes of preceding words, that only a test uses.
 """
 
 from __future__ import annotations
 
 import math
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wavegrid.llm.common import WordHash, get_file, groups, materialize, partitions, put_file, scratch, tidy
+from wavegrid.llm.common import get_file, groups, materialize, partitions, put_file, refuse_reserved, scratch, tidy
 
-N_CLASSES = 256  # of the earlier form
 STRETCH = 2_000_000  # tokens of a stretch
 END = b"\n"  # no word holds it
 DISCOUNT, STRENGTH = 0.75, 1.0  # of the preceding words' restaurants
@@ -44,33 +40,6 @@ BURN_IN, SAMPLES = 2, 4
 U = np.uint64
 
 
-class _Tokens(WordHash):
-    """56 bits of a word's hash, and in the lowest 8 its class as a context."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        v = (xxhash.xxh3_64_intdigest(word) & ~0xFF) | (zlib.crc32(word[-2:]) % N_CLASSES)
-        if len(word) <= 64:
-            self[word] = v
-        return v
-
-
-def _pairs(texts: list[str | None], cache: _Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """(word, class before it) of all tokens of all texts on end, as one number each, and tokens per text. A text starts as if after an end."""
-    end, parts, sizes = cache[END], [], []
-    for t in texts:
-        words = t.encode("utf-8", "surrogatepass").lower().split() if t else []
-        w = np.fromiter(map(cache.__getitem__, words), dtype=U, count=len(words))
-        seq = np.empty(len(w) + 1, dtype=U)
-        seq[:-1], seq[-1] = w, end
-        before = np.empty(len(w) + 1, dtype=U)
-        before[0], before[1:] = end, w
-        parts.append((seq & ~U(0xFF)) | (before & U(0xFF)))
-        sizes.append(len(seq))
-    return np.concatenate(parts), np.array(sizes, dtype=np.int64)
-
-
 def _stretches(batches: Iterator[pa.RecordBatch], cols: list[str], step: int = 512) -> Iterator[tuple[str, list[pa.RecordBatch]]]:
     """Consecutive rows of one file split, in pieces of about as many tokens; both passes cut alike. ``cols``: text, file, offset."""
     at, no, kept, size = None, 0, [], 0
@@ -98,45 +67,6 @@ def _texts(kept: list[pa.RecordBatch], name: str) -> list[str | None]:
     return [t for b in kept for t in b.column(b.schema.get_field_index(name)).to_pylist()]
 
 
-def _ask(pairs: np.ndarray, n_train: np.ndarray) -> bytes:
-    """Distinct pairs in order: words once, then class and count in training of each pair."""
-    word = pairs >> U(8)
-    new = np.concatenate([[True], word[1:] != word[:-1]])
-    start = np.flatnonzero(new)
-    per = np.diff(np.append(start, len(pairs))).astype("<u2")
-    return struct.pack("<II", len(start), len(pairs)) + word[start].astype("<u8").tobytes() + per.tobytes() + (pairs & U(0xFF)).astype("u1").tobytes() + n_train.astype("<u4").tobytes()
-
-
-def _asked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, m = struct.unpack_from("<II", raw)
-    word = np.frombuffer(raw, "<u8", n, 8)
-    per = np.frombuffer(raw, "<u2", n, 8 + 8 * n)
-    cls = np.frombuffer(raw, "u1", m, 8 + 10 * n)
-    count = np.frombuffer(raw, "<u4", m, 8 + 10 * n + m)
-    return np.repeat(word, per) << U(8) | cls.astype(U), count
-
-
-class Dishes:
-    """All pairs of some words, with counts summed over the stretches that asked."""
-
-    def __init__(self, asked: list[bytes]):
-        parts = [_asked(r) for r in asked]
-        pairs = np.concatenate([p for p, _ in parts])
-        self.pairs, where = np.unique(pairs, return_inverse=True)
-        self.count = np.bincount(where, weights=np.concatenate([c for _, c in parts]), minlength=len(self.pairs)).astype(np.int64)
-        self.answers = np.split(where, np.cumsum([len(p) for p, _ in parts])[:-1])
-        word = self.pairs >> U(8)
-        new = np.concatenate([[True], word[1:] != word[:-1]])
-        self.word = np.cumsum(new) - 1
-        self.cls = (self.pairs & U(0xFF)).astype(np.int64)
-        self.start = np.flatnonzero(new)
-        self.word_count = np.add.reduceat(self.count, self.start)
-
-    def totals(self) -> np.ndarray:
-        """Customers of each class's restaurant."""
-        return np.bincount(self.cls, weights=self.count, minlength=N_CLASSES)
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     """64 bits to 64 that look random (the finalizer of splitmix64)."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -158,7 +88,7 @@ class Keyed:
         return np.bincount(who, weights=u < p[who], minlength=len(at)).astype(np.int64)
 
 
-def seat(count: np.ndarray, opens: np.ndarray, discount: float, rng: np.random.Generator | Keyed) -> np.ndarray:
+def seat(count: np.ndarray, opens: np.ndarray, discount: float, rng: Keyed) -> np.ndarray:
     """Tables after the customers of each dish came in one by one.
 
     ``opens`` is the weight of a new table: (strength + discount * tables of the restaurant) * base probability; the
@@ -171,7 +101,7 @@ def seat(count: np.ndarray, opens: np.ndarray, discount: float, rng: np.random.G
     while len(at):
         step = np.minimum(left, max(1, seated // 16))
         p = o / (o + seated - discount * t)
-        new = rng.draw(at, seated, step, p) if isinstance(rng, Keyed) else rng.binomial(step, p)
+        new = rng.draw(at, seated, step, p)
         t = t + new
         left = left - step
         seated += max(1, seated // 16)
@@ -182,35 +112,6 @@ def seat(count: np.ndarray, opens: np.ndarray, discount: float, rng: np.random.G
     return tables
 
 
-class Sampler:
-    def __init__(self, d: Dishes, n_types: int, customers: np.ndarray, tables: np.ndarray, parent: tuple[float, float], rng):
-        """``customers, tables``: totals of every class; ``parent``: customers and tables of the parent."""
-        self.d, self.rng, self.base = d, rng, 1.0 / (n_types + 1)
-        self.customers, self.tables, (self.p_customers, self.p_tables) = customers, tables, parent
-        self.t = (d.count > 0).astype(np.int64)
-        self._parent()
-
-    def _parent(self) -> None:
-        self.parent_count = np.add.reduceat(self.t, self.d.start)
-        opens = np.full(len(self.parent_count), (PARENT_STRENGTH + PARENT_DISCOUNT * self.p_tables) * self.base)
-        self.s = seat(self.parent_count, opens, PARENT_DISCOUNT, self.rng)
-
-    def word_probability(self) -> np.ndarray:
-        rest = (PARENT_STRENGTH + PARENT_DISCOUNT * self.p_tables) * self.base
-        return (self.parent_count - PARENT_DISCOUNT * self.s + rest) / (PARENT_STRENGTH + self.p_customers)
-
-    def sweep(self) -> None:
-        opens = (STRENGTH + DISCOUNT * self.tables[self.d.cls]) * self.word_probability()[self.d.word]
-        self.t = seat(self.d.count, opens, DISCOUNT, self.rng)
-        self._parent()
-
-    def probability(self) -> np.ndarray:
-        """Of every pair: the word after its class."""
-        c, k = self.d.count, self.d.cls
-        rest = (STRENGTH + DISCOUNT * self.tables[k]) * self.word_probability()[self.d.word]
-        return (c - DISCOUNT * self.t + rest) / (STRENGTH + self.customers[k])
-
-
 class _Ids(dict):
     """Words of one stretch, numbered as they come, and their hashes. The end is number 0."""
 
@@ -331,10 +232,12 @@ def score_texts(docs: DataFrame, held_out: str, seed: int = 5) -> DataFrame:
     """Adds ``n_tokens, n_known, train_tokens, base_score, score`` to every document; learns where ``held_out`` is false.
 
     ``docs`` has ``text`` and the boolean column; it should be read from files, whose splits name the stretches;
-    other frames are written to the shared folder first. A null text is empty; its one token is the end. Repeated
+    other frames are written to the shared folder first. A null text is empty; its one token is the end. A null in
+    ``held_out`` counts as false. Repeated
     rows count as often as they come. Without training tokens all probability lies in the uniform base.
     Columns of the added names are replaced, others kept. Scores are log10 of averaged probabilities.
     """
+    refuse_reserved(docs)
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     docs = docs.drop(*added)
     spark = docs.sparkSession

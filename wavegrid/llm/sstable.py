@@ -11,6 +11,7 @@ asks the filter, bisects the index for the block, and bisects nothing else than
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import struct
@@ -186,6 +187,27 @@ class Remembered(dict):
             self.clear()
 
 
+#: Fixed value: the normalizer and pre-tokenizer for which texts may be encoded by runs.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def encodes_by_runs(path: str) -> bool:
+    """Whether a tokenizer file has the known steps and no token that may reach across runs (added ones that are not in ``<|...|>``, truncation)."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    added = all(t["content"].startswith("<|") for t in spec.get("added_tokens") or [])
+    return all(spec.get(k) == v for k, v in KNOWN.items()) and added and not spec.get("truncation") and not spec.get("padding")
+
+
 class Encoder:
     """Token ids of texts, run by run.
 
@@ -194,6 +216,9 @@ class Encoder:
     is applied here, to the text in lower case; many new runs are encoded in one text and told apart by the tokens
     that end a run. Other texts go by their stretches between blanks, as no normalisation reaches across those; odd
     stretches are encoded as they are. Runs and stretches of up to 64 characters are remembered for a while.
+
+    All this holds for the steps of :data:`KNOWN` only. The tokenizer file is read for its own; where they differ, whole
+    texts are encoded.
     """
 
     plain = re.compile(r"[\x20-\x7e\t-\rÀ-ÖØ-öø-ÿ]*")
@@ -206,6 +231,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
+        self.by_runs = encodes_by_runs(path)
         vocab = self.of.get_vocab(True)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -216,6 +242,8 @@ class Encoder:
         return self.plain.fullmatch(text) is not None and "<|" not in text
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_runs:
+            return [np.frombuffer(x, dtype="<u4") for x in self._each(texts)]
         easy = [i for i, t in enumerate(texts) if self._is_plain(t)]
         split = [self.runs.findall(texts[i].lower()) for i in easy]
         out: list = [None] * len(texts)
@@ -354,6 +382,10 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
 
 
 def tokens_table(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """Writes the shards into a new folder of the shared store and reads them back."""
+    """``doc_id, start, n_tokens, ids_crc32``: writes the shards into a new folder of the shared store and reads them back.
+
+    Takes ``doc_id, text``; other columns don't come along. A null text is empty and has the end id alone; null ids come
+    first; repeated rows are entries of their own; an empty table gives no rows.
+    """
     folder = scratch(docs.sparkSession, "sst")
     return read_shards(write_shards(docs, folder, tokenizer, end_id), folder)

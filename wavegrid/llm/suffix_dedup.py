@@ -13,6 +13,8 @@ anchor is a segment.
    is split by symbol, which gives the next order, and the common prefixes of neighbours are carried along
    by minima over ranges. Strings are aligned at their anchors, so a round touches one suffix of each. A window
    is repeated if its suffix shares ``width`` bytes with a neighbour.
+   An anchor with very many different segments would be too much for one task: its windows are dealt out by
+   their own hashes instead, as equal windows hash alike, and counted with partial sums.
 3. The marks return to their documents.
 """
 
@@ -28,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wavegrid.llm.common import groups, materialize, maybe_broadcast, partitions
+from wavegrid.llm.common import groups, materialize, maybe_broadcast, partitions, refuse_reserved
 
 UNIT = 1 << 20  # bytes hashed at once
 FLUSH = 600_000  # segments a task combines before it sends them
 SORT_ROWS = 30_000  # strings sorted at once, rounded up to whole anchors
+HOT_STRINGS = 2_000  # different segments of an anchor beyond which its windows are dealt out instead
 WHOLE, PARTLY, SHIPPED = 1, 2, 3  # repeated as a whole; to be compared; repeated, and shown to those that are compared
 _SEGMENT = np.dtype([("h", "<u8"), ("s", "<u8"), ("k", "<i8"), ("q", "<u4"), ("many", "u1")])
 _MARK = np.dtype([("k", "<i8"), ("q", "<u4"), ("m", "u1")])
@@ -152,8 +155,8 @@ def _combine(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sent, _marks(settled["k"], settled["q"], WHOLE)
 
 
-def _judge(records: np.ndarray) -> np.ndarray:
-    """Marks of all segments of some anchors."""
+def _judge(records: np.ndarray, hot_strings: int) -> tuple[np.ndarray, np.ndarray]:
+    """Marks of all segments of some anchors, and the anchors that have more different segments to compare than one task should sort."""
     records = records[np.lexsort((records["s"], records["h"]))]
     h, s = records["h"], records["s"]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])
@@ -166,7 +169,9 @@ def _judge(records: np.ndarray) -> np.ndarray:
     each = np.repeat(mark, np.diff(np.append(start, len(records))))
     each[start[(mark == WHOLE) & lone[group]]] = SHIPPED
     keep = each > 0
-    return _marks(records["k"][keep], records["q"][keep], each[keep])
+    compared = np.bincount(group, weights=(mark == PARTLY) | ((mark == WHOLE) & lone[group])).astype(np.int64)
+    anchors = ch[np.concatenate([[True], ch[1:] != ch[:-1]])]
+    return _marks(records["k"][keep], records["q"][keep], each[keep]), anchors[compared > hot_strings]
 
 
 def pack(codes: np.ndarray) -> bytes:
@@ -216,8 +221,11 @@ def _bytes(texts: list[str | None]) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
 
-def mark_segments(docs: DataFrame, width: int) -> DataFrame:
-    """``row_key, codes, partly``: for each document with repeated anchors, a code of two bits per segment."""
+def mark_segments(docs: DataFrame, width: int, hot_strings: int = HOT_STRINGS) -> DataFrame:
+    """``row_key, codes, partly``: for each document with repeated anchors, a code of two bits per segment.
+
+    Rows without codes are no documents: their ``row_key`` is the hash of an anchor with more than ``hot_strings`` segments to compare.
+    """
     n_parts = partitions(docs.sparkSession)
     n_buckets = 4 * n_parts
 
@@ -254,7 +262,10 @@ def mark_segments(docs: DataFrame, width: int) -> DataFrame:
                 raw = b.column(2)[i].as_buffer()
                 (marks if b.column(1)[i].as_py() else seen).append(np.frombuffer(raw, _MARK if b.column(1)[i].as_py() else _SEGMENT))
             if seen:
-                marks.append(_judge(np.concatenate(seen)))
+                judged, hot = _judge(np.concatenate(seen), hot_strings)
+                marks.append(judged)
+                if len(hot):
+                    yield _rows([(0, 2, hot.tobytes())])
             held += marks
             total += sum(map(len, marks))
             if total >= 2 * FLUSH:  # dealt out once or a few times in a task, so rows stay few
@@ -265,6 +276,13 @@ def mark_segments(docs: DataFrame, width: int) -> DataFrame:
 
     def gather(batches):
         for _, refs in groups(batches, ["bucket"]):
+            hot = [np.frombuffer(b.column(2)[i].as_buffer(), np.int64) for b, i in refs if b.column(1)[i].as_py() == 2]
+            if hot:
+                h = np.concatenate(hot)
+                yield pa.record_batch({"row_key": pa.array(h), "codes": pa.nulls(len(h), pa.binary()), "partly": pa.nulls(len(h), pa.bool_())})
+            refs = [(b, i) for b, i in refs if b.column(1)[i].as_py() != 2]
+            if not refs:
+                continue
             marks = np.concatenate([np.frombuffer(b.column(2)[i].as_buffer(), _MARK) for b, i in refs])
             marks = marks[np.lexsort((marks["m"], marks["q"], marks["k"]))]
             start = np.concatenate([[0], np.flatnonzero(marks["k"][1:] != marks["k"][:-1]) + 1, [len(marks)]])
@@ -333,27 +351,67 @@ def compare_segments(docs: DataFrame, marks: DataFrame, width: int) -> DataFrame
     some = maybe_broadcast(marks.where("partly").select(F.col("row_key").alias("__wg_key"), "codes"), 128)
     texts = docs.select("text", _row_key().alias("row_key")).join(some, F.expr("row_key = __wg_key")).select("text", "row_key", "codes")
     strings = texts.mapInArrow(cut, "h long, row_key long, no int, ask boolean, left int, string binary")
+    hot = marks.where("codes is null").select(F.col("row_key").alias("h"))
+    is_hot = hot.limit(1).count() > 0
+    if is_hot:
+        strings, hot = materialize(strings, "repeat-strings"), maybe_broadcast(hot, 16)
+        strings, at_hot = strings.join(hot, "h", "left_anti"), strings.join(hot, "h", "left_semi")
     strings = strings.repartition(partitions(docs.sparkSession), "h").sortWithinPartitions("h")
     found = strings.mapInArrow(sort, "row_key long, no int, bits binary")
+    if is_hot:
+        found = found.unionByName(_compare_windows(at_hot, width))
     return found.groupBy("row_key").agg(F.collect_list(F.struct("no", "bits")).alias("found"))
 
 
-def remove_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
+def _compare_windows(strings: DataFrame, width: int) -> DataFrame:
+    """``row_key, no, bits`` as the sort gives them, for strings whose windows are told apart by hashes of 128 bits."""
+
+    def windows(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                rows = []
+                for key, no, ask, s in zip(*(part.column(c).to_pylist() for c in range(3)), part.column(3)):
+                    v = memoryview(s.as_buffer())
+                    rows += [(xxhash.xxh3_128_digest(v[i : i + width]), key, no, ask, i) for i in range(len(v) - width + 1)]
+                hashes, key, no, ask, place = zip(*rows)
+                two = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+                cols = {"w1": pa.array(two[:, 0]), "w2": pa.array(two[:, 1]), "row_key": pa.array(key, pa.int64()), "no": pa.array(no, pa.int32())}
+                yield pa.record_batch(cols | {"ask": pa.array(ask, pa.bool_()), "place": pa.array(place, pa.int32())})
+
+    def bits(batches):
+        for b in batches:
+            out = []
+            for places in b.column(2).to_pylist():
+                x = np.zeros(max(places) + 1, dtype=bool)
+                x[places] = True
+                out.append(np.packbits(x).tobytes())
+            yield pa.record_batch({"row_key": b.column(0), "no": b.column(1), "bits": pa.array(out, pa.binary())})
+
+    w = strings.select("row_key", "no", "ask", "string").mapInArrow(windows, "w1 long, w2 long, row_key long, no int, ask boolean, place int")
+    w = materialize(w, "repeat-windows")
+    many = w.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    hit = w.where("ask").join(many, ["w1", "w2"]).groupBy("row_key", "no").agg(F.collect_list("place").alias("places"))
+    return hit.mapInArrow(bits, "row_key long, no int, bits binary")
+
+
+def remove_repeats(docs: DataFrame, width: int = 200, hot_strings: int = HOT_STRINGS) -> DataFrame:
     """Adds ``n_bytes, n_removed, n_spans, kept`` (binary) to every document (``doc_id, text`` and others).
 
     Texts count as UTF-8 bytes, a null text as empty. Removed is each byte covered by a string of ``width`` bytes
     that also starts anywhere else, in the same document or another, overlaps included, judged on the texts as
     they come. ``n_spans`` counts the maximal removed runs. Repeated rows are copies of each other and lose all
     that is long enough. Ids may be null or repeat. Columns of the added names are replaced. Texts are told
-    apart by a hash of 64 bits of id and text on their way, segments by two.
+    apart by a hash of 64 bits of id and text on their way, segments by two. ``hot_strings`` changes the work, not the result.
     """
+    refuse_reserved(docs)
     added = ["n_bytes", "n_removed", "n_spans", "kept"]
     docs = docs.drop(*added)
-    marks = materialize(mark_segments(docs, width), "repeat-marks")
+    marks = materialize(mark_segments(docs, width, hot_strings), "repeat-marks")
     found = materialize(compare_segments(docs, marks, width), "repeat-found")
     names = docs.columns
     rows = docs.withColumn("__wg_key", _row_key())
-    rows = rows.join(marks.select(F.col("row_key").alias("__wg_key"), F.col("codes").alias("__wg_codes")), "__wg_key", "left")
+    rows = rows.join(marks.select(F.col("row_key").alias("__wg_key"), F.col("codes").alias("__wg_codes")).where("__wg_codes is not null"), "__wg_key", "left")
     rows = rows.join(found.select(F.col("row_key").alias("__wg_key"), F.col("found").alias("__wg_found")), "__wg_key", "left")
     rows = rows.select(*names, "__wg_codes", "__wg_found")
     at = names.index("text")

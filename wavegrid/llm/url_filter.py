@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import ascii_lower
+from wavegrid.llm.common import ascii_lower, refuse_reserved
 
 
 @dataclass(frozen=True)
@@ -146,6 +146,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str =
     looked up by shuffled joins instead.
     """
     spark: SparkSession = pages.sparkSession
+    refuse_reserved(pages)
     pages = with_host_path(pages.drop("host", "path", "rule", "verdict"), url)
     if not rules:
         return pages.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit("allow"))
