@@ -39,8 +39,8 @@ def unit_minmax(a: Column) -> Column:
 
 def standardize(a: Column) -> Column:
     """Less the mean, over the population deviation; zeros where there is none."""
-    spread = lambda v, m: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(v))
-    facts = lambda v: let(array_sum(v) / F.size(v), lambda m: F.struct(m.alias("mean"), spread(v, m).alias("sd")))
+    spread = lambda v, m: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.nullif(F.size(v), F.lit(0)))
+    facts = lambda v: let(array_sum(v) / F.nullif(F.size(v), F.lit(0)), lambda m: F.struct(m.alias("mean"), spread(v, m).alias("sd")))
     return let(a, lambda v: let(facts(v), lambda f: F.transform(v, lambda x: F.when(f["sd"] > 0, (x - f["mean"]) / f["sd"]).otherwise(F.lit(0.0)))))
 
 
