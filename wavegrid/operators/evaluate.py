@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavegrid.functions.arrays import argmax, ranked
+from wavegrid.operators.runs import score_run, sums_before
 from wavegrid.operators.sizes import small
 
 #: The column for rows without a prediction.
@@ -120,13 +121,14 @@ def precision_at_k(preds: DataFrame, k: int = 3, generic: int | None = None, wei
 def best_thresholds(preds: DataFrame, n_labels: int) -> DataFrame:
     """``label_i, threshold, f1``: per label the score that as a threshold has the best F1 (0/0 counts 0), the smallest on ties; 0 for labels without positives.
 
-    Equal scores are one point of the curve. Counts are summed by (label, score) before the running sums.
+    Equal scores are one point of the curve. Counts are summed by (label, score), and running sums go by cells of the score,
+    so no label's scores are ordered in one task.
     """
     long_ = preds.select("y_true", F.posexplode("probs").alias("label_i", "p"))
     by = long_.groupBy("label_i", "p").agg(F.sum((F.col("y_true") == F.col("label_i")).cast("long")).alias("pos"), F.count("*").alias("n"))
-    w = Window.partitionBy("label_i").orderBy(F.desc("p"))
-    all_ = Window.partitionBy("label_i")
-    c = by.select("label_i", "p", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("pred"), F.sum("pos").over(all_).alias("total"))
+    total = long_.groupBy("label_i").agg(F.sum((F.col("y_true") == F.col("label_i")).cast("long")).alias("total"))
+    c = sums_before(by.withColumn("run", score_run(F.col("p"))), ["label_i"], ["run"], [F.desc("p")], {"tp": F.col("pos"), "pred": F.col("n")})
+    c = c.join(total, "label_i").withColumns({"tp": F.col("tp") + F.coalesce("pos", F.lit(0)), "pred": F.col("pred") + F.col("n")})
     c = c.withColumn("f1", F.round(2 * F.col("tp") / (F.col("pred") + F.col("total")), 9))
     best = c.where("total > 0").groupBy("label_i").agg(F.max_by(F.struct("p", "f1"), F.struct("f1", -F.col("p"))).alias("b"))
     labels = preds.sparkSession.range(n_labels).select(F.col("id").cast("int").alias("label_i"))

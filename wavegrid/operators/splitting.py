@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavegrid.functions.arrays import let
+from wavegrid.operators.runs import hashed_run, sums_before
 from wavegrid.operators.segmenting import keyed_order, keyed_uniform
 from wavegrid.operators.sizes import small
 
@@ -16,7 +17,7 @@ def split_leakfree(samples: DataFrame, seed: int = 1, val: float = 0.15, test: f
     ``samples`` has ``sample_id, bin_id, tag`` (a row per tag). A bin belongs to the smallest of its tags. The bins
     of an owner, in keyed order, fill validation until both ``val`` of its tag's samples and of its tag's bins (one at
     least) are reached, then test likewise, the rest is train. Limits are of what carries the tag; progress counts all
-    samples of a bin. Windows hold bins, not samples.
+    samples of a bin. An owner's bins are summed up in runs of their order, not in one task.
     """
     bins = samples.groupBy("bin_id").agg(F.min("tag").alias("owner"), F.countDistinct("sample_id").alias("n"))
     owned = samples.join(bins.select("bin_id", "owner"), "bin_id").where("tag = owner")
@@ -28,14 +29,13 @@ def split_leakfree(samples: DataFrame, seed: int = 1, val: float = 0.15, test: f
     def limit(total: str, part: float, least: Column) -> Column:
         return F.greatest(least.cast("double"), F.col(total) * part)
 
-    b = bins.join(limits, "owner")
-    order = Window.partitionBy("owner").orderBy(keyed_order(seed, F.col("bin_id")), "bin_id")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    b = b.withColumn("_s", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("_b", F.row_number().over(order) - 1)
+    b = bins.withColumn("_o", keyed_order(seed, F.col("bin_id"))).withColumn("_p", hashed_run(F.col("_o")))
+    b = sums_before(b, ["owner"], ["_p"], ["_o", "bin_id"], {"_s": F.col("n"), "_b": F.lit(1)}).join(limits, "owner")
     in_val = (F.col("_s") < limit("own_samples", val, floor_)) | (F.col("_b") < limit("own_bins", val, F.lit(1)))
     b = b.withColumn("_v", in_val)
-    # what validation took is known to every later row of its owner
-    b = b.withColumn("_vs", F.sum(F.when(F.col("_v"), F.col("n")).otherwise(0)).over(before)).withColumn("_vb", F.sum(F.col("_v").cast("int")).over(before))
+    # both sums only grow along the order, so validation took its first bins
+    taken = b.where("_v").groupBy("owner").agg(F.sum("n").alias("_vs"), F.count("*").alias("_vb"))
+    b = b.join(taken, "owner", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("_vs", "_vb")})
     in_test = (F.col("_s") - F.col("_vs") < limit("own_samples", test, floor_)) | (F.col("_b") - F.col("_vb") < limit("own_bins", test, F.lit(1)))
     split = F.when(F.col("_v"), F.lit("validation")).when(F.lit(not no_test) & in_test, F.lit("test")).otherwise(F.lit("train"))
     return b.select("bin_id", "owner", split.alias("split"))
@@ -86,9 +86,9 @@ def oversample(used: DataFrame, pools: DataFrame, seed: int = 1, skip: tuple[str
     """
     counts = used.where(~F.col("tag").isin(*skip)).groupBy("tag").agg(F.count("*").alias("n"))
     facts = counts.crossJoin(F.broadcast(nth_largest_count(counts))).withColumn("deficit", F.greatest(F.lit(0), F.col("target") - F.col("n")))
-    by = Window.partitionBy("tag").orderBy("priority", keyed_order(seed, F.col("tag"), F.col("sample_id")), "sample_id")
-    ranked = pools.join(facts.where("deficit > 0").select("tag", "deficit"), "tag").withColumn("_r", F.row_number().over(by))
-    return ranked.where("_r <= deficit").select("sample_id", "tag", "priority")
+    spare = pools.join(facts.where("deficit > 0").select("tag", "deficit"), "tag").withColumn("_o", keyed_order(seed, F.col("tag"), F.col("sample_id")))
+    spare = sums_before(spare.withColumn("_p", hashed_run(F.col("_o"))), ["tag"], ["priority", "_p"], ["_o", "sample_id"], {"_r": F.lit(1)})
+    return spare.where("_r < deficit").select("sample_id", "tag", "priority")
 
 
 def folds(ids: DataFrame, key: str, seed: int = 1, k: int = 5, hold_out: float = 0.2) -> DataFrame:
@@ -108,8 +108,9 @@ def pick(df: DataFrame, keys: list[str], n: int, seed: int = 1, per: list[str] |
 
 def interleave(df: DataFrame, source: str, keys: list[str], seed: int = 1, stop_on_empty: bool = False) -> DataFrame:
     """Adds ``turn``: sources take turns in it, each in keyed order; optionally until the first is used up."""
-    w = Window.partitionBy(source).orderBy(keyed_order(seed, *[F.col(k) for k in keys]), *keys)
-    out = df.withColumn("turn", F.row_number().over(w))
+    keyed = df.withColumn("_o", keyed_order(seed, *[F.col(k) for k in keys])).withColumn("_p", hashed_run(F.col("_o")))
+    placed = sums_before(keyed, [source], ["_p"], ["_o", *keys], {"turn": F.lit(1)})
+    out = placed.withColumn("turn", F.col("turn") + 1).drop("_o", "_p")
     if stop_on_empty:
         out = out.join(F.broadcast(df.groupBy(source).agg(F.count("*").alias("_n")).agg(F.min("_n").alias("_n"))), F.col("turn") <= F.col("_n")).drop("_n")
     return out
@@ -176,8 +177,9 @@ def oversample_rounds(used: DataFrame, pools: DataFrame, repeats: DataFrame, max
     before = Window.partitionBy("tag").orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
     rounds = rounds.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(still.select("tag", "lack"), "tag")
     rounds = rounds.withColumn("_take", F.least(F.col("_n"), F.col("lack") - F.col("_before"))).where("_take > 0")
-    by = Window.partitionBy("tag", "round").orderBy(keyed_order(seed, F.col("round"), F.col("tag"), F.col("sample_id")), "sample_id")
-    again = repeats.join(rounds.select("tag", "set_no", "round", "_take"), ["tag", "set_no"]).withColumn("_r", F.row_number().over(by)).where("_r <= _take")
+    again = repeats.join(rounds.select("tag", "set_no", "round", "_take"), ["tag", "set_no"])
+    again = again.withColumn("_o", keyed_order(seed, F.col("round"), F.col("tag"), F.col("sample_id"))).withColumn("_p", hashed_run(F.col("_o")))
+    again = sums_before(again, ["tag", "round"], ["_p"], ["_o", "sample_id"], {"_r": F.lit(1)}).where("_r < _take")
     return spare.withColumn("round", F.lit(0)).unionByName(again.select("sample_id", "tag", (F.col("round") + 1).alias("round")))
 
 
