@@ -1,6 +1,7 @@
 import pytest
 
 from oracle import compare
+from wavegrid.plans import extras  # noqa: F401  (registers its queries)
 from wavegrid.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
