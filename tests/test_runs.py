@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
-from wavegrid.operators import evaluate
+from wavegrid.operators import evaluate, filters
 from wavegrid.operators.runs import score_run, sums_before
+from wavegrid.sources import writers
 
 
 def test_sums_before_equal_plain_running_sums(spark):
@@ -38,3 +39,17 @@ def test_thresholds_of_one_label_equal_brute_force(spark):
             score = round(2 * sum(r[1] == label for r in said) / (len(said) + sum(r[1] == label for r in rows)), 9)
             best = max(best, (score, -t))
         assert (f1, threshold) == (best[0], -best[1])
+
+
+def test_sites_are_numbered_over_devices(spark):
+    rows = [(i, f"d{i % 4}", (i % 6) / 3.0, -(i % 5) / 2.0) for i in range(90)]
+    recs = spark.createDataFrame(rows, "rec_id int, device_id string, lat double, lng double")
+    tracks = spark.createDataFrame([(1, 0.0, 1.0, None, None, "a")], "rec_id int, start double, end double, min_freq double, max_freq double, label string")
+    got = {r["rec_id"]: r["site_id"] for r in writers.anonymised(recs, tracks).collect()}
+    sites = sorted({(d, round(a, 1), round(b, 1)) for _, d, a, b in rows})
+    assert got == {i: sites.index((d, round(a, 1), round(b, 1))) + 1 for i, d, a, b in rows}
+
+
+def test_more_runs_for_more_rows(spark):
+    got = filters.batches(spark.range(500), ["id"], 3, run_rows=5).groupBy("run", "batch").count().collect()
+    assert sum(r["count"] for r in got) == 500 and max(r["count"] for r in got) <= 3 and max(r["run"] for r in got) > 64

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavegrid.functions.arrays import has_bad
+from wavegrid.operators.runs import runs_for
 from wavegrid.operators.segmenting import keyed_order, keyed_uniform
 
 
@@ -58,10 +59,13 @@ def length_agrees(df: DataFrame, declared: str, decoded: str, by: float = 1.0) -
     return df.where(F.abs(F.col(declared) - F.col(decoded)) <= by)
 
 
-def batches(df: DataFrame, keys: list[str], size: int, seed: int = 1, runs: int = 64) -> DataFrame:
-    """Adds ``run`` and ``batch``: rows in keyed order in batches of ``size`` within each of ``runs`` hashed runs, so that no order is made in one task."""
+def batches(df: DataFrame, keys: list[str], size: int, seed: int = 1, runs: int = 64, run_rows: int = 1_000_000) -> DataFrame:
+    """Adds ``run`` and ``batch``: rows in keyed order in batches of ``size`` within hashed runs, so that no order is made in one task.
+
+    There are ``runs`` of them, and more where a run would have over ``run_rows`` rows.
+    """
     cols = [F.col(k) for k in keys]
-    run = F.floor(keyed_uniform(seed, F.lit("run"), *cols) * runs).cast("int")
+    run = F.floor(keyed_uniform(seed, F.lit("run"), *cols) * runs_for(df, runs, run_rows)).cast("int")
     w = Window.partitionBy("run").orderBy(keyed_order(seed, *cols), *keys)
     return df.withColumn("run", run).withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
 

@@ -10,7 +10,8 @@ def sums_before(df: DataFrame, by: list[str], run: list[str], order: list[Column
     """Adds to each row, for every name in ``sums``, the sum of that expression over earlier rows of its group ``by``.
 
     Rows are ordered by the columns ``run``, ascending and nulls last, then by ``order``. Runs are summed first, and a group
-    is only ordered as its table of runs, so no task sorts more rows than a run has. Null keys are a group of their own.
+    is only ordered as its table of runs, so no task sorts more rows than a run has. Null keys are a group of their own;
+    without ``by`` all rows are one group.
     """
     keyed = df.withColumn("_run", F.struct(*by, *run))
     inside = Window.partitionBy("_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -28,6 +29,11 @@ def hashed_run(order: Column) -> Column:
     return F.substring(order, 1, 3)
 
 
+def runs_for(df: DataFrame, least: int, run_rows: int) -> int:
+    """As many runs as keep one at about ``run_rows`` rows, by a count, and ``least`` at the least."""
+    return max(least, df.count() // run_rows)
+
+
 def score_run(p: Column) -> Column:
     """Runs of falling scores: cells of the log odds, as scores crowd at both ends. Scores of 1 and above come first, of 0 and below last, nulls after them."""
     cell = F.floor(F.log(p / (1 - p)) * 64)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavegrid.functions.arrays import let
-from wavegrid.operators.runs import hashed_run, sums_before
+from wavegrid.operators.runs import hashed_run, runs_for, sums_before
 from wavegrid.operators.segmenting import keyed_order, keyed_uniform
 from wavegrid.operators.sizes import small
 
@@ -125,16 +125,17 @@ def uniform_classes(df: DataFrame, label: str, keys: list[str], seed: int = 1) -
     return kept.where(keyed_uniform(seed, *[F.col(k) for k in keys]) < F.col("_least") / F.col("_n")).drop("_n", "_least")
 
 
-def mixup_pairs(df: DataFrame, key: str, values: str, label: str, seed: int = 1, runs: int = 64) -> DataFrame:
+def mixup_pairs(df: DataFrame, key: str, values: str, label: str, seed: int = 1, runs: int = 64, run_rows: int = 10_000) -> DataFrame:
     """Pairs each row with another by place in two keyed orders and mixes their arrays by a keyed share in [0.2, 0.8].
 
-    Places are ranks within ``runs`` hashed runs, so no order is made in one task; a row whose partner's run is shorter
-    stays single. The label is that of the larger share.
+    Places are ranks within hashed runs (``runs``, or more where one would have over ``run_rows`` rows), so no order is made
+    in one task. The label is that of the larger share.
     """
+    n_runs = runs_for(df, runs, run_rows)
 
     def placed(name: str, s: int) -> DataFrame:
         # both orders use one run per row, so partners meet in it
-        run = F.floor(keyed_uniform(seed, F.lit("run"), F.col(key)) * runs).cast("int")
+        run = F.floor(keyed_uniform(seed, F.lit("run"), F.col(key)) * n_runs).cast("int")
         d = df.select(key, values, label).withColumn("_run", run)
         w = Window.partitionBy("_run").orderBy(keyed_order(s, F.col(key)), key)
         d = d.withColumn("_at", F.row_number().over(w))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavegrid.operators.runs import sums_before
+
 
 def write_shards(samples: DataFrame, path: str, n: int, by_tag: bool = False, max_rows: int | None = None) -> None:
     """Samples by split (and first tag), dealt out over ``n`` files by a hash of their recording; files of at most ``max_rows``."""
@@ -15,11 +17,12 @@ def write_shards(samples: DataFrame, path: str, n: int, by_tag: bool = False, ma
 def anonymised(recordings: DataFrame, tracks: DataFrame) -> DataFrame:
     """A row per recording for export: places rounded to 0.1 degrees, a dense number for each device and place, tracks nested, missing bands -1.
 
-    Numbers follow device and place in order. They are given to the distinct pairs, not to the recordings.
+    Numbers follow device and place in order, nulls last. They are given to the distinct pairs, not to the recordings, and
+    only the devices with their numbers of places are ordered as a whole.
     """
     r = recordings.withColumn("lat", F.round("lat", 1)).withColumn("lng", F.round("lng", 1))
     sites = r.select("device_id", "lat", "lng").distinct()
-    sites = sites.withColumn("site_id", F.row_number().over(Window.orderBy("device_id", "lat", "lng")))
+    sites = sums_before(sites, [], ["device_id"], [F.asc_nulls_last("lat"), F.asc_nulls_last("lng")], {"site_id": F.lit(1)}).withColumn("site_id", F.col("site_id") + 1)
     t = tracks.groupBy("rec_id").agg(
         F.array_sort(F.collect_list(F.struct("start", "end", F.coalesce("min_freq", F.lit(-1.0)).alias("min_freq"), F.coalesce("max_freq", F.lit(-1.0)).alias("max_freq"), "label"))).alias("tracks")
     )
