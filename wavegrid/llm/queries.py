@@ -173,3 +173,46 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir).select("doc_id", "text", held(F.col("doc_id"), 7, 2).alias("held_out"))
     return score_texts(docs, "held_out").drop("text")
+
+
+#: crc32 of the id's decimals, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda c: list_prepend(ascii(c)::BIGINT + 256, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0])))),
+    lambda a, b: CASE WHEN b >= 256 THEN xor(a, b - 256) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"""
+
+_PART = "coalesce(strlen({0}) || ':' || {0}, '-')"
+_LEAF = "sha256(" + " || ".join(_PART.format(c) for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", "{0}")) + ")"
+
+
+@query(
+    "op11_merkle_manifest",
+    f"""WITH RECURSIVE s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) AS n FROM documents GROUP BY source),
+    d AS (SELECT *, {_LEAF.format('text')} AS leaf,
+          CASE WHEN {_CRC} % 5 = 0 THEN {_LEAF.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS tampered FROM documents),
+    l AS MATERIALIZED (SELECT d.doc_id, leaf, tampered, tree, n, row_number() OVER (PARTITION BY tree ORDER BY d.doc_id NULLS FIRST, leaf) - 1 AS pos
+          FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+    up AS (SELECT tree, 0 AS level, pos, n, leaf AS hash FROM l
+           UNION ALL SELECT tree, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(hash, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY tree, level, pos // 16, n),
+    sub AS MATERIALIZED (SELECT tree, hash FROM up WHERE n = 1),
+    top AS (SELECT 0 AS level, tree AS pos, (SELECT count(*) FROM sub) AS n, hash FROM sub
+            UNION ALL SELECT level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(hash, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, pos // 16, n),
+    node AS MATERIALIZED (SELECT tree, level, pos, hash, n FROM up WHERE n > 1 UNION ALL SELECT -1, level, pos, hash, n FROM top),
+    run AS MATERIALIZED (SELECT tree, level, pos // 16 AS pos, string_agg(hash, '' ORDER BY pos) AS kids FROM node WHERE n > 1 GROUP BY tree, level, pos // 16),
+    lift AS (SELECT row_number() OVER () AS k, doc_id, leaf, tree AS home, coalesce(tampered, leaf) AS f, '' AS proof,
+                    CASE WHEN n > 1 THEN tree ELSE -1 END AS tree, 0 AS level, CASE WHEN n > 1 THEN pos ELSE tree END AS pos, n FROM l
+             UNION ALL
+             SELECT k, doc_id, leaf, home, sha256(substr(kids, 1, (c.pos % 16) * 64) || f || substr(kids, (c.pos % 16) * 64 + 65)),
+                    proof || substr(kids, 1, (c.pos % 16) * 64) || substr(kids, (c.pos % 16) * 64 + 65),
+                    CASE WHEN c.tree >= 0 AND (c.n + 15) // 16 = 1 THEN -1 ELSE c.tree END,
+                    CASE WHEN c.tree >= 0 AND (c.n + 15) // 16 = 1 THEN 0 ELSE c.level + 1 END,
+                    CASE WHEN c.tree >= 0 AND (c.n + 15) // 16 = 1 THEN c.home ELSE c.pos // 16 END, (c.n + 15) // 16
+             FROM lift c JOIN run ON run.tree = c.tree AND run.level = c.level AND run.pos = c.pos // 16),
+    done AS (SELECT doc_id, leaf, home, f, proof FROM lift QUALIFY row_number() OVER (PARTITION BY k ORDER BY length(proof) DESC, tree) = 1)
+    SELECT doc_id, leaf, sub.hash AS subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified
+    FROM done JOIN sub ON sub.tree = done.home, (SELECT hash AS root FROM top WHERE n = 1)""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavegrid.llm.merkle import manifest
+
+    out = manifest(documents(spark, sf_dir))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
