@@ -216,3 +216,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = manifest(documents(spark, sf_dir))
     return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavegrid.llm.whitening import whiten
+
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
