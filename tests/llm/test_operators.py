@@ -58,6 +58,7 @@ def empty(spark, tmp_path_factory):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{at}/embeddings.parquet")
     return at
 
 

@@ -223,3 +223,53 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wavegrid.llm.whitening import whiten
 
     return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+_ASSIGN = "(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + r""")[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)"""
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+
+
+def _found(text: str, kind: str, number: int, pattern: str, value: int, least: int) -> str:
+    """Matches of a pattern with their places, one a row."""
+    return f"""SELECT k, {number} AS rank, '{kind}' AS kind, start, start + length(hit) AS stop, value FROM (
+        SELECT k, hit, value, CAST(sum(length(gap)) OVER w + coalesce(sum(length(hit)) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+        FROM (SELECT k, unnest(string_split_regex({text}, '{pattern}')) AS gap, unnest(regexp_extract_all({text}, '{pattern}', 0)) AS hit,
+              unnest(regexp_extract_all({text}, '{pattern}', {value})) AS value, unnest(range(len(string_split_regex({text}, '{pattern}')))) AS i FROM t)
+        WHERE hit IS NOT NULL WINDOW w AS (PARTITION BY k ORDER BY i)) WHERE length(value) >= {least}"""
+
+
+_STEPS = f"""list_transform(range(1, length(token) + 1), lambda i: CASE WHEN i = 1 THEN 0 ELSE instr('{_ALPHABET}', token[i - 1]) END * 67 + instr('{_ALPHABET}', token[i]))"""
+
+
+@query(
+    "op13_secret_scan",
+    f"""WITH t AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text,
+          list_aggregate(list_transform(list_zip(string_split_regex(coalesce(text, ''), '{_ASSIGN}'), regexp_extract_all(coalesce(text, ''), '{_ASSIGN}')),
+            lambda z: z[1] || coalesce(repeat(' ', length(z[2])), '')), 'string_agg', '') AS rest FROM documents),
+    base AS MATERIALIZED ({_found("text", "assign", 0, _ASSIGN, 2, 6)}
+          UNION ALL {_found("text", "access", 1, "AKIA[A-Z0-9]+", 0, 20)} UNION ALL {_found("text", "hex", 2, "[0-9a-f]+", 0, 24)}),
+    sample AS MATERIALIZED (SELECT token, bool_or(secret) AS secret FROM (
+          SELECT unnest(regexp_extract_all(value, '[A-Za-z0-9+/_-]{{8,}}')) AS token, true AS secret FROM base
+          UNION ALL SELECT token, false FROM (SELECT unnest(regexp_extract_all(rest, '[A-Za-z0-9+/_-]{{8,}}')) AS token FROM t)
+          WHERE NOT regexp_matches(token, 'AKIA[A-Z0-9]{{16}}|[0-9a-f]{{24}}')) GROUP BY token),
+    n AS (SELECT step, count(*) FILTER (secret) AS n1, count(*) FILTER (NOT secret) AS n0 FROM (SELECT secret, unnest({_STEPS}) AS step FROM sample) GROUP BY step),
+    pair AS (SELECT r.step, coalesce(n1, 0) AS n1, coalesce(n0, 0) AS n0 FROM (SELECT unnest(range(67 * 67)) AS step) r LEFT JOIN n ON n.step = r.step WHERE r.step % 67 > 0),
+    w AS MATERIALIZED (SELECT step, ln(0.5::DOUBLE * (n1 + 0.5::DOUBLE) / (sum(n1) OVER b + 33.0::DOUBLE) + 0.5::DOUBLE / 66) - ln((n0 + 0.5::DOUBLE) / (sum(n0) OVER b + 33.0::DOUBLE)) AS w
+          FROM pair WINDOW b AS (PARTITION BY step // 67)),
+    cand AS MATERIALIZED (SELECT k, rank, kind, start, stop, value AS token FROM ({_found("rest", "markov", 3, "[A-Za-z0-9+/_-]{{16,}}".replace("{{", "{").replace("}}", "}"), 0, 16)})
+          WHERE NOT regexp_matches(value, 'AKIA[A-Z0-9]{{16}}|[0-9a-f]{{24}}') AND len(list_distinct(string_split(value, ''))) >= 8),
+    scored AS (SELECT k, rank, kind, start, stop FROM (SELECT *, unnest({_STEPS}) AS step FROM cand) c JOIN w USING (step) GROUP BY ALL HAVING sum(w) >= 12),
+    every AS (SELECT k, rank, kind, start, stop FROM base UNION ALL SELECT * FROM scored)
+    SELECT any_value(doc_id) AS doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+      sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3), '')) AS base_sha256,
+      coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank), '') AS spans
+    FROM t LEFT JOIN every USING (k) GROUP BY k""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavegrid.llm.secrets import find_secrets, listed, secrets_model
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    base = [F.col(c) for c in ("assign", "access", "hex")]
+    out = find_secrets(docs, secrets_model(docs))
+    counts = [F.size(c).cast("long").alias(n) for c, n in zip(base, ("n_assign", "n_access", "n_hex"))]
+    return out.select("doc_id", *counts, F.sha2(listed(*base).cast("binary"), 256).alias("base_sha256"), listed(*base, F.col("markov")).alias("spans"))
