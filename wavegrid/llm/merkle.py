@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import ascii_lower, materialize, maybe_broadcast
+from wavegrid.llm.common import ascii_lower, materialize, maybe_broadcast, partitions
 
 #: Nodes that one parent holds.
 FAN = 16
@@ -160,7 +160,8 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, text: str = "tex
     if levels or tops:
         nodes = reduce(DataFrame.unionByName, [x.select(*wanted) for x in [*levels[1:], *tops] or levels])
         nodes = maybe_broadcast(materialize(_linked(nodes, trees), "merkle-nodes"), 32 * FAN + 64)
-        done = spark.sql(CLIMB, starts=starts, nodes=nodes)
+        # the recursion's rows of all levels are read in as many tasks as its starts have partitions
+        done = spark.sql(CLIMB, starts=starts.repartition(partitions(spark)), nodes=nodes)
     else:
         done = starts.withColumn("proof", F.lit(b""))
     ends = subroots.select(F.col("tree").alias("of_tree"), _hex(F.col("hash")).alias("subroot"))
