@@ -1,4 +1,4 @@
-"""Operators on intervals ``(key, start, end)``; every one is lazy and returns a DataFrame."""
+"""Operators on intervals ``(key, start, end)``; every one returns a DataFrame. Overlap joins look up the levels of length in use first."""
 
 from __future__ import annotations
 
@@ -29,21 +29,47 @@ def merge_nearby(df: DataFrame, keys: list[str], gap: float, start: str = "start
     )
 
 
+def _level(start: Column, end: Column, bucket: float) -> Column:
+    """The level whose cells, of ``bucket * 2^level`` seconds, are at least as long as the interval."""
+    return F.greatest(F.ceil(F.log2((end - start) / F.lit(bucket)) - 1e-9), F.lit(0)).cast("int")
+
+
 def overlapping(a: DataFrame, b: DataFrame, key: str, bucket: float) -> DataFrame:
     """Pairs of rows of ``a`` and ``b`` with one key whose intervals overlap; columns of both, all but the key named apart.
 
-    Both sides have ``start`` and ``end`` (``b``'s are ``b_start``, ``b_end``). Intervals are cut along a time grid of
-    ``bucket`` seconds and joined by key and cell, so a key with many rows is spread over its cells; a pair counts in
-    the cell where the later of the two begins, and so only once. Empty intervals and nulls overlap nothing.
+    Both sides have ``start`` and ``end`` (``b``'s are ``b_start``, ``b_end``). Time is cut into cells of ``bucket`` seconds, of twice that,
+    and so on. An interval lies at the level whose cells are as long as itself, in two or three of them, and a pair meets at the
+    longer one's level: there the shorter one, too, lies in few cells. So an interval of any length takes a few rows for
+    each level that the other side has intervals of, at most as many as the logarithm of the longest over ``bucket``, and a
+    key with many rows is spread over its cells. A pair counts in the cell where the later of the two begins, and so only
+    once. Empty intervals and nulls overlap nothing.
     """
-
-    def cells(df: DataFrame, s: str, e: str) -> DataFrame:
-        grid = F.sequence(F.floor(F.col(s) / bucket), F.floor(F.col(e) / bucket))
-        return df.where(F.col(s) < F.col(e)).withColumn("_cell", F.explode(grid))
-
-    both = cells(a, "start", "end").join(cells(b, "b_start", "b_end"), [key, "_cell"])
-    first = F.floor(F.greatest("start", "b_start") / bucket)
-    return both.where((F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end")) & (F.col("_cell") == first)).drop("_cell")
+    a, b = a.where(F.col("start") < F.col("end")), b.where(F.col("b_start") < F.col("b_end"))
+    own_a, own_b = _level(F.col("start"), F.col("end"), bucket), _level(F.col("b_start"), F.col("b_end"), bucket)
+    levels = lambda df, own: sorted(r[0] for r in df.select(own.alias("v")).distinct().collect() if r[0] is not None)
+    on_a, on_b = levels(a, own_a), levels(b, own_b)  # a few numbers, whatever the rows
+
+    def cells(df: DataFrame, s: str, e: str, level: Column) -> DataFrame:
+        df = df.withColumn("_level", level)
+        side = F.lit(bucket) * F.pow(F.lit(2.0), F.col("_level"))
+        return df.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(s) / side), F.floor(F.col(e) / side))))
+
+    def up(own: Column, least: Column, used: list[int]) -> Column:
+        """The levels used by the other side from ``least`` on."""
+        every = F.array(*[F.lit(v) for v in used]) if used else F.array().cast("array<int>")
+        return F.explode(F.filter(every, lambda v: v >= least))
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        both = left.join(right, [key, "_level", "_cell"])
+        first = F.floor(F.greatest("start", "b_start") / (F.lit(bucket) * F.pow(F.lit(2.0), F.col("_level"))))
+        hit = (F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end")) & (F.col("_cell") == first)
+        return both.where(hit).drop("_level", "_cell")
+
+    longer_b = pairs(cells(a, "start", "end", up(own_a, own_a, on_b)), cells(b, "b_start", "b_end", own_b))
+    if not any(x > y for x in on_a for y in on_b):
+        return longer_b
+    longer_a = pairs(cells(a, "start", "end", own_a), cells(b, "b_start", "b_end", up(own_b, own_b + 1, on_a)))
+    return longer_b.unionByName(longer_a)
 
 
 def union_share(tracks: DataFrame, signals: DataFrame, key: str, bucket: float, min_low: float = 1000.0) -> DataFrame:

@@ -510,7 +510,18 @@ def square_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.square_regions(_grid(spark, sf_dir)[1], r)
 
 
-@query("new_squares")
+@query(
+    "new_squares",
+    f"""WITH RECURSIVE {_POINTS_SQL},
+    rest AS MATERIALIZED (SELECT point_id AS row_no, lng, lat FROM pt WHERE point_id NOT IN (SELECT point_id FROM hit)),
+    fold AS (SELECT 0 AS k, arg_min(row_no, row_no) AS row_no, [{{'x': arg_min(lng, row_no), 'y': arg_min(lat, row_no)}}] AS made FROM rest
+      UNION ALL
+      SELECT f.k + 1, n.row_no, list_append(f.made, {{'x': n.lng, 'y': n.lat}}) FROM fold f,
+        LATERAL (SELECT row_no, lng, lat FROM rest r WHERE r.row_no > f.row_no
+          AND len(list_filter(f.made, lambda m: r.lng BETWEEN m.x - 0.05 AND m.x + 0.05 AND r.lat BETWEEN m.y - 0.045 AND m.y + 0.045)) = 0 ORDER BY row_no LIMIT 1) n)
+    SELECT row_no AS square_id, m.x - 0.05 AS x0, m.y - 0.045 AS y0, m.x + 0.05 AS x1, m.y + 0.045 AS y1
+    FROM (SELECT row_no, made[len(made)] AS m FROM fold WHERE row_no IS NOT NULL)""",
+)
 def new_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, squares = _grid(spark, sf_dir)
     rest = points.join(grid.points_in_squares(points, squares), "point_id", "left_anti").withColumnRenamed("point_id", "row_no")
