@@ -50,10 +50,13 @@ def power_to_db(a: Column, floor: float = 1e-10, top: float = 80.0) -> Column:
     return let(db, lambda v: let(F.array_max(v) - top, lambda low: F.transform(v, lambda x: F.greatest(x, low))))
 
 
-def ema(a: Column, s: float = 0.04, block: int = 256) -> Column:
-    """Exponential moving average that begins with the first value. Places are appended in blocks, as appending copies what is there."""
+def ema(a: Column, s: float = 0.04, block: int = 256, start: Column | None = None) -> Column:
+    """Exponential moving average that begins with the first value, or goes on from ``start`` where that isn't null.
+
+    Places are appended in blocks, as appending copies what is there.
+    """
     blend = lambda last, x: F.coalesce((1 - s) * last + s * x, x)
-    none = F.lit(None).cast("double")
+    none = F.lit(None).cast("double") if start is None else start
 
     def one_block(last: Column, values: Column) -> Column:
         step = lambda acc, x: F.array_append(acc, blend(F.when(F.size(acc) == 0, last).otherwise(F.try_element_at(acc, F.lit(-1))), x))
@@ -64,8 +67,8 @@ def ema(a: Column, s: float = 0.04, block: int = 256) -> Column:
 
     def whole(v: Column) -> Column:
         places = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), F.lit(block))).otherwise(F.array().cast("array<int>"))
-        start = F.struct(none.alias("last"), F.array().cast("array<array<double>>").alias("out"))
-        return F.aggregate(F.transform(places, lambda p: F.slice(v, p, block)), start, add, lambda state: F.flatten(state["out"]))
+        begin = F.struct(none.alias("last"), F.array().cast("array<array<double>>").alias("out"))
+        return F.aggregate(F.transform(places, lambda p: F.slice(v, p, block)), begin, add, lambda state: F.flatten(state["out"]))
 
     return let(a, whole)
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavegrid.functions import arrays
+from wavegrid.operators import runs
+
 
 def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     """Length two intervals share; negative (the gap) when they are disjoint."""
@@ -29,6 +32,59 @@ def merge_nearby(df: DataFrame, keys: list[str], gap: float, start: str = "start
     )
 
 
+def merge_nearby_any_length(df: DataFrame, keys: list[str], gap: float, start: str = "start", end: str = "end") -> DataFrame:
+    """:func:`merge_nearby` for keys with any number of intervals: no key is ordered in one task.
+
+    Equal intervals are counted first; the latest end so far and the number of the run are prefixes over blocks.
+    """
+    some = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).groupBy(*keys, start, end).agg(F.count("*").alias("_copies"))
+    kind = some.schema[end].dataType.simpleString()
+    later = lambda a, b: F.greatest(a, b)  # noqa: E731  (a null counts for nothing)
+    seen = runs.prefix(some, keys, [start, end], F.col(end), later, F.lit(None).cast(kind), "_latest")
+    opened = seen.withColumn("_open", F.coalesce((F.col(start) - F.col("_latest") >= gap).cast("long"), F.lit(1).cast("long")))
+    numbered = runs.prefix(opened, keys, [start, end], F.col("_open"), lambda a, b: a + b, F.lit(0).cast("long"), "run", inclusive=True)
+    return numbered.groupBy(*keys, "run").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("_copies").alias("n_merged"))
+
+
+def covered_any_length(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
+    """``keys, covered``: length of the union of each key's intervals, for keys with any number of them. Empty intervals and nulls cover nothing."""
+    some = df.where(F.col(start) < F.col(end)).groupBy(*keys, start).agg(F.max(end).alias(end))
+    kind = some.schema[end].dataType.simpleString()
+    seen = runs.prefix(some, keys, [start], F.col(end), lambda a, b: F.greatest(a, b), F.lit(None).cast(kind), "_latest")
+    new = F.col(end) - F.greatest(F.col(start), F.coalesce("_latest", F.col(start)))
+    return seen.groupBy(*keys).agg(F.sum(F.greatest(F.lit(0.0), new)).alias("covered"))
+
+
+def agreement_any_length(windows: DataFrame, keys: list[str], order: list[str], label: str, prob: str, threshold: float) -> DataFrame:
+    """:func:`consecutive_agreement` for keys with any number of windows: the last window before each is a prefix, too."""
+    last = F.struct(F.col(label).alias("label"), F.col(prob).alias("prob"), F.lit(True).alias("is"))
+    kind = runs.zero_type(windows, last)
+    seen = runs.prefix(windows, keys, order, last, lambda a, b: F.when(b["is"], b).otherwise(a), F.lit(None).cast(kind), "_last")
+    both = (F.col("_last.label") == F.col(label)) & (F.col("_last.prob") > threshold) & (F.col(prob) > threshold)
+    return seen.where(both).drop("_last")
+
+
+def ema_over_rows(frames: DataFrame, keys: list[str], order: list[str], values: str, s: float = 0.04, name: str = "ema") -> DataFrame:
+    """Adds ``name``, the exponential moving average (``arrays.ema``) of a band whose frames stand in many rows.
+
+    Each row holds consecutive frames (``values``, an array) of its band ``keys``; the average goes on from row to row along
+    ``order``. A row maps the average before it linearly to that after it, (1-s)^n * x + b, and these maps are combined
+    as prefixes, so a band of any length is spread over tasks. The first frame of a band begins the average. Empty rows change nothing.
+    """
+    v = arrays.doubles(F.col(values))
+    decay = lambda a: F.aggregate(a, F.lit(0.0), lambda m, x: (1 - s) * m + s * x)
+    with_first = F.struct(F.pow(F.lit(1 - s), F.size(v)).alias("a"), decay(v).alias("b"), F.get(v, F.lit(0)).alias("first"))
+    zero = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(None).cast("double").alias("first"))
+
+    def go_on(p: Column, q: Column) -> Column:
+        return F.struct((p["a"] * q["a"]).alias("a"), (p["b"] * q["a"] + q["b"]).alias("b"), F.coalesce(p["first"], q["first"]).alias("first"))
+
+    seen = runs.prefix(frames, keys, order, F.coalesce(F.when(F.size(F.col(values)) > 0, with_first), zero), go_on, zero, "_before")
+    # an average that begins with its first value is one that was at that value before
+    start = F.col("_before.a") * F.col("_before.first") + F.col("_before.b")
+    return seen.withColumn(name, arrays.ema(v, s, start=start)).drop("_before")
+
+
 def _level(start: Column, end: Column, bucket: float) -> Column:
     """The level whose cells, of ``bucket * 2^level`` seconds, are at least as long as the interval."""
     return F.greatest(F.ceil(F.log2((end - start) / F.lit(bucket)) - 1e-9), F.lit(0)).cast("int")
