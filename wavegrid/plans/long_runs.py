@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavegrid.operators import intervals
+from wavegrid.operators import frames, intervals
 from wavegrid.plans.queries import EVENTS, ORACLES, query
 from wavegrid.sources.tables import event_intervals, table
 
@@ -49,3 +49,39 @@ def ema_over_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = intervals.ema_over_rows(days, ["event_type"], ["day"], "values")
     out = out.select("event_type", F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("ema").alias("m"))).alias("z"))
     return out.select("event_type", F.col("z.id").alias("event_id"), F.round("z.m", 6).alias("ema"))
+
+
+#: The vectors of a label, one after another, as a recording of that many segments; frames of 16 samples every 8.
+_FRAMES_SQL = """x AS MATERIALIZED (SELECT label, v, row_number() OVER (PARTITION BY label ORDER BY vec_id, p) - 1 AS i, count(*) OVER (PARTITION BY label) AS total
+      FROM (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS p FROM embeddings)),
+    part AS (SELECT label, t, i - t * 8 + 8 AS j, v * (0.5 - 0.5 * cos(2 * pi() * (i - t * 8 + 8) / 16)) AS v FROM (SELECT *, unnest([i // 8 - 1, i // 8, i // 8 + 1]) AS t FROM x)
+      WHERE i - t * 8 BETWEEN -8 AND 7 AND t BETWEEN 0 AND total // 8),
+    mag AS (SELECT label, t, k, sqrt(pow(sum(v * cos(2 * pi() * j * k / 16)), 2) + pow(sum(v * sin(2 * pi() * j * k / 16)), 2)) AS m
+      FROM part CROSS JOIN (SELECT unnest(range(9)) AS k) GROUP BY label, t, k)"""
+
+
+def _label_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("segment_no"), F.lit(8000).alias("rate"), F.col("embedding").alias("samples"))
+
+
+@query("recording_frames", f"""WITH {_FRAMES_SQL} SELECT label, CAST(t AS BIGINT) AS t, CAST(k AS INT) AS k, round(m, 5) AS m FROM mag""")
+def recording_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames.recording_frames(_label_recordings(spark, sf_dir), "label", 16, 8, frames=500, kind="double")
+    places = f.select("rec", "first_frame", "n_bins", F.posexplode("spectrum").alias("p", "m"))
+    return places.select(F.col("rec").alias("label"), (F.col("first_frame") + F.expr("p div n_bins")).alias("t"), (F.col("p") % F.col("n_bins")).cast("int").alias("k"), F.round("m", 5).alias("m"))
+
+
+@query(
+    "bin_medians",
+    f"""WITH {_FRAMES_SQL}, f AS (SELECT label, k, m::FLOAT::DOUBLE AS m FROM mag)
+    SELECT label, CAST(k AS INT) AS k, round(median(m), 5) AS median FROM f GROUP BY label, k""",
+)
+def bin_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = frames.bin_medians(frames.recording_frames(_label_recordings(spark, sf_dir), "label", 16, 8, frames=500))
+    return m.select(F.col("rec").alias("label"), F.posexplode("medians").alias("k", "m")).select("label", "k", F.round("m", 5).alias("median"))
+
+
+@query("signals_across_segments")
+def signals_across_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested against one array for each whole recording."""
+    return frames.detect_signals(_label_recordings(spark, sf_dir), "label", 64, 16, frame_times=1.5, bin_times=1.2, kernel=2, wide_seconds=0.006, high_hz=300.0, frames=512)
