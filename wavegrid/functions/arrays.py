@@ -116,6 +116,19 @@ def label_indices(text: Column, label_map: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(idx, lambda i: i.isNotNull() & (i >= 0))))
 
 
+def encode_labels(text: Column, label_map: Column, extra_map: Column, n: int, multi: bool = True) -> Column:
+    """A 0/1 array of ``n`` places for newline-separated labels by a map and an extra map (a specific label's general one).
+
+    With ``multi`` the indices of both count. Without, one place at most is set: the smallest index by the map, or, where the
+    map has none, the smallest by the extra map. Unknown labels and indices below 0 or beyond ``n`` count for nothing, a null text neither.
+    """
+    inside = lambda m: F.filter(F.coalesce(label_indices(text, m), F.array().cast("array<int>")), lambda i: i < n)
+    own, extra = inside(label_map), inside(extra_map)
+    one = F.coalesce(F.array_min(own), F.array_min(extra))
+    chosen = F.array_distinct(F.concat(own, extra)) if multi else F.when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<int>"))
+    return let(chosen, lambda c: multi_hot(c, n))
+
+
 def first_tag(tags: Column, last: tuple[str, ...] = ("noise", "bird")) -> Column:
     """The first tag that is none of the given ones, else the first."""
     return F.coalesce(F.get(F.filter(tags, lambda t: ~t.isin(*last)), F.lit(0)), F.get(tags, F.lit(0)))

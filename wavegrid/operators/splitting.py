@@ -217,3 +217,34 @@ def mixup(df: DataFrame, key: str, values: str, y: str, seed: int = 1, alpha: fl
     d = d.withColumn("share", F.when(hit, keyed_beta(seed, alpha, F.col(key))).otherwise(F.lit(0.0)))
     v, w = mix_rows(F.col(values), F.col("_o.v"), F.col(y), F.col("_o.y"), F.col("share"), soft)
     return d.select(key, F.col("_o.k").alias("partner"), "share", v.alias(values), w.alias(y))
+
+
+def offline_mix(df: DataFrame, key: str, values: str, y: str, text: str, track: str, seed: int = 1, run_rows: int = 10_000, lat: str = "lat", lng: str = "lng") -> DataFrame:
+    """Every row mixed with a partner, as rows of their own to be stored: all columns of the first, changed as follows.
+
+    ``share`` lies in [0.2, 0.8] by key; ``values`` and ``y`` are weighted by it, ``y`` clipped to [0, 1]. Texts of both are joined by
+    newlines. ``track`` (ids separated by blanks) becomes one id a line, of both rows. A mixture has no place: ``lat`` and ``lng`` are -1.
+    Partners are as in :func:`mixup`: neighbours in a keyed order within hashed runs. Null texts and tracks count for nothing.
+    """
+    runs = max(1, df.count() // run_rows)
+    run = F.pmod(F.xxhash64(F.col(key)), F.lit(runs))
+    order = Window.partitionBy("_run").orderBy(keyed_order(seed, F.col(key)), key)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    other = F.struct(F.col(key).alias("k"), F.col(values).alias("v"), F.col(y).alias("y"), F.col(text).alias("text"), F.col(track).alias("track"))
+    d = df.withColumn("_run", run).withColumn("_o", F.coalesce(F.lead(other).over(order), F.first(other).over(whole)))
+    d = d.withColumn("share", F.lit(0.2) + F.lit(0.6) * keyed_uniform(seed, F.lit("mix"), F.col(key)))
+    mix = lambda a, b: F.zip_with(a, b, lambda p, q: F.col("share") * p.cast("double") + (1 - F.col("share")) * q.cast("double"))
+    lines = lambda *c: F.concat_ws("\n", *c)
+    ids = F.array_join(F.split(F.concat_ws(" ", F.col(track), F.col("_o.track")), " "), "\n")
+    d = d.withColumns(
+        {
+            values: mix(F.col(values), F.col("_o.v")),
+            y: F.transform(mix(F.col(y), F.col("_o.y")), lambda p: F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))),
+            text: lines(F.col(text), F.col("_o.text")),
+            track: ids,
+            lat: F.lit(-1.0),
+            lng: F.lit(-1.0),
+            "partner": F.col("_o.k"),
+        }
+    )
+    return d.drop("_run", "_o")

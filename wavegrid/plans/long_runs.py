@@ -1,13 +1,18 @@
-"""Queries on recordings of any length, spatial covers and signals across segments, each with its SQL where SQL can say it."""
+"""Queries on recordings of any length, whole model runs and new files only, each with its SQL where SQL can say it."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavegrid.operators import frames, intervals
-from wavegrid.plans.queries import EVENTS, ORACLES, query
+from wavegrid.functions import arrays
+from wavegrid.operators import frames, intervals, models, splitting
+from wavegrid.plans.queries import _U, EVENTS, ORACLES, query
+from wavegrid.sources.scratch import shared_dir, written
 from wavegrid.sources.tables import event_intervals, table
+from wavegrid.streaming import incremental
 
 
 @query("merge_nearby_any_length", ORACLES["merge_nearby"])
@@ -85,3 +90,82 @@ def bin_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signals_across_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tested against one array for each whole recording."""
     return frames.detect_signals(_label_recordings(spark, sf_dir), "label", 64, 16, frame_times=1.5, bin_times=1.2, kernel=2, wide_seconds=0.006, high_hz=300.0, frames=512)
+
+
+@query(
+    "cross_fold_rates",
+    f"""WITH f AS (SELECT label, CASE WHEN u < 0.2 THEN -1 ELSE CAST(floor((u - 0.2) / 0.8 * 5) AS INT) END AS fold FROM (SELECT label, {_U.format("'1|fold|' || (vec_id // 4)")} AS u FROM embeddings))
+    SELECT fold, CAST(l.label AS INT) AS label_i, count(*) FILTER (f.label = l.label) AS n_true, count(*) AS n_rows FROM f, (SELECT DISTINCT label FROM embeddings) l GROUP BY ALL""",
+)
+def cross_fold_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the rates; what was predicted is compared in a test."""
+    e = table(spark, sf_dir, "embeddings").withColumn("file", F.expr("vec_id div 4"))
+    _, scored = models.cross_validated(e, "file", "embedding", 64, "label", depths=(2, 4))
+    r = models.fold_rates(written(scored, "fold-scores"))
+    return r.select("fold", "label_i", (F.col("tp") + F.col("fn")).alias("n_true"), (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n_rows"))
+
+
+@query("model_run", """SELECT DISTINCT vec_id // 4 AS track_id FROM embeddings""")
+def model_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pipeline is fitted, written, read, run over windows, and decides tracks; the decisions are compared in a test."""
+    return model_decisions(spark, sf_dir, f"{shared_dir(spark)}/model-run-{uuid.uuid4().hex[:12]}").select("track_id")
+
+
+def model_decisions(spark: SparkSession, sf_dir: str, at: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    models.forest_pipeline("embedding", 64, "label", trees=10, depth=4).fit(e.where("vec_id % 5 <> 0")).write().overwrite().save(f"{at}/model")
+    windows = e.select(F.expr("vec_id div 4").alias("track_id"), (F.col("vec_id") % 4).alias("k"), "embedding")
+    return models.run_model(f"{at}/model", windows, f"{at}/predictions", "forest", "mean", 0.15)
+
+
+@query(
+    "incremental_months",
+    """SELECT event_type, CAST(year(ts) AS INT) AS year, CAST(month(ts) AS INT) AS month, count(*) AS n FROM events GROUP BY ALL""",
+)
+def incremental_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two deliveries of the events, each run over by the stream as it arrives."""
+    at = f"{shared_dir(spark)}/incremental-{uuid.uuid4().hex[:12]}"
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    by_month = lambda d: d.select("event_type", F.year("ts").alias("year"), F.month("ts").alias("month"))
+    out = None
+    for k in range(2):
+        events.where(F.pmod("event_id", F.lit(2)) == k).write.mode("append").parquet(f"{at}/new")
+        out = incremental.counts_of_new_files(spark, f"{at}/new", events.schema.simpleString()[7:-1].replace(":", " "), ["event_type", "year", "month"], by_month, f"{at}/counts", f"{at}/checkpoint")
+    return out
+
+
+#: Languages are labels with places, sources from 2 on have one by the extra map only.
+_LABELS_SQL = """d AS (SELECT doc_id, lang, source, coalesce(TRY_CAST(substr(source, 4) AS INT), 0) AS s FROM documents),
+    i AS (SELECT doc_id, list_filter([CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN -1 END, CASE WHEN s < 2 THEN 2 + s END], lambda v: v >= 0) AS own,
+      list_filter([CASE lang WHEN 'en' THEN 5 WHEN 'fr' THEN 6 END, CASE WHEN s BETWEEN 1 AND 7 THEN 4 + s % 3 END], lambda v: v >= 0) AS extra FROM d)"""
+
+
+@query(
+    "encode_labels",
+    f"""WITH {_LABELS_SQL} SELECT doc_id, list_transform(range(0, 8), lambda p: CAST(list_contains(own, p) OR list_contains(extra, p) AS INT)) AS many,
+    list_transform(range(0, 8), lambda p: CAST(p = coalesce(list_min(own), list_min(extra), -1) AS INT)) AS one FROM i""",
+)
+def encode_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").where("doc_id is not null")
+    pairs = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
+    own = pairs({"en": 0, "de": 1, "fr": -1, "src0": 2, "src1": 3})
+    extra = pairs({"en": 5, "fr": 6} | {f"src{s}": 4 + s % 3 for s in range(1, 8)})
+    text = F.concat_ws("\n", "lang", "source")
+    return d.select("doc_id", arrays.encode_labels(text, own, extra, 8).alias("many"), arrays.encode_labels(text, own, extra, 8, multi=False).alias("one"))
+
+
+@query(
+    "offline_mix",
+    f"""WITH e AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER () AS n FROM embeddings WINDOW w AS (ORDER BY md5('1|' || vec_id), vec_id)),
+    p AS (SELECT a.vec_id, b.vec_id AS partner, 0.2::DOUBLE + 0.6::DOUBLE * {_U.format("'1|mix|' || a.vec_id")} AS share, a.embedding AS x, b.embedding AS y, a.label AS la, b.label AS lb
+      FROM e a JOIN e b ON b.k = (a.k + 1) % a.n)
+    SELECT vec_id, partner, round(share, 6) AS share, round(list_sum(list_transform(range(1, 65), lambda i: i * (share * x[i]::DOUBLE + (1 - share) * y[i]::DOUBLE))), 4) AS checksum,
+      list_transform(range(0, 10), lambda i: round(CASE WHEN la = i THEN share ELSE 0 END + CASE WHEN lb = i THEN 1 - share ELSE 0 END, 6)) AS y,
+      'l' || la || chr(10) || 'l' || lb AS text, 'a' || vec_id || chr(10) || 'b' || chr(10) || 'a' || partner || chr(10) || 'b' AS tracks, -1.0 AS lat, -1.0 AS lng FROM p""",
+)
+def offline_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (i == F.col("label")).cast("int"))
+    e = table(spark, sf_dir, "embeddings").withColumns({"y": y, "text": F.concat(F.lit("l"), "label"), "tracks": F.concat(F.lit("a"), "vec_id", F.lit(" b")), "lat": F.lit(-41.0), "lng": F.lit(172.0)})
+    m = splitting.offline_mix(e, "vec_id", "embedding", "y", "text", "tracks", run_rows=1 << 40)
+    total = F.aggregate(F.transform("embedding", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return m.select("vec_id", "partner", F.round("share", 6).alias("share"), F.round(total, 4).alias("checksum"), F.transform("y", lambda v: F.round(v, 6)).alias("y"), "text", "tracks", "lat", "lng")

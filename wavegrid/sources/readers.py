@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wavegrid.operators.features import read_wav
+
 #: Media suffixes, the first found of a recording is taken.
 MEDIA = ["m4a", "wav", "mp3", "flac"]
 #: What the letters of a coded label mean.
@@ -190,6 +194,34 @@ def clip_manifest(spark: SparkSession, path: str, layout: str) -> DataFrame:
     return c.select(col(file, "string").alias("filename"), col(label, "string").alias("label"), col(start, "double").alias("start"), col(end, "double").alias("end"))
 
 
+def with_durations(spark: SparkSession, clips: DataFrame, folder: str) -> DataFrame:
+    """``clips`` (``filename, label, start, end``) with ``path`` and the measured ``duration`` of the file; ends that are missing or too late are set to it.
+
+    Files are found under ``folder`` by name. Clips whose file is missing or can't be read keep their row with a null duration, and
+    ``error`` says so. Each file is read once, whatever the number of its clips.
+    """
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(folder)
+    wanted = clips.select(F.element_at(F.split("filename", "/"), -1).alias("_name")).distinct()
+    f = f.withColumn("_name", F.element_at(F.split("path", "/"), -1)).join(wanted, "_name", "left_semi")
+
+    def measure(it):
+        for pdf in it:
+            rows = []
+            for name, path, data in zip(pdf["_name"], pdf["path"], pdf["content"]):
+                try:
+                    rate, x = read_wav(data)
+                    rows.append((name, path, len(x) / rate if rate else None, None if rate else "no sampling rate"))
+                except (ValueError, KeyError, struct.error) as e:
+                    rows.append((name, path, None, str(e)))
+            yield pd.DataFrame(rows, columns=["_name", "path", "duration", "error"])
+
+    found = f.select("_name", "path", "content").mapInPandas(measure, "_name string, path string, duration double, error string")
+    found = found.groupBy("_name").agg(F.min(F.struct("path", "duration", "error")).alias("f"))  # of equal names the first path
+    c = clips.withColumn("_name", F.element_at(F.split("filename", "/"), -1)).join(found, "_name", "left")
+    error = F.when(F.col("f.path").isNull(), F.lit("no such file")).otherwise(F.col("f.error"))
+    return c.withColumns({"end": F.least("end", "f.duration"), "path": F.col("f.path"), "duration": F.col("f.duration"), "error": error}).drop("_name", "f")
+
+
 def clip_folder(spark: SparkSession, folder: str, label: str = "parent", fixed: str = "") -> DataFrame:
     """``path, label`` of WAV clips: label is the parent folder, the stem before its last ``-``, or fixed."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(folder).select("path")

@@ -31,8 +31,19 @@ def anonymised(recordings: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 def training_summary(samples: DataFrame) -> DataFrame:
-    """Per split and label: samples, recordings, and the recordings' ids."""
-    return samples.groupBy("split", "label").agg(F.count("*").alias("n_samples"), F.countDistinct("rec_id").alias("n_recs"), F.array_sort(F.collect_set("rec_id")).alias("recs"))
+    """Per split and label: samples and recordings. The recordings' ids are a table of their own, :func:`training_recordings`."""
+    return samples.groupBy("split", "label").agg(F.count("*").alias("n_samples"), F.countDistinct("rec_id").alias("n_recs"))
+
+
+def training_recordings(samples: DataFrame) -> DataFrame:
+    """``split, label, rec_id``, each once; recordings without an id are left out."""
+    return samples.where("rec_id is not null").select("split", "label", "rec_id").distinct()
+
+
+def write_summary(samples: DataFrame, path: str) -> None:
+    """Counts as JSON, and the recordings' ids beside them in a table by split: no row grows with the data."""
+    write_json(training_summary(samples), f"{path}/counts")
+    training_recordings(samples).write.mode("overwrite").partitionBy("split").parquet(f"{path}/recordings")
 
 
 def write_json(df: DataFrame, path: str) -> None:

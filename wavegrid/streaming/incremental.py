@@ -26,7 +26,23 @@ def process_new_files(spark: SparkSession, source: str, schema: str, step: Calla
     return new.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def monthly_counts_stream(seen: DataFrame, late: str = "1 day") -> DataFrame:
-    """Running counts by square, species and month of a stream ``square_id, code, ts``, with a watermark on ``ts``."""
-    by_day = seen.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "square_id", "code").agg(F.count("*").alias("n"))
-    return by_day.select("square_id", "code", F.month("window.start").alias("month"), F.col("window.start").alias("day"), "n")
+def monthly_counts_stream(seen: DataFrame, late: str = "31 days") -> DataFrame:
+    """Counts ``square_id, code, month_start, month, n`` of a stream ``square_id, code, ts``, keyed by month.
+
+    The watermark is on the month's beginning: a month is given out, and its state dropped, once a sighting has come whose own
+    month began ``late`` after it. Later ones for it are left out.
+    """
+    by = seen.withColumn("month_start", F.date_trunc("month", "ts")).withWatermark("month_start", late)
+    counts = by.groupBy("month_start", "square_id", "code").agg(F.count("*").alias("n"))
+    return counts.select("square_id", "code", "month_start", F.month("month_start").alias("month"), "n")
+
+
+def counts_of_new_files(spark: SparkSession, source: str, schema: str, keys: list[str], step: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> DataFrame:
+    """Counts by ``keys`` over all files that ever came to ``source``; only files that are new since the last call are read.
+
+    Each batch of new files is counted (after ``step``) and written under its number, so one that runs again replaces itself;
+    the batches' counts are summed up.
+    """
+    counted = lambda df: step(df).groupBy(*keys).agg(F.count("*").alias("n"))
+    process_new_files(spark, source, schema, counted, target, checkpoint).awaitTermination()
+    return spark.read.parquet(target).groupBy(*keys).agg(F.sum("n").alias("n"))
