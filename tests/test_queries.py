@@ -1,7 +1,7 @@
 import pytest
 
 from oracle import compare
-from wavegrid.plans import extras, long_runs  # noqa: F401  (register their queries)
+from wavegrid.plans import exchange, extras, long_runs  # noqa: F401  (register their queries)
 from wavegrid.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
