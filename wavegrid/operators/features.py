@@ -99,10 +99,10 @@ def log_mel(x: np.ndarray, rate: int, filters: np.ndarray, seconds: float = 3.0,
     return db - db.mean(axis=1, keepdims=True) if subtract_mean else db
 
 
-def mel_features(segments: DataFrame, id_col: str, n_fft: int = N_FFT, hop: int = HOP, bands: int = MEL_BANDS, seconds: float = 3.0, lo: float = F_MIN, hi: float = F_MAX, breaks: tuple[float, ...] = (BREAK,)) -> DataFrame:
+def mel_features(segments: DataFrame, id_col: str, n_fft: int = N_FFT, hop: int = HOP, bands: int = MEL_BANDS, seconds: float = 3.0, lo: float = F_MIN, hi: float = F_MAX, breaks: tuple[float, ...] = (BREAK,), number: str = "float") -> DataFrame:
     """``id, n_bands, n_frames, features``: log-mel bands of ``samples`` (array) at ``rate``, row by row on end.
 
-    Several break frequencies give as many stacked filterbanks. Empty and constant samples give zeros.
+    Several break frequencies give as many stacked filterbanks. Empty and constant samples give zeros. ``number`` is float or double.
     """
     kind = segments.schema[id_col].dataType.simpleString()
 
@@ -117,10 +117,10 @@ def mel_features(segments: DataFrame, id_col: str, n_fft: int = N_FFT, hop: int
                 if len(x) == 0:
                     x = np.zeros(1)
                 m = np.concatenate([log_mel(x, rate, f, seconds, hop) for f in kept[rate]])
-                rows.append((i, m.shape[0], m.shape[1], m.ravel().astype(np.float32)))
+                rows.append((i, m.shape[0], m.shape[1], m.ravel().astype(np.float32 if number == "float" else np.float64)))
             yield pd.DataFrame(rows, columns=[id_col, "n_bands", "n_frames", "features"])
 
-    return segments.select(id_col, "rate", "samples").mapInPandas(run, f"`{id_col}` {kind}, n_bands int, n_frames int, features array<float>")
+    return segments.select(id_col, "rate", "samples").mapInPandas(run, f"`{id_col}` {kind}, n_bands int, n_frames int, features array<{number}>")
 
 
 #: Bands in Hz of the bird, the noise below and what is above, by tag; the empty tag is the rule.

@@ -9,7 +9,7 @@ from wavegrid.operators.sizes import small
 
 #: Labels counted as noise. Data sets with other names pass their own lists.
 NOISE = ["wind", "vehicle", "dog", "rain", "static", "noise", "cat"]
-#: Labels of people and livestock, unless a caller passes others.
+#: Labels of people and livestock; ours, as a default that callers replace by lists of their own.
 HUMAN = ["human", "sheep"]
 GENERIC = "bird"
 
@@ -62,15 +62,15 @@ def select_training(counts: DataFrame, merges: DataFrame, min_samples: int = 50,
     return sums.where((F.col("n_samples") > min_samples) & (F.col("n_recs") > min_recs) & (F.col("n_val") > min_val))
 
 
-def excluded_labels(labels: DataFrame, training: DataFrame, merges: DataFrame) -> DataFrame:
+def excluded_labels(labels: DataFrame, training: DataFrame, merges: DataFrame, noise: list[str] = NOISE, human: list[str] = HUMAN) -> DataFrame:
     """Labels neither trained nor special, unless the label they merge into is kept. All tables have a column ``label``."""
     kept = training.select(F.col("label").alias("target"))
     keep = training.select("label").unionByName(merges.join(kept, "target", "left_semi").select("label")).distinct()
-    special = [*NOISE, *HUMAN, GENERIC]
+    special = [*noise, *human, GENERIC]
     return labels.where(~F.col("label").isin(special)).join(keep, "label", "left_anti")
 
 
-def remap(labels: DataFrame, excluded: DataFrame, merges: DataFrame, trained: DataFrame, use_generic: bool = True) -> DataFrame:
+def remap(labels: DataFrame, excluded: DataFrame, merges: DataFrame, trained: DataFrame, use_generic: bool = True, noise: list[str] = NOISE, human: list[str] = HUMAN) -> DataFrame:
     """``label, target, target_i, extra_i``: where each label goes among the new, sorted labels.
 
     Excluded labels go to -1. A label merges into its target if that is kept or new; merged labels leave the new list. Noise
@@ -83,7 +83,7 @@ def remap(labels: DataFrame, excluded: DataFrame, merges: DataFrame, trained: Da
     new = goal.select(F.col("goal").alias("label")).distinct()
     new = new.withColumn("i", (F.row_number().over(Window.orderBy("label")) - 1))  # a row per label
     groups = new.select(F.col("label").alias("_g"), F.col("i").alias("_gi"))
-    group = F.when(F.col("label").isin(NOISE), F.lit("noise")).when(F.col("label").isin(HUMAN), F.lit("human")).otherwise(F.lit(GENERIC if use_generic else None))
+    group = F.when(F.col("label").isin(noise), F.lit("noise")).when(F.col("label").isin(human), F.lit("human")).otherwise(F.lit(GENERIC if use_generic else None))
     t = trained.select(F.col("label").alias("_t"))
     out = labels.join(goal, "label", "left").join(new.select(F.col("label").alias("goal"), "i"), "goal", "left")
     out = out.withColumn("_group", F.when(F.col("goal").isNotNull() & (F.col("label") != GENERIC), group))
@@ -106,7 +106,7 @@ def label_members(remapped: DataFrame) -> DataFrame:
     return remapped.where("target_i >= 0").groupBy("target_i").agg(F.array_sort(F.collect_set("label")).alias("members"))
 
 
-def label_set(tracks: DataFrame, aliases: DataFrame, mode: str = "all", generic: bool = True, only: str | None = None) -> DataFrame:
+def label_set(tracks: DataFrame, aliases: DataFrame, mode: str = "all", generic: bool = True, only: str | None = None, noise: list[str] = NOISE, human: list[str] = HUMAN) -> DataFrame:
     """The sorted labels of a run (``label``) from the labels of all data sets' tracks.
 
     ``coarse`` maps every label to bird, animal (the generic human group) or noise; ``single`` keeps ``only`` and calls
@@ -115,9 +115,9 @@ def label_set(tracks: DataFrame, aliases: DataFrame, mode: str = "all", generic:
     codes = to_code(tracks.select("label").where("label is not null").distinct(), "label", aliases).select(F.col("code").alias("label"))
     c = F.col("label")
     if mode == "coarse":
-        codes = codes.select(F.when(c.isin(NOISE), F.lit("noise")).when(c.isin(HUMAN), F.lit("animal")).otherwise(F.lit(GENERIC)).alias("label"))
+        codes = codes.select(F.when(c.isin(noise), F.lit("noise")).when(c.isin(human), F.lit("animal")).otherwise(F.lit(GENERIC)).alias("label"))
     elif mode == "single":
-        codes = codes.select(F.when(c == only, c).when(c.isin(NOISE), F.lit("noise")).otherwise(F.lit(GENERIC)).alias("label"))
+        codes = codes.select(F.when(c == only, c).when(c.isin(noise), F.lit("noise")).otherwise(F.lit(GENERIC)).alias("label"))
     if generic:
         codes = codes.unionByName(codes.sparkSession.range(1).select(F.lit(GENERIC).alias("label")))
     return codes.distinct()
@@ -129,12 +129,12 @@ def evaluation_label(label: Column, modelled: list[str], noise: list[str] = NOIS
     return group.otherwise(F.when(birds, F.lit(GENERIC)).otherwise(label)) if birds is not None else group.otherwise(F.lit(GENERIC))
 
 
-def track_flags(tags: Column, birds: Column) -> tuple[Column, Column, Column]:
+def track_flags(tags: Column, birds: Column, noise: list[str] = NOISE, human: list[str] = HUMAN) -> tuple[Column, Column, Column]:
     """Whether a track has a bird, an animal or, if its tags are no animals, a noise; ``birds`` is an array of bird labels."""
     bird = F.arrays_overlap(tags, birds) | F.array_contains(tags, GENERIC)
-    animal = bird | F.exists(tags, lambda t: t.isin(HUMAN))
-    noise = F.exists(tags, lambda t: t.isin(NOISE) & ~F.array_contains(birds, t) & ~t.isin(HUMAN))
-    return bird, animal, noise
+    animal = bird | F.exists(tags, lambda t: t.isin(human))
+    quiet = F.exists(tags, lambda t: t.isin(noise) & ~F.array_contains(birds, t) & ~t.isin(human))
+    return bird, animal, quiet
 
 
 def possible_labels(label_idx: Column, generic: int, n: int, lat: Column, lng: Column, box: tuple[float, float, float, float], inside: list[int], birds: list[int]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavegrid.functions import arrays
-from wavegrid.operators import frames, intervals, models, splitting
+from wavegrid.operators import features, frames, intervals, models, splitting
 from wavegrid.plans.queries import _U, EVENTS, ORACLES, query
 from wavegrid.sources.scratch import shared_dir, written
 from wavegrid.sources.tables import event_intervals, table
@@ -169,3 +169,52 @@ def offline_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = splitting.offline_mix(e, "vec_id", "embedding", "y", "text", "tracks", run_rows=1 << 40)
     total = F.aggregate(F.transform("embedding", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
     return m.select("vec_id", "partner", F.round("share", 6).alias("share"), F.round(total, 4).alias("checksum"), F.transform("y", lambda v: F.round(v, 6)).alias("y"), "text", "tracks", "lat", "lng")
+
+
+#: Spectra of single vectors at 8000 Hz: 5 frames of 32 samples every 16, zeros beyond the ends, 17 bins of 250 Hz.
+_SHORT_SQL = """v AS (SELECT vec_id, label, {scale} AS x FROM embeddings),
+    pl AS MATERIALIZED (SELECT vec_id, label, unnest(x) AS x, unnest(range(0, 64)) AS i FROM v),
+    pt AS (SELECT vec_id, label, t, i - t * 16 + 16 AS j, x * (0.5 - 0.5 * cos(2 * pi() * (i - t * 16 + 16) / 32)) AS x FROM (SELECT *, unnest(range(0, 5)) AS t FROM pl) WHERE i - t * 16 BETWEEN -16 AND 15),
+    pw AS MATERIALIZED (SELECT vec_id, label, t, k, pow(sum(x * cos(2 * pi() * j * k / 32)), 2) + pow(sum(x * sin(2 * pi() * j * k / 32)), 2) AS p FROM pt, (SELECT unnest(range(17)) AS k) GROUP BY ALL)"""
+
+
+def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag = F.when(F.col("label") == 1, "bittern").when(F.col("label") == 2, "morepork").otherwise("")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.lit(8000).alias("rate"), F.col("embedding").alias("samples"), tag.alias("tag"))
+
+
+@query(
+    "band_energy_short",
+    f"""WITH {_SHORT_SQL.format(scale="list_transform(embedding, lambda e: e::DOUBLE)")},
+    bd AS (SELECT *, k * 250 AS f, CASE label WHEN 1 THEN [60, 300, 300, 600, 600, 11000] WHEN 2 THEN [400, 1500, 0, 400, 1500, 11000] ELSE [500, 5000, 0, 500, 5000, 11000] END AS e FROM pw)
+    SELECT vec_id, CAST(t AS INT) AS t, round(coalesce(sqrt(avg(p) FILTER (f >= e[1] AND f < e[2])), 0), 5) AS bird, round(coalesce(sqrt(avg(p) FILTER (f >= e[3] AND f < e[4])), 0), 5) AS noise,
+      round(coalesce(sqrt(avg(p) FILTER (f >= e[5] AND f < e[6])), 0), 5) AS upper FROM bd GROUP BY vec_id, t""",
+)
+def band_energy_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = features.band_energy(_short(spark, sf_dir), "vec_id", n_fft=32, hop=16)
+    z = F.arrays_zip(F.col("bird_rms").alias("a"), F.col("noise_rms").alias("b"), F.col("upper_rms").alias("c"))
+    return e.select("vec_id", F.posexplode(z).alias("t", "z")).select("vec_id", "t", *[F.round(F.col("z")[k], 5).alias(n) for k, n in zip("abc", ("bird", "noise", "upper"))])
+
+
+@query(
+    "mel_features_short",
+    f"""WITH {_SHORT_SQL.format(scale="list_transform(embedding, lambda e: 2 * ((e::DOUBLE - list_min(embedding)::DOUBLE) / (list_max(embedding)::DOUBLE - list_min(embedding)::DOUBLE + 1e-6)) - 1)")},
+    m AS (SELECT br, b, (10 ** ((lo + (hi - lo) * b / 7) / 2595) - 1) * br AS hz FROM (SELECT br, 2595 * log10(1 + 100 / br) AS lo, 2595 * log10(1 + 4000 / br) AS hi FROM (SELECT unnest([1000.0::DOUBLE, 700.0]) AS br)), (SELECT unnest(range(0, 8)) AS b)),
+    w AS (SELECT x.br, x.b, k, greatest(0, least((k * 250 - x.hz) / (y.hz - x.hz), (z.hz - k * 250) / (z.hz - y.hz))) * 2 / (z.hz - x.hz) AS w
+      FROM m x JOIN m y ON y.br = x.br AND y.b = x.b + 1 JOIN m z ON z.br = x.br AND z.b = x.b + 2, (SELECT unnest(range(17)) AS k)),
+    d AS (SELECT vec_id, br, b, t, 10 * log10(greatest(1e-10, sum(p * w))) AS db FROM pw JOIN w USING (k) GROUP BY ALL),
+    e AS (SELECT *, greatest(db, max(db) OVER (PARTITION BY vec_id, br) - 80) AS g FROM d)
+    SELECT vec_id, CAST((CASE br WHEN 1000 THEN 0 ELSE 6 END + b) * 5 + t AS INT) AS place, round(g - avg(g) OVER (PARTITION BY vec_id, br, b), 4) + 0.0 AS v FROM e""",
+)
+def mel_features_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = features.mel_features(_short(spark, sf_dir), "vec_id", n_fft=32, hop=16, bands=6, seconds=0.008, hi=4000.0, breaks=(1000.0, 700.0), number="double")
+    return f.select("vec_id", F.posexplode("features").alias("place", "v")).select("vec_id", "place", (F.round("v", 4) + F.lit(0.0)).alias("v"))
+
+
+@query(
+    "cross_fold_counts",
+    f"""SELECT CAST(floor({_U.format("'1|fold|' || vec_id")} * 3) AS INT) AS fold, count(*) AS n FROM embeddings GROUP BY 1""",
+)
+def cross_fold_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = models.with_vector(table(spark, sf_dir, "embeddings"), "embedding")
+    return models.cross_fold(e, "vec_id", "label").select("fold", "n")

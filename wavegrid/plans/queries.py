@@ -876,14 +876,43 @@ def merge_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds_.merge_tracks(_boxes(spark, sf_dir))
 
 
-@query("absorb_tracks")
+#: As in _boxes, with bands on the mel scale.
+_BOXES_SQL = f"""{EVENTS}, d AS (SELECT *, CAST(floor("start" / 86400) AS BIGINT) AS day FROM iv),
+  bx AS (SELECT rec_id * 100000 + day % 100000 AS rec_id, track_id, ("start" - day * 86400) / 100 AS a, ("start" - day * 86400) / 100 + value / 8 AS b, label = 'view' AS is_bird,
+    2595.0 * log10(1.0 + (200.0 + track_id % 40 * 100) / 700.0) AS low, 2595.0 * log10(1.0 + (900.0 + track_id % 37 * 150) / 700.0) AS top FROM d)"""
+
+
+@query(
+    "absorb_tracks",
+    f"""WITH RECURSIVE {_BOXES_SQL}, r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY a, track_id) AS i FROM bx),
+    f AS (SELECT rec_id, i, track_id, a, b, low, top, NULL::BIGINT AS gone, NULL::DOUBLE AS gone_a, NULL::DOUBLE AS gone_b FROM r WHERE i = 1
+      UNION ALL
+      SELECT x.rec_id, x.i, CASE WHEN how = 'stay' THEN x.track_id ELSE n.track_id END, CASE WHEN how = 'stay' THEN x.a ELSE n.a END,
+        CASE WHEN how = 'stay' THEN CASE WHEN in_band THEN greatest(x.b, n.b) ELSE x.b END ELSE n.b END, CASE WHEN how = 'stay' THEN x.low ELSE n.low END, CASE WHEN how = 'stay' THEN x.top ELSE n.top END,
+        CASE WHEN how = 'new' THEN x.track_id END, CASE WHEN how = 'new' THEN x.a END, CASE WHEN how = 'new' THEN x.b END
+      FROM (SELECT y.*, CASE WHEN shared > 0.5 * (y.b - y.a) AND 0.5 * (y.b - y.a) > 0 THEN 'swap' WHEN shared > 0 AND (shared > 0.5 * y.n_len OR in_band) THEN 'stay' ELSE 'new' END AS how
+            FROM (SELECT f.rec_id, n.i, f.track_id, f.a, f.b, f.low, f.top, n.b - n.a AS n_len, least(f.b, n.b) - greatest(f.a, n.a) AS shared,
+                    least(f.top, n.top) - greatest(f.low, n.low) > 0.5 * (n.top - n.low) AND 0.5 * (n.top - n.low) > 0 AS in_band FROM f JOIN r n ON n.rec_id = f.rec_id AND n.i = f.i + 1) y) x
+        JOIN r n ON n.rec_id = x.rec_id AND n.i = x.i)
+    SELECT rec_id, gone AS track_id, round(gone_a, 4) AS "start", round(gone_b, 4) AS "end" FROM f WHERE gone IS NOT NULL
+    UNION ALL SELECT rec_id, track_id, round(a, 4), round(b, 4) FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY i DESC) AS k FROM f) WHERE k = 1""",
+)
 def absorb_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds_.absorb_tracks(_boxes(spark, sf_dir))
+    t = folds_.absorb_tracks(_boxes(spark, sf_dir))
+    return t.select("rec_id", "track_id", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"))
 
 
-@query("trim_others")
+@query(
+    "trim_others",
+    f"""WITH {_BOXES_SQL}, bs AS (SELECT rec_id, list({{'a': a, 'b': b, 'c': false}} ORDER BY a, track_id) AS birds FROM bx WHERE is_bird GROUP BY rec_id),
+    t AS (SELECT bx.rec_id, track_id, is_bird, list_reduce(list_prepend({{'a': a, 'b': b, 'c': false}}, CASE WHEN is_bird THEN [] ELSE coalesce(birds, []) END),
+        lambda s, k: CASE WHEN s.a < k.b AND k.a < s.b THEN CASE WHEN k.a - s.a >= s.b - k.b THEN {{'a': s.a, 'b': k.a, 'c': true}} ELSE {{'a': k.b, 'b': s.b, 'c': true}} END ELSE s END) AS r
+      FROM bx LEFT JOIN bs ON bs.rec_id = bx.rec_id)
+    SELECT rec_id, track_id, round(r.a, 4) AS "start", round(r.b, 4) AS "end", r.c AS cut FROM t WHERE NOT r.c OR r.b - r.a >= 1""",
+)
 def trim_others(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds_.trim_others(_boxes(spark, sf_dir))
+    t = folds_.trim_others(_boxes(spark, sf_dir))
+    return t.select("rec_id", "track_id", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"), "cut")
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1003,10 +1032,18 @@ def species_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _preds(spark, sf_dir).select("row_id", F.array_join(F.transform(r, lambda s: F.concat(s["name"], F.lit("="), s["percent"].cast("string"))), ",").alias("result"))
 
 
-@query("signal_layout")
+@query(
+    "signal_layout",
+    f"""WITH RECURSIVE {_BOXES_SQL}, r AS MATERIALIZED (SELECT 'u' || rec_id % 97 AS tags, rec_id, a, b - a AS len, row_number() OVER (PARTITION BY rec_id % 97 ORDER BY rec_id, a) AS i FROM bx),
+    f AS (SELECT tags, i, rec_id, a, 0 AS file_no, 0.0::DOUBLE AS "offset", len AS filled FROM r WHERE i = 1
+      UNION ALL SELECT f.tags, n.i, n.rec_id, n.a, CASE WHEN f.filled >= 10 THEN f.file_no + 1 ELSE f.file_no END, CASE WHEN f.filled >= 10 THEN 0 ELSE f.filled END,
+        n.len + CASE WHEN f.filled >= 10 THEN 0 ELSE f.filled END FROM f JOIN r n ON n.tags = f.tags AND n.i = f.i + 1)
+    SELECT tags, rec_id, round(a, 5) AS "start", file_no, round("offset", 5) AS "offset" FROM f""",
+)
 def signal_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _boxes(spark, sf_dir)
-    return folds_.file_layout(b.select(F.concat(F.lit("u"), (F.col("rec_id") % 97).cast("string")).alias("tags"), "rec_id", "start", "end"))
+    out = folds_.file_layout(b.select(F.concat(F.lit("u"), (F.col("rec_id") % 97).cast("string")).alias("tags"), "rec_id", "start", "end"))
+    return out.select("tags", "rec_id", F.round("start", 5).alias("start"), "file_no", F.round("offset", 5).alias("offset"))
 
 
 @query("new_events", """SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 3)""")
