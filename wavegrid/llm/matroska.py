@@ -277,20 +277,29 @@ def _feature(data: bytes, m: Media, payload: bytes) -> str:
     return f"{codec};clusters={len(m.clusters)};cues={good_cues};packets={len(m.packets)};last_ms={last[1] // 1_000_000};ms={m.duration:.3f};mean={mean:.4f};power={power:.3f};crossings={crossings};entropy={float(-(p * np.log2(p)).sum()):.4f}"
 
 
+#: Files are handed on in batches of about this size.
+BATCH_BYTES = 8 << 20
+
+
 def store_texts(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, media``: each text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, as samples of a file.
 
     A null text counts as empty. Ids may be null or repeat; each row has its own file. Other columns don't come along.
+    Texts become files one by one, and files are handed on by :data:`BATCH_BYTES`, so a batch of many long texts is never held as files at once;
+    one very long text is held a few times over.
     """
 
     def write(batches):
         for b in batches:
-            sizes, files = [], []
-            for t in b.column(1).to_pylist():
-                raw = (t or "").encode()
+            sizes, files, held, first = [], [], 0, 0
+            for i in range(b.num_rows):
+                raw = (b.column(1)[i].as_py() or "").encode()
                 sizes.append(len(raw))
                 files.append(mux(pad64(raw)))
-            yield pa.record_batch({"doc_id": b.column(0), "n_bytes": pa.array(sizes, pa.int64()), "media": pa.array(files, pa.binary())})
+                held += len(files[-1])
+                if held >= BATCH_BYTES or i == b.num_rows - 1:
+                    yield pa.record_batch({"doc_id": b.column(0).slice(first, len(files)), "n_bytes": pa.array(sizes, pa.int64()), "media": pa.array(files, pa.binary())})
+                    sizes, files, held, first = [], [], 0, i + 1
 
     return docs.select("doc_id", "text").mapInArrow(write, "doc_id long, n_bytes long, media binary")
 
@@ -331,8 +340,8 @@ def digest_media(media: DataFrame) -> DataFrame:
     def read(batches):
         for b in batches:
             rows = []
-            for v in b.column(2):
-                data = v.as_py()
+            for k in range(b.num_rows):  # one file at a time
+                data = b.column(2)[k].as_py()
                 if data is None:
                     rows.append((None,) * 6)
                     continue
