@@ -73,6 +73,32 @@ def ema(a: Column, s: float = 0.04, block: int = 256, start: Column | None = Non
     return let(a, whole)
 
 
+def running_sums(a: Column, block: int = 256) -> Column:
+    """0 and the sums of the first 1, 2, ... values. Places are appended in blocks, as appending copies what is there."""
+
+    def one_block(last: Column, values: Column) -> Column:
+        step = lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), last) + x)
+        return F.aggregate(values, F.array().cast("array<double>"), step)
+
+    def add(state: Column, values: Column) -> Column:
+        return let(one_block(state["last"], values), lambda r: F.struct(F.try_element_at(r, F.lit(-1)).alias("last"), F.array_append(state["out"], r).alias("out")))
+
+    def whole(v: Column) -> Column:
+        places = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), F.lit(block))).otherwise(F.array().cast("array<int>"))
+        begin = F.struct(F.lit(0.0).alias("last"), F.array(F.array(F.lit(0.0))).alias("out"))
+        return F.aggregate(F.transform(places, lambda p: F.slice(v, p, block)), begin, add, lambda state: F.flatten(state["out"]))
+
+    return let(a, whole)
+
+
+def mean_and_deviation(a: Column) -> Column:
+    """Struct ``mean, sd`` (population) of an array without its nulls; nulls if nothing is left."""
+    n = lambda v: F.nullif(F.size(v), F.lit(0))
+    spread = lambda v, m: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / n(v))
+    known = F.filter(doubles(a), lambda x: x.isNotNull())
+    return let(known, lambda v: let(array_sum(v) / n(v), lambda m: F.struct(m.alias("mean"), spread(v, m).alias("sd"))))
+
+
 def pcen(a: Column, s: float = 0.04, gain: float = 0.98, bias: float = 2.0, root: float = 2.0, eps: float = 1e-6) -> Column:
     """Per-channel energy normalisation: (x / (eps + ema)^gain + bias)^(1/root) - bias^(1/root)."""
     return F.zip_with(a, ema(a, s), lambda x, m: F.pow(x / F.pow(F.lit(eps) + m, F.lit(gain)) + bias, F.lit(1 / root)) - bias ** (1 / root))

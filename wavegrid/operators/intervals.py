@@ -90,20 +90,30 @@ def _level(start: Column, end: Column, bucket: float) -> Column:
     return F.greatest(F.ceil(F.log2((end - start) / F.lit(bucket)) - 1e-9), F.lit(0)).cast("int")
 
 
+#: Lengths of up to 2^3 times the smallest cell are joined in these cells alone.
+FEW_LEVELS = 3
+
+
 def overlapping(a: DataFrame, b: DataFrame, key: str, bucket: float) -> DataFrame:
     """Pairs of rows of ``a`` and ``b`` with one key whose intervals overlap; columns of both, all but the key named apart.
 
     Both sides have ``start`` and ``end`` (``b``'s are ``b_start``, ``b_end``). Time is cut into cells of ``bucket`` seconds, of twice that,
     and so on. An interval lies at the level whose cells are as long as itself, in two or three of them, and a pair meets at the
     longer one's level: there the shorter one, too, lies in few cells. So an interval of any length takes a few rows for
-    each level that the other side has intervals of, at most as many as the logarithm of the longest over ``bucket``, and a
-    key with many rows is spread over its cells. A pair counts in the cell where the later of the two begins, and so only
+    each level that the other side has intervals of, at most as many as the logarithm of the longest over ``bucket`` (where no interval is
+    longer than 8 times ``bucket``, it takes the up to 9 smallest cells it touches), and a key with many rows is spread over its cells. A pair counts in the cell where the later of the two begins, and so only
     once. Empty intervals and nulls overlap nothing.
     """
     a, b = a.where(F.col("start") < F.col("end")), b.where(F.col("b_start") < F.col("b_end"))
     own_a, own_b = _level(F.col("start"), F.col("end"), bucket), _level(F.col("b_start"), F.col("b_end"), bucket)
-    levels = lambda df, own: sorted(r[0] for r in df.select(own.alias("v")).distinct().collect() if r[0] is not None)
-    on_a, on_b = levels(a, own_a), levels(b, own_b)  # a few numbers, whatever the rows
+    lengths = a.select(own_a.alias("v")).union(b.select(own_b))
+    if (lengths.agg(F.max("v")).first()[0] or 0) <= FEW_LEVELS:  # then nothing is in more than 2^FEW_LEVELS + 1 of the smallest cells, and one join will do
+        small = lambda df, s, e: df.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(s) / bucket), F.floor(F.col(e) / bucket))))
+        both = small(a, "start", "end").join(small(b, "b_start", "b_end"), [key, "_cell"])
+        first = F.floor(F.greatest("start", "b_start") / bucket)
+        return both.where((F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end")) & (F.col("_cell") == first)).drop("_cell")
+    in_use = a.select(F.lit(True).alias("is_a"), own_a.alias("v")).union(b.select(F.lit(False), own_b)).distinct().collect()  # a few numbers, whatever the rows
+    on_a, on_b = (sorted(r["v"] for r in in_use if r["is_a"] == side and r["v"] is not None) for side in (True, False))
 
     def cells(df: DataFrame, s: str, e: str, level: Column) -> DataFrame:
         df = df.withColumn("_level", level)
@@ -185,24 +195,28 @@ def overlap_labels(samples: DataFrame, tracks: DataFrame, key: str, bucket: floa
 def best_window(df: DataFrame, id_col: str, values: str, width: int) -> DataFrame:
     """``id, offset, total``: where ``width`` consecutive values have the largest sum, the first such place on ties.
 
-    A list shorter than ``width`` has offset 0 and the sum of all; a null or empty list has none. Sums are rounded to
-    9 places, so that equal windows tie.
+    A list shorter than ``width`` has offset 0 and the sum of all; a null or empty list has none, a null value counts as 0. Sums are
+    rounded to 9 places, so that equal windows tie. All is worked out within the row, by running sums; nothing is shuffled.
     """
-    long_ = df.select(id_col, F.size(values).alias("n"), F.posexplode(values).alias("offset", "v"))
-    w = Window.partitionBy(id_col).orderBy("offset").rowsBetween(0, width - 1)
-    sums = long_.withColumn("total", F.round(F.sum(F.col("v").cast("double")).over(w), 9))
-    whole = sums.where((F.col("offset") + width <= F.col("n")) | (F.col("offset") == 0))
-    best = whole.groupBy(id_col).agg(F.max_by(F.struct("offset", "total"), F.struct("total", -F.col("offset"))).alias("b"))
-    return best.select(id_col, "b.offset", "b.total")
+    some = df.where(F.size(values) > 0).select(id_col, F.transform(values, lambda v: F.coalesce(v.cast("double"), F.lit(0.0))).alias("_v"))
+
+    def best(sums: Column) -> Column:
+        last = F.greatest(F.size(sums) - 1 - width, F.lit(0))
+        total = lambda o: F.round(F.get(sums, F.least(o + width, F.size(sums) - 1)) - F.get(sums, o), 9)
+        return F.array_max(F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(total(o).alias("total"), (-o).alias("back"))))
+
+    found = some.select(id_col, arrays.let(arrays.running_sums(F.col("_v")), best).alias("_b"))
+    return found.select(id_col, (-F.col("_b.back")).alias("offset"), F.col("_b.total").alias("total"))
 
 
 def tighten(df: DataFrame, id_col: str, values: str, width: int, hop: float, min_spread: float = 0.01) -> DataFrame:
     """The best window as new bounds in seconds; ``rejected`` where the values' deviation is under ``min_spread`` of their mean, or there are none."""
-    best = best_window(df, id_col, values, width)
-    stats = df.select(id_col, F.explode(values).alias("v")).groupBy(id_col).agg(F.stddev_pop("v").alias("sd"), F.avg("v").alias("mean"))
-    out = df.select(id_col).join(best, id_col, "left").join(stats, id_col, "left")
-    flat = F.coalesce(F.abs(F.col("sd") / F.nullif(F.col("mean"), F.lit(0.0))) < min_spread, F.lit(True))
-    return out.select(id_col, (F.col("offset") * hop).alias("start"), ((F.col("offset") + width) * hop).alias("end"), flat.alias("rejected"))
+    best = best_window(df.select(F.struct(id_col, values).alias("_row"), values), "_row", values, width)
+    none = df.where(F.coalesce(F.size(values), F.lit(0)) <= 0).select(F.struct(id_col, values).alias("_row"), F.lit(None).cast("int").alias("offset"))
+    stats = arrays.mean_and_deviation(F.col(f"_row.{values}"))
+    out = best.select("_row", "offset").unionByName(none).withColumn("_s", stats)
+    flat = F.coalesce(F.abs(F.col("_s.sd") / F.nullif(F.col("_s.mean"), F.lit(0.0))) < min_spread, F.lit(True))
+    return out.select(F.col(f"_row.{id_col}").alias(id_col), (F.col("offset") * hop).alias("start"), ((F.col("offset") + width) * hop).alias("end"), flat.alias("rejected"))
 
 
 def best_segment(tracks: DataFrame, signals: DataFrame, key: str, bucket: float, seg: float = 3.0, step: float = 0.5) -> DataFrame:

@@ -34,9 +34,21 @@ def segment_tracks(tracks: DataFrame, seg: float = 3.0, stride: float = 1.0, see
     t = tracks.where(length > 0).withColumn("_n", n)
 
     def begins(t: DataFrame, kind: str, count: Column, shift: float) -> DataFrame:
-        s = t.withColumn("i", F.explode(F.sequence(F.lit(0), count.cast("int") - 1))).withColumn("_list", F.lit(kind))
-        jitter = F.when(F.col("_n") > 1, keyed_uniform(seed, F.col("_list"), F.col("track_id"), F.col("i")) / 2 - 0.25).otherwise(F.lit(0.0))
-        return s.withColumn("sample_start", F.greatest(F.lit(0.0), F.col("start") + F.col("i") * stride + shift + jitter))
+        """Samples that stay are chosen within the row: each has its jitter's hash once, and only they are rows."""
+
+        def one(i: Column) -> Column:
+            jitter = F.when(F.col("_n") > 1, keyed_uniform(seed, F.lit(kind), F.col("track_id"), i) / 2 - 0.25).otherwise(F.lit(0.0))
+            return F.struct(i.alias("i"), F.greatest(F.lit(0.0), F.col("start") + i * stride + shift + jitter).alias("begin"))
+
+        def stays(s: Column) -> Column:
+            size = F.least(s["begin"] + seg, F.col("end")) - s["begin"]
+            least = F.when(s["i"] == 0, F.lit(MIN_SAMPLE_LENGTH)).otherwise(F.lit(seg - LEEWAY)) if kind == "small" else F.lit(seg - LEEWAY)
+            fits = (s["begin"] <= F.col("end")) & (size >= least)
+            return fits if kind == "small" else (s["i"] == 0) | fits
+
+        at = F.transform(F.sequence(F.lit(0), count.cast("int") - 1), one)
+        s = t.withColumn("_s", F.explode(F.filter(at, stays)))
+        return s.withColumns({"i": F.col("_s.i"), "sample_start": F.col("_s.begin")}).drop("_s")
 
     # four of a long track's samples, chosen within its row
     places = F.transform(F.sequence(F.lit(0), F.ceil(length / stride).cast("int") - 1), lambda i: F.struct(keyed_order(seed, F.lit("pick"), F.col("track_id"), i), i.alias("i")))
@@ -47,11 +59,7 @@ def segment_tracks(tracks: DataFrame, seg: float = 3.0, stride: float = 1.0, see
     all_ = main
     if small_strides:
         all_ = main.unionByName(begins(t, "small", F.ceil(F.col("_n") / stride), stride / 2).withColumn("kind", F.lit("small_stride")))
-    all_ = all_.withColumn("sample_end", F.least(F.col("sample_start") + seg, F.col("end")))
-    size = F.col("sample_end") - F.col("sample_start")
-    least = F.when((F.col("_list") == "small") & (F.col("i") == 0), F.lit(MIN_SAMPLE_LENGTH)).otherwise(F.lit(seg - LEEWAY))
-    first = (F.col("_list") == "main") & (F.col("i") == 0)
-    return all_.where(first | ((F.col("sample_start") <= F.col("end")) & (size >= least))).drop("_n", "_list")
+    return all_.withColumn("sample_end", F.least(F.col("sample_start") + seg, F.col("end"))).drop("_n")
 
 
 def predict_windows(tracks: DataFrame, seg: float = 3.0, stride: float = 1.0) -> DataFrame:
