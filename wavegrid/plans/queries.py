@@ -821,18 +821,18 @@ def anonymised_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("rec_id", "site_id", "lat", "lng", F.coalesce(F.size("tracks"), F.lit(0)).alias("n_tracks"), F.round(F.array_min("tracks.min_freq"), 2).alias("lowest"))
 
 
-def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _documents_as_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("lang").alias("split"), F.col("source").alias("label"), F.col("n_chars").alias("rec_id"))
 
 
 @query("training_summary", """SELECT lang AS split, source AS label, count(*) AS n_samples, count(DISTINCT n_chars) AS n_recs FROM documents GROUP BY ALL""")
 def training_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return writers.training_summary(_samples(spark, sf_dir))
+    return writers.training_summary(_documents_as_samples(spark, sf_dir))
 
 
 @query("training_recordings", """SELECT DISTINCT lang AS split, source AS label, n_chars AS rec_id FROM documents WHERE n_chars IS NOT NULL""")
 def training_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return writers.training_recordings(_samples(spark, sf_dir))
+    return writers.training_recordings(_documents_as_samples(spark, sf_dir))
 
 
 @query("linear_scores")
