@@ -233,3 +233,20 @@ def test_secrets_without_samples(spark):
     docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     out = secrets.find_secrets(docs, secrets.secrets_model(docs)).collect()
     assert all(not r[c] for r in out for c in secrets.KINDS)
+
+
+def test_media_of_many_long_texts_come_in_small_batches(spark, monkeypatch):
+    """One text of 20 MB, and long rows handed on in batches of a few files, in the order of their ids."""
+    from wavegrid.llm import matroska
+
+    monkeypatch.setattr(matroska, "BATCH_BYTES", 50_000)
+    texts = ["é" * 10_000_000, *[("row %d " % i) * 3000 for i in range(60)], None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = {r["doc_id"]: r for r in matroska.digest_media(matroska.store_texts(docs)).collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        padded = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        r = rows[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest())
+        assert r["tail_crc32"] == zlib.crc32(padded[-64:]) and r["media_bytes"] > len(padded)
