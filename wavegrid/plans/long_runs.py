@@ -86,9 +86,37 @@ def bin_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.col("rec").alias("label"), F.posexplode("medians").alias("k", "m")).select("label", "k", F.round("m", 5).alias("median"))
 
 
-@query("signals_across_segments")
+def _swept(out: str, of: str, how: str, axis: str, back: int, on: int) -> str:
+    """A window's largest or least cell along frames or bins, over the cells that exist."""
+    by, order = ("k", "t") if axis == "t" else ("t", "k")
+    return f"{out} AS MATERIALIZED (SELECT label, t, k, {how}(on_) OVER (PARTITION BY label, {by} ORDER BY {order} ROWS BETWEEN {back} PRECEDING AND {on} FOLLOWING) AS on_ FROM {of})"
+
+
+#: Spectra of 64 samples every 16, cells over the medians, opened by 2 by 2, dilated by 3 frames and 4 bins, eroded by 3 frames; runs of bins that touch from frame to frame are one signal.
+_SIGNALS_SQL = f"""x AS MATERIALIZED (SELECT label, v, row_number() OVER (PARTITION BY label ORDER BY vec_id, p) - 1 AS i, count(*) OVER (PARTITION BY label) AS total
+      FROM (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS p FROM embeddings)),
+    part AS (SELECT label, t, i - t * 16 + 32 AS j, v * (0.5 - 0.5 * cos(2 * pi() * (i - t * 16 + 32) / 64)) AS v FROM (SELECT *, unnest([i // 16 - 2, i // 16 - 1, i // 16, i // 16 + 1, i // 16 + 2]) AS t FROM x)
+      WHERE i - t * 16 BETWEEN -32 AND 31 AND t BETWEEN 0 AND total // 16),
+    mag AS MATERIALIZED (SELECT label, t, k, sqrt(pow(sum(v * cos(2 * pi() * j * k / 64)), 2) + pow(sum(v * sin(2 * pi() * j * k / 64)), 2))::FLOAT::DOUBLE AS m
+      FROM part CROSS JOIN (SELECT unnest(range(33)) AS k) GROUP BY label, t, k),
+    raw AS MATERIALIZED (SELECT label, t, k, m > 1.5 * median(m) OVER (PARTITION BY label, t) AND m > 1.2 * median(m) OVER (PARTITION BY label, k) AS on_ FROM mag),
+    {_swept("e1", "raw", "bool_and", "t", 1, 0)}, {_swept("e2", "e1", "bool_and", "k", 1, 0)}, {_swept("d1", "e2", "bool_or", "t", 0, 1)}, {_swept("d2", "d1", "bool_or", "k", 0, 1)},
+    {_swept("d3", "d2", "bool_or", "t", 1, 1)}, {_swept("d4", "d3", "bool_or", "k", 1, 2)}, {_swept("e3", "d4", "bool_and", "t", 1, 1)},
+    run AS MATERIALIZED (SELECT row_number() OVER () AS r, label, t, min(k) AS lo, max(k) + 1 AS hi FROM (SELECT label, t, k, k - row_number() OVER (PARTITION BY label, t ORDER BY k) AS g FROM e3 WHERE on_) GROUP BY label, t, g),
+    link AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM run a JOIN run b ON b.label = a.label AND b.t = a.t + 1 AND a.lo <= b.hi AND b.lo <= a.hi),
+    lk AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+    reach AS (SELECT r AS a, r AS b FROM run UNION SELECT reach.a, lk.b FROM reach JOIN lk ON lk.a = reach.b),
+    whole AS (SELECT b AS r, min(a) AS c FROM reach GROUP BY b),
+    box AS (SELECT label, c, min(t) AS t0, max(t) + 1 AS t1, min(lo) AS f0, max(hi) AS f1, sum(hi - lo) AS mass FROM run JOIN whole USING (r) GROUP BY label, c)"""
+
+
+@query(
+    "signals_across_segments",
+    f"""WITH RECURSIVE {_SIGNALS_SQL} SELECT label, t0 * 16 / 8000 AS "start", t1 * 16 / 8000 AS "end", f0 * 125.0::DOUBLE AS f_lo, least(f1, 32) * 125.0::DOUBLE AS f_hi, CAST(mass AS BIGINT) AS mass
+    FROM box WHERE t1 - t0 > 0.65 * 3 AND f1 - f0 > 4""",
+)
 def signals_across_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tested against one array for each whole recording."""
+    """The vectors of a label as segments of one recording, in chunks of 512 frames."""
     return frames.detect_signals(_label_recordings(spark, sf_dir), "label", 64, 16, frame_times=1.5, bin_times=1.2, kernel=2, wide_seconds=0.006, high_hz=300.0, frames=512)
 
 

@@ -300,7 +300,7 @@ def _event_labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     """WITH l AS (SELECT DISTINCT event_type AS label FROM events UNION SELECT unnest(['bird', 'noise', 'wind', 'rain', 'human', 'sheep'])),
     g AS (SELECT label, CASE WHEN label = 'purchase' THEN 'click' ELSE label END AS goal FROM l WHERE label <> 'error'),
     n AS (SELECT goal, row_number() OVER (ORDER BY goal) - 1 AS i FROM (SELECT DISTINCT goal FROM g)),
-    x AS (SELECT l.label, g.goal, n.i, CASE WHEN g.goal IS NULL OR l.label = 'bird' THEN NULL WHEN l.label IN ('wind','vehicle','dog','rain','static','noise','insect') THEN 'noise' WHEN l.label IN ('human','sheep') THEN 'human' ELSE 'bird' END AS grp
+    x AS (SELECT l.label, g.goal, n.i, CASE WHEN g.goal IS NULL OR l.label = 'bird' THEN NULL WHEN l.label IN ('wind','vehicle','dog','rain','static','noise','cat') THEN 'noise' WHEN l.label IN ('human','sheep') THEN 'human' ELSE 'bird' END AS grp
           FROM l LEFT JOIN g USING (label) LEFT JOIN n USING (goal))
     SELECT label, x.goal AS target, CAST(CASE WHEN x.goal IS NULL THEN -1 WHEN label = 'view' OR q.i IS NULL OR grp = label THEN x.i ELSE q.i END AS INT) AS target_i,
       CAST(CASE WHEN label = 'view' AND grp = 'bird' THEN q.i END AS INT) AS extra_i FROM x LEFT JOIN n q ON x.grp = q.goal""",
