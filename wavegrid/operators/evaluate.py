@@ -40,7 +40,7 @@ def label_rates(matrix: DataFrame) -> DataFrame:
     total = matrix.agg(F.sum("n").alias("total"))
     own = matrix.groupBy("true_i").agg(F.sum("n").alias("actual"), F.sum(F.when(F.col("true_i") == F.col("pred_i"), F.col("n")).otherwise(0)).alias("tp"))
     pred = matrix.where(F.col("pred_i") != NONE).groupBy(F.col("pred_i").alias("true_i")).agg(F.sum("n").alias("predicted"))
-    r = own.join(pred, "true_i", "left").crossJoin(F.broadcast(total)).withColumn("predicted", F.coalesce("predicted", F.lit(0)))
+    r = own.join(pred, "true_i", "left").crossJoin(F.broadcast(total)).withColumn("predicted", F.coalesce("predicted", F.lit(0)))  # one row is broadcast
     r = r.withColumn("fp", F.col("predicted") - F.col("tp")).withColumn("fn", F.col("actual") - F.col("tp"))
     r = r.withColumn("tn", F.col("total") - F.col("tp") - F.col("fp") - F.col("fn"))
 
@@ -187,7 +187,7 @@ def class_weights(dist: DataFrame, low: float = 0.25, high: float = 4.0) -> Data
     """total / (labels seen) / n, within the bounds; 0 for labels not seen."""
     facts = dist.agg(F.sum("n").alias("_total"), F.sum((F.col("n") > 0).cast("int")).alias("_seen"))
     w = F.least(F.greatest(F.col("_total") / F.col("_seen") / F.col("n"), F.lit(low)), F.lit(high))
-    return dist.crossJoin(F.broadcast(facts)).withColumn("weight", F.when(F.col("n") > 0, w).otherwise(F.lit(0.0))).drop("_total", "_seen")
+    return dist.crossJoin(F.broadcast(facts)).withColumn("weight", F.when(F.col("n") > 0, w).otherwise(F.lit(0.0))).drop("_total", "_seen")  # one row is broadcast
 
 
 def share_histogram(shares: DataFrame, label: str, share: str, scale: int = 10) -> DataFrame:
@@ -207,7 +207,7 @@ def accuracy_by_share(matrix: DataFrame, counts: DataFrame) -> DataFrame:
     """``label_i, share, accuracy``: each label's part of the training rows (``label_i, n``) beside its accuracy, the largest share first."""
     total = counts.agg(F.sum("n").alias("_total"))
     acc = label_rates(matrix).select("label_i", F.col("recall").alias("accuracy"))
-    s = counts.crossJoin(F.broadcast(total)).select("label_i", (F.col("n") / F.col("_total")).alias("share"))
+    s = counts.crossJoin(F.broadcast(total)).select("label_i", (F.col("n") / F.col("_total")).alias("share"))  # one row is broadcast
     return s.join(acc, "label_i", "left").orderBy(F.desc("share"), "label_i")
 
 

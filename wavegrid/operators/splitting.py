@@ -72,7 +72,7 @@ def undersample(samples: DataFrame, seed: int = 1, share: float = 0.75) -> DataF
     """
     counts = samples.groupBy("tag").agg(F.count("*").alias("n"))
     target = nth_largest_count(counts).crossJoin(counts.agg(F.count("*").alias("n_tags")))  # one row each
-    facts = counts.crossJoin(F.broadcast(target)).withColumn("goal", F.col("target") * share)
+    facts = counts.crossJoin(F.broadcast(target)).withColumn("goal", F.col("target") * share)  # one row is broadcast
     chance = F.when((F.col("n_tags") > 1) & (F.col("n") > F.col("goal")), (F.col("n") - F.col("goal")) / F.col("n")).otherwise(F.lit(0.0))
     rolled = samples.join(facts.select("tag", chance.alias("chance")), "tag")
     lives = keyed_uniform(seed, F.col("tag"), F.col("sample_id")) >= F.col("chance")
@@ -85,7 +85,7 @@ def oversample(used: DataFrame, pools: DataFrame, seed: int = 1, skip: tuple[str
     ``used`` has ``sample_id, tag``; ``pools`` also ``priority`` (lower first). Tags in ``skip`` are not filled.
     """
     counts = used.where(~F.col("tag").isin(*skip)).groupBy("tag").agg(F.count("*").alias("n"))
-    facts = counts.crossJoin(F.broadcast(nth_largest_count(counts))).withColumn("deficit", F.greatest(F.lit(0), F.col("target") - F.col("n")))
+    facts = counts.crossJoin(F.broadcast(nth_largest_count(counts))).withColumn("deficit", F.greatest(F.lit(0), F.col("target") - F.col("n")))  # one row is broadcast
     spare = pools.join(facts.where("deficit > 0").select("tag", "deficit"), "tag").withColumn("_o", keyed_order(seed, F.col("tag"), F.col("sample_id")))
     spare = sums_before(spare.withColumn("_p", hashed_run(F.col("_o"))), ["tag"], ["priority", "_p"], ["_o", "sample_id"], {"_r": F.lit(1)})
     return spare.where("_r < deficit").select("sample_id", "tag", "priority")
@@ -112,7 +112,7 @@ def interleave(df: DataFrame, source: str, keys: list[str], seed: int = 1, stop_
     placed = sums_before(keyed, [source], ["_p"], ["_o", *keys], {"turn": F.lit(1)})
     out = placed.withColumn("turn", F.col("turn") + 1).drop("_o", "_p")
     if stop_on_empty:
-        out = out.join(F.broadcast(df.groupBy(source).agg(F.count("*").alias("_n")).agg(F.min("_n").alias("_n"))), F.col("turn") <= F.col("_n")).drop("_n")
+        out = out.join(F.broadcast(df.groupBy(source).agg(F.count("*").alias("_n")).agg(F.min("_n").alias("_n"))), F.col("turn") <= F.col("_n")).drop("_n")  # one row is broadcast
     return out
 
 
@@ -120,7 +120,7 @@ def uniform_classes(df: DataFrame, label: str, keys: list[str], seed: int = 1) -
     """Keeps each row with the chance smallest class count / its class count."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
     least = counts.agg(F.min("_n").alias("_least"))
-    facts = counts.crossJoin(F.broadcast(least))
+    facts = counts.crossJoin(F.broadcast(least))  # one row is broadcast
     kept = df.join(small(facts, 64), label)
     return kept.where(keyed_uniform(seed, *[F.col(k) for k in keys]) < F.col("_least") / F.col("_n")).drop("_n", "_least")
 
