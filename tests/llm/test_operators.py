@@ -386,6 +386,69 @@ def test_reserved_names_are_refused_and_clashing_ones_replaced(spark):
         assert rows.select("label", "h").distinct().collect() == [("x", "x")]
 
 
+def test_callers_columns_of_any_name_are_kept(spark):
+    from wavegrid.llm.decontaminate import find_contamination
+    from wavegrid.llm.langid import fit, predict
+    from wavegrid.llm.line_dedup import apply_keep_runs, line_keep_runs
+    from wavegrid.llm.mixing import emit_copies, mix_sources
+    from wavegrid.llm.pitman_yor import score_texts
+    from wavegrid.llm.suffix_dedup import remove_repeats
+    from wavegrid.llm.url_filter import filter_urls
+
+    rows = [(1, "a b c", "en", "s", False), (2, "a b", "en", "t", True), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, held boolean")
+    items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    odd = ["a.b", "two words", "TEXT2", "tick`s", "__wgx", "x.text"]
+    wide = docs.withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for n in odd})
+    runs, model = line_keep_runs(docs), fit(docs)
+    runners = {
+        "decontaminate": lambda d: find_contamination(d, items),
+        "passes": lambda d: find_contamination(d, items.unionByName(items), pass_windows=1),
+        "lines": lambda d: apply_keep_runs(d, runs),
+        "mix": mix_sources,
+        "suffix": remove_repeats,
+        "score": lambda d: score_texts(d, "held"),
+        "language": lambda d: predict(d, model),
+        "urls": lambda d: filter_urls(d, [("block", "com", "/")], "text"),
+        "joined urls": lambda d: filter_urls(d, [("block", "com", "/")], "text", max_bits=1),
+    }
+    for name, run in runners.items():
+        plain, got = run(docs), run(wide)
+        more = plain.columns[len(docs.columns) :]
+        assert got.columns == [*wide.columns, *more], name
+        assert sorted(map(repr, got.toDF(*[f"c{i}" for i in range(len(got.columns))]).select("c0", *[f"c{i}" for i in range(len(wide.columns), len(got.columns))]).collect())) == sorted(
+            map(repr, plain.select(F.col("doc_id").alias("c0"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(more, len(wide.columns))]).collect())
+        ), name
+        kept = [tuple(r) for r in got.select("doc_id", *[F.col(f"`{n.replace('`', '``')}`") for n in odd]).collect()]
+        assert sorted(kept) == [(i, *[f"{n}{i}" for n in odd]) for i in (1, 2, 3)], name
+        if name != "language":
+            for own in ("__WG_KEY", "__Wg_Run"):
+                with pytest.raises(ValueError):
+                    run(docs.withColumn(own, F.lit(1)))
+    mixed = mix_sources(wide)
+    assert emit_copies(mixed, ["doc_id", "a.b", "tick`s"]).columns == ["doc_id", "a.b", "tick`s"]
+
+    # names are looked up and replaced without case, as Spark compares them
+    upper = docs.withColumnsRenamed({"text": "Text", "doc_id": "DOC_ID"}).withColumns({"SIZE": F.lit("x"), "Lang_Pred": F.lit("x")})
+    assert mix_sources(upper).columns == ["DOC_ID", "Text", "lang", "source", "held", "Lang_Pred", "size", "source_size", "target", "copies", "taken"]
+    assert predict(upper, model).columns == ["DOC_ID", "Text", "lang", "source", "held", "SIZE", "lang_pred", "score"]
+    assert sorted(r["size"] for r in mix_sources(upper).collect()) == [0, 2, 3]
+    with pytest.raises(ValueError):
+        predict(docs.drop("text"), model)
+
+
+def test_rows_without_text_and_further_passes(spark):
+    from wavegrid.llm import decontaminate as d
+
+    rows = [(i, None if i % 3 else "one two three four", "z" * 1000) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more string").coalesce(1)
+    items = spark.createDataFrame([("a", "two three"), ("b", None), ("c", "")], "item_id string, text string")
+    want = sorted(map(repr, d.find_contamination(docs, items).collect()))
+    assert len(want) == 500
+    for passes in ({}, {"pass_windows": 1}, {"max_bytes": 1}):
+        assert sorted(map(repr, d.find_contamination(docs, items, **passes).collect())) == want
+
+
 def test_suffix_dedup_with_hot_anchors(spark, tables):
     from wavegrid.llm.suffix_dedup import remove_repeats
 

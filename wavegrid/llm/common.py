@@ -37,11 +37,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def refuse_reserved(df: DataFrame) -> None:
-    """Names beginning with ``__wg_`` are the operators' own; a caller's column of such a name is an error, not overwritten."""
-    if own := [c for c in df.columns if c.startswith("__wg_")]:
+    """Names beginning with ``__wg_``, in any case, are the operators' own; a caller's column of such a name is an error, not overwritten."""
+    if own := [c for c in df.columns if c.lower().startswith("__wg_")]:
         raise ValueError(f"column names beginning with __wg_ are reserved: {own}")
 
 
+def quoted(name: str) -> str:
+    """The name as Spark reads it whole, whatever dots, blanks and backticks are in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def set_apart(df: DataFrame, needed: dict[str, str], added: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The rows under names that are safe to work with, and what gives callers their names back.
+
+    ``needed`` maps an operator's names to the caller's, which are looked up as written and else without case. All
+    other columns get numbered names by position, so dots, blanks, repeated names and any clash do no harm. Columns
+    that equal one of the ``added`` names, without case as Spark compares them, are replaced, so they are left out.
+    The second result takes a frame with these columns first and whatever was added behind them.
+    """
+    refuse_reserved(df)
+    names, lower = df.columns, [c.lower() for c in df.columns]
+    own = {}
+    for name, of in needed.items():
+        if of not in names and of.lower() not in lower:
+            raise ValueError(f"no column {of} among {names}")
+        own[names.index(of) if of in names else lower.index(of.lower())] = name
+    kept = [i for i in range(len(names)) if i in own or lower[i] not in {a.lower() for a in added}]
+    plain = [own.get(i, f"__wg_x{i}") for i in range(len(names))]
+    apart = df.toDF(*plain).select(*[plain[i] for i in kept])
+    return apart, lambda out: out.toDF(*[names[i] for i in kept], *out.columns[len(kept) :])
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new place for one intermediate table; it belongs to the shared folder, whose owner clears it."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"

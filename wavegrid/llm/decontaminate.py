@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from wavegrid.llm.common import materialize, refuse_reserved, slices, tidy
+from wavegrid.llm.common import materialize, set_apart, slices, tidy
 
 
 #: Bytes to bytes: A-Z lower-cased, what is no part of a word to a blank. A word is `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing.
@@ -20,6 +20,8 @@ _FOLD = bytes(
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Text bytes of one shard, and suffix positions between samples.
 SHARD_BYTES = 12 << 20
+#: A shard also ends when all its columns, those that only come along included, take this much.
+SHARD_HELD = 256 << 20
 SAMPLE = 8
 
 
@@ -162,22 +164,29 @@ class Windows:
         return self
 
 
-def benchmark_passes(items: DataFrame, width: int, max_windows: int, max_bytes: int) -> Iterator[list[Windows]]:
-    """``item_id, text`` in blocks of about ``max_windows`` windows; as many of them as have about ``max_bytes`` characters are one pass."""
-    block, blocks, total = Windows(width), [], 0
-    for r in items.select("item_id", "text").toLocalIterator():
+def benchmark_passes(items: DataFrame, width: int, max_windows: int, max_bytes: int, pass_windows: int) -> Iterator[tuple[list[Windows], bool]]:
+    """``item_id, text`` in blocks of about ``max_windows`` windows, and whether it is the last pass.
+
+    As many blocks as have about ``max_bytes`` characters or ``pass_windows`` windows are one pass. Only the next item is
+    read ahead, so no two passes are held at a time; the last one may be without blocks.
+    """
+    block, blocks, total, n = Windows(width), [], 0, 0
+    rows = iter(items.select("item_id", "text").toLocalIterator())
+    ahead = next(rows, None)
+    while ahead is not None:
+        r, ahead = ahead, next(rows, None)
         block.add("null" if r["item_id"] is None else str(r["item_id"]), words_of(r["text"]))
         total += len(r["text"] or "")
-        if len(block.of) >= max_windows or total >= max_bytes:
+        full = total >= max_bytes or n + len(block.of) >= pass_windows
+        if len(block.of) >= max_windows or full:
+            n += len(block.of)
             blocks += [block.close()] if block.of else []
             block = Windows(width)
-        if total >= max_bytes:
+        if full and ahead is not None:
             if blocks:
-                yield blocks
-            blocks, total = [], 0
-    blocks += [block.close()] if block.of else []
-    if blocks:
-        yield blocks
+                yield blocks, False
+            blocks, total, n = [], 0, 0
+    yield blocks + ([block.close()] if block.of else []), True
 
 
 def _search_shard(folded: list[bytes], block: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -233,7 +242,7 @@ def _search_shard(folded: list[bytes], block: Windows) -> tuple[np.ndarray, np.n
     return counts, np.cumsum(cover[:-1]) > 0, pair // len(block.items), pair % len(block.items)
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, max_windows: int = 200_000, max_bytes: int = 32 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, max_windows: int = 200_000, max_bytes: int = 32 << 20, pass_windows: int = 2_000_000) -> DataFrame:
     """Adds to every document ``n_words, n_hit``, ``item_ids`` (sorted as strings), ``contaminated``, ``spans`` and ``clean_text``.
 
     A window is ``width`` consecutive words of an item, or all words of a shorter one. ``spans`` are the merged
@@ -242,27 +251,26 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, max_w
 
     Each task takes documents up to 12 MB of text as a shard, indexes it, searches all windows and locates
     the hits; nothing is shuffled. The benchmark comes in blocks of a bounded number of windows, each searched
-    in every shard. Blocks of up to ``max_bytes`` of text are broadcast together; a larger benchmark takes further
-    passes over the documents, which carry what was hit so far (a bit for each word).
+    in every shard. Blocks of up to ``max_bytes`` of text and ``pass_windows`` windows (some 70 bytes each) are
+    broadcast together; a larger benchmark takes further passes over the documents, which carry what was hit so far
+    (a bit for each word). The driver holds one pass at a time.
 
     A null or empty text has no words; items without words have no windows; an item with a null id is listed
     as ``null``. Repeated rows are judged alike, each by itself; ids aren't looked at. Columns of the added
-    names are replaced, others kept. An empty benchmark leaves every document clean.
+    names are replaced, others kept whatever their names are. An empty benchmark leaves every document clean.
     """
-    refuse_reserved(docs)
-    docs = docs.drop("n_words", "n_hit", "item_ids", "contaminated", "spans", "clean_text")
+    docs, named = set_apart(docs, {"text": "text"}, ["n_words", "n_hit", "item_ids", "contaminated", "spans", "clean_text"])
     sc, names = docs.sparkSession.sparkContext, docs.columns
-    passes = benchmark_passes(items, width, max_windows, max_bytes)
-    now, blocks = docs, next(passes, [])
-    while True:
-        following = next(passes, None)
+    now = docs
+    for blocks, is_last in benchmark_passes(items, width, max_windows, max_bytes, pass_windows):
         shared = [sc.broadcast(b) for b in blocks]
-        now = _search(now, names, shared, following is None)
-        if following is None:
-            return now
-        now, blocks = materialize(now, "contamination-so-far"), following
-        for b in shared:
-            b.destroy()
+        now = _search(now, names, shared, is_last)
+        if not is_last:
+            now = materialize(now, "contamination-so-far")
+            for b in shared:
+                b.destroy()
+            del blocks
+    return named(now)
 
 
 def _search(docs: DataFrame, names: list[str], blocks: list, is_last: bool) -> DataFrame:
@@ -323,20 +331,26 @@ def _search(docs: DataFrame, names: list[str], blocks: list, is_last: bool) -> D
         return pa.RecordBatch.from_arrays([*rows.columns[: len(names)], *more], names=[*names, *added])
 
     def search(batches):
-        kept, size = [], 0
+        kept, size, held = [], 0, 0
+
+        def shards():  # a column beyond 2 GiB comes in several chunks
+            return map(shard, pa.Table.from_batches(kept).combine_chunks().to_batches())
+
         for b in slices(batches, 2048):
+            each = b.nbytes // max(b.num_rows, 1)
             lengths = [len(t) if t else 0 for t in b.column(at).to_pylist()]
             begin = 0
             for i, n in enumerate(lengths):
-                size += n
-                if size >= SHARD_BYTES:
+                size += n + 16  # rows without text end a shard, too
+                held += each
+                if size >= SHARD_BYTES or held >= SHARD_HELD:
                     kept.append(b.slice(begin, i + 1 - begin))
-                    yield shard(pa.Table.from_batches(kept).combine_chunks().to_batches()[0])
-                    kept, size, begin = [], 0, i + 1
+                    yield from shards()
+                    kept, size, held, begin = [], 0, 0, i + 1
             if begin < len(lengths):
                 kept.append(b.slice(begin))
         if kept:
-            yield shard(pa.Table.from_batches(kept).combine_chunks().to_batches()[0])
+            yield from shards()
             kept = []
         tidy()
 

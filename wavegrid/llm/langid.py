@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wavegrid.llm.common import map_arrow, materialize, slices
+from wavegrid.llm.common import map_arrow, materialize, set_apart, slices
 
 ORDERS = (1, 2, 3)
 _LETTER = regex.compile(r"\p{L}")
@@ -102,10 +102,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Adds ``lang_pred`` and ``score`` (the posterior of that language) to every row; only ``text`` is looked at.
 
     A null text, a text without a letter, and any text under a model without languages give ``und`` and score 0.
-    Ties go to the language first in code-point order. Columns of these names are replaced, others kept.
-    The matrix that is broadcast has ``n_buckets`` rows and a column per language, both bounded.
+    Ties go to the language first in code-point order. Columns of these names are replaced, others kept
+    whatever their names are. The matrix that is broadcast has ``n_buckets`` rows and a column per language, both bounded.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs, named = set_apart(docs, {"text": "text"}, ["lang_pred", "score"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*docs.schema.fields, *StructType.fromDDL("lang_pred string, score double").fields])
     at = docs.columns.index("text")
@@ -136,4 +136,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     pred[k] = m.langs[x]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(prob, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(score, schema)
+    return named(docs.mapInArrow(score, schema))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import BLANKS, ascii_lower, materialize, maybe_broadcast, partitions, refuse_reserved
+from wavegrid.llm.common import BLANKS, ascii_lower, materialize, maybe_broadcast, partitions, set_apart
 
 
 def _lines(docs: DataFrame) -> F.Column:
@@ -67,8 +67,7 @@ def line_keep_runs(docs: DataFrame, min_length: int = 20, min_docs: int = 3, hot
 
 def apply_keep_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """Adds ``n_lines, n_dropped, kept_text`` to the documents, from the runs of :func:`line_keep_runs`; columns of these names are replaced."""
-    refuse_reserved(docs)
-    docs = docs.drop("n_lines", "n_dropped", "kept_text")
+    docs, named = set_apart(docs, {"doc_id": "doc_id", "text": "text"}, ["n_lines", "n_dropped", "kept_text"])
     runs = runs.withColumnsRenamed({"doc_id": "__wg_doc", "row_key": "__wg_row", "dropped": "__wg_dropped"})
     both = docs.withColumn("__wg_key", _row_key()).join(runs, F.expr("doc_id <=> __wg_doc and __wg_key = __wg_row"), "left")
     lines = _lines(docs)
@@ -81,4 +80,5 @@ def apply_keep_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
         return F.array_join(F.flatten(F.zip_with(begin, end, lambda a, b: F.slice(all_, a + 1, b - a))), "\n")
 
     kept = F.when(F.col("__wg_dropped").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.get(F.transform(F.array(lines), cut), F.lit(0)))
-    return both.withColumns({"n_lines": F.size(lines).cast("bigint"), "n_dropped": gone, "kept_text": kept}).drop("__wg_doc", "__wg_row", "__wg_key", "__wg_dropped")
+    out = both.withColumns({"n_lines": F.size(lines).cast("bigint"), "n_dropped": gone, "kept_text": kept})
+    return named(out.drop("__wg_doc", "__wg_row", "__wg_key", "__wg_dropped"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import WORD, materialize, refuse_reserved
+from wavegrid.llm.common import WORD, materialize, quoted, set_apart
 
 #: Runs of one size class that a source is split into, so that no source is ordered in one task.
 SALTS = 32
@@ -53,10 +53,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), b
 
     A null text has size 0; a null source is a source of its own, last in order; a null id is ordered as such.
     Repeated rows are drawn for each by itself. Sources without words get target 0. Empty tables give no rows.
-    Columns of the added names are replaced.
+    Columns of the added names are replaced, others kept whatever their names are.
     """
-    refuse_reserved(docs)
-    docs = docs.drop("size", "source_size", "target", "copies", "taken")
+    added = ["size", "source_size", "target", "copies", "taken"]
+    docs, named = set_apart(docs, {"doc_id": "doc_id", "text": "text", "source": "source"}, added)
     names = docs.columns
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("bigint")
     bits = F.length(F.bin("size"))
@@ -77,9 +77,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), b
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     upto = F.col("__wg_before") + F.col("__wg_rank")
     copies = F.floor(F.col("__wg_u") + upto * rate) - F.floor(F.col("__wg_u") + (upto - 1) * rate)
-    return joined.withColumn("copies", copies.cast("int")).withColumn("taken", F.col("copies") * F.col("size")).select(*names, "size", "source_size", "target", "copies", "taken")
+    return named(joined.withColumn("copies", copies.cast("int")).withColumn("taken", F.col("copies") * F.col("size")).select(*names, *added))
 
 
 def emit_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """One row per copy, with the given columns; rows with no or null ``copies`` give none. Repeated rows are copied each by itself, nulls in other columns stay."""
-    return mixed.where("copies > 0").withColumn("__wg_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    return mixed.where("copies > 0").withColumn("__wg_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*map(quoted, columns))

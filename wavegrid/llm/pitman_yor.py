@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wavegrid.llm.common import get_file, groups, materialize, partitions, put_file, refuse_reserved, scratch, tidy
+from wavegrid.llm.common import get_file, groups, materialize, partitions, put_file, scratch, set_apart, tidy
 
 STRETCH = 2_000_000  # tokens of a stretch
 END = b"\n"  # no word holds it
@@ -235,11 +235,10 @@ def score_texts(docs: DataFrame, held_out: str, seed: int = 5) -> DataFrame:
     other frames are written to the shared folder first. A null text is empty; its one token is the end. A null in
     ``held_out`` counts as false. Repeated
     rows count as often as they come. Without training tokens all probability lies in the uniform base.
-    Columns of the added names are replaced, others kept. Scores are log10 of averaged probabilities.
+    Columns of the added names are replaced, others kept whatever their names are. Scores are log10 of averaged probabilities.
     """
-    refuse_reserved(docs)
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    docs = docs.drop(*added)
+    docs, named = set_apart(docs, {"text": "text", "__wg_held": held_out}, added)
     spark = docs.sparkSession
     if not docs.inputFiles() or docs.select(F.input_file_name().alias("f")).where("f = ''").limit(1).count():
         docs = materialize(docs, "py-texts")
@@ -254,7 +253,7 @@ def score_texts(docs: DataFrame, held_out: str, seed: int = 5) -> DataFrame:
     def ask(batches):
         for name, kept in _stretches(batches, cols):
             q = Questions(_texts(kept, "text"), grid)
-            data = list(q.ask(~np.array(_texts(kept, held_out), dtype=bool)))
+            data = list(q.ask(~np.array(_texts(kept, "__wg_held"), dtype=bool)))
             yield pa.record_batch({"cell": pa.array(q.cells, pa.int32()), "stretch": pa.array([name] * len(data), pa.string()), "asked": pa.array(data, pa.binary())})
             del q, data
             tidy()
@@ -274,7 +273,7 @@ def score_texts(docs: DataFrame, held_out: str, seed: int = 5) -> DataFrame:
                 }
             )
 
-    asked = rows.select("text", held_out, "__wg_file", "__wg_off").mapInArrow(ask, "cell int, stretch string, asked binary")
+    asked = rows.select("text", "__wg_held", "__wg_file", "__wg_off").mapInArrow(ask, "cell int, stretch string, asked binary")
     shelf = asked.repartition(n_parts, "cell").sortWithinPartitions("cell").mapInArrow(shelve, "cell int, pairs binary, stretches array<string>, places array<binary>")
     shelf = materialize(shelf, "py-dishes")
     cells = sorted(r["cell"] for r in shelf.select("cell").collect())  # 4 x shuffle partitions at most
@@ -413,4 +412,4 @@ def score_texts(docs: DataFrame, held_out: str, seed: int = 5) -> DataFrame:
                 more = [pa.array(sizes[s], pa.int64()), pa.array(known[s], pa.int64()), pa.array([train_tokens] * b.num_rows, pa.int64()), pa.array(base[s]), pa.array(total[s])]
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *more], names=[*names, *added])
 
-    return rows.mapInArrow(score, schema)
+    return named(rows.mapInArrow(score, schema))

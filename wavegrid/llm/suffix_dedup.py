@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wavegrid.llm.common import groups, materialize, maybe_broadcast, partitions, refuse_reserved
+from wavegrid.llm.common import groups, materialize, maybe_broadcast, partitions, set_apart
 
 UNIT = 1 << 20  # bytes hashed at once
 FLUSH = 600_000  # segments a task combines before it sends them
@@ -404,9 +404,8 @@ def remove_repeats(docs: DataFrame, width: int = 200, hot_strings: int = HOT_STR
     that is long enough. Ids may be null or repeat. Columns of the added names are replaced. Texts are told
     apart by a hash of 64 bits of id and text on their way, segments by two. ``hot_strings`` changes the work, not the result.
     """
-    refuse_reserved(docs)
     added = ["n_bytes", "n_removed", "n_spans", "kept"]
-    docs = docs.drop(*added)
+    docs, named = set_apart(docs, {"doc_id": "doc_id", "text": "text"}, added)
     marks = materialize(mark_segments(docs, width, hot_strings), "repeat-marks")
     found = materialize(compare_segments(docs, marks, width), "repeat-found")
     names = docs.columns
@@ -449,4 +448,4 @@ def remove_repeats(docs: DataFrame, width: int = 200, hot_strings: int = HOT_STR
             more = [pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *more], names=[*names, *added])
 
-    return rows.mapInArrow(remove, schema)
+    return named(rows.mapInArrow(remove, schema))

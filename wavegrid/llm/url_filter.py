@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import ascii_lower, refuse_reserved
+from wavegrid.llm.common import ascii_lower, materialize, quoted, set_apart
 
 
 @dataclass(frozen=True)
@@ -78,7 +78,8 @@ def contains(key: Column, levels: list[Level]) -> Column:
 def build_cascade(listed: DataFrame, universe: DataFrame, fpr: float = 0.01, max_bits: int = 1 << 23, seed: int = 7) -> list[Level]:
     """Levels of the cascade for ``listed`` (a column ``key``) over ``universe`` (a column ``key``, repeats allowed).
 
-    Nulls are no keys. An empty list has no levels: nothing is listed. Each level's keys pass the levels
+    Nulls are no keys. An empty list has no levels: nothing is listed. The universe is read once; what passes the
+    first level without being listed is written, and further levels choose from that. Each level's keys pass the levels
     before it, so sizes fall by the factor ``fpr`` with each pair of levels.
     """
     listed = listed.select("key").where("key is not null").distinct()
@@ -88,6 +89,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, fpr: float = 0.01, max
         levels.append(_level(kept, n, fpr, seed + len(levels), max_bits))
         if others is None:
             others = universe.select("key").where(F.col("key").isNotNull() & _passes(F.col("key"), levels[0])).distinct().join(listed, "key", "left_anti")
+            others = materialize(others, "url-false-positives")
         else:
             others = others.where(_passes(F.col("key"), levels[-1]))
         kept, others = others, kept
@@ -101,7 +103,7 @@ def listed_by_join(keys: DataFrame, listed: DataFrame) -> DataFrame:
 
 def with_host_path(pages: DataFrame, url: str = "url") -> DataFrame:
     """Adds ``host`` (A-Z lower-cased) and ``path``; both are empty where the url is null or has no ``://``."""
-    u = F.coalesce(F.col(url), F.lit(""))
+    u = F.coalesce(F.col(quoted(url)), F.lit(""))
     at = F.instr(u, "://")
     rest = F.when(at > 0, u.substr(at + 3, F.length(u))).otherwise(F.lit(""))
     raw = F.regexp_extract(rest, r"^[^/?#]*", 0)
@@ -146,10 +148,10 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str =
     looked up by shuffled joins instead.
     """
     spark: SparkSession = pages.sparkSession
-    refuse_reserved(pages)
-    pages = with_host_path(pages.drop("host", "path", "rule", "verdict"), url)
+    pages, named = set_apart(pages, {"__wg_url": url}, ["host", "path", "rule", "verdict"])
+    pages = with_host_path(pages, "__wg_url")
     if not rules:
-        return pages.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit("allow"))
+        return named(pages.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit("allow")))
     universe = pages.select("host", "path").distinct().select(F.explode(_candidates(rules)["k"]).alias("key"))
     cascades = {}
     try:
@@ -159,8 +161,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str =
             listed = spark.range(1).select(F.explode(F.array(*map(F.lit, keys)).cast("array<string>")).alias("key"))
             cascades[action] = build_cascade(listed, universe, fpr, max_bits)
     except TooLarge:
-        return _filter_by_join(pages, rules)
+        return named(_filter_by_join(pages, rules))
     hits = F.filter(_candidates(rules), lambda c: contains(c["k"], cascades["block"]) | contains(c["k"], cascades["allow"]))
     out = pages.withColumn("__wg_hit", F.when(F.size(hits) > 0, F.element_at(hits, 1)["k"]))
     blocked = F.when(F.col("__wg_hit").isNotNull() & contains(F.col("__wg_hit"), cascades["block"]), F.lit("block")).otherwise(F.lit("allow"))
-    return out.withColumn("rule", F.col("__wg_hit")).withColumn("verdict", blocked).drop("__wg_hit")
+    return named(out.withColumn("rule", F.col("__wg_hit")).withColumn("verdict", blocked).drop("__wg_hit"))
