@@ -99,6 +99,19 @@ def test_shards(spark, tmp_path):
     assert files.where("n > 1").count() == 0
 
 
+def test_failed_samples_are_kept_beside_the_shards(spark, tmp_path):
+    rows = [(1, "train", [0.5], None), (2, "train", None, "no WAV file"), (3, "test", [0.25], None), (None, None, None, "")]
+    df = spark.createDataFrame(rows, "rec_id long, split string, raw array<float>, error string")
+    at = str(tmp_path / "s")
+    for _ in range(2):  # written again, nothing is left of the first time
+        writers.write_shards(df, at, 2)
+        back = readers.shards(spark, at, "raw")
+        assert sorted(r["rec_id"] for r in back.collect()) == [1, 3] and "error" not in back.columns
+        assert sorted((r["rec_id"] or 0, r["error"]) for r in writers.failed_samples(spark, at).collect()) == [(0, ""), (2, "no WAV file")]
+    writers.write_shards(df.where("error is null"), at, 2)
+    assert writers.failed_samples(spark, at).count() == 0
+
+
 def test_new_files_only(spark, tmp_path):
     src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
     step = lambda d: d.withColumn("double", F.col("id") * 2)

@@ -617,24 +617,31 @@ def multi_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _preds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``row_id, track_id, k, y_true, y, probs, pre``: absolute values of the first and second ten places, over their sums; tracks of four rows."""
+    """``row_id, track_id, k, y_true, y, probs, pre``: shares of ten labels in the squares of a half of all places each; tracks of four rows.
+
+    A label has every tenth place of a half. Shares are rounded to 6 places.
+    """
     e = _emb(spark, sf_dir)
+    half = F.floor(F.size("x") / 2).cast("int")
 
-    def block(a: int) -> F.Column:
-        raw = F.transform(F.slice("x", a, 10), lambda v: F.abs(v))
-        return F.transform(raw, lambda v: F.round(v / F.aggregate(raw, F.lit(0.0), lambda s, w: s + w), 6))
+    def block(first: F.Column, n: F.Column) -> F.Column:
+        squares = F.transform(F.slice("x", first, n), lambda v, j: F.struct(F.pmod(j, F.lit(10)).alias("i"), (v * v).alias("v")))
+        add = lambda some: F.aggregate(some, F.lit(0.0), lambda s, w: s + w)
+        raw = arrays.let(squares, lambda q: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: add(F.transform(F.filter(q, lambda s: s["i"] == i), lambda s: s["v"]))))
+        return arrays.let(raw, lambda r: arrays.let(add(r), lambda t: F.transform(r, lambda v: F.round(v / t, 6))))
 
     y = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when((i == F.col("label")) | ((F.col("vec_id") % 4 == 0) & (i == (F.col("label") + 3) % 10)), 1).otherwise(0))
     return e.select(
-        F.col("vec_id").alias("row_id"), F.floor(F.col("vec_id") / 4).alias("track_id"), (F.col("vec_id") % 4).alias("k"), F.col("label").alias("y_true"), y.alias("y"), block(1).alias("probs"), block(11).alias("pre")
+        F.col("vec_id").alias("row_id"), F.floor(F.col("vec_id") / 4).alias("track_id"), (F.col("vec_id") % 4).alias("k"), F.col("label").alias("y_true"), y.alias("y"), block(F.lit(1), half).alias("probs"), block(half + 1, F.size("x") - half).alias("pre")
     )
 
 
-_RAW = "list_transform(embedding[{a}:{b}], lambda v: abs(v::DOUBLE))"
-_BLOCK = "list_transform({r}, lambda v: round(v / list_sum({r}), 6))"
-_PREDS_SQL = f"""pr AS (SELECT vec_id AS row_id, vec_id // 4 AS track_id, vec_id % 4 AS k, label AS y_true,
+_RAW = """list_transform(range(0, 10), lambda i: coalesce(list_sum(list_transform(list_filter(range({a}, {b}), lambda j: (j - ({a})) % 10 = i),
+    lambda j: embedding[j]::DOUBLE * embedding[j]::DOUBLE)), 0))"""
+_PREDS_SQL = f"""sq AS (SELECT vec_id, label, {_RAW.format(a="1", b="len(embedding) // 2 + 1")} AS r, {_RAW.format(a="len(embedding) // 2 + 1", b="len(embedding) + 1")} AS q FROM embeddings),
+  pr AS (SELECT vec_id AS row_id, vec_id // 4 AS track_id, vec_id % 4 AS k, label AS y_true,
   list_transform(range(0, 10), lambda i: CASE WHEN i = label OR (vec_id % 4 = 0 AND i = (label + 3) % 10) THEN 1 ELSE 0 END) AS y,
-  {_BLOCK.format(r=_RAW.format(a=1, b=10))} AS probs, {_BLOCK.format(r=_RAW.format(a=11, b=20))} AS pre FROM embeddings),
+  list_transform(r, lambda v: round(v / list_sum(r), 6)) AS probs, list_transform(q, lambda v: round(v / list_sum(q), 6)) AS pre FROM sq),
   dc AS (SELECT *, CASE WHEN list_max(probs) > 0.2 THEN list_position(probs, list_max(probs)) - 1 ELSE -1 END AS pred_i,
          CASE WHEN list_max(pre) > 0.2 THEN list_position(pre, list_max(pre)) - 1 ELSE -1 END AS pre_i FROM pr),
   cl AS (SELECT CAST(a AS INT) AS true_i, CAST(b AS INT) AS pred_i FROM (SELECT unnest(range(0, 10)) AS a), (SELECT unnest(range(-1, 10)) AS b)),
@@ -686,14 +693,14 @@ def multi_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_PREDS_SQL}, l AS (SELECT track_id, unnest(range(0, 10)) AS i, unnest(probs) AS p FROM pr), a AS (SELECT track_id, i, round(avg(p), 9) AS mean, max(p) AS mx FROM l GROUP BY ALL),
     v AS (SELECT track_id, pred_i AS i, count(*) AS votes FROM dc WHERE pred_i >= 0 GROUP BY ALL), j AS (SELECT a.*, coalesce(votes, 0) AS votes FROM a LEFT JOIN v USING (track_id, i)),
     r AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY mean DESC, i) AS km, row_number() OVER (PARTITION BY track_id ORDER BY mx DESC, i) AS kx, row_number() OVER (PARTITION BY track_id ORDER BY votes DESC, mean DESC, i) AS kv FROM j)
-    SELECT track_id, 'mean' AS how, CAST(CASE WHEN mean > 0.2 THEN i ELSE -1 END AS INT) AS pred_i, round(mean, 6) AS p FROM r WHERE km = 1
-    UNION ALL SELECT track_id, 'max', CAST(CASE WHEN mx > 0.2 THEN i ELSE -1 END AS INT), round(mx, 6) FROM r WHERE kx = 1
-    UNION ALL SELECT track_id, 'vote', CAST(CASE WHEN votes > 0 OR mean > 0.2 THEN i ELSE -1 END AS INT), round(mean, 6) FROM r WHERE kv = 1""",
+    SELECT track_id, 'mean' AS how, CAST(CASE WHEN mean > 0.2 THEN i ELSE -1 END AS INT) AS pred_i, round(mean, 8) AS p FROM r WHERE km = 1
+    UNION ALL SELECT track_id, 'max', CAST(CASE WHEN mx > 0.2 THEN i ELSE -1 END AS INT), round(mx, 8) FROM r WHERE kx = 1
+    UNION ALL SELECT track_id, 'vote', CAST(CASE WHEN votes > 0 OR mean > 0.2 THEN i ELSE -1 END AS INT), round(mean, 8) FROM r WHERE kv = 1""",
 )
 def track_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, out = _preds(spark, sf_dir), None
     for how in ("mean", "max", "vote"):
-        one = evaluate.track_decision(w, how, 0.2).select("track_id", F.lit(how).alias("how"), "pred_i", F.round("p", 6).alias("p"))
+        one = evaluate.track_decision(w, how, 0.2).select("track_id", F.lit(how).alias("how"), "pred_i", F.round("p", 8).alias("p"))  # all the places that a mean of four shares has
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -733,11 +740,12 @@ def pr_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ensemble",
-    f"""WITH {_PREDS_SQL} SELECT row_id, round(probs[1] * 0.75 + pre[1] * 0.25, 8) AS mean0, round(list_max(list_transform(range(1, 11), lambda i: greatest(probs[i] * 3, pre[i]))), 7) AS top FROM pr""",
+    f"""WITH {_PREDS_SQL} SELECT row_id, i, round(probs[i] * 0.75 + pre[i] * 0.25, 8) AS mean, round(greatest(probs[i] * 3, pre[i]), 7) AS top FROM (SELECT *, unnest(range(1, 11)) AS i FROM pr)""",
 )
 def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     both, w = [F.col("probs"), F.col("pre")], [3.0, 1.0]
-    return _preds(spark, sf_dir).select("row_id", F.round(F.get(arrays.weighted_average(both, w), F.lit(0)), 8).alias("mean0"), F.round(F.array_max(arrays.weighted_max(both, w)), 7).alias("top"))
+    every = F.posexplode(F.arrays_zip(arrays.weighted_average(both, w).alias("m"), arrays.weighted_max(both, w).alias("t"))).alias("i", "at")
+    return _preds(spark, sf_dir).select("row_id", every).select("row_id", (F.col("i") + 1).cast("long").alias("i"), F.round("at.m", 8).alias("mean"), F.round("at.t", 7).alias("top"))
 
 
 @query(
@@ -808,8 +816,8 @@ def share_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     "anonymised_export",
     """WITH r AS (SELECT c_custkey AS rec_id, c_mktsegment AS device_id, round((c_custkey * 7919 % 400)::DOUBLE / 100, 1) AS lat, round((c_custkey * 104729 % 300)::DOUBLE / 100, 1) AS lng FROM customer),
     s AS (SELECT *, row_number() OVER (ORDER BY device_id, lat, lng) AS site_id FROM (SELECT DISTINCT device_id, lat, lng FROM r)),
-    t AS (SELECT o_custkey AS rec_id, count(*) AS n, min(CASE WHEN o_totalprice > 100000 THEN -1 ELSE o_totalprice END) AS lowest FROM orders GROUP BY 1)
-    SELECT rec_id, CAST(site_id AS INT) AS site_id, lat, lng, CAST(coalesce(n, 0) AS INT) AS n_tracks, round(lowest, 2) AS lowest FROM r JOIN s USING (device_id, lat, lng) LEFT JOIN t USING (rec_id)""",
+    t AS (SELECT o_custkey AS rec_id, o_orderkey AS track, round(CASE WHEN o_totalprice > 100000 THEN -1 ELSE o_totalprice END, 2) AS freq, o_orderpriority AS label FROM orders)
+    SELECT rec_id, CAST(site_id AS INT) AS site_id, lat, lng, track AS start, track AS "end", freq AS min_freq, freq AS max_freq, label FROM r JOIN s USING (device_id, lat, lng) LEFT JOIN t USING (rec_id)""",
 )
 def anonymised_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
@@ -818,7 +826,8 @@ def anonymised_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.when(F.col("o_totalprice") <= 100000, F.col("o_totalprice"))
     t = o.select(F.col("o_custkey").alias("rec_id"), F.col("o_orderkey").alias("start"), F.col("o_orderkey").alias("end"), low.alias("min_freq"), low.alias("max_freq"), F.col("o_orderpriority").alias("label"))
     out = writers.anonymised(r, t)
-    return out.select("rec_id", "site_id", "lat", "lng", F.coalesce(F.size("tracks"), F.lit(0)).alias("n_tracks"), F.round(F.array_min("tracks.min_freq"), 2).alias("lowest"))
+    each = out.select("rec_id", "site_id", "lat", "lng", F.explode_outer("tracks").alias("t"))
+    return each.select("rec_id", "site_id", "lat", "lng", "t.start", "t.end", F.round("t.min_freq", 2).alias("min_freq"), F.round("t.max_freq", 2).alias("max_freq"), "t.label")
 
 
 def _documents_as_samples(spark: SparkSession, sf_dir: str) -> DataFrame:

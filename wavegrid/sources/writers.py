@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavegrid.operators.runs import sums_before
+from wavegrid.sources.scratch import written
 
 
 def write_shards(samples: DataFrame, path: str, n: int, by_tag: bool = False, max_rows: int | None = None) -> None:
-    """Samples by split (and first tag), dealt out over ``n`` files by a hash of their recording; files of at most ``max_rows``."""
+    """Samples by split (and first tag), dealt out over ``n`` files by a hash of their recording; files of at most ``max_rows``.
+
+    Where ``samples`` has a column ``error``, rows with one are left out of the shards, so that a recording that can't be
+    read doesn't stop the others; they go to ``_failed`` beside the shards, which readers of the folder pass over.
+    """
+    if "error" in samples.columns:
+        samples = written(samples, "shard-samples")  # two tables come from it, and decoding is dear
+        failed, samples = samples.where("error is not null"), samples.where("error is null").drop("error")
+    else:
+        failed = None
     w = samples.repartition(n, F.md5(F.col("rec_id").cast("string").cast("binary"))).write.mode("overwrite").partitionBy(*["split", *["first_tag"] * by_tag])
     (w.option("maxRecordsPerFile", max_rows) if max_rows else w).parquet(path)
+    if failed is not None:
+        failed.write.mode("overwrite").parquet(f"{path}/_failed")
+
+
+def failed_samples(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`write_shards` left out of the shards in ``path``, with its ``error``."""
+    return spark.read.parquet(f"{path}/_failed")
 
 
 def anonymised(recordings: DataFrame, tracks: DataFrame) -> DataFrame:
