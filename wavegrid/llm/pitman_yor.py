@@ -229,16 +229,17 @@ def _parent(c: np.ndarray, s: np.ndarray, total: tuple[int, int], base: float) -
 
 
 def score_texts(docs: DataFrame, held_out: str, seed: int = 5) -> DataFrame:
-    """Adds ``n_tokens, n_known, train_tokens, base_score, score`` to every document; learns where ``held_out`` is false.
+    """Adds ``n_tokens, n_known, train_tokens, base_score, score, perplexity`` to every document; learns where ``held_out`` is false.
 
     ``docs`` has ``text`` and the boolean column; it should be read from files, whose splits name the stretches;
     other frames are written to the shared folder first. A null text is empty; its one token is the end. A null in
     ``held_out`` counts as false. Repeated
     rows count as often as they come. Without training tokens all probability lies in the uniform base.
-    Columns of the added names are replaced, others kept whatever their names are. Scores are log10 of averaged probabilities.
+    Columns of the added names are replaced, others kept whatever their names are. Scores are log10 of averaged probabilities,
+    and the perplexity is the inverse of their geometric mean over the tokens, of which every text has one at least.
     """
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    docs, named = set_apart(docs, {"text": "text", "__wg_held": held_out}, added)
+    docs, named = set_apart(docs, {"text": "text", "__wg_held": held_out}, [*added, "perplexity"])
     spark = docs.sparkSession
     if not docs.inputFiles() or docs.select(F.input_file_name().alias("f")).where("f = ''").limit(1).count():
         docs = materialize(docs, "py-texts")
@@ -412,4 +413,4 @@ def score_texts(docs: DataFrame, held_out: str, seed: int = 5) -> DataFrame:
                 more = [pa.array(sizes[s], pa.int64()), pa.array(known[s], pa.int64()), pa.array([train_tokens] * b.num_rows, pa.int64()), pa.array(base[s]), pa.array(total[s])]
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *more], names=[*names, *added])
 
-    return named(rows.mapInArrow(score, schema))
+    return named(rows.mapInArrow(score, schema).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))))
