@@ -21,7 +21,11 @@ MIN_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those no learned language fits with a posterior of ``MIN_SCORE``. The rest stay as they are."""
+    """Drops documents without a letter, and those no learned language fits with a posterior of ``MIN_SCORE``. The rest stay as they are.
+
+    A null or empty text has no letter. A null id, source or language is no reason to drop a row; the language column is
+    only learned from. Repeated rows are judged each, and alike. Without any labelled row nothing is learned and all rows go.
+    """
     out = langid.predict(docs, langid_model(docs.select("doc_id", "text", "lang")))
     return out.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
 
@@ -29,7 +33,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of similar documents the one with the smallest id stays; of rows with one id and equal text, one.
 
-    Rows without an id can't be named as duplicates of others and stay.
+    Rows without an id can't be named as duplicates of others and stay. Texts without words, null ones included, are
+    duplicates of none. An empty table gives no rows.
     """
     classes = jaccard_components(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("__wg_id"))
     facts = classes.agg(F.min("component_id").alias("__wg_class"), F.count("*").alias("__wg_n"))
@@ -42,7 +47,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts the spans that occur in a benchmark item; drops documents of which no word is left. Clean documents stay as they are."""
+    """Cuts the spans that occur in a benchmark item; drops documents of which no word is left. Clean documents stay as they are.
+
+    A null or empty text is clean and stays; so does every document where the benchmark is empty. ``n_chars`` of a cut
+    text is counted anew. Repeated rows are cut alike, and null ids are of no account.
+    """
     out = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     out = out.where(~(F.col("contaminated") & (F.col("n_hit") == F.col("n_words"))))
     length = F.when(F.col("contaminated"), F.char_length("clean_text").cast("long")).otherwise(F.col("n_chars"))
@@ -50,12 +59,19 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's target weight has it."""
+    """Every document as often as its source's target weight has it.
+
+    Null sources are one source, the last. A null text has size 0, and is taken by its source's rate like others; a source without words gives none of
+    its rows. Repeated rows are drawn each by itself. An empty table gives no rows.
+    """
     return emit_copies(mix_sources(docs), COLUMNS)
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token shards and returns what they hold: ``doc_id, start, n_tokens, ids_crc32``."""
+    """Writes the token shards and returns what they hold: ``doc_id, start, n_tokens, ids_crc32``.
+
+    A null text is empty: its end id alone. Every copy of a document is written; nulls in other columns are of no account.
+    """
     return tokens_table(docs, word_tokenizer())
 
 
@@ -72,6 +88,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in their order over the whole ``documents``, each one's rows written before the next reads them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
