@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wavegrid.functions import arrays
 from wavegrid.operators import features, labels, models, splitting
-from wavegrid.plans import long_runs
+from wavegrid.plans import long_runs, queries
 from wavegrid.sources import readers, writers
 from wavegrid.sources.tables import table
 from wavegrid.streaming import incremental
@@ -98,6 +98,26 @@ def test_summary_beside_its_recordings(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/s/recordings").select("split", "label", "rec_id").collect()) == [("train", "a", 1), ("train", "a", 2)]
 
 
+def test_summary_lists_all_recordings(spark):
+    con = duckdb.connect()
+    sql = f"SELECT lang, source, count(*), count(DISTINCT n_chars), list_sort(list(DISTINCT n_chars)) FROM '{SF}/documents.parquet' GROUP BY ALL"
+    want = {(split, label, n, recs): ids for split, label, n, recs, ids in con.execute(sql).fetchall()}
+    got = {}
+    for r in queries.QUERIES["training_summary"](spark, SF).collect():
+        got.setdefault((r["split"], r["label"], r["n_samples"], r["n_recs"]), []).append(r["rec_id"])
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_summary_keeps_nulls(spark):
+    rows = [("train", "a", 1), ("train", "a", 1), ("train", "a", 2), ("train", "a", None), ("test", "b", None), (None, "a", 1), (None, None, 3), ("train", None, 3), ("", "a", 4)]
+    df = spark.createDataFrame(rows, "split string, label string, rec_id long")
+    out = writers.training_summary(df)
+    assert out.columns == ["split", "label", "n_samples", "n_recs", "rec_id"]
+    want = [("train", "a", 4, 2, 1), ("train", "a", 4, 2, 2), ("train", "a", 4, 2, None), ("test", "b", 1, 0, None), (None, "a", 1, 1, 1), (None, None, 1, 1, 3), ("train", None, 1, 1, 3), ("", "a", 1, 1, 4)]
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted(want, key=repr)
+    assert writers.training_summary(df.limit(0)).collect() == []
+
+
 def test_labels_by_both_maps(spark):
     df = spark.createDataFrame([("kea\ntui",), ("odd",), ("gone\nodd",), ("kea\nodd\nkea",), ("",), (None,)], "t string")
     own, extra = (F.create_map(*[F.lit(x) for kv in m.items() for x in kv]) for m in ({"kea": 2, "tui": 1, "gone": -1, "far": 9}, {"odd": 3, "tui": 0, "gone": 0}))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavegrid.operators.runs import sums_before
+from wavegrid.operators.sizes import small
 from wavegrid.sources.scratch import written
 
 
@@ -47,11 +48,21 @@ def anonymised(recordings: DataFrame, tracks: DataFrame) -> DataFrame:
     return out.select("r.rec_id", "s.site_id", "r.lat", "r.lng").join(t, "rec_id", "left")
 
 
-def training_summary(samples: DataFrame) -> DataFrame:
-    """Per split and label: samples and recordings. The recordings' ids are a table of their own, :func:`training_recordings`."""
+def training_counts(samples: DataFrame) -> DataFrame:
+    """Per split and label: samples and recordings."""
     return samples.groupBy("split", "label").agg(F.count("*").alias("n_samples"), F.countDistinct("rec_id").alias("n_recs"))
 
 
+def training_summary(samples: DataFrame) -> DataFrame:
+    """``split, label, n_samples, n_recs, rec_id``: each recording's id once, with the samples and recordings of its split and label.
+
+    A row an id, so that no row grows with the data. Samples without an id have a row, too, which ``n_recs`` leaves out.
+    """
+    ids = samples.select("split", "label", "rec_id").distinct()
+    out = ids.alias("i").join(small(training_counts(samples), 64).alias("c"), F.expr("i.split <=> c.split and i.label <=> c.label"))
+    return out.select("i.split", "i.label", "c.n_samples", "c.n_recs", "i.rec_id")
+
+
 def training_recordings(samples: DataFrame) -> DataFrame:
     """``split, label, rec_id``, each once; recordings without an id are left out."""
     return samples.where("rec_id is not null").select("split", "label", "rec_id").distinct()
@@ -59,7 +70,7 @@ def training_recordings(samples: DataFrame) -> DataFrame:
 
 def write_summary(samples: DataFrame, path: str) -> None:
     """Counts as JSON, and the recordings' ids beside them in a table by split: no row grows with the data."""
-    write_json(training_summary(samples), f"{path}/counts")
+    write_json(training_counts(samples), f"{path}/counts")
     training_recordings(samples).write.mode("overwrite").partitionBy("split").parquet(f"{path}/recordings")
 
 
