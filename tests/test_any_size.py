@@ -1,12 +1,14 @@
 """Covers, joins by cells of many sizes and prefixes, against plain ones."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from wavegrid.functions import arrays
 from wavegrid.operators import grid, intervals, runs
+from wavegrid.plans.queries import QUERIES
 
 
 def plain_squares(points, w, h):
@@ -125,3 +127,10 @@ def test_average_over_rows_equals_that_of_the_joined_array(spark):
     joined = spark.createDataFrame([(sum(band, []),)], "x array<double>").select(arrays.ema(F.col("x")).alias("e")).first()["e"]
     assert sum((got["a", i] for i in range(60)), []) == pytest.approx(joined, rel=1e-9)
     assert got["b", 0] == [2.0] and got["c", 0] == []
+
+
+@pytest.mark.parametrize("name", ["neighbours"])
+def test_cells_of_squares_and_points_do_not_go_through_the_driver(spark, name):
+    """Their tables are large where customers and parts are, whatever size Spark takes them for."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[_cx#", plan) and not re.search(r"BroadcastHashJoin \[(_cx|point_id)#", plan)
