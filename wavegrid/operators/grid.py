@@ -14,13 +14,13 @@ def points_in_squares(points: DataFrame, squares: DataFrame, cell: float = 0.25)
     """``point_id, square_id`` of the square each point lies in, edges included; of several the smallest (x0, y0, square_id).
 
     Squares (``square_id, x0, y0, x1, y1``) are listed under every cell of a grid they touch, points under theirs, and
-    both are joined by cell.
+    both are joined by cell: sorted, as Spark's estimates of sizes leave out the cells of a square.
     """
     cx = F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell)))
     cy = F.explode(F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell)))
     s = squares.withColumn("_cx", cx).withColumn("_cy", cy)
     p = points.withColumn("_cx", F.floor(F.col("lng") / cell)).withColumn("_cy", F.floor(F.col("lat") / cell))
-    hit = p.join(s, ["_cx", "_cy"]).where(F.col("lng").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1")))
+    hit = p.join(s.hint("merge"), ["_cx", "_cy"]).where(F.col("lng").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1")))
     return hit.groupBy("point_id").agg(F.min(F.struct("x0", "y0", "square_id"))["square_id"].alias("square_id"))
 
 
