@@ -129,7 +129,7 @@ def test_average_over_rows_equals_that_of_the_joined_array(spark):
     assert got["b", 0] == [2.0] and got["c", 0] == []
 
 
-@pytest.mark.parametrize("name", ["neighbours", "neighbour_sum", "mark_present", "rare_species"])
+@pytest.mark.parametrize("name", ["neighbours", "neighbour_sum", "mark_present", "rare_species", "species_present"])
 def test_cells_of_squares_and_points_do_not_go_through_the_driver(spark, name):
     """Their tables are large where customers and parts are, whatever size Spark takes them for."""
     plan = QUERIES[name](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
