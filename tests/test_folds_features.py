@@ -3,12 +3,13 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
 from wavegrid.operators import features as f
 from wavegrid.operators import folds as o
-from wavegrid.plans.queries import QUERIES
+from wavegrid.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -143,3 +144,14 @@ def test_models_beat_chance(spark):
         assert len(r) == 500 and hits > 0.15 * len(r)
     got = QUERIES["cross_fold"](spark, SF).collect()
     assert sum(x["n"] for x in got) == 500
+
+
+def test_tracks_are_rounded_as_in_sql(spark, tmp_path):
+    """An end of 59.92625 less a rounding error: times 10,000 it is 599262.5, which SQL rounds."""
+    at = f"{tmp_path}/events.parquet"
+    spark.read.parquet("/root/testdata/sf0.1/events.parquet").where("event_id = 233").write.parquet(at)
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{at}/*.parquet'")
+    want = con.execute(ORACLES["absorb_tracks"]).fetchall()
+    assert [tuple(r) for r in QUERIES["absorb_tracks"](spark, str(tmp_path)).collect()] == want == [(143419723, 233, 58.9538, 59.9263)]
