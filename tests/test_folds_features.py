@@ -155,3 +155,17 @@ def test_tracks_are_rounded_as_in_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{at}/*.parquet'")
     want = con.execute(ORACLES["absorb_tracks"]).fetchall()
     assert [tuple(r) for r in QUERIES["absorb_tracks"](spark, str(tmp_path)).collect()] == want == [(143419723, 233, 58.9538, 59.9263)]
+
+
+def test_files_are_summed_from_their_own_beginning(spark):
+    """Lengths of which a file's may add up to 10 just so: against the rule, stretch by stretch."""
+    r = random.Random(11)
+    rows = [("a", i, a := r.randrange(86400) / 100, a + r.randrange(40000) / 100 / 8) for i in range(3000)]
+    want, k, filled = [], 0, 0.0
+    for tags, i, a, b in rows:
+        k, filled = (k + 1, 0.0) if filled >= 10 else (k, filled)
+        want.append((tags, i, a, k, filled))
+        filled += b - a
+    df = spark.createDataFrame(rows, "tags string, rec_id long, start double, end double")
+    got = sorted((x["tags"], x["rec_id"], x["start"], x["file_no"], x["offset"]) for x in o.file_layout(df).collect())
+    assert got == want
